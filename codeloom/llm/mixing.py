@@ -5,8 +5,8 @@
 2. Distributed projected gradient fits a rate in [0, max_repeats] for each document: least squares on the token
    totals by label and, with weight `soft`, on the expected token totals by posterior. Each iteration is one
    aggregation to two numbers per source; rates are functions of the few coefficients, no per-document state is kept.
-3. Rates become whole numbers of uses by a hash of the document, with one shift per source, found from a histogram of
-   bounded size, that makes the source's tokens meet its target.
+3. Rates become whole numbers of uses by a hash of the document, with one shift per source for texts that are large
+   against its target and one for the rest, found from histograms of bounded size, so that the source meets its target.
 
 The total is the largest at which every listed source can reach its share within its repeats, unless one is given.
 Sources that aren't listed, and null sources, get no use. A listed source without tokens can't contribute; the total
@@ -178,32 +178,42 @@ def _listed(members: DataFrame, sources: list[str]) -> DataFrame:
 def draw(members: DataFrame, fitted: Fit) -> DataFrame:
     """(doc_id, source, n_tokens, uses): every document used at least once."""
     n = len(fitted.sources)
-    cap = F.element_at(F.array(*[F.lit(float(c)) for c in fitted.caps]), F.col("place"))
-    goal = F.element_at(F.array(*[F.lit(float(g)) for g in fitted.targets]), F.col("place"))
-    rated = _listed(members, fitted.sources).withColumn("cap_", cap)
-    rated = rated.withColumn("level_", _rate(fitted.coefficients, fitted.start, F.col("place"), cap) + _fraction("doc_id"))
-    # Texts of more than a hundredth of their source's target are drawn by their rate alone; the shift moves the rest.
-    rated = rated.withColumn("large_", F.col("n_tokens") * 100 > goal)
-    # A use is won when the shift passes k - level: bin those thresholds, over [-cap, cap].
-    levels = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("cap_").cast("int"))), lambda k: k - F.col("level_"))
-    at = F.when(F.col("large_"), F.when(F.col("threshold") <= 0, F.lit(-1)).otherwise(F.lit(BINS))).otherwise(
-        F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("threshold") + F.col("cap_") + 1) / (2 * F.col("cap_") + 2) * BINS)))
-    )
-    won = rated.withColumn("threshold", F.explode(levels)).withColumn("bin", at.cast("int"))
-    table = won.groupBy("place", "bin").agg(F.sum("n_tokens").alias("n")).toPandas()  # at most sources x (BINS + 2) rows
-    edge = []
+    at = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("place"))
+    rated = _listed(members, fitted.sources).withColumn("cap_", at(fitted.caps))
+    rated = rated.withColumn("rate_", _rate(fitted.coefficients, fitted.start, F.col("place"), F.col("cap_")))
+    # Texts of more than a hundredth of their source's target are coarse: what they miss, the others make up for.
+    rated = rated.withColumn("coarse_", F.col("n_tokens") * 100 > at(fitted.targets))
+    # The k-th use of a document is won when the shift of its group passes k - rate - hash, binned over [-cap, cap].
+    uses = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("cap_").cast("int"))), lambda k: F.struct(k.alias("k"), (k - F.col("rate_") - _fraction("doc_id")).alias("threshold")))
+    won = rated.withColumn("use", F.explode(uses)).select("doc_id", "source", "n_tokens", "place", "coarse_", "rate_", "cap_", "use.*")
+    bin_ = F.floor((F.col("threshold") + F.col("cap_") + 1) / (2 * F.col("cap_") + 2) * BINS)
+    won = won.withColumn("bin", F.least(F.lit(BINS - 1), F.greatest(F.lit(0), bin_)).cast("int"))
+    # At most sources x 2 x BINS rows.
+    expected = F.sum(F.when(F.col("k") == 1, F.col("rate_") * F.col("n_tokens")))
+    bins = won.groupBy("place", "coarse_", "bin").agg(F.sum("n_tokens").alias("n"), expected.alias("expected")).toPandas()
+    edges = {False: [], True: []}
     for i in range(n):
-        own = table[(table.place == i + 1) & (table.bin < BINS)].sort_values("bin")
-        reached = np.concatenate([[0.0], np.cumsum(own.n.to_numpy(dtype=float))])
-        bins = np.concatenate([[-2], own.bin.to_numpy()])
-        fixed = bool(len(own)) and own.bin.iloc[0] == -1
-        low = 1 if fixed else 0
-        best = low + int(np.argmin(np.abs(reached[low:] - fitted.targets[i]))) if len(reached) > low else 0
-        edge.append(int(bins[best]))
-    kept = won.where(F.col("bin") <= F.element_at(F.array(*[F.lit(e) for e in edge]), F.col("place")))
+        own = bins[bins.place == i + 1].sort_values("bin")
+        coarse, fine = own[own.coarse_], own[~own.coarse_]
+        goal = fitted.targets[i]
+        want = max(min(coarse.expected.sum(), goal), goal - fine.n.sum())
+        edge, got = _nearest(coarse, want, goal if fine.n.sum() > 0 else np.inf)
+        edges[True].append(edge)
+        edges[False].append(_nearest(fine, goal - got, np.inf)[0])
+    edge = F.when(F.col("coarse_"), at(edges[True])).otherwise(at(edges[False]))
+    kept = won.where(F.col("bin") <= edge)
     return kept.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"), F.count(F.lit(1)).cast("int").alias("uses"))
 
 
+def _nearest(bins, want: float, most: float) -> tuple[int, float]:
+    """(last bin, tokens) of the run of bins from the first whose tokens come nearest to `want` without passing `most`."""
+    reached = np.concatenate([[0.0], np.cumsum(bins.n.to_numpy(dtype=float))])
+    last = np.concatenate([[-1], bins.bin.to_numpy()])
+    miss = np.where(reached > most, np.inf, np.abs(reached - want))
+    k = int(np.argmin(miss))
+    return int(last[k]), float(reached[k])
+
+
 def mixture(docs: DataFrame, targets: DataFrame, path: str | None = None, total: float | None = None) -> tuple[DataFrame, Fit]:
     """(draw, fit). targets: source, target_share, max_repeats; a few rows, a source named twice counts once."""
     vocab = path or bpe.vocabulary_path()
