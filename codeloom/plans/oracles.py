@@ -1,0 +1,48 @@
+"""The SQL each query is checked against, in DuckDB's dialect over the same tables."""
+
+from __future__ import annotations
+
+SQL: dict[str, str] = {}
+
+_REFERENCES = r"""
+with parent as (
+    select regexp_replace(lower(uuid), '^\s*\{?\s*|\s*\}?\s*$', '', 'g') as key, min(created_at) as first_at
+    from nodes where uuid is not null group by 1
+), reference as (
+    select uuid, 'from' as endpoint, regexp_replace(lower(from_uuid), '^\s*\{?\s*|\s*\}?\s*$', '', 'g') as key, created_at as seen
+    from edges where from_uuid is not null
+    union
+    select uuid, 'to', regexp_replace(lower(to_uuid), '^\s*\{?\s*|\s*\}?\s*$', '', 'g'), created_at from edges where to_uuid is not null
+), orphan as (
+    select r.*, p.first_at from reference r left join parent p on p.key = r.key where coalesce(p.first_at > r.seen, true)
+)
+"""
+SQL["p5_found"] = _REFERENCES + "select distinct uuid, endpoint from orphan"
+SQL["p5_counts"] = _REFERENCES + """
+select endpoint, strftime(seen, '%Y-%m') as month, count(*) as orphans,
+       count(*) filter (where first_at is null) as waiting, count(*) filter (where first_at is not null) as resolved
+from orphan group by 1, 2
+"""
+SQL["p6_found"] = """
+with change as (
+    select distinct lower(trim(entity_uuid)) as key, timestamp as seq, lower(trim(action)) as action, details
+    from audit
+    where entity_type = 'node' and timestamp is not null and entity_uuid is not null
+      and (details is null or (json_valid(details) and json_type(details) = 'OBJECT'))
+), removed as (
+    select key, max(seq) as seq from change where action = 'delete_entity' group by key
+), live as (
+    select c.* from change c left join removed r using (key)
+    where (r.seq is null or c.seq >= r.seq) and c.action in ('add_node', 'create_entity', 'update_entity', 'tag_entity')
+), made as (
+    select key, min(seq) as seq from live where action in ('add_node', 'create_entity') group by key
+), kept as (
+    select l.*, list_contains(json_keys(l.details), 'name') as has_name, list_contains(json_keys(l.details), 'file_path') as has_path
+    from live l join made m using (key) where l.seq >= m.seq
+), named as (
+    select key, details ->> '$.name' as name from kept where has_name qualify row_number() over (partition by key order by seq desc) = 1
+), placed as (
+    select key, details ->> '$.file_path' as file_path from kept where has_path qualify row_number() over (partition by key order by seq desc) = 1
+)
+select m.key as entity_uuid, n.name, p.file_path from made m left join named n using (key) left join placed p using (key)
+"""

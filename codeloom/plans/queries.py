@@ -1,0 +1,47 @@
+"""The registry of named queries: name -> function of (session, folder of the tables)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from codeloom.operators import changefeed, orphans
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: Where p5 divides the rows into increments.
+INCREMENTS = ("2026-01-01",)
+ENTITY_FIELDS = ("name", "file_path")
+
+
+def _orphans(spark: SparkSession, folder: str) -> orphans.OrphanState:
+    return orphans.run_increments(table(spark, folder, "edges"), table(spark, folder, "nodes"), INCREMENTS)
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _orphans(spark, folder).pending.selectExpr("ref_id as uuid", "endpoint").distinct()
+
+
+@query
+def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphans per endpoint and month, and how many of them still wait for their entity."""
+    return orphans.counts(_orphans(spark, folder))
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    changes = changefeed.audit_changes(table(spark, folder, "audit"), ENTITY_FIELDS)
+    return changefeed.apply_changes(changes, ENTITY_FIELDS).withColumnRenamed("key", "entity_uuid")
