@@ -183,6 +183,8 @@ def draw(members: DataFrame, fitted: Fit) -> DataFrame:
     rated = rated.withColumn("rate_", _rate(fitted.coefficients, fitted.start, F.col("place"), F.col("cap_")))
     # Texts of more than a hundredth of their source's target are coarse: what they miss, the others make up for.
     rated = rated.withColumn("coarse_", F.col("n_tokens") * 100 > at(fitted.targets))
+    # One that is more than the whole target can't be used without missing it.
+    rated = rated.where(F.col("n_tokens") <= at(fitted.targets))
     # The k-th use of a document is won when the shift of its group passes k - rate - hash, binned over [-cap, cap].
     uses = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("cap_").cast("int"))), lambda k: F.struct(k.alias("k"), (k - F.col("rate_") - _fraction("doc_id")).alias("threshold")))
     won = rated.withColumn("use", F.explode(uses)).select("doc_id", "source", "n_tokens", "place", "coarse_", "rate_", "cap_", "use.*")
