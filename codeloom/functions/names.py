@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.functions.paths import base_name, depth
 
@@ -14,7 +15,7 @@ from codeloom.functions.paths import base_name, depth
 SIMILAR = 0.6
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two lower-cased names; pairs whose lengths rule out a match are not compared."""
 

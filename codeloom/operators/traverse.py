@@ -119,7 +119,7 @@ def snippets(nodes: DataFrame, files: DataFrame, around: int = 3) -> DataFrame:
         lambda a, x: F.struct(F.when(a["done"], a["t"]).otherwise(F.concat_ws(" ", F.when(a["t"] != "", a["t"]), F.trim(x))).alias("t"), (a["done"] | x.contains(":")).alias("done")),
     )
     code = between(F.col("l_"), s, e)
-    brought = F.filter(F.transform(F.split(code, "\n"), F.trim), lambda x: x.startswith("import ") | x.startswith("from "))
+    brought = F.filter(F.transform(F.split(code, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("import ") | x.startswith("from "))
     return rows.select(
         "uuid",
         between(F.col("l_"), s - around, s - 1).alias("before"),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from codeloom.functions.names import PRIORITY_WORDS, TAG_WORDS
+from codeloom.functions.paths import DETECTED_ENDINGS, LANGUAGE_OF_ENDING
+from codeloom.operators.language import CONTENT, FRAMEWORKS, JAVASCRIPT_FIGURES, MENTIONS, PYTHON_FIGURES
+from codeloom.operators.semantic import ENTITY_PATTERNS
+
 SQL: dict[str, str] = {}
 
 _REFERENCES = r"""
@@ -46,3 +51,467 @@ with change as (
 )
 select m.key as entity_uuid, n.name, p.file_path from made m left join named n using (key) left join placed p using (key)
 """
+
+
+# ------------------------------------------------------------------------------------------------ the graph's tables
+
+_ID = r"regexp_replace(lower({0}), '^\s*\{{?\s*|\s*\}}?\s*$', '', 'g')"
+GRAPH = rf"""
+with recursive entity as (
+    select uuid, repo_id, file_path, type, name, start_line, end_line, docstring, tags, created_at from (
+        select {_ID.format('uuid')} as uuid, repo_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') as file_path,
+               lower(trim(type)) as type, trim(name) as name, start_line, end_line, docstring, tags, created_at,
+               row_number() over (partition by {_ID.format('uuid')} order by created_at desc) as r
+        from nodes where uuid is not null
+    ) where r = 1
+), link as (
+    select src, dst, type, uuid from (
+        select {_ID.format('from_uuid')} as src, {_ID.format('to_uuid')} as dst, lower(trim(type)) as type, uuid,
+               row_number() over (partition by {_ID.format('from_uuid')}, {_ID.format('to_uuid')} order by created_at desc, uuid desc) as r
+        from edges where from_uuid is not null and to_uuid is not null
+    ) where r = 1
+), link_end as (
+    select src as uuid, 1 as o, 0 as i from link union all select dst, 0, 1 from link
+), side as (
+    select uuid, cast(sum(o) as bigint) as n_out, cast(sum(i) as bigint) as n_in from link_end group by uuid
+), degree as (
+    select e.*, coalesce(n_out, 0) as n_out, coalesce(n_in, 0) as n_in, coalesce(n_out, 0) + coalesce(n_in, 0) as degree
+    from entity e left join side s using (uuid)
+), hub as (
+    select uuid from degree order by n_in desc, uuid limit 1
+), import_side as (
+    select uuid, cast(sum(o) as bigint) as n_out, cast(sum(i) as bigint) as n_in from (
+        select src as uuid, 1 as o, 0 as i from link where type = 'imports' union all select dst, 0, 1 from link where type = 'imports'
+    ) group by uuid
+)
+"""
+# Without a second dot, and not for names that only begin with one.
+ENDING = r"lower(regexp_extract(split_part(file_path, '/', -1), '[^.](\.[^.]*)$', 1))"
+_LANGUAGE = (
+    "case " + ENDING + " "
+    + " ".join(f"when '{e}' then '{k}'" for e, k in LANGUAGE_OF_ENDING.items())
+    + " else 'other' end"
+)
+
+
+def graph(name: str, sql: str) -> None:
+    SQL[name] = GRAPH + sql
+
+
+graph("node_type_distribution", "select coalesce(type, 'unknown') as type, count(*) as n from entity group by 1")
+graph("edge_type_distribution", "select coalesce(type, 'unknown') as type, count(*) as n from link group by 1")
+graph("extension_distribution", f"select repo_id, {ENDING} as ending, count(*) as n from entity where {ENDING} <> '' group by 1, 2")
+graph("repository_sizes", """
+, m as (select repo_id, count(*) as n_edges from link join entity e on e.uuid = src group by repo_id)
+select repo_id, count(*) as n_nodes, coalesce(max(n_edges), 0) as n_edges,
+       case when count(*) > 1 then coalesce(max(n_edges), 0) / (cast(count(*) as double) * (count(*) - 1)) else 0.0 end as density,
+       cast(sum(degree) as double) / count(*) as average_degree, max(degree) as max_degree
+from degree left join m using (repo_id) group by repo_id
+""")
+graph("degree_top10", "select uuid, name, type, degree, n_in, n_out from degree order by degree desc, uuid limit 10")
+graph("complexity_top20", """
+select repo_id, uuid, name, file_path, degree as score, n_in as incoming, n_out as outgoing
+from degree where type = 'function' order by degree desc, uuid limit 20
+""")
+graph("complexity_histogram", """
+select repo_id, count(*) filter (where degree <= 2) as low, count(*) filter (where degree > 2 and degree <= 5) as medium,
+       count(*) filter (where degree > 5) as high, avg(degree) as average
+from degree where type = 'function' group by repo_id
+""")
+graph("high_dependency_functions", """
+select * from (
+    select repo_id, uuid, name, file_path, degree as score, n_in as incoming, n_out as outgoing
+    from degree where type = 'function' order by degree desc, uuid limit 20
+) where incoming > 5 order by score desc, uuid limit 10
+""")
+_MEMBER = """
+, member as (
+    select f.repo_id, f.file_path, f.uuid, c.uuid as class_uuid, c.name as class_name
+    from entity f join entity c on c.type = 'class' and f.type in ('function', 'method') and c.repo_id = f.repo_id and c.file_path = f.file_path
+         and c.start_line < f.start_line and f.start_line <= c.end_line
+    qualify row_number() over (partition by f.uuid order by c.end_line - c.start_line, c.uuid) = 1
+)
+"""
+graph("class_members", _MEMBER + "select uuid, class_uuid from member")
+graph("god_classes", _MEMBER + "select repo_id, file_path, class_uuid, class_name, count(*) as functions from member group by all having count(*) > 3")
+_ISSUE = """
+, issue as (
+    select uuid, 'high_fan_out' as issue, n_out as n, case when n_out > 20 then 'high' else 'medium' end as severity from import_side where n_out > 10
+    union all
+    select uuid, 'high_fan_in', n_in, case when n_in > 25 then 'high' else 'medium' end from import_side where n_in > 15
+)
+"""
+graph("fan_in_out_issues", _ISSUE + "select i.*, coalesce(e.name, '') as name from issue i left join entity e using (uuid)")
+graph("dependency_summary", _ISSUE + """
+select (select count(*) from import_side) as nodes, (select count(*) from link where type = 'imports') as edges, (select count(*) from issue) as issues
+""")
+for _name, _column in (("most_depended", "n_in"), ("most_dependent", "n_out")):
+    graph(_name, f"""
+select t.uuid, coalesce(e.name, '') as name, n from (
+    select uuid, {_column} as n from import_side where {_column} > 0 order by {_column} desc, uuid limit 10
+) t left join entity e using (uuid)
+""")
+_LANG = f"""
+, per as (select repo_id, {_LANGUAGE} as language, count(*) as n from entity where file_path <> '' and {ENDING} <> '' group by 1, 2),
+whole as (select repo_id, count(*) as n_all, count(distinct file_path) as files from entity where file_path <> '' group by 1),
+share as (select repo_id, language, n, n / n_all * 100 as percentage, files from per join whole using (repo_id))
+"""
+graph("language_distribution", _LANG + "select repo_id, language, n, percentage from share")
+graph("language_summary", _LANG + """
+select repo_id, max_by(language, {'a': n, 'b': percentage, 'c': language}) as primary_language, max_by(percentage, {'a': n, 'b': percentage, 'c': language}) as dominance,
+       count(*) as diversity, count(*) filter (where percentage > 10) > 1 as multilingual, max(files) as files
+from share group by repo_id
+""")
+_QUALITY = """
+, quality as (
+    select repo_id, count(*) as n, avg(degree) as average_degree, count(*) filter (where degree <= 3) as low,
+           count(*) filter (where degree > 3 and degree <= 7) as medium, count(*) filter (where degree > 7) as high,
+           count(*) filter (where trim(docstring) <> '') as documented, count(*) filter (where type = 'function') as functions,
+           count(distinct nullif(file_path, '')) as files,
+           count(*) filter (where trim(docstring) <> '') / count(*) as documented_ratio,
+           case when count(distinct nullif(file_path, '')) > 0 then count(*) filter (where type = 'function') / count(distinct nullif(file_path, '')) else 0.0 end as functions_per_file
+    from degree group by repo_id
+), score as (
+    select repo_id, least(100.0, greatest(0.0, 100 - 10 * average_degree)) as maintainability,
+           least(100.0, greatest(0.0, 100 - 100 * high / n)) as complexity, 100 * documented_ratio as documentation,
+           least(100.0, greatest(0.0, 100 - 5 * abs(functions_per_file - 10))) as structure from quality
+), overall as (
+    select *, 0.3::double * maintainability + 0.3::double * complexity + 0.2::double * documentation + 0.2::double * structure as o,
+           0.4::double * maintainability + 0.4::double * complexity + 0.2::double * documentation as c from score
+)
+"""
+_GRADE = "case when {0} >= 90 then 'A' when {0} >= 80 then 'B' when {0} >= 70 then 'C' when {0} >= 60 then 'D' else 'F' end as grade"
+graph("quality_metrics", _QUALITY + "select * from quality")
+graph("quality_scores", _QUALITY + f"select repo_id, maintainability, complexity, documentation, structure, o as overall, {_GRADE.format('o')} from overall")
+graph("quality_scores_compact", _QUALITY + f"select repo_id, maintainability, complexity, documentation, c as overall, {_GRADE.format('c')} from overall")
+graph("quality_recommendations", _QUALITY + """
+select repo_id, 'reduce coupling between entities' as recommendation from score where maintainability < 70
+union all select repo_id, 'split entities with many links' from score where complexity < 70
+union all select repo_id, 'document more entities' from score where documentation < 50
+union all select repo_id, 'balance the number of functions per file' from score where structure < 70
+""")
+_REACHED = """
+, typed as (select src, dst from link where type in ('imports', 'calls', 'uses')),
+one as (select distinct src as uuid from typed where dst in (select uuid from hub)),
+two as (select distinct src as uuid from typed where dst in (select uuid from one))
+"""
+graph("impact_summary", _REACHED + """
+, hit as (select uuid from one union select uuid from two)
+select (select uuid from hub) as target, (select count(*) from one) as direct, (select count(*) from two) as transitive, (select count(*) from hit) as affected,
+       (select count(distinct coalesce(file_path, 'unknown')) from hit left join entity using (uuid)) as files,
+       (select count(*) from one) * 3 + (select count(*) from two) as score,
+       case when (select count(*) from one) * 3 + (select count(*) from two) > 20 then 'high' when (select count(*) from one) * 3 + (select count(*) from two) > 10 then 'medium' else 'low' end as risk
+""")
+graph("affected_files", _REACHED + """
+, hit as (select uuid from one union select uuid from two)
+select (select uuid from hub) as target, coalesce(file_path, 'unknown') as file_path, count(*) as entities from hit left join entity using (uuid) group by 1, 2 order by 2 limit 20
+""")
+
+# ------------------------------------------------------------------------------------------------ search and pages
+
+graph("search_filters", "select uuid, name, type, file_path from entity where type = 'function' and contains(file_path, 'core/') and list_has_any(tags, ['ASYNC', 'UTILITY'])")
+_RELEVANCE = """
+case type when 'function' then 1.0 when 'async_function' then 1.0 when 'class' then 0.9 when 'import' then 0.3 else 0.5 end::double
++ case when length(docstring) > 0 then 0.2 else 0.0 end::double + case when list_has_any(tags, ['API', 'SERVICE', 'DATABASE', 'UTILITY']) then 0.3 else 0.0 end::double
++ greatest(0.0::double, (5 - (length(file_path) - length(replace(file_path, '/', '')))) * 0.1::double)
+"""
+graph("search_relevance", f"select uuid, name, round({_RELEVANCE}, 6) as relevance from entity where type = 'class' order by {_RELEVANCE} desc, uuid limit 50 offset 10")
+graph("search_exact_name", """
+select uuid, name, case when lower(name) = 'load' then 1.0 when starts_with(lower(name), 'load') then 0.9 else 0.7 end::double as score
+from entity where contains(lower(name), 'load')
+""")
+graph("autocomplete", "select uuid, name, type from entity where starts_with(lower(name), 'par') order by uuid limit 20")
+graph("entity_index", "select uuid, name, type, file_path, start_line, left(docstring, 100) as short_doc from entity")
+graph("entities_page", "select uuid, name, type, file_path, (select count(*) from entity where type = 'method') as total from entity where type = 'method' order by uuid limit 50 offset 100")
+graph("entity_by_id", "select uuid, name, type, file_path from entity where uuid in (select uuid from hub)")
+graph("relations_page", "select src, dst, type, (select count(*) from link where type = 'calls') as total from link where type = 'calls' order by src, dst limit 50 offset 20")
+SQL["repositories"] = "select distinct repo_id from nodes"
+_TAGS = " , ".join(f"case when regexp_matches(lower(name), '{'|'.join(w)}') then '{t}' end" for t, w in TAG_WORDS.items())
+graph("auto_tags", f"""
+select uuid, array_to_string(list_filter([upper(type), {_TAGS},
+    case when type = 'function' and starts_with(name, 'test_') then 'TEST' when type = 'function' and starts_with(name, '_') then 'PRIVATE'
+         when type = 'class' and regexp_matches(name, '(Error|Exception)$') then 'EXCEPTION' when type = 'class' and ends_with(name, 'Test') then 'TEST' end], lambda x: x is not null), ',') as tags
+from entity
+""")
+_FILE = "with file as (select repo_id, file_path, any_value(content) as content, any_value(n_bytes) as n_bytes from source_files group by 1, 2)\n"
+_BASE = "lower(split_part(file_path, '/', -1))"
+_LEVELS = "(length(file_path) - length(replace(file_path, '/', '')))"
+SQL["file_priority"] = _FILE + "select repo_id, file_path, " + " + ".join(f"case when regexp_matches({_BASE}, '{w}') then {p} else 0 end" for p, w in PRIORITY_WORDS) + f"""
+ + case when {_LEVELS} <= 2 then 30 when {_LEVELS} > 5 then -20 else 0 end + least(20, n_bytes // 1000) as priority from file
+"""
+SQL["analysed_files"] = _FILE + rf"""
+select repo_id, file_path from file
+where regexp_matches({_BASE}, '\.(py|js|jsx|ts|tsx)$') and not regexp_matches({_BASE}, 'test_|tests_|_test\.py|_tests\.py|conftest\.py|setup\.py|__init__\.py')
+  and not regexp_matches('/' || file_path, '/(\.[^/]*|__pycache__|venv|env|node_modules|dist|build|htmlcov|docs|documentation|examples)/')
+"""
+SQL["repository_size_class"] = _FILE + """
+select repo_id, count(*) as files, case when count(*) <= 20 then 'small' when count(*) <= 50 then 'medium' when count(*) <= 150 then 'large' else 'huge' end as size from file group by repo_id
+"""
+graph("link_weights", """
+select dst, round(sum(case type when 'calls' then 1.0 when 'imports' then 0.8 when 'inherits' then 1.2 when 'defines' then 0.6 when 'uses' then 0.4 else 1.0 end::double), 6) as weight from link group by dst
+""")
+graph("importance_rank", f"""
+, called as (select repo_id, name, count(*) as calls from link join entity e on e.uuid = link.dst where link.type = 'calls' group by 1, 2),
+raw as (
+    select e.uuid, e.repo_id, 0.1::double + 0.2::double * coalesce(calls, 0)
+        + case type when 'function' then 0.3 when 'class' then 0.4 when 'module' then 0.2 else 0.1 end::double
+        + case when regexp_matches({_BASE}, 'main|app|core|manager') then 0.3 when regexp_matches({_BASE}, 'api|server|client') then 0.2 when regexp_matches({_BASE}, 'util|helper|common') then 0.1 else 0.0 end::double
+        + case when regexp_matches(lower(e.name), 'main|init|setup|start|run') then 0.2 when starts_with(e.name, '_') and not starts_with(e.name, '__') then -0.1 when starts_with(e.name, 'test_') then -0.2 else 0.0 end::double
+        + least(0.1::double * n_in, 0.5::double) as raw
+    from degree e left join called c on c.repo_id = e.repo_id and c.name = e.name
+)
+select uuid, round(raw / max(raw) over (partition by repo_id), 6) as importance from raw
+""")
+
+# ------------------------------------------------------------------------------------------------ traversal
+
+graph("neighbors_both", """
+select uuid, name, type, file_path from entity where uuid in (
+    select dst from link where src in (select uuid from hub) union select src from link where dst in (select uuid from hub))
+""")
+graph("edges_for_node", "select src, dst, type from link where src in (select uuid from hub) union all select src, dst, type from link where dst in (select uuid from hub)")
+_BFS = """
+, walk(uuid, depth) as (
+    select uuid, 0 from hub union select l.dst, depth + 1 from walk join link l on l.src = walk.uuid where depth < 3
+), near as (select uuid, min(depth) as depth from walk group by uuid)
+"""
+graph("subgraph_bfs", _BFS + "select uuid, depth from near")
+graph("subgraph_links", _BFS + "select src, dst, type from link where src in (select uuid from near) and dst in (select uuid from near)")
+for _name, _a, _b, _d in (("call_tree", "src", "dst", 4), ("caller_tree", "dst", "src", 3)):
+    graph(_name, f"""
+, step as (
+    select {_a} as uuid, {_b} as child from link where type in ('calls', 'inherits', 'uses') qualify row_number() over (partition by {_a} order by {_b}) <= 5
+), tree(path, depth, uuid, parent) as (
+    select [uuid], 0, uuid, cast(null as varchar) from hub
+    union all
+    select list_append(path, child), depth + 1, child, tree.uuid from tree join step on step.uuid = tree.uuid where depth < {_d} and not list_contains(path, child)
+)
+select array_to_string(path, '>') as path, depth, uuid, parent from tree
+""")
+for _name, _a, _b, _kinds in (
+    ("dependencies_by_type", "src", "dst", ("imports", "calls", "uses", "inherits")),
+    ("dependents_by_type", "dst", "src", ("imported_by", "called_by", "used_by", "inherited_by")),
+):
+    _case = " ".join(f"when '{k}' then '{v}'" for k, v in zip(("imports", "calls", "uses", "inherits"), _kinds))
+    graph(_name, f"""
+select l.{_a} as id, case l.type {_case} end as kind, e.uuid, e.name from link l join entity e on e.uuid = l.{_b}
+where l.type in ('imports', 'calls', 'uses', 'inherits') and l.{_a} in (select uuid from entity where type = 'class')
+""")
+_TEXT = r"""
+, file as (
+    select repo_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') as file_path, string_split(replace(any_value(content), chr(13) || chr(10), chr(10)), chr(10)) as rows
+    from source_files where content is not null group by 1, 2
+), placed as (
+    select e.*, f.rows from entity e join file f on f.repo_id = e.repo_id and f.file_path = e.file_path
+    where e.start_line is not null and e.end_line is not null and e.start_line <= len(f.rows)
+)
+"""
+graph("code_snippets", _TEXT + """
+, cut as (
+    select uuid, array_to_string(rows[greatest(start_line - 3, 1):start_line - 1], chr(10)) as before, array_to_string(rows[start_line:end_line], chr(10)) as code,
+           array_to_string(rows[end_line + 1:end_line + 3], chr(10)) as after, rows[start_line:end_line] as inner_rows from placed
+)
+select uuid, before, code, after, array_to_string(list_filter(list_transform(inner_rows, lambda x: trim(x)), lambda x: starts_with(x, 'import ') or starts_with(x, 'from ')), chr(10)) as imports from cut
+""")
+graph("entity_context", _TEXT + """
+, pair as (select src as uuid, dst as other from link union all select dst, src from link),
+near as (
+    select uuid, string_agg(other, ',' order by other) as neighbours from (
+        select uuid, other from (select distinct uuid, other from pair where other in (select uuid from entity)) qualify row_number() over (partition by uuid order by other) <= 10
+    ) group by uuid
+), amount as (select uuid, count(*) as n_links from pair group by uuid)
+select e.uuid, e.name, array_to_string(p.rows[p.start_line:p.end_line], chr(10)) as code, coalesce(near.neighbours, '') as neighbours, coalesce(n_links, 0) as n_links
+from entity e left join placed p on p.uuid = e.uuid left join near on near.uuid = e.uuid left join amount on amount.uuid = e.uuid where e.type = 'endpoint'
+""")
+graph("entity_at_line", _TEXT + """
+, place as (select repo_id, file_path, unnest(generate_series(1, greatest(len(rows), 1), 10)) as line from file)
+select p.repo_id, p.file_path, p.line, e.uuid from place p join entity e on e.repo_id = p.repo_id and e.file_path = p.file_path and e.end_line >= e.start_line
+     and p.line between e.start_line and e.end_line
+qualify row_number() over (partition by p.repo_id, p.file_path, p.line order by e.end_line - e.start_line, e.uuid) = 1
+""")
+
+# ------------------------------------------------------------------------------------------------ graph algorithms
+
+
+def _pagerank(rounds: int) -> str:
+    parts = [", pair as (select distinct l.src, l.dst from link l join entity a on a.uuid = l.src join entity b on b.uuid = l.dst), outs as (select src, count(*) as n_out from pair group by src), size as (select count(*) as n from entity), r0 as (select uuid, n_out, 1.0::double / n as rank from entity left join outs on src = uuid, size)"]
+    for k in range(1, rounds + 1):
+        parts.append(f""", r{k} as (
+    select r.uuid, r.n_out, 0.15::double / n + 0.85::double * (coalesce(g.got, 0) + (select coalesce(sum(rank), 0) from r{k - 1} where n_out is null) / n) as rank
+    from r{k - 1} r left join (select dst, sum(rank / n_out) as got from pair join r{k - 1} on uuid = src group by dst) g on g.dst = r.uuid, size)""")
+    return GRAPH.replace("with recursive", "with").replace("), link as", "), link as") + "".join(parts).replace(" as (\n    select r.uuid", " as materialized (\n    select r.uuid") + f" select uuid, round(rank * 1e6, 3) as rank_per_million from r{rounds}"
+
+
+SQL["pagerank"] = _pagerank(10)
+_INHERIT = """
+, pair as (select distinct src, dst from link where type = 'inherits'),
+member as (select src as uuid from pair union select dst from pair),
+walk(source, uuid, depth) as (
+    select uuid, uuid, 0 from member union select source, dst, depth + 1 from walk join pair on src = walk.uuid where depth < 30
+), far as (select source, uuid, min(depth) as depth from walk group by 1, 2)
+"""
+graph("shortest_paths", _INHERIT + "select source, uuid, depth from far where depth > 0")
+graph("closeness", _INHERIT + """
+, near as (select uuid, count(*) as r, sum(depth) as d from far where depth > 0 group by uuid), size as (select count(*) as n from member)
+select m.uuid, round(coalesce((r / d) * (r / greatest(n - 1, 1)), 0) * 1e6, 3) as closeness_millionths from member m left join near using (uuid), size
+""")
+graph("strong_components", """
+, pair as (select distinct src, dst from link where type = 'imports'),
+member as (select src as uuid from pair union select dst from pair),
+walk(a, b) as (select src, dst from pair union select a, dst from walk join pair on src = b),
+mate as (select w.a, w.b from walk w join walk v on v.a = w.b and v.b = w.a union select uuid, uuid from member),
+component as (select a, min(b) as c from mate group by a)
+select size, count(*) as components from (select c, count(*) as size from component group by c) group by size
+""")
+graph("import_cycles", """
+, pair as (select distinct src, dst from link where type in ('imports', 'depends_on')),
+walk(path, tail) as (
+    select [src, dst], dst from pair where src < dst
+    union all select list_append(path, dst), dst from walk join pair on src = tail where len(path) < 4 and dst > path[1] and not list_contains(path, dst)
+), cycle as (
+    select array_to_string(path, '>') as path, len(path) as length from walk join pair on src = tail and dst = path[1]
+    union all select src, 1 from pair where src = dst
+)
+select path, cast(length as integer) as length, case when length <= 3 then 'high' else 'medium' end as severity from cycle
+""")
+
+# ------------------------------------------------------------------------------------------------ text
+
+_LINE = _FILE + """, line as (
+    select repo_id, file_path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as n from file where content is not null
+)
+"""
+for _name, _id, _severity, _pattern, _where in (
+    ("rule_long_lines", "long_lines", "info", r".{121,}", "true"),
+    ("rule_bare_except", "python_bare_except", "warning", r"except\s*:", r"regexp_matches(lower(file_path), '\.(py|pyw|pyx)$')"),
+    ("rule_var", "js_var_usage", "warning", r"\bvar\s+\w+", r"regexp_matches(lower(file_path), '\.(js|jsx|mjs|ts|tsx)$')"),
+    ("rule_todo", "todo_comments", "info", r"(?:#|//|/\*)\s*TODO\s*:?\s*(.+)", "true"),
+    ("rule_secrets", "hardcoded_secret", "error", r"""(?:password|secret|key|token)\s*[=:]\s*[''"][^''"]{8,}[''"]""", "true"),
+):
+    SQL[_name] = _LINE + f"""
+select '{_id}' as rule_id, '{_severity}' as severity, repo_id, file_path, cast(n as integer) as line,
+       cast(strpos(text, regexp_extract(text, '{_pattern}')) as integer) as "column", regexp_extract(text, '{_pattern}') as matched
+from line where regexp_matches(text, '{_pattern}') and {_where}
+"""
+
+
+def _detection() -> str:
+    def quoted(p: str) -> str:
+        return p.replace("'", "''")
+
+    content = {k: " + ".join(f"least(len(regexp_extract_all(content, '(?im){quoted(p)}')), 5) * {w}::double" for p, w in v) for k, v in CONTENT.items()}
+    mention = {k: " + ".join(f"case when regexp_matches(content, '(?i){quoted(p)}') then {w}::double else 0 end" for p, w in v) for k, v in MENTIONS.items()}
+
+    def best(scores: dict[str, str], label: str) -> str:
+        rows = " union all ".join(f"select repo_id, file_path, '{k}' as language, {-i} as place, round({s}, 6) as score from file" for i, (k, s) in enumerate(scores.items()))
+        return f", {label} as (select * from ({rows}) where score > 0 qualify row_number() over (partition by repo_id, file_path order by score desc, place desc) = 1)"
+
+    cases = " ".join(f"when '{e}' then '{k}'" for e, k in DETECTED_ENDINGS.items())
+    return (
+        "with file as (select repo_id, file_path, coalesce(any_value(content), '') as content from source_files group by 1, 2)"
+        + best(content, "by_content") + best(mention, "by_mention")
+        + f"""
+, vote as (
+    select repo_id, file_path, case {ENDING} {cases} end as language, 0.9::double as w, 0 as way, 'extension' as said from file
+    union all select repo_id, file_path, language, least(score / 10, 1) * 1.2::double, 1, 'content' from by_content
+    union all select repo_id, file_path, language, least(score / 5, 1) * 0.8::double, 2, 'heuristic' from by_mention
+), cast_ as (select * from vote where language is not null),
+summed as (select repo_id, file_path, language, round(sum(w), 6) as score, min(way) as way from cast_ group by 1, 2, 3),
+amount as (select repo_id, file_path, count(*) as n, string_agg(said, '+' order by way) as method from cast_ group by 1, 2),
+top as (select * from summed qualify row_number() over (partition by repo_id, file_path order by score desc, way) = 1)
+select f.repo_id, f.file_path, coalesce(t.language, 'unknown') as language, round(coalesce(least(t.score / a.n, 1.0), 0.0), 6) as confidence, coalesce(a.method, 'none') as method
+from file f left join top t using (repo_id, file_path) left join amount a using (repo_id, file_path)
+"""
+    )
+
+
+SQL["language_detection"] = _detection()
+
+
+def _figures(patterns: dict[str, str], frameworks: dict[str, str], endings: str) -> str:
+    q = lambda p: p.replace("'", "''")
+    counts = ", ".join(f"cast(len(regexp_extract_all(content, '{q(p)}')) as integer) as {n}" for n, p in patterns.items())
+    known = ", ".join(f"case when regexp_matches(content, '{q(p)}') then '{n}' end" for n, p in frameworks.items())
+    return _FILE + f"""
+select repo_id, file_path, {counts}, array_to_string(list_filter([{known}], lambda x: x is not null), ',') as frameworks
+from file where content is not null and regexp_matches(lower(file_path), '\\.({endings})$')
+"""
+
+
+SQL["python_figures"] = _figures(PYTHON_FIGURES, FRAMEWORKS["python"], "py|pyw|pyx")
+SQL["javascript_figures"] = _figures(JAVASCRIPT_FIGURES, FRAMEWORKS["javascript"], "js|jsx|mjs")
+SQL["idioms"] = _FILE + rf"""
+select 'context_manager' as pattern, 0.9::double as confidence, repo_id, file_path from file where {ENDING} = '.py' and contains(content, 'with ')
+union all select 'list_comprehension', 0.8, repo_id, file_path from file where {ENDING} = '.py' and regexp_matches(content, '\[.+for\s+.+in\s+.+\]')
+union all select 'arrow_function', 0.8, repo_id, file_path from file where {ENDING} in ('.js', '.ts') and contains(content, '=>')
+union all select 'destructuring', 0.8, repo_id, file_path from file where {ENDING} in ('.js', '.ts') and regexp_matches(content, '(?:const|let|var)\s*\{{\s*\w+.*\}}\s*=')
+"""
+SQL["magic_numbers"] = _LINE + r"select repo_id, file_path, cast(n as integer) as line, unnest(regexp_extract_all(text, '\b\d{2,}\b')) as number from line"
+SQL["duplicate_blocks"] = _LINE + r"""
+, block as (
+    select repo_id, file_path, n, text || chr(10) || lead(text, 1) over w || chr(10) || lead(text, 2) over w || chr(10) || lead(text, 3) over w || chr(10) || lead(text, 4) over w as block, count(*) over (partition by repo_id, file_path) as size
+    from line window w as (partition by repo_id, file_path order by n)
+), again as (
+    select repo_id, file_path, min(n) as line from block where block is not null and size >= 10 and regexp_replace(block, '\s+', '', 'g') <> '' group by repo_id, file_path, block having max(n) - min(n) >= 5
+)
+select repo_id, file_path, cast(min(line) as integer) as line from again group by 1, 2
+"""
+_PY_LINE = """with file as (select repo_id, file_path, replace(any_value(content), chr(13) || chr(10), chr(10)) as content from source_files where ends_with(file_path, '.py') and content is not null group by 1, 2),
+line as (select repo_id, file_path, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as n from file)
+"""
+_Q = lambda p: p.replace("'", "''")
+SQL["pattern_entities"] = _PY_LINE + " union all ".join(
+    f"""select repo_id, file_path, cast(n as integer) as line, '{name}' as pattern, '{kind}' as type, regexp_extract(text, '{_Q(p)}', {g}) as name, {c}::double as confidence,
+{"regexp_extract(text, '" + _Q(p) + "', 2)" if name == "fastapi_endpoint" else "cast(null as varchar)"} as metadata from line where regexp_matches(text, '{_Q(p)}')"""
+    for name, kind, p, g, c in ENTITY_PATTERNS
+)
+SQL["variables_constants"] = _PY_LINE + r"""
+, found as (
+    select repo_id, file_path, n, regexp_extract(text, '^(\w+)\s*=\s*(.+)$', 1) as name, regexp_extract(text, '^(\w+)\s*=\s*(.+)$', 2) as value
+    from line where regexp_matches(text, '^(\w+)\s*=\s*(.+)$') and not regexp_matches(text, '^\w+\s*=\s*=')
+)
+select repo_id, file_path, cast(n as integer) as line, name, case when upper(name) = name and regexp_matches(name, '[A-Z]') then 'constant' else 'variable' end as type, left(value, 50) as value
+from found where not regexp_matches(value, 'import|def |class ')
+"""
+SQL["text_relations"] = _PY_LINE + r"""
+select repo_id, file_path, cast(n as integer) as line, 'inherits' as relation, regexp_extract(text, 'class\s+(\w+)\s*\(\s*(\w+)', 1) as source, regexp_extract(text, 'class\s+(\w+)\s*\(\s*(\w+)', 2) as target, 0.9::double as confidence
+from line where regexp_matches(text, 'class\s+(\w+)\s*\(\s*(\w+)')
+union all select repo_id, file_path, n, 'imports', regexp_extract(text, 'from\s+(\w+)\s+import\s+(\w+)', 2), regexp_extract(text, 'from\s+(\w+)\s+import\s+(\w+)', 1), 0.9 from line where regexp_matches(text, 'from\s+(\w+)\s+import\s+(\w+)')
+union all select repo_id, file_path, n, 'composes', regexp_extract(text, 'self\.(\w+)\s*=\s*(\w+)\(', 1), regexp_extract(text, 'self\.(\w+)\s*=\s*(\w+)\(', 2), 0.7 from line where regexp_matches(text, 'self\.(\w+)\s*=\s*(\w+)\(')
+"""
+graph("decorated_functions", _PY_LINE.replace("with file", ", file") + r"""
+, mark as (select repo_id, file_path, n, regexp_extract(text, '^\s*@(\w+)', 1) as decorator from line where regexp_matches(text, '^\s*@\w+')),
+head as (select repo_id, file_path, n, regexp_extract(text, 'def\s+(\w+)', 1) as function from line where regexp_matches(text, '^\s*(?:async\s+)?def\s+\w+')),
+first as (
+    select m.repo_id, m.file_path, m.decorator, h.function from mark m join head h on h.repo_id = m.repo_id and h.file_path = m.file_path and h.n between m.n + 1 and m.n + 4
+    qualify row_number() over (partition by m.repo_id, m.file_path, m.n order by h.n) = 1
+), known as (select repo_id, file_path, name, min(uuid) as uuid from entity where type in ('function', 'method') group by 1, 2, 3)
+select f.repo_id, f.file_path, f.decorator, f.function, k.uuid, not exists (select 1 from entity e where e.repo_id = f.repo_id and e.file_path = f.file_path and e.name = f.decorator) as external
+from first f join known k on k.repo_id = f.repo_id and k.file_path = f.file_path and k.name = f.function
+""")
+graph("test_subjects", r"""
+, test as (select repo_id, uuid, regexp_extract(name, '^test_([^_]*)', 1) as name from entity where type in ('function', 'method') and starts_with(name, 'test_')),
+subject as (select repo_id, name, min(uuid) as uuid from entity where type in ('function', 'method', 'class') group by 1, 2)
+select t.uuid as test, s.uuid as subject, 0.7::double as confidence from test t join subject s on s.repo_id = t.repo_id and s.name = t.name where t.name <> '' and t.uuid <> s.uuid
+""")
+
+# ------------------------------------------------------------------------------------------------ changes and audit
+
+graph("upsert_last_wins", "select src, dst, type, uuid from link")
+graph("delete_cascade", "select src as from_uuid, dst as to_uuid, type from link where src not in (select uuid from entity where type = 'external') and dst not in (select uuid from entity where type = 'external')")
+SQL["patch_update"] = """
+with first as (select min(uuid) as u from nodes where type = 'function')
+select uuid, case when uuid = u then 'renamed' else name end as name, case when uuid = u then null else docstring end as docstring,
+       cast(case when uuid = u then coalesce(len(history), 0) + 1 else len(history) end as integer) as n_history from nodes, first
+"""
+graph("rejected_relations", "select src as from_uuid, dst as to_uuid, type from link where src not in (select uuid from entity) or dst not in (select uuid from entity)")
+graph("ingest_audit", """select created_at as "timestamp", 'system' as "user", 'add_node' as action, 'node' as entity_type, uuid as entity_uuid from entity""")
+SQL["audit_page"] = """select * from (select distinct * from audit where "timestamp" is not null) order by "timestamp", uuid limit 100 offset 50"""
+SQL["audit_by_entity"] = """
+with event as (select distinct * from audit),
+top as (select lower(trim(entity_uuid)) as e from event where entity_type = 'node' group by 1 order by count(*) desc, 1 limit 1)
+select event.* from event, top where lower(trim(entity_uuid)) = e
+"""
+SQL["audit_windowed_counts"] = """
+select date_trunc('day', "timestamp")::timestamp as start, lower(trim(action)) as action, count(*) as n from audit where "timestamp" is not null group by 1, 2
+"""

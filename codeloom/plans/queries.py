@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.operators import changefeed, orphans
+from codeloom import schema
+from codeloom.functions import names
+from codeloom.functions.paths import plain_path
+from codeloom.operators import changefeed, graph, graphalg, ingest, language, metrics, mutate, orphans, patterns, rules, search, semantic, traverse
+from codeloom.session import cut
+from codeloom.sources import files as source_files
+from codeloom.sources import store
+from codeloom.streaming import audit as audit_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,3 +53,462 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     changes = changefeed.audit_changes(table(spark, folder, "audit"), ENTITY_FIELDS)
     return changefeed.apply_changes(changes, ENTITY_FIELDS).withColumnRenamed("key", "entity_uuid")
+
+
+# ------------------------------------------------------------------------------------------------ the graph's tables
+
+
+def _nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.entities(table(spark, folder, "nodes"))
+
+
+def _links(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.relations(table(spark, folder, "edges"))
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each file once; rows that came twice are equal."""
+    return table(spark, folder, "source_files").dropDuplicates(["repo_id", "file_path"])
+
+
+def _hub(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(uuid) of the known entity with the most incoming links: where traversals start."""
+    return graph.degrees(nodes, links).orderBy(F.desc("n_in"), "uuid").limit(1).select("uuid")
+
+
+def _hub_id(spark: SparkSession, folder: str) -> str:
+    row = _hub(_nodes(spark, folder), _links(spark, folder)).first()
+    return row[0] if row else ""
+
+
+def both(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: f(_nodes(spark, folder), _links(spark, folder))
+
+
+def named(name: str, f: Query) -> None:
+    QUERIES[name] = f
+
+
+# ------------------------------------------------------------------------------------------------ figures
+
+named("node_type_distribution", lambda s, d: metrics.type_counts(_nodes(s, d)))
+named("edge_type_distribution", lambda s, d: metrics.type_counts(_links(s, d)))
+named("extension_distribution", lambda s, d: metrics.ending_counts(_nodes(s, d)))
+named("repository_sizes", both(metrics.sizes))
+named("degree_top10", both(metrics.most_connected))
+named("complexity_top20", both(metrics.complexity_top))
+named("complexity_histogram", both(metrics.complexity_histogram))
+named("high_dependency_functions", both(metrics.high_dependency))
+named("class_members", lambda s, d: metrics.containing_class(_nodes(s, d)).select("uuid", "class_uuid"))
+named("god_classes", lambda s, d: metrics.god_classes(_nodes(s, d), most=3))
+named("fan_in_out_issues", both(metrics.fan_issues))
+named("dependency_summary", both(metrics.dependency_summary))
+named("most_depended", both(lambda n, e: metrics.most_depended(n, e, "n_in")))
+named("most_dependent", both(lambda n, e: metrics.most_depended(n, e, "n_out")))
+named("language_distribution", lambda s, d: metrics.language_counts(_nodes(s, d)))
+named("language_summary", lambda s, d: metrics.language_summary(_nodes(s, d)))
+named("quality_metrics", both(metrics.quality))
+named("quality_scores", both(metrics.quality_scores))
+named("quality_scores_compact", both(lambda n, e: metrics.quality_scores(n, e, compact=True)))
+named("quality_recommendations", both(metrics.recommendations))
+
+
+@query
+def impact_summary(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, links = _nodes(spark, folder), _links(spark, folder)
+    return metrics.impact(links, nodes, _hub(nodes, links).withColumnRenamed("uuid", "target"))
+
+
+@query
+def affected_files(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, links = _nodes(spark, folder), _links(spark, folder)
+    return metrics.affected_files(links, nodes, _hub(nodes, links).withColumnRenamed("uuid", "target"))
+
+
+# ------------------------------------------------------------------------------------------------ search and pages
+
+_PAGE = ("uuid", "name", "type", "file_path")
+
+
+@query
+def search_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return search.filtered(_nodes(spark, folder), type="function", path="core/", tags=["ASYNC", "UTILITY"]).select(*_PAGE)
+
+
+@query
+def search_relevance(spark: SparkSession, folder: str) -> DataFrame:
+    found = search.search(_nodes(spark, folder), limit=50, offset=10, type="class")
+    return found.select("uuid", "name", F.round("relevance", 6).alias("relevance"))
+
+
+@query
+def search_exact_name(spark: SparkSession, folder: str) -> DataFrame:
+    """Names equal to, beginning with or containing a word, by score."""
+    rows = _nodes(spark, folder).withColumn("score", names.exact_score(F.col("name"), "load"))
+    return rows.where("score is not null").select("uuid", "name", "score")
+
+
+@query
+def search_fuzzy(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(_nodes(spark, folder), name="load_config", limit=100).select("uuid", "name", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"))
+
+
+@query
+def autocomplete(spark: SparkSession, folder: str) -> DataFrame:
+    return search.autocomplete(_nodes(spark, folder), "par", 20)
+
+
+@query
+def probable_names(spark: SparkSession, folder: str) -> DataFrame:
+    asked = spark.createDataFrame([("utils.py:load_config",), ("validate",), ("types:render_theme",)], "request string")
+    return search.probable(_nodes(spark, folder), asked)
+
+
+@query
+def entity_index(spark: SparkSession, folder: str) -> DataFrame:
+    return search.index(_nodes(spark, folder)).select("uuid", "name", "type", "file_path", "start_line", "short_doc")
+
+
+@query
+def entities_page(spark: SparkSession, folder: str) -> DataFrame:
+    rows = search.filtered(_nodes(spark, folder), type="method").select(*_PAGE)
+    return search.page(rows, ["uuid"], 50, 100)
+
+
+@query
+def entity_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, links = _nodes(spark, folder), _links(spark, folder)
+    return nodes.join(_hub(nodes, links), "uuid", "left_semi").select(*_PAGE)
+
+
+@query
+def relations_page(spark: SparkSession, folder: str) -> DataFrame:
+    return search.relations_page(_links(spark, folder), type="calls", limit=50, offset=20).select("src", "dst", "type", "total")
+
+
+@query
+def repositories(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "nodes").select("repo_id").distinct()
+
+
+@query
+def auto_tags(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _nodes(spark, folder)
+    return rows.select("uuid", F.array_join(names.auto_tags(F.col("name"), F.col("type")), ",").alias("tags"))
+
+
+@query
+def file_priority(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(spark, folder)
+    return files.select("repo_id", "file_path", names.priority(F.col("file_path"), F.col("n_bytes")).alias("priority"))
+
+
+@query
+def analysed_files(spark: SparkSession, folder: str) -> DataFrame:
+    return _files(spark, folder).where(source_files.wanted(F.col("file_path"))).select("repo_id", "file_path")
+
+
+@query
+def repository_size_class(spark: SparkSession, folder: str) -> DataFrame:
+    n = _files(spark, folder).groupBy("repo_id").agg(F.count(F.lit(1)).alias("files"))
+    return n.withColumn("size", source_files.size_class(F.col("files")))
+
+
+@query
+def link_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return _links(spark, folder).groupBy("dst").agg(F.round(F.sum(names.link_weight(F.col("type"))), 6).alias("weight"))
+
+
+@query
+def importance_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """The heuristic rank of the stored entities, from stored links."""
+    nodes, links = _nodes(spark, folder), _links(spark, folder)
+    calls = links.where("type = 'calls'").join(nodes.select(F.col("uuid").alias("dst"), "repo_id", "name"), "dst").groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("calls"))
+    return ingest.ranked(nodes, links, calls).select("uuid", F.round("importance", 6).alias("importance"))
+
+
+# ------------------------------------------------------------------------------------------------ traversal
+
+
+@query
+def neighbors_both(spark: SparkSession, folder: str) -> DataFrame:
+    return traverse.neighbours(_links(spark, folder), _nodes(spark, folder), _hub_id(spark, folder)).select(*_PAGE)
+
+
+@query
+def edges_for_node(spark: SparkSession, folder: str) -> DataFrame:
+    return traverse.links_of(_links(spark, folder), _hub_id(spark, folder)).select("src", "dst", "type")
+
+
+@query
+def subgraph_bfs(spark: SparkSession, folder: str) -> DataFrame:
+    ids, _ = traverse.subgraph(_links(spark, folder), _hub_id(spark, folder), 3)
+    return ids
+
+
+@query
+def subgraph_links(spark: SparkSession, folder: str) -> DataFrame:
+    _, links = traverse.subgraph(_links(spark, folder), _hub_id(spark, folder), 3)
+    return links.select("src", "dst", "type")
+
+
+@query
+def call_tree(spark: SparkSession, folder: str) -> DataFrame:
+    roots = _hub(_nodes(spark, folder), _links(spark, folder)).withColumnRenamed("uuid", "root")
+    rows = traverse.call_tree(_links(spark, folder), roots, 4)
+    return rows.select(F.array_join("path", ">").alias("path"), "depth", "uuid", "parent")
+
+
+@query
+def caller_tree(spark: SparkSession, folder: str) -> DataFrame:
+    roots = _hub(_nodes(spark, folder), _links(spark, folder)).withColumnRenamed("uuid", "root")
+    rows = traverse.call_tree(_links(spark, folder), roots, 3, direction="in")
+    return rows.select(F.array_join("path", ">").alias("path"), "depth", "uuid", "parent")
+
+
+def _classes(spark: SparkSession, folder: str) -> DataFrame:
+    return _nodes(spark, folder).where("type = 'class'").select(F.col("uuid").alias("id"))
+
+
+named("dependencies_by_type", lambda s, d: traverse.dependencies(_links(s, d), _nodes(s, d), _classes(s, d)))
+named("dependents_by_type", lambda s, d: traverse.dependencies(_links(s, d), _nodes(s, d), _classes(s, d), incoming=True))
+
+
+@query
+def entity_context(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, links = _nodes(spark, folder), _links(spark, folder)
+    ids = nodes.where("type = 'endpoint'").select("uuid")
+    rows = traverse.context(nodes, links, table(spark, folder, "source_files"), ids)
+    return rows.select("uuid", "name", "code", F.array_join("neighbours", ",").alias("neighbours"), "n_links")
+
+
+@query
+def code_snippets(spark: SparkSession, folder: str) -> DataFrame:
+    rows = traverse.snippets(_nodes(spark, folder), table(spark, folder, "source_files"))
+    return rows.select("uuid", "before", "code", "after", "imports")
+
+
+@query
+def signatures(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = _nodes(spark, folder).where("type in ('function', 'method')")
+    return traverse.snippets(nodes, table(spark, folder, "source_files"), 0).select("uuid", "signature")
+
+
+@query
+def entity_at_line(spark: SparkSession, folder: str) -> DataFrame:
+    """The tightest entity around every tenth line of every file."""
+    files = _files(spark, folder)
+    n = F.size(traverse.lines("content"))
+    places = files.where("content is not null").select("repo_id", plain_path("file_path").alias("file_path"), F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(10))).alias("line"))
+    return traverse.entity_at(_nodes(spark, folder), places.distinct())
+
+
+# ------------------------------------------------------------------------------------------------ graph algorithms
+
+RANK_ROUNDS = 10
+
+
+@query
+def pagerank(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = graphalg.pagerank(_links(spark, folder), _nodes(spark, folder), rounds=RANK_ROUNDS)
+    return ranks.select("uuid", F.round(F.col("rank") * 1e6, 3).alias("rank_per_million"))
+
+
+def _inheritance(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The links of type inherits and the entities at their ends: the graph the path-based measures run on."""
+    links = _links(spark, folder).where("type = 'inherits'").select("src", "dst")
+    ids = links.select(F.explode(F.array("src", "dst")).alias("uuid")).distinct()
+    return links, ids
+
+
+@query
+def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
+    links, ids = _inheritance(spark, folder)
+    return graphalg.shortest_paths(links, ids).where("depth > 0").select("source", "uuid", "depth")
+
+
+@query
+def closeness(spark: SparkSession, folder: str) -> DataFrame:
+    links, ids = _inheritance(spark, folder)
+    return graphalg.closeness(links, ids).select("uuid", F.round(F.col("closeness") * 1e6, 3).alias("closeness_millionths"))
+
+
+@query
+def betweenness(spark: SparkSession, folder: str) -> DataFrame:
+    links, ids = _inheritance(spark, folder)
+    return graphalg.betweenness(links, ids)
+
+
+@query
+def hotspots(spark: SparkSession, folder: str) -> DataFrame:
+    links, ids = _inheritance(spark, folder)
+    return graphalg.hotspots(links, ids)
+
+
+@query
+def strong_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the import graph: how many components there are of each size."""
+    links = _links(spark, folder).where("type = 'imports'").select("src", "dst")
+    ids = links.select(F.explode(F.array("src", "dst")).alias("uuid")).distinct()
+    sizes = graphalg.strong_components(links, ids).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+
+
+@query
+def import_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    links = _links(spark, folder).where("type in ('imports', 'depends_on')")
+    return graphalg.cycles(links, 4).select(F.array_join("path", ">").alias("path"), "length", "severity")
+
+
+# ------------------------------------------------------------------------------------------------ text
+
+
+def _rule(*ids: str) -> Query:
+    return lambda s, d: rules.line_matches(_files(s, d), [r for r in rules.RULES if r.id in ids]).select("rule_id", "severity", "repo_id", "file_path", "line", "column", "matched")
+
+
+named("rule_long_lines", _rule("long_lines"))
+named("rule_bare_except", _rule("python_bare_except"))
+named("rule_var", _rule("js_var_usage"))
+named("rule_todo", _rule("todo_comments"))
+named("rule_secrets", _rule("hardcoded_secret"))
+
+
+@query
+def rule_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """All rules, those over several lines and the callables too: matches per rule and repository."""
+    return rules.matches(_files(spark, folder)).groupBy("rule_id", "severity", "repo_id").agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query
+def language_detection(spark: SparkSession, folder: str) -> DataFrame:
+    rows = language.detect(_files(spark, folder))
+    return rows.select("repo_id", "file_path", "language", F.round("confidence", 6).alias("confidence"), "method")
+
+
+named("python_figures", lambda s, d: language.figures(_files(s, d), "python"))
+named("javascript_figures", lambda s, d: language.figures(_files(s, d), "javascript"))
+
+
+@query
+def entity_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    code = patterns.with_code(_nodes(spark, folder), table(spark, folder, "source_files"))
+    return patterns.entity_patterns(code)
+
+
+@query
+def file_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = _nodes(spark, folder)
+    return patterns.file_patterns(nodes, patterns.with_code(nodes, table(spark, folder, "source_files")))
+
+
+named("idioms", lambda s, d: patterns.idioms(table(s, d, "source_files")))
+named("magic_numbers", lambda s, d: patterns.magic_numbers(table(s, d, "source_files")))
+named("duplicate_blocks", lambda s, d: patterns.duplicate_blocks(table(s, d, "source_files")))
+named("pattern_entities", lambda s, d: semantic.pattern_entities(table(s, d, "source_files")))
+named("variables_constants", lambda s, d: semantic.variables(table(s, d, "source_files")))
+named("handlers", lambda s, d: semantic.handlers(table(s, d, "source_files")))
+named("text_relations", lambda s, d: semantic.text_relations(table(s, d, "source_files")))
+named("decorated_functions", lambda s, d: semantic.decorated(table(s, d, "source_files"), _nodes(s, d)))
+named("test_subjects", lambda s, d: semantic.tested(_nodes(s, d)))
+named("contextual_entities", lambda s, d: semantic.contextual(_nodes(s, d), table(s, d, "source_files")))
+named("config_usage", lambda s, d: semantic.configured(_nodes(s, d), table(s, d, "source_files")))
+
+
+# ------------------------------------------------------------------------------------------------ ingest
+
+
+@query
+def parsed_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.parsed_entities(ingest.parse(table(spark, folder, "source_files"))).drop("tags", "context", "ordinal")
+
+
+@query
+def ingest_counters(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "source_files")
+    return ingest.counters(ingest.parse(files), files)
+
+
+@query
+def call_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.call_counts(ingest.parse(table(spark, folder, "source_files")))
+
+
+@query
+def local_calls(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = cut(ingest.parse(table(spark, folder, "source_files")))
+    return ingest.local_links(parsed, ingest.parsed_entities(parsed))
+
+
+@query
+def resolved_calls(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = cut(ingest.parse(table(spark, folder, "source_files")))
+    return ingest.resolve_calls(parsed, cut(ingest.parsed_entities(parsed)))
+
+
+@query
+def parsed_inheritance(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = cut(ingest.parse(table(spark, folder, "source_files")))
+    return ingest.inheritance_links(parsed, ingest.parsed_entities(parsed))
+
+
+# ------------------------------------------------------------------------------------------------ changes and audit
+
+
+@query
+def upsert_last_wins(spark: SparkSession, folder: str) -> DataFrame:
+    return _links(spark, folder).select("src", "dst", "type", "uuid")
+
+
+@query
+def delete_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """The links that are left when the external entities are deleted."""
+    nodes = _nodes(spark, folder)
+    edges = _links(spark, folder).withColumnsRenamed({"src": "from_uuid", "dst": "to_uuid"})
+    gone = nodes.where("type = 'external'").select("uuid")
+    _, left, _ = mutate.delete(nodes, edges, gone, "user", "2026-04-01")
+    return left.select("from_uuid", "to_uuid", "type")
+
+
+@query
+def patch_update(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = table(spark, folder, "nodes")
+    first = nodes.where("type = 'function'").agg(F.min("uuid")).first()[0] or ""
+    new, _ = mutate.update(nodes, first, {"name": "renamed", "docstring": None, "unknown": 1}, "user", "2026-04-01")
+    return new.select("uuid", "name", "docstring", F.size("history").alias("n_history"))
+
+
+@query
+def rejected_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of which an end doesn't exist, as they would be rejected when created."""
+    nodes = _nodes(spark, folder).select("uuid")
+    new = _links(spark, folder).select(F.col("src").alias("from_uuid"), F.col("dst").alias("to_uuid"), "type", "uuid", "created_at")
+    empty = spark.createDataFrame([], schema.EDGES)
+    _, rejected, _ = mutate.relate(nodes, empty, new, "user", "2026-04-01")
+    return rejected.select("from_uuid", "to_uuid", "type")
+
+
+@query
+def ingest_audit(spark: SparkSession, folder: str) -> DataFrame:
+    rows = store.ingest_audit(_nodes(spark, folder), "add_node", "node")
+    return rows.select("timestamp", "user", "action", "entity_type", "entity_uuid")
+
+
+@query
+def audit_page(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "audit").where("timestamp is not null").distinct()
+    return store.audit_page(rows, 100, 50)
+
+
+@query
+def audit_by_entity(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit rows of the entity that has most, whole log."""
+    rows = table(spark, folder, "audit").distinct()
+    per = rows.where("entity_type = 'node'").groupBy(F.lower(F.trim("entity_uuid")).alias("e")).agg(F.count(F.lit(1)).alias("n"))
+    top = per.orderBy(F.desc("n"), "e").limit(1).select("e")
+    return rows.join(F.broadcast(top), F.lower(F.trim("entity_uuid")) == F.col("e"), "left_semi")
+
+
+@query
+def audit_windowed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_stream.windowed_counts(table(spark, folder, "audit"))
