@@ -46,7 +46,7 @@ def apply_changes(changes: DataFrame, fields: Sequence[str], base: DataFrame | N
     )
     cells = writes.select("key", F.explode(F.filter(cells, lambda x: x["given"])).alias("cell")).select("key", "cell.*")
     rank = F.row_number().over(W.partitionBy("key", "field").orderBy(F.desc("at"), F.desc("id")))
-    latest = cells.withColumn("rank_", rank).where("rank_ = 1")
+    latest = cells.where(F.col("field") != MADE).withColumn("rank_", rank).where("rank_ = 1")
     first = cells.where(F.col("field") == MADE).groupBy("key").agg(F.min("at").alias("made_at_"))
     last = latest.groupBy("key").agg(
         *[F.max(F.when(F.col("field") == f, F.struct("at", F.struct(F.col("value").alias("v")).alias("cell")))).alias(f) for f in fields]

@@ -71,7 +71,7 @@ def detect(files: DataFrame) -> DataFrame:
     return rows.select(
         *files.columns,
         F.coalesce("b_.language", F.lit("unknown")).alias("language"),
-        F.coalesce(F.least(F.col("b_.score") / F.size("v_"), F.lit(1.0)), F.lit(0.0)).alias("confidence"),
+        F.when(F.size("v_") > 0, F.least(F.col("b_.score") / F.size("v_"), F.lit(1.0))).otherwise(0.0).alias("confidence"),
         F.when(F.size("v_") > 0, F.array_join(F.transform("v_", lambda v: v["way"]), "+")).otherwise("none").alias("method"),
     )
 
