@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,14 +84,23 @@ def best_cuts(index: np.ndarray, kinds: np.ndarray, starts: np.ndarray, limit: i
     back = np.zeros(n, dtype=np.int64)
     penalty = PENALTY[kinds].copy()
     penalty[-1] = 0.0
-    low = np.searchsorted(starts, index - limit)
+    low = np.searchsorted(starts, index - limit).tolist()
+    # The square of (end - start) / ideal - 1, taken apart so that a step is one product and one sum over its window.
+    weight = BALANCE**0.5 / ideal
+    begin = starts * weight + BALANCE**0.5
+    end = (index * weight).tolist()
+    open_ = np.full(n, np.inf)
+    open_[0] = begin[0] ** 2
     for j in range(1, n):
         i = low[j]
         if i >= j:
             continue
-        total = cost[i:j] + BALANCE * ((index[j] - starts[i:j]) / ideal - 1.0) ** 2
+        x = end[j]
+        total = open_[i:j] - begin[i:j] * (2.0 * x)
         k = int(total.argmin())
-        cost[j], back[j] = total[k] + penalty[j], i + k
+        cost[j] = total[k] + x * x + penalty[j]
+        back[j] = i + k
+        open_[j] = cost[j] + begin[j] ** 2
     if not np.isfinite(cost[-1]):
         return None
     out = [n - 1]
@@ -99,13 +109,22 @@ def best_cuts(index: np.ndarray, kinds: np.ndarray, starts: np.ndarray, limit: i
     return out[::-1]
 
 
-def pieces(text: str, encoder, limit: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
+@lru_cache(maxsize=4)
+def _token_lengths(path: str) -> np.ndarray:
+    tokens, _ = bpe.load(path)
+    out = np.zeros(max(tokens.values()) + 1, dtype=np.int64)
+    for raw, i in tokens.items():
+        out[i] = len(raw)
+    return out
+
+
+def pieces(text: str, encoder, lengths: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
     """(start byte, end byte, tokens, tokens repeated, kind of the cut at the end) of each piece; [] within the limit."""
-    ids = encoder.encode_ordinary(text)
+    ids = encoder.encode_to_numpy(text, disallowed_special=())
     if len(ids) <= limit:
         return []
     raw = text.encode("utf-8")
-    ends = np.cumsum(np.fromiter((len(t) for t in encoder.decode_tokens_bytes(ids)), dtype=np.int64, count=len(ids)))
+    ends = np.cumsum(lengths[ids])
     bytes_at = np.concatenate([[0], ends])
     data = np.concatenate([np.frombuffer(raw, dtype=np.uint8), [0]])
     whole = (data[bytes_at] & 0xC0) != 0x80
@@ -126,10 +145,11 @@ def pieces(text: str, encoder, limit: int, overlap: int) -> list[tuple[int, int,
             index, kinds = every, known[every]
             continue
         out, over = [], 0
+        count = _counter_of(raw, data, bytes_at, encoder)
         for a, b in zip(cuts, cuts[1:]):
             first, last = (int(starts[a]) if a else 0), int(index[b])
             low, high = int(bytes_at[first]), int(bytes_at[last])
-            n = len(encoder.encode_ordinary(raw[low:high].decode("utf-8")))
+            n = count(low, high)
             over = max(over, n - limit)
             out.append((low, high, n, (int(index[a]) - first) if a else 0, KINDS[kinds[b]] if b < len(index) - 1 else "end"))
         if over <= 0:
@@ -138,6 +158,30 @@ def pieces(text: str, encoder, limit: int, overlap: int) -> list[tuple[int, int,
         cap -= over
 
 
+def _counter_of(raw: bytes, data: np.ndarray, bytes_at: np.ndarray, encoder):
+    """A function of (start, end byte): the tokens of that part taken by itself.
+
+    No word of the vocabulary's pattern spans the end of a visible ASCII character before a blank, so between the first
+    and the last such place the tokens are those of the whole text; only what is outside them is encoded again.
+    """
+    visible = (data[:-1] > 32) & (data[:-1] < 127)
+    blank = np.isin(data[1:], (9, 10, 13, 32))
+    safe = np.flatnonzero(visible & blank) + 1
+    own = lambda part: len(encoder.encode_ordinary(part.decode("utf-8")))
+
+    def count(low: int, high: int) -> int:
+        a, b = np.searchsorted(safe, (low, high), side="right")
+        if b - a < 2:
+            return own(raw[low:high])
+        first, last = int(safe[a]), int(safe[b - 1])
+        if last == high:
+            last = int(safe[b - 2])
+        inner = np.searchsorted(bytes_at, (first, last))
+        return own(raw[low:first]) + int(inner[1] - inner[0]) + own(raw[last:high])
+
+    return count
+
+
 def split_oversized(docs: DataFrame, limit: int = 512, overlap: int = 64, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece_no from 1, start_char, end_char, n_tokens, overlap_tokens, cut, text) of each oversized text."""
     if not 0 <= overlap < limit:
@@ -149,14 +193,14 @@ def split_oversized(docs: DataFrame, limit: int = 512, overlap: int = 64, path:
     names = [key, "piece_no", "start_char", "end_char", "n_tokens", "overlap_tokens", "cut", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe._counter(vocab)
+        encoder, lengths = bpe._counter(vocab), _token_lengths(vocab)
         for batch in batches:
             keys = batch.column("key")
             took: list[int] = []
             columns: list[list] = [[] for _ in names[1:]]
             for row, value in enumerate(batch.column("text").to_pylist()):
                 raw, char, at = value.encode("utf-8"), 0, 0
-                for no, (low, high, n, repeated, kind) in enumerate(pieces(value, encoder, limit, overlap), 1):
+                for no, (low, high, n, repeated, kind) in enumerate(pieces(value, encoder, lengths, limit, overlap), 1):
                     char += len(raw[at:low].decode("utf-8")) if low >= at else -len(raw[low:at].decode("utf-8"))
                     at = low
                     piece = raw[low:high].decode("utf-8")
