@@ -292,7 +292,7 @@ def json_problem(text: str) -> str | None:
 
 # ---------------------------------------------------------------------------------------------------- JavaScript, TypeScript
 
-_JS_STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
+_JS_STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\})*`"
 JS_TOKEN = re.compile(
     _JS_STRING + r"|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\n|#?[^\W\d][\w$]*|#?\$[\w$]*|(?<=[\w)\]$]) ?/(?![/*])=?"
     r"|/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
@@ -332,7 +332,7 @@ _JS_CLASS, _TS_CLASS = Classes(_JS_WORDS, _js_kind), Classes(_TS_WORDS, _js_kind
 _JS_NAME = "[nMz]"
 _JS_ANY = "[nMVFCXRTWOIUQHLYcZSAGtixjEmfkz]"
 _JS_POSTFIX = rf"(?:[PBs]|\.(?:{_JS_ANY}|B|P)|p)*+"
-_JS_OPERAND = rf"(?:[-!pOe]|W(?=[nMzPDW]))*+(?:[nMzsdPBKD]|W\.n|i(?=[P.])){_JS_POSTFIX}"
+_JS_OPERAND = rf"(?:[-!pe]|O\*?|W(?=[nMzPDW]))*+(?:[nMzsdPBKD]|W\.n|i(?=[P.])){_JS_POSTFIX}"
 _JS_BINARY = r"(?:[-o*<>|&=aj?:]|\?)"
 _JS_EXPR = rf"{_JS_OPERAND}(?:{_JS_BINARY}{_JS_OPERAND})*+"
 _JS_EXPRS = rf"{_JS_EXPR}(?:,{_JS_EXPR})*+"
@@ -344,13 +344,13 @@ _JS_SIMPLE = (
     rf"|i(?:s|(?:{_JS_NAME}(?:,(?:K|\*[Mz]n))?|K|\*[Mz]{_JS_NAME})Ms)|x(?:K(?:Ms)?|\*(?:[Mz]{_JS_NAME})?Ms|G{_JS_EXPR}|{_JS_DECLARE}))"
 )
 _JS_STATEMENT = (
-    rf"(?:(?:I\n*P|QM?\n*P|H\n*P|{_JS_NAME}:)\n*)*+(?:L\n*(?:(?:I\n*P|QM?\n*P|H\n*P)\n*)*+)?"
+    rf"(?:(?:I\n*P|Q[MO]?\n*P|H\n*P|{_JS_NAME}:)\n*)*+(?:L\n*(?:(?:I\n*P|Q[MO]?\n*P|H\n*P)\n*)*+)?"
     rf"(?:[;\n]|(?:xG?)?D(?!P?[.o=a?])|K(?![.o=?])|YK\n*(?:c(?:P)?K\n*(?:ZK)?|ZK)|SPK|U\n*(?:K|{_JS_SIMPLE};?)\n*H\n*P;?|{_JS_SIMPLE}{_JS_END})"
 )
-_JS_CASE = rf"(?:(?:A{_JS_EXPRS}|G):|{_JS_STATEMENT})"
+_JS_CASE = rf"(?:(?:A{_JS_OPERAND}(?:[-o*<>|&=aj]{_JS_OPERAND})*+|G):|{_JS_STATEMENT})"
 _JS_KEY = rf"(?:{_JS_ANY}|[sdB])"
-_JS_MEMBER = rf"(?:{_JS_KEY}(?::{_JS_EXPR}|={_JS_EXPR})?|e{_JS_EXPR}|(?:M)*+\*?{_JS_KEY}PK)"
-_JS_FIELD = rf"(?:[;\n]|@{_JS_NAME}(?:\.{_JS_NAME})*+P?\n?|[Mm]*+\*?{_JS_KEY}PK|[Mm]*+{_JS_KEY}(?:={_JS_EXPR})?{_JS_END}|MK)"
+_JS_MEMBER = rf"(?:M*\*?{_JS_KEY}PK|{_JS_KEY}(?::{_JS_EXPR}|={_JS_EXPR})?|e{_JS_EXPR})"
+_JS_FIELD = rf"(?:[;\n]|@{_JS_NAME}(?:\.{_JS_NAME})*+P?\n?|[Mm]*\*?{_JS_KEY}PK|[Mm]*{_JS_KEY}(?:={_JS_EXPR})?{_JS_END}|MK)"
 JS_TOP = re.compile(rf"(?:{_JS_STATEMENT})*+")
 
 
@@ -370,6 +370,8 @@ def _js_groups() -> dict[str, Group]:
 
 
 JS_GROUPS, TS_GROUPS = _js_groups(), _js_groups()
+# The body of an interface or of an object type, its types taken out.
+TS_GROUPS["{"].forms.append(re.compile(rf"(?:\n|[mM]*(?:{_JS_KEY}\??P?|P|WP)(?:[;,\n]|$))*+"))
 
 _JS_JOIN = re.compile(r"(?<=[-o*<>|&=aj?:,.!WOeXRTi@(])\n+|\n+(?=[-o*<>|&=j?:,.aX)])|(?<=[^;\n])\n+(?=[.?])")
 _JS_JOIN_NOT_R = re.compile(r"(?<=[o*<>|&=aj?:,.!WOeX(])\n+|\n+(?=[o*<>|&=j?:,.aX)])|(?<=-)\n+|\n+(?=-)")
@@ -389,6 +391,13 @@ def _js_prepare(content: str, bracket: str) -> str:
     return content
 
 
+def _javascript_prepare(content: str, bracket: str) -> str:
+    # Outside braces a colon only ever ends a condition's second part.
+    if bracket != "{" and content.count(":") > content.count("?"):
+        return UNKNOWN
+    return _js_prepare(content, bracket)
+
+
 _TS_ATOM = r"(?:W?P(?:a)?|[nMOk]+(?:\.n)*+|s|d|-d|K|B)"
 _TS_TYPE = rf"[|&]?(?:{_TS_ATOM}B*(?:[|&]|X|\?|:(?=[nK])|a|M(?=n))?)+?"
 _TS_GENERIC = re.compile(r"(?<=[nMPFk.C])<(?:[nMOXs,|&.BKPa=dk?:]|\n)*>")
@@ -401,6 +410,7 @@ _TS_AS = re.compile(rf"(?<=[nPBKsd])z(?:{_TS_ATOM})B*(?=[;,)\n.o=\-?:|&]|$)")
 _TS_SIGNATURE = re.compile(r"(?:^|(?<=[;\n,K]))[mM]*(?:[nMW]?\??P|B)(?:)(?=[;,\n]|$)")
 
 
+_TS_SURE = re.compile(r"(?<=[nPBK])!(?=[;,.)\n=\[PB]|$)")
 _TS_PLAIN = re.compile(r"[fk](?![nMsz])")
 
 
@@ -418,8 +428,10 @@ def _ts_prepare(content: str, bracket: str) -> str:
         content = _TS_VARIABLE.sub(r"\1", content)
         if bracket == "(":
             content = _TS_PARAM.sub(r"\1", content)
-        elif bracket == "{" and "V" not in content:
+        elif bracket == "{" and "V" not in content and "A" not in content:
             content = _TS_FIELD.sub(r"\1", content)
+    if "!" in content:
+        content = _TS_SURE.sub("", content)
     if "z" in content:
         # In a list of names only braces can hold, "as" renames.
         content = _TS_AS.sub("", content) if bracket != "{" or ";" in content or "\n" in content else content
@@ -451,7 +463,7 @@ def _js_problem(text: str, classes: Classes, groups: dict[str, Group], prepare)
 
 
 def javascript_problem(text: str) -> str | None:
-    return _js_problem(text, _JS_CLASS, JS_GROUPS, _js_prepare)
+    return _js_problem(text, _JS_CLASS, JS_GROUPS, _javascript_prepare)
 
 
 def typescript_problem(text: str) -> str | None:

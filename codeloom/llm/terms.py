@@ -87,7 +87,10 @@ class Counts:
         self.version = 0
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.folder}/v{self.version}") if self.version else None
+        if not self.version:
+            return None
+        kind = "term string, occurrences bigint, records bigint, field string, bucket int"
+        return self.spark.read.schema(kind).parquet(f"{self.folder}/v{self.version}")
 
     def apply(self, changes: DataFrame) -> DataFrame:
         """Merge the changes into the next version, written whole before it becomes current."""
