@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.names import auto_tags, importance
 from codeloom.functions.paths import ending, module_name, plain_path
-from codeloom.session import cut, spread
+from codeloom.session import cut, once
 
 # Calls that are noise unless the name is imported.
 BUILTINS = frozenset("print len str int float list dict set tuple bool range enumerate zip min max sum abs round".split())
@@ -137,8 +137,7 @@ READERS = {".py": read_python, ".js": read_javascript, ".jsx": read_javascript,
 
 def parse(files: DataFrame) -> DataFrame:
     """(repo_id, file_path, kind, ordinal, name, type, line, end_line, docstring, context, extra) of Python and JavaScript files."""
-    once = files.where(ending("file_path").isin(*READERS) & F.col("content").isNotNull()).select("repo_id", plain_path("file_path").alias("file_path"), "content")
-    once = spread(once.dropDuplicates(["repo_id", "file_path"]))
+    rows = files.where(ending("file_path").isin(*READERS) & F.col("content").isNotNull()).select("repo_id", plain_path("file_path").alias("file_path"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +150,7 @@ def parse(files: DataFrame) -> DataFrame:
             kinds = {"string": pa.string(), "int": pa.int32()}
             yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array([o[i] for o in out], kinds[t]) for i, (_, t) in enumerate(_ENTITY))], names=["repo_id", "file_path", *(n for n, _ in _ENTITY)])
 
-    return once.mapInArrow(run, "repo_id string, file_path string, " + ", ".join(f"{n} {t}" for n, t in _ENTITY))
+    return once(rows, ["repo_id", "file_path"]).mapInArrow(run, "repo_id string, file_path string, " + ", ".join(f"{n} {t}" for n, t in _ENTITY))
 
 
 def parsed_entities(parsed: DataFrame) -> DataFrame:

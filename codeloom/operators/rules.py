@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import DETECTED_ENDINGS, ending, lookup
-from codeloom.session import spread
+from codeloom.session import once
 
 Matcher = Callable[[str], list[tuple[int, str, str, str | None]]]
 
@@ -117,7 +117,7 @@ def line_matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 def matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """(rule_id, severity, repo_id, file_path, line, column, matched, context, message, suggestion): every match of every
-    rule over whole texts. A matcher that fails has no matches."""
+    rule over whole texts, each file once. A matcher that fails has no matches."""
     rules = tuple(r for r in rules if r.enabled)
     language = lookup(DETECTED_ENDINGS, ending("file_path"), F.lit("unknown"))
     rows = files.where("content is not null").select("repo_id", "file_path", language.alias("language"), "content")
@@ -144,4 +144,4 @@ def matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
             kinds = [pa.int32() if n in ("line", "column") else pa.string() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return spread(rows).mapInArrow(run, ", ".join(f"`{n}` {'int' if n in ('line', 'column') else 'string'}" for n in names))
+    return once(rows, ["repo_id", "file_path"]).mapInArrow(run, ", ".join(f"`{n}` {'int' if n in ('line', 'column') else 'string'}" for n in names))

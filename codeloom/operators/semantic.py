@@ -132,3 +132,55 @@ def configured(nodes: DataFrame, files: DataFrame) -> DataFrame:
     places = used.select("repo_id", "file_path", "line").distinct()
     met = used.join(entity_at(nodes, places), ["repo_id", "file_path", "line"])
     return met.where("config <> uuid").select("config", "uuid").distinct()
+
+
+def handled(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(repo_id, file_path, key, uuid, confidence): string keys of dictionaries with the function of their file they name."""
+    known = nodes.where("type in ('function', 'method')").groupBy("repo_id", "file_path", F.col("name").alias("function")).agg(F.min("uuid").alias("uuid"))
+    return handlers(files).join(known, ["repo_id", "file_path", "function"]).select("repo_id", "file_path", "key", "uuid", F.lit(0.8).alias("confidence"))
+
+
+def served(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(repo_id, file_path, endpoint, uuid, confidence): endpoints with the first function defined from two lines before
+    them to four lines after."""
+    marks = pattern_entities(files).where("type = 'endpoint'").select("repo_id", "file_path", "line", F.coalesce("metadata", "name").alias("endpoint"))
+    heads = _python(files).where(F.col("text").rlike(r"^\s*(?:async\s+)?def\s+\w+")).select("repo_id", "file_path", (F.col("n") + 1).alias("at"), F.regexp_extract("text", r"def\s+(\w+)", 1).alias("function"))
+    near = marks.withColumn("at", F.explode(F.sequence(F.greatest(F.col("line") - 2, F.lit(1)), F.col("line") + 4))).join(heads, ["repo_id", "file_path", "at"])
+    known = nodes.where("type in ('function', 'method')").groupBy("repo_id", "file_path", F.col("name").alias("function")).agg(F.min("uuid").alias("uuid"))
+    met = near.join(known, ["repo_id", "file_path", "function"])
+    return met.groupBy("repo_id", "file_path", "line", "endpoint").agg(F.min(F.struct("at", "uuid"))["uuid"].alias("uuid")).select("repo_id", "file_path", "endpoint", "uuid", F.lit(0.9).alias("confidence"))
+
+
+def tested_by_calls(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(test, subject, confidence): tests with the functions of their repository that their code calls."""
+    from codeloom.operators.traverse import snippets
+
+    tests = nodes.where("type in ('function', 'method')").where(F.col("name").startswith("test_"))
+    code = snippets(tests, files, 0).select(F.col("uuid").alias("test"), F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(\w+)\("), F.lit(1)))).alias("name"))
+    called = code.where(~F.col("name").isin(*NO_SUBJECTS)).join(tests.select(F.col("uuid").alias("test"), "repo_id"), "test")
+    subjects = nodes.where("type in ('function', 'method', 'class')").groupBy("repo_id", "name").agg(F.min("uuid").alias("subject"))
+    return called.join(subjects, ["repo_id", "name"]).where("test <> subject").select("test", "subject", F.lit(0.6).alias("confidence"))
+
+
+def relations(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(relation, source, target, confidence, external): all relations the text gives, between entities of one file.
+
+    Names without an entity in their file become external placeholders: "external:" and the name.
+    """
+    named = nodes.groupBy("repo_id", "file_path", "name").agg(F.max_by("uuid", "start_line").alias("uuid"))
+    ids = lambda side: named.select("repo_id", "file_path", F.col("name").alias(side), F.col("uuid").alias(f"{side}_id"))
+    found = text_relations(files).select("repo_id", "file_path", "relation", "source", "target", "confidence").distinct()
+    met = found.join(ids("source"), ["repo_id", "file_path", "source"], "left").join(ids("target"), ["repo_id", "file_path", "target"], "left")
+    place = lambda side: F.coalesce(F.col(f"{side}_id"), F.concat(F.lit("external:"), F.col(side)))
+    formed = met.where("source_id is not null or target_id is not null").select("relation", place("source").alias("source"), place("target").alias("target"), "confidence", (F.col("source_id").isNull() | F.col("target_id").isNull()).alias("external"))
+    row = lambda df, relation, a, b, c, ext: df.select(F.lit(relation).alias("relation"), a.alias("source"), b.alias("target"), c.alias("confidence"), ext.alias("external"))
+    no = F.lit(False)
+    marks = decorated(files, nodes)
+    return (
+        formed.unionByName(row(marks, "decorates", F.concat(F.lit("external:"), F.col("decorator")), F.col("uuid"), F.lit(0.9), F.col("external")))
+        .unionByName(row(handled(files, nodes), "handles", F.col("key"), F.col("uuid"), F.col("confidence"), no))
+        .unionByName(row(served(files, nodes), "handles", F.col("endpoint"), F.col("uuid"), F.col("confidence"), no))
+        .unionByName(row(tested(nodes), "tests", F.col("test"), F.col("subject"), F.col("confidence"), no))
+        .unionByName(row(tested_by_calls(nodes, files), "tests", F.col("test"), F.col("subject"), F.col("confidence"), no))
+        .unionByName(row(configured(nodes, files), "configures", F.col("config"), F.col("uuid"), F.lit(0.6), no))
+    ).distinct()

@@ -42,7 +42,7 @@ def reach(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """
     seen = roots.select("uuid", F.lit(0).alias("depth")).distinct()
     frontier = seen
-    pairs = links.select("src", "dst").distinct()
+    pairs = cut(links.select("src", "dst").distinct())
     for step in range(1, depth + 1):
         found = pairs.join(frontier.select(F.col("uuid").alias("src")), "src", "left_semi").select(F.col("dst").alias("uuid")).distinct()
         frontier = found.join(seen, "uuid", "left_anti").withColumn("depth", F.lit(step))
@@ -71,7 +71,7 @@ def call_tree(links: DataFrame, roots: DataFrame, depth: int = 3, children: int
     """
     typed = links.where(F.col("type").isin(*types))
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    steps = first_per_group(typed.select(F.col(a).alias("uuid"), F.col(b).alias("child")).distinct(), ["uuid"], ["child"], children)
+    steps = cut(first_per_group(typed.select(F.col(a).alias("uuid"), F.col(b).alias("child")).distinct(), ["uuid"], ["child"], children))
     level = roots.select("root", F.array("root").alias("path"), F.lit(0).alias("depth"), F.col("root").alias("uuid"), F.lit(None).cast("string").alias("parent"))
     rows = level
     for d in range(1, depth + 1 if direction != "both" else 1):

@@ -495,6 +495,27 @@ subject as (select repo_id, name, min(uuid) as uuid from entity where type in ('
 select t.uuid as test, s.uuid as subject, 0.7::double as confidence from test t join subject s on s.repo_id = t.repo_id and s.name = t.name where t.name <> '' and t.uuid <> s.uuid
 """)
 
+_HEADS = r""", head as (select repo_id, file_path, n, regexp_extract(text, 'def\s+(\w+)', 1) as function from line where regexp_matches(text, '^\s*(?:async\s+)?def\s+\w+')),
+known as (select repo_id, file_path, name, min(uuid) as uuid from entity where type in ('function', 'method') group by 1, 2, 3)
+"""
+graph("endpoint_handlers", _PY_LINE.replace("with file", ", file") + _HEADS + r"""
+, mark as (
+    select repo_id, file_path, n, regexp_extract(text, '@app\.route\(["\']([^"\']+)["\']', 1) as endpoint from line where regexp_matches(text, '@app\.route\(["\']([^"\']+)["\']')
+    union all
+    select repo_id, file_path, n, regexp_extract(text, '@app\.(get|post|put|delete|patch)\(["\']([^"\']+)["\']', 2) from line where regexp_matches(text, '@app\.(get|post|put|delete|patch)\(["\']([^"\']+)["\']')
+)
+select m.repo_id, m.file_path, m.endpoint, k.uuid, 0.9::double as confidence
+from mark m join head h on h.repo_id = m.repo_id and h.file_path = m.file_path and h.n between m.n - 2 and m.n + 4
+     join known k on k.repo_id = h.repo_id and k.file_path = h.file_path and k.name = h.function
+qualify row_number() over (partition by m.repo_id, m.file_path, m.n, m.endpoint order by h.n, k.uuid) = 1
+""".replace("\\'", "''"))
+graph("tests_by_calls", _TEXT + r"""
+, call as (select uuid as test, repo_id, unnest(list_distinct(regexp_extract_all(array_to_string(rows[start_line:end_line], chr(10)), '(\w+)\(', 1))) as name from placed where type in ('function', 'method') and starts_with(name, 'test_')),
+subject as (select repo_id, name, min(uuid) as uuid from entity where type in ('function', 'method', 'class') group by 1, 2)
+select c.test, s.uuid as subject, 0.6::double as confidence from call c join subject s on s.repo_id = c.repo_id and s.name = c.name
+where c.name not in ('assert', 'assertEqual', 'assertTrue', 'mock', 'patch') and c.test <> s.uuid
+""")
+
 # ------------------------------------------------------------------------------------------------ changes and audit
 
 graph("upsert_last_wins", "select src, dst, type, uuid from link")

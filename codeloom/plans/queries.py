@@ -377,7 +377,7 @@ named("rule_secrets", _rule("hardcoded_secret"))
 @query
 def rule_matches(spark: SparkSession, folder: str) -> DataFrame:
     """All rules, those over several lines and the callables too: matches per rule and repository."""
-    return rules.matches(_files(spark, folder)).groupBy("rule_id", "severity", "repo_id").agg(F.count(F.lit(1)).alias("matches"))
+    return rules.matches(table(spark, folder, "source_files")).groupBy("rule_id", "severity", "repo_id").agg(F.count(F.lit(1)).alias("matches"))
 
 
 @query
@@ -412,6 +412,10 @@ named("text_relations", lambda s, d: semantic.text_relations(table(s, d, "source
 named("decorated_functions", lambda s, d: semantic.decorated(table(s, d, "source_files"), _nodes(s, d)))
 named("test_subjects", lambda s, d: semantic.tested(_nodes(s, d)))
 named("contextual_entities", lambda s, d: semantic.contextual(_nodes(s, d), table(s, d, "source_files")))
+named("endpoint_handlers", lambda s, d: semantic.served(table(s, d, "source_files"), _nodes(s, d)))
+named("dictionary_handlers", lambda s, d: semantic.handled(table(s, d, "source_files"), _nodes(s, d)))
+named("tests_by_calls", lambda s, d: semantic.tested_by_calls(_nodes(s, d), table(s, d, "source_files")))
+named("relations_of_text", lambda s, d: semantic.relations(table(s, d, "source_files"), _nodes(s, d)))
 named("config_usage", lambda s, d: semantic.configured(_nodes(s, d), table(s, d, "source_files")))
 
 
@@ -488,6 +492,17 @@ def rejected_relations(spark: SparkSession, folder: str) -> DataFrame:
     return rejected.select("from_uuid", "to_uuid", "type")
 
 
+@query
+def file_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per file: its language, how many entities of each kind it yields, and whether it could be read."""
+    files = table(spark, folder, "source_files")
+    found = ingest.parse(files).groupBy("repo_id", "file_path").agg(
+        F.count_if(F.col("kind") == "entity").alias("entities"), F.count_if(F.col("kind") == "import").alias("imports"), F.count_if(F.col("kind") == "call").alias("calls")
+    )
+    known = language.detect(_files(spark, folder)).select("repo_id", plain_path("file_path").alias("file_path"), "language", F.round("confidence", 6).alias("confidence"))
+    return known.join(found, ["repo_id", "file_path"], "left").withColumn("parsed", F.col("entities").isNotNull()).na.fill(0)
+
+
 @query
 def ingest_audit(spark: SparkSession, folder: str) -> DataFrame:
     rows = store.ingest_audit(_nodes(spark, folder), "add_node", "node")

@@ -50,3 +50,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, spread over at least one partition per core.
+
+    The number of partitions is fixed, so that row work that follows isn't put into a few tasks because the bytes are few.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys).dropDuplicates(keys)
