@@ -31,12 +31,12 @@ class A(B, metaclass=M):
         finally:
             del a.b[c]
         x = {k: v for k, v in y.items() if not k}
-        t = f"a{b!r:>{c}}" "more" r'\\d'
+        t = f"a{b!r:>{c}}" "more" r'\d'
         if a < b <= c is not None and d not in e: return
         elif x := f(1): ...
         while True: break
         print("a" if b else "c", end='')
-        return \\
+        return \
             1
 
 match x:
