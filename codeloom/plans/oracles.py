@@ -6,6 +6,7 @@ from codeloom.functions.names import PRIORITY_WORDS, TAG_WORDS
 from codeloom.functions.paths import DETECTED_ENDINGS, LANGUAGE_OF_ENDING
 from codeloom.operators.language import CONTENT, FRAMEWORKS, JAVASCRIPT_FIGURES, MENTIONS, PYTHON_FIGURES
 from codeloom.operators.semantic import ENTITY_PATTERNS
+from codeloom.operators.semantic import MENTIONS as CONTEXT_WORDS
 
 SQL: dict[str, str] = {}
 
@@ -419,7 +420,7 @@ def _detection() -> str:
 summed as (select repo_id, file_path, language, round(sum(w), 6) as score, min(way) as way from cast_ group by 1, 2, 3),
 amount as (select repo_id, file_path, count(*) as n, string_agg(said, '+' order by way) as method from cast_ group by 1, 2),
 top as (select * from summed qualify row_number() over (partition by repo_id, file_path order by score desc, way) = 1)
-select f.repo_id, f.file_path, coalesce(t.language, 'unknown') as language, round(coalesce(least(t.score / a.n, 1.0), 0.0), 6) as confidence, coalesce(a.method, 'none') as method
+select f.repo_id, f.file_path, coalesce(t.language, 'unknown') as language, round(case when t.score is null then 0.0 else least(t.score / a.n, 1.0) end::double, 6) as confidence, coalesce(a.method, 'none') as method
 from file f left join top t using (repo_id, file_path) left join amount a using (repo_id, file_path)
 """
     )
@@ -516,6 +517,80 @@ select c.test, s.uuid as subject, 0.6::double as confidence from call c join sub
 where c.name not in ('assert', 'assertEqual', 'assertTrue', 'mock', 'patch') and c.test <> s.uuid
 """)
 
+_CODE = _TEXT + """
+, code as (select uuid, repo_id, file_path, name, type, start_line, end_line, array_to_string(rows[start_line:end_line], chr(10)) as code from placed where type in ('class', 'function', 'method'))
+"""
+_CLASS, _FUNCTION = "type = 'class'", "type = 'function'"
+
+
+def _contains(text: str, *words: str) -> str:
+    return "(" + " or ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+_FIRST = (
+    ("singleton", 0.8, f"{_CLASS} and {_contains('code', '_instance', '__new__')} and {_contains('code', 'getInstance', 'get_instance')}"),
+    ("factory", 0.7, rf"type in ('class', 'function') and regexp_matches(code, 'return\s+\w+\s*\(') and {_contains('lower(name)', 'factory', 'create', 'build', 'make')}"),
+    ("god_class", 0.8, rf"{_CLASS} and (end_line - start_line + 1 > 200 or len(regexp_extract_all(code, 'def\s+\w+')) > 20)"),
+)
+_EVERY = (
+    ("long_parameter_list", 0.7, rf"{_FUNCTION} and len(list_filter(string_split(regexp_extract(code, 'def\s+\w+\s*\(([^)]*)\)', 1), ','), lambda x: trim(x) <> '')) > 5"),
+    ("extract_method", 0.7, f"{_FUNCTION} and end_line - start_line + 1 > 30"),
+    ("decorator_pattern", 0.7, f"{_CLASS} and contains(code, 'component') and {_contains('code', 'delegate', 'forward', 'proxy')}"),
+    ("repository", 0.8, f"{_CLASS} and contains(lower(name), 'repository') and {_contains('lower(code)', 'create', 'read', 'update', 'delete', 'find', 'save')}"),
+    ("service_layer", 0.7, f"{_CLASS} and contains(lower(name), 'service') and {_contains('lower(code)', 'process', 'handle', 'execute', 'perform')}"),
+    ("strategy", 0.8, f"{_CLASS} and {_contains('lower(name)', 'strategy', 'algorithm', 'policy')} and {_contains('lower(code)', 'execute', 'apply', 'perform')}"),
+    ("observer_subject", 0.8, f"{_CLASS} and {_contains('code', 'observers', 'listeners')} and {_contains('code', 'notify', 'update')}"),
+)
+graph("entity_patterns", _CODE + " union all ".join(
+    f"select * from (select '{n}' as pattern, {c}::double as confidence, repo_id, file_path, uuid from code where {w} qualify row_number() over (partition by repo_id, file_path order by start_line, uuid) = 1)" for n, c, w in _FIRST
+) + " union all " + " union all ".join(f"select '{n}', {c}, repo_id, file_path, uuid from code where {w}" for n, c, w in _EVERY))
+graph("file_patterns", _CODE + f"""
+select 'mvc' as pattern, 0.7::double as confidence, repo_id, file_path, count(*) as entities from (
+    select repo_id, file_path, case when contains(lower(name), 'model') then 'm' when contains(lower(name), 'view') then 'v' when contains(lower(name), 'controller') then 'c' end as role from entity where type = 'class'
+) where role is not null group by repo_id, file_path having count(distinct role) = 3
+union all select 'extract_class', 0.6, repo_id, file_path, count(*) from entity where type = 'function' group by repo_id, file_path having count(*) > 10
+union all select 'observer', 0.8, repo_id, file_path, s + o from (
+    select repo_id, file_path, count(*) filter (where {_CLASS} and {_contains('code', 'observers', 'listeners')} and {_contains('code', 'notify', 'update')}) as s,
+           count(*) filter (where {_CLASS} and {_contains('code', 'update', 'on_notify')}) as o from code group by repo_id, file_path
+) where s > 0 and o > 0
+""")
+graph("signatures", _TEXT + """
+, head as (select uuid, rows[greatest(start_line, 1):greatest(start_line, 1) + 5] as h from placed where type in ('function', 'method'))
+select uuid, ltrim(array_to_string(list_transform(h[1:coalesce(nullif(list_position(list_transform(h, lambda x: contains(x, ':')), true), 0), len(h))], lambda x: trim(x)), ' ')) as signature from head
+""")
+_NEAR = "array_to_string(rows[greatest(start_line - 3, 1):end_line + 3], chr(10))"
+graph("contextual_entities", _TEXT + f"""
+, near as (select uuid, name, type, file_path, {_NEAR} as text from placed)
+select uuid as base, 'api_' || name as name, 'api' as type, 0.8::double as confidence from near where type = 'function' and {_contains('text', *CONTEXT_WORDS['api'][0])}
+union all select uuid, 'test_util_' || name, 'test_util', 0.7 from near where type = 'function' and not starts_with(name, 'test_') and {_contains('text', *CONTEXT_WORDS['test_util'][0])}
+union all select uuid, 'model_' || name, 'model', 0.8 from near where type = 'class' and {_contains('text', *CONTEXT_WORDS['model'][0])}
+union all select uuid, 'util_' || name, 'util', 0.7 from near where type = 'function' and (regexp_matches(lower(name), 'helper|util|tool|common|shared') or regexp_matches(lower(file_path), 'helper|util|tool|common|shared'))
+""")
+graph("config_usage", _TEXT + r"""
+, config as (
+    select repo_id, name as word, min(uuid) as config from entity where list_contains(coalesce(tags, []), 'CONFIG') or (upper(name) = name and regexp_matches(name, '[A-Z]')) group by 1, 2
+), numbered as (select repo_id, file_path, unnest(rows) as text, generate_subscripts(rows, 1) as line from file),
+used as (
+    select distinct n.repo_id, n.file_path, n.line, c.config from (select repo_id, file_path, line, unnest(list_distinct(regexp_split_to_array(text, '\W+'))) as word from numbered) n
+    join config c on c.repo_id = n.repo_id and c.word = n.word where length(n.word) > 1
+), around as (
+    select u.*, e.uuid from used u join entity e on e.repo_id = u.repo_id and e.file_path = u.file_path and e.end_line >= e.start_line and u.line between e.start_line and e.end_line
+    qualify row_number() over (partition by u.repo_id, u.file_path, u.line, u.config order by e.end_line - e.start_line, e.uuid) = 1
+)
+select distinct config, uuid from around where config <> uuid
+""")
+_HANDLER = r"""with file_ as (select repo_id, file_path, any_value(content) as content from source_files where ends_with(file_path, '.py') and content is not null group by 1, 2),
+block as (select repo_id, file_path, unnest(regexp_extract_all(content, '(?ms)^(\w+\s*=\s*\{[^{}]*\})', 1)) as block from file_),
+pair as (select repo_id, file_path, regexp_extract(block, '^(\w+)', 1) as holder, unnest(regexp_extract_all(block, '["'']\w+["'']\s*:\s*[A-Za-z_]\w*\s*[,}]')) as pair from block),
+handler as (select repo_id, file_path, holder, regexp_extract(pair, '["''](\w+)["'']', 1) as key, regexp_extract(pair, '(\w+)\s*[,}]$', 1) as function from pair)
+"""
+SQL["handlers"] = _HANDLER + "select * from handler where function not in ('True', 'False', 'None')"
+graph("dictionary_handlers", _HANDLER.replace("with file_", ", file_") + """
+select h.repo_id, h.file_path, h.key, k.uuid, 0.8::double as confidence from handler h
+join (select repo_id, file_path, name, min(uuid) as uuid from entity where type in ('function', 'method') group by 1, 2, 3) k on k.repo_id = h.repo_id and k.file_path = h.file_path and k.name = h.function
+where h.function not in ('True', 'False', 'None')
+""")
+
 # ------------------------------------------------------------------------------------------------ changes and audit
 
 graph("upsert_last_wins", "select src, dst, type, uuid from link")

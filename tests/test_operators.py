@@ -223,3 +223,30 @@ def test_name_expressions(spark):
     df = spark.createDataFrame([("test_api", "function"), ("_x", "function"), ("BadError", "class")], "name string, type string")
     tags = [r[0] for r in df.select(names.auto_tags(F.col("name"), F.col("type"))).collect()]
     assert tags == [["FUNCTION", "API", "TEST", "TEST"], ["FUNCTION", "PRIVATE"], ["CLASS", "EXCEPTION", "EXCEPTION"]]
+
+
+def test_relations_of_text(spark):
+    text = "@app.route('/go')\ndef go(a):\n    return a\n\nclass Job(Base):\n    def __init__(self):\n        self.db = Store()\n\nTABLE = {\n    'go': go,\n}\n\ndef test_go(x):\n    assert go(x)\n"
+    f = files_of(spark, ("src/a.py", text), ("src/b.py", None), ("src/c.py", ""))
+    n = nodes_of(spark, node("g", "go", start=2, end=3), node("j", "Job", "class", start=5, end=7), node("t", "test_go", start=13, end=14), node("c", "TABLE", "variable", start=9, end=11))
+    assert [(r.endpoint, r.uuid) for r in semantic.served(f, n).collect()] == [("/go", "g")]
+    assert [(r.key, r.uuid) for r in semantic.handled(f, n).collect()] == [("go", "g")]
+    assert [(r.test, r.subject) for r in semantic.tested_by_calls(n, f).collect()] == [("t", "g")]
+    got = {(r.relation, r.source, r.target, r.external) for r in semantic.relations(f, n).collect()}
+    assert got == {
+        ("inherits", "j", "external:Base", True), ("decorates", "external:app", "g", True), ("handles", "go", "g", False), ("handles", "/go", "g", False), ("tests", "t", "g", False),
+    }
+    assert semantic.relations(f.limit(0), n).where("relation <> 'tests'").count() == 0
+
+
+def test_entity_at_takes_the_tightest(spark):
+    n = nodes_of(spark, node("o", "Outer", "class", start=1, end=500), node("i", "inner", start=200, end=210), node("x", "nolines", start=None, end=None))
+    places = spark.createDataFrame([("r", "src/a.py", 205), ("r", "src/a.py", 300), ("r", "src/a.py", 999)], "repo_id string, file_path string, line int")
+    assert {(r.line, r.uuid) for r in traverse.entity_at(n, places).collect()} == {(205, "i"), (300, "o")}
+
+
+def test_context_of_unknown_and_isolated_entities(spark):
+    n, e = nodes_of(spark, node("a"), node("b")), links_of(spark, edge("1", "a", "a"))
+    ids = spark.createDataFrame([("a",), ("b",), ("zz",)], "uuid string")
+    rows = {r.uuid: (r.code, r.neighbours, r.n_links) for r in traverse.context(n, e, files_of(spark), ids).collect()}
+    assert rows == {"a": (None, ["a"], 2), "b": (None, [], 0)}
