@@ -40,17 +40,21 @@ def pagerank(links: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     return ranks.select("uuid", "rank")
 
 
-def shortest_paths(links: DataFrame, sources: DataFrame, most: int = 30) -> DataFrame:
-    """(source, uuid, depth, paths): distance and number of shortest paths from each source (uuid), level by level."""
+def shortest_paths(links: DataFrame, sources: DataFrame, most: int | None = None, every: int = 8) -> DataFrame:
+    """(source, uuid, depth, paths): distance and number of shortest paths from each source (uuid), level by level until
+    no level has a new entity, or to depth `most`. Levels are written once and merged with what is seen every few."""
     pairs = cut(links.select("src", "dst").distinct())
     seen = cut(sources.select(F.col("uuid").alias("source"), "uuid", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")).distinct())
-    frontier = seen
-    for d in range(1, most + 1):
+    frontier, d = seen, 0
+    while most is None or d < most:
+        d += 1
         step = frontier.join(pairs, F.col("uuid") == F.col("src")).groupBy("source", F.col("dst").alias("uuid")).agg(F.sum("paths").alias("paths"))
         frontier = cut(step.join(seen, ["source", "uuid"], "left_anti").select("source", "uuid", F.lit(d).alias("depth"), "paths"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if d % every == 0:
+            seen = cut(seen)
     return seen
 
 

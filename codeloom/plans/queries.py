@@ -315,33 +315,52 @@ def pagerank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _inheritance(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The links of type inherits and the entities at their ends: the graph the path-based measures run on."""
+    """The links of type inherits and the entities at their ends: the graph of the path queries that have SQL."""
     links = _links(spark, folder).where("type = 'inherits'").select("src", "dst")
     ids = links.select(F.explode(F.array("src", "dst")).alias("uuid")).distinct()
     return links, ids
 
 
+def _whole(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All links, and all entities with the unknown ends of links, as the reference's graph has them."""
+    links = _links(spark, folder).select("src", "dst")
+    ids = _nodes(spark, folder).select("uuid").unionByName(links.select(F.explode(F.array("src", "dst")).alias("uuid"))).distinct()
+    return cut(links), cut(ids)
+
+
 @query
 def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
     links, ids = _inheritance(spark, folder)
     return graphalg.shortest_paths(links, ids).where("depth > 0").select("source", "uuid", "depth")
 
 
+@query
+def shortest_paths_all(spark: SparkSession, folder: str) -> DataFrame:
+    links, ids = _whole(spark, folder)
+    return graphalg.shortest_paths(links, ids).where("depth > 0").select("source", "uuid", "depth")
+
+
 @query
 def closeness(spark: SparkSession, folder: str) -> DataFrame:
     links, ids = _inheritance(spark, folder)
     return graphalg.closeness(links, ids).select("uuid", F.round(F.col("closeness") * 1e6, 3).alias("closeness_millionths"))
 
 
+@query
+def closeness_all(spark: SparkSession, folder: str) -> DataFrame:
+    links, ids = _whole(spark, folder)
+    return graphalg.closeness(links, ids).select("uuid", F.round(F.col("closeness") * 1e6, 3).alias("closeness_millionths"))
+
+
 @query
 def betweenness(spark: SparkSession, folder: str) -> DataFrame:
-    links, ids = _inheritance(spark, folder)
+    links, ids = _whole(spark, folder)
     return graphalg.betweenness(links, ids)
 
 
 @query
 def hotspots(spark: SparkSession, folder: str) -> DataFrame:
-    links, ids = _inheritance(spark, folder)
+    links, ids = _whole(spark, folder)
     return graphalg.hotspots(links, ids)
 
 

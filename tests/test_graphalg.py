@@ -5,6 +5,7 @@ from itertools import permutations
 import pytest
 
 from codeloom.operators import graphalg
+from codeloom.plans.queries import QUERIES
 
 
 def graph(spark, pairs, ids):
@@ -65,6 +66,29 @@ def test_path_measures(spark, seed):
         assert abs(close[v] - (len(d) / sum(d) * len(d) / (len(ids) - 1) if d else 0.0)) < 1e-9
 
 
+def test_paths_longer_than_thirty_links(spark):
+    ids = [f"n{i:02d}" for i in range(36)]
+    pairs = list(zip(ids, ids[1:]))
+    links, nodes = graph(spark, pairs, ids)
+    paths = graphalg.shortest_paths(links, nodes.where("uuid < 'n02'"))
+    assert {(r.source, r.uuid): r.depth for r in paths.collect()} == {(a, b): j - i for i, a in enumerate(ids[:2]) for j, b in enumerate(ids) if i <= j}
+
+
+def test_path_queries_cover_the_whole_graph(spark, tmp_path):
+    """All types of links, an isolated entity and an unknown end."""
+    pairs = [("a", "b", "calls"), ("b", "c", "inherits"), ("a", "d", "imports"), ("d", "c", "uses"), ("c", "x", "calls")]
+    ids = ["a", "b", "c", "d", "e"]
+    spark.createDataFrame([(u, "r", "f.py", "function", u, 1, 2, None, None, None, None, None, False) for u in ids], "uuid string, repo_id string, file_path string, type string, name string, start_line int, end_line int, docstring string, tags array<string>, metadata string, created_by string, created_at timestamp, manual boolean").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([(f"l{i}", *p, None, None) for i, p in enumerate(pairs)], "uuid string, from_uuid string, to_uuid string, type string, created_at timestamp, properties string").write.parquet(f"{tmp_path}/edges.parquet")
+    got = {r.uuid: r.betweenness for r in QUERIES["betweenness"](spark, str(tmp_path)).collect()}
+    want = brute_betweenness([p[:2] for p in pairs], [*ids, "x"])
+    assert set(got) == set(want) and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    reach = {v: bfs([p[:2] for p in pairs], v)[0] for v in want}
+    assert {(r.source, r.uuid): r.depth for r in QUERIES["shortest_paths_all"](spark, str(tmp_path)).collect()} == {(s, t): d for s in reach for t, d in reach[s].items() if d}
+    assert {r.uuid for r in QUERIES["closeness_all"](spark, str(tmp_path)).collect()} == set(want)
+    assert {r.uuid for r in QUERIES["hotspots"](spark, str(tmp_path)).collect()} == set(want)
+
+
 def test_pagerank_sums_to_one_and_matches(spark):
     pairs, ids = random_graph(4)
     links, nodes = graph(spark, pairs, ids)
