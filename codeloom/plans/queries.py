@@ -294,13 +294,22 @@ def signatures(spark: SparkSession, folder: str) -> DataFrame:
     return traverse.snippets(nodes, table(spark, folder, "source_files"), 0).select("uuid", "signature")
 
 
+def _places(spark: SparkSession, folder: str, step: int) -> DataFrame:
+    """(repo_id, file_path, line) of each file's lines 1, 1 + step and so on."""
+    n = F.size(traverse.lines("content"))
+    asked = F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(step))).alias("line")
+    return _files(spark, folder).where("content is not null").select("repo_id", plain_path("file_path").alias("file_path"), asked).distinct()
+
+
 @query
 def entity_at_line(spark: SparkSession, folder: str) -> DataFrame:
-    """The tightest entity around every tenth line of every file."""
-    files = _files(spark, folder)
-    n = F.size(traverse.lines("content"))
-    places = files.where("content is not null").select("repo_id", plain_path("file_path").alias("file_path"), F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(10))).alias("line"))
-    return traverse.entity_at(_nodes(spark, folder), places.distinct())
+    """The tightest entity around every tenth line of every file, as its SQL asks."""
+    return traverse.entity_at(_nodes(spark, folder), _places(spark, folder, 10))
+
+
+@query
+def entity_at_every_line(spark: SparkSession, folder: str) -> DataFrame:
+    return traverse.entity_at(_nodes(spark, folder), _places(spark, folder, 1))
 
 
 # ------------------------------------------------------------------------------------------------ graph algorithms

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from codeloom import schema
 from codeloom.functions import names, paths
 from codeloom.operators import graph, ingest, language, metrics, mutate, patterns, rules, search, semantic, traverse
+from codeloom.plans.queries import QUERIES
 
 AT = datetime(2025, 1, 1)
 
@@ -250,3 +251,11 @@ def test_context_of_unknown_and_isolated_entities(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("zz",)], "uuid string")
     rows = {r.uuid: (r.code, r.neighbours, r.n_links) for r in traverse.context(n, e, files_of(spark), ids).collect()}
     assert rows == {"a": (None, ["a"], 2), "b": (None, [], 0)}
+
+
+def test_entity_at_every_line_finds_short_entities(spark, tmp_path):
+    """An entity between two of the lines 1, 11, 21."""
+    spark.createDataFrame([("u", "r", "f.py", "function", "g", 3, 5, None, None, None, None, None, False)], "uuid string, repo_id string, file_path string, type string, name string, start_line int, end_line int, docstring string, tags array<string>, metadata string, created_by string, created_at timestamp, manual boolean").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([("r", "f.py", "x\n" * 20)], "repo_id string, file_path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    rows = QUERIES["entity_at_every_line"](spark, str(tmp_path)).collect()
+    assert sorted((r.line, r.uuid) for r in rows) == [(3, "u"), (4, "u"), (5, "u")]
