@@ -103,15 +103,14 @@ def hotspots(links: DataFrame, nodes: DataFrame, limit: int = 10, rounds: int =
     return rows.withColumn("score", score).orderBy(F.desc("score"), "uuid").limit(limit)
 
 
-def _spread_min(pairs: DataFrame, labels: DataFrame, most: int = 200) -> DataFrame:
+def _spread_min(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels (uuid, label) lowered along pairs (src, dst) until none changes."""
-    for _ in range(most):
+    while True:
         offered = pairs.join(labels.select(F.col("uuid").alias("src"), F.col("label").alias("offer")), "src").groupBy(F.col("dst").alias("uuid")).agg(F.min("offer").alias("offer"))
         new = cut(labels.join(offered, "uuid", "left").select("uuid", F.least("label", F.coalesce("offer", "label")).alias("label"), (F.col("offer") < F.col("label")).alias("moved")))
         labels = new.select("uuid", "label")
         if new.where("moved").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def strong_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -157,20 +156,31 @@ def strong_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return done if done is not None else ids.select("uuid", F.col("uuid").alias("component"))
 
 
-def cycles(links: DataFrame, most: int = 4) -> DataFrame:
-    """(path, length): elementary circuits of at most `most` links, each once, from its smallest entity on."""
+def cycles(links: DataFrame, most: int | None = 4) -> DataFrame:
+    """(path, length): elementary circuits of at most `most` links (None: of any length), each once, from its smallest
+    entity on. There can be exponentially many; a circuit lies within a strong component."""
     pairs = links.select("src", "dst").distinct()
     loops = pairs.where("src = dst").select(F.array("src").alias("path"), F.lit(1).alias("length"))
     steps = pairs.where("src <> dst")
     # Only links between entities with a way in and a way out can be on a circuit.
     live = steps.select(F.col("src").alias("uuid")).distinct().join(steps.select(F.col("dst").alias("uuid")).distinct(), "uuid", "left_semi")
     steps = cut(steps.join(live.withColumnRenamed("uuid", "src"), "src", "left_semi").join(live.withColumnRenamed("uuid", "dst"), "dst", "left_semi"))
+    if most is None:
+        inside = cut(strong_components(steps, live))
+        steps = steps.join(inside.select(F.col("uuid").alias("src"), "component"), "src").join(inside.select(F.col("uuid").alias("dst"), "component"), ["dst", "component"])
+        steps = cut(steps.select("src", "dst"))
     level = steps.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("end"))
-    found = loops
-    for length in range(2, most + 1):
+    found, length = loops, 2
+    while True:
         closing = level.join(steps, F.col("end") == F.col("src")).where(F.col("dst") == F.element_at("path", 1)).select("path", F.lit(length).alias("length"))
         found = found.unionByName(closing)
-        if length < most:
-            on = level.join(steps, F.col("end") == F.col("src")).where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst")))
-            level = on.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("end"))
+        if length == most:
+            break
+        on = level.join(steps, F.col("end") == F.col("src")).where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst")))
+        level = on.select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("end"))
+        if most is None:
+            level = cut(level)
+            if level.isEmpty():
+                break
+        length += 1
     return found.withColumn("severity", F.when(F.col("length") <= 3, "high").otherwise("medium"))

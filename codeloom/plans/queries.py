@@ -373,19 +373,37 @@ def hotspots(spark: SparkSession, folder: str) -> DataFrame:
     return graphalg.hotspots(links, ids)
 
 
+def _component_sizes(links: DataFrame, ids: DataFrame) -> DataFrame:
+    sizes = graphalg.strong_components(links, ids).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+
+
 @query
 def strong_components(spark: SparkSession, folder: str) -> DataFrame:
     """Of the import graph: how many components there are of each size."""
     links = _links(spark, folder).where("type = 'imports'").select("src", "dst")
-    ids = links.select(F.explode(F.array("src", "dst")).alias("uuid")).distinct()
-    sizes = graphalg.strong_components(links, ids).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+    return _component_sizes(links, links.select(F.explode(F.array("src", "dst")).alias("uuid")).distinct())
+
+
+@query
+def strong_components_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Of all links and entities: how many components there are of each size."""
+    return _component_sizes(*_whole(spark, folder))
+
+
+def _import_links(spark: SparkSession, folder: str) -> DataFrame:
+    return _links(spark, folder).where("type in ('imports', 'depends_on')")
 
 
 @query
 def import_cycles(spark: SparkSession, folder: str) -> DataFrame:
-    links = _links(spark, folder).where("type in ('imports', 'depends_on')")
-    return graphalg.cycles(links, 4).select(F.array_join("path", ">").alias("path"), "length", "severity")
+    return graphalg.cycles(_import_links(spark, folder), 4).select(F.array_join("path", ">").alias("path"), "length", "severity")
+
+
+@query
+def import_cycles_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Circuits of any length."""
+    return graphalg.cycles(_import_links(spark, folder), None).select(F.array_join("path", ">").alias("path"), "length", "severity")
 
 
 # ------------------------------------------------------------------------------------------------ text

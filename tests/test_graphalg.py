@@ -123,6 +123,23 @@ def test_cycles(spark):
     assert got == {(("d",), 1, "high"), (("a", "b"), 2, "high"), (("a", "b", "c"), 3, "high"), (("b", "c", "e", "f"), 4, "medium")}
 
 
+def test_cycles_of_any_length(spark):
+    ring = [f"n{i}" for i in range(6)]
+    pairs = [*zip(ring, [*ring[1:], ring[0]]), ("n2", "n0"), ("n5", "z"), ("z", "z")]
+    links, _ = graph(spark, pairs, [])
+    got = {(tuple(r.path), r.length) for r in graphalg.cycles(links, None).collect()}
+    assert got == {(tuple(ring), 6), (("n0", "n1", "n2"), 3), (("z",), 1)}
+
+
+def test_component_query_covers_the_whole_graph(spark, tmp_path):
+    """A component over several types of links, an isolated entity, an unknown end."""
+    ids = ["a", "b", "c", "d", "e"]
+    spark.createDataFrame([(u, "r", "f.py", "function", u, 1, 2, None, None, None, None, None, False) for u in ids], "uuid string, repo_id string, file_path string, type string, name string, start_line int, end_line int, docstring string, tags array<string>, metadata string, created_by string, created_at timestamp, manual boolean").write.parquet(f"{tmp_path}/nodes.parquet")
+    pairs = [("a", "b", "calls"), ("b", "c", "inherits"), ("c", "a", "imports"), ("c", "d", "uses"), ("d", "x", "imports")]
+    spark.createDataFrame([(f"l{i}", *p, None, None) for i, p in enumerate(pairs)], "uuid string, from_uuid string, to_uuid string, type string, created_at timestamp, properties string").write.parquet(f"{tmp_path}/edges.parquet")
+    assert {(r["size"], r.components) for r in QUERIES["strong_components_all"](spark, str(tmp_path)).collect()} == {(3, 1), (1, 3)}
+
+
 def test_empty_graph(spark):
     links, nodes = graph(spark, [], [])
     assert graphalg.pagerank(links, nodes).count() == 0
