@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import ending
 from codeloom.operators.traverse import lines
+from codeloom.session import spread
 
 # Name, type, pattern, group of the name, confidence.
 ENTITY_PATTERNS = (
@@ -21,6 +26,8 @@ ENTITY_PATTERNS = (
 )
 #: Of the value of a variable so many characters are kept.
 PREVIEW = 50
+# Relation, pattern, groups of source and target, confidence.
+RELATION_FORMS = (("inherits", r"class\s+(\w+)\s*\(\s*(\w+)", 1, 2, 0.9), ("imports", r"from\s+(\w+)\s+import\s+(\w+)", 2, 1, 0.9), ("composes", r"self\.(\w+)\s*=\s*(\w+)\(", 1, 2, 0.7))
 # What the surroundings of an entity mention, by kind: type it applies to, confidence.
 MENTIONS = {
     "api": (("@app.route", "@app.get", "@app.post", "request", "response", "HTTP", "API"), "function", 0.8),
@@ -45,6 +52,42 @@ def pattern_entities(files: DataFrame) -> DataFrame:
     return _python(files).withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select("repo_id", "file_path", (F.col("n") + 1).alias("line"), "hit.*")
 
 
+def _matched(files: DataFrame, patterns: tuple[tuple[str, str], ...]) -> DataFrame:
+    """(repo_id, file_path, line, form, groups) of every match of each pattern (form, pattern) over whole Python texts."""
+    rows = spread(files.where(ending("file_path") == ".py").where("content is not null").dropDuplicates(["repo_id", "file_path"]).select("repo_id", "file_path", "content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(form, re.compile(p, re.M)) for form, p in patterns]
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                text = row["content"].replace("\r\n", "\n")
+                for form, pattern in compiled:
+                    line, at = 1, 0
+                    for m in pattern.finditer(text):
+                        line, at = line + text.count("\n", at, m.start()), m.start()
+                        out.append((row["repo_id"], row["file_path"], line, form, list(m.groups())))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["repo_id", "file_path", "line", "form", "groups"])
+
+    return rows.mapInArrow(run, "repo_id string, file_path string, line int, form string, groups array<string>")
+
+
+def every_pattern_entity(files: DataFrame) -> DataFrame:
+    """As pattern_entities, but every match of each pattern, also over several lines."""
+    forms = files.sparkSession.createDataFrame([(n, k, g, c) for n, k, _, g, c in ENTITY_PATTERNS], "pattern string, type string, g int, confidence double")
+    rows = _matched(files, tuple((n, p) for n, _, p, _, _ in ENTITY_PATTERNS)).withColumnRenamed("form", "pattern").join(F.broadcast(forms), "pattern")
+    path = F.when(F.col("pattern") == "fastapi_endpoint", F.get("groups", F.lit(1)))
+    return rows.select("repo_id", "file_path", "line", "pattern", "type", F.get("groups", F.col("g") - 1).alias("name"), "confidence", path.alias("metadata"))
+
+
+def every_text_relation(files: DataFrame) -> DataFrame:
+    """As text_relations, but every match of each form, also over several lines."""
+    forms = files.sparkSession.createDataFrame([(k, a, b, c) for k, _, a, b, c in RELATION_FORMS], "relation string, a int, b int, confidence double")
+    rows = _matched(files, tuple((k, p) for k, p, *_ in RELATION_FORMS)).withColumnRenamed("form", "relation").join(F.broadcast(forms), "relation")
+    return rows.select("repo_id", "file_path", "line", "relation", F.get("groups", F.col("a") - 1).alias("source"), F.get("groups", F.col("b") - 1).alias("target"), "confidence")
+
+
 def variables(files: DataFrame) -> DataFrame:
     """(repo_id, file_path, line, name, type, value): assignments at line starts; upper-case names are constants."""
     pattern = r"^(\w+)\s*=\s*(.+)$"
@@ -88,9 +131,7 @@ def contextual(nodes: DataFrame, files: DataFrame, around: int = 3) -> DataFrame
 
 def text_relations(files: DataFrame) -> DataFrame:
     """(repo_id, file_path, line, relation, source, target, confidence): inheritance, imports and composition by form."""
-    # Relation, pattern, groups of source and target, confidence.
-    forms = (("inherits", r"class\s+(\w+)\s*\(\s*(\w+)", 1, 2, 0.9), ("imports", r"from\s+(\w+)\s+import\s+(\w+)", 2, 1, 0.9), ("composes", r"self\.(\w+)\s*=\s*(\w+)\(", 1, 2, 0.7))
-    hits = [F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("relation"), F.regexp_extract("text", p, a).alias("source"), F.regexp_extract("text", p, b).alias("target"), F.lit(c).alias("confidence"))) for k, p, a, b, c in forms]
+    hits = [F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("relation"), F.regexp_extract("text", p, a).alias("source"), F.regexp_extract("text", p, b).alias("target"), F.lit(c).alias("confidence"))) for k, p, a, b, c in RELATION_FORMS]
     return _python(files).withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select("repo_id", "file_path", (F.col("n") + 1).alias("line"), "hit.*")
 
 
@@ -140,10 +181,10 @@ def handled(files: DataFrame, nodes: DataFrame) -> DataFrame:
     return handlers(files).join(known, ["repo_id", "file_path", "function"]).select("repo_id", "file_path", "key", "uuid", F.lit(0.8).alias("confidence"))
 
 
-def served(files: DataFrame, nodes: DataFrame) -> DataFrame:
+def served(files: DataFrame, nodes: DataFrame, every: bool = False) -> DataFrame:
     """(repo_id, file_path, endpoint, uuid, confidence): endpoints with the first function defined from two lines before
-    them to four lines after."""
-    marks = pattern_entities(files).where("type = 'endpoint'").select("repo_id", "file_path", "line", F.coalesce("metadata", "name").alias("endpoint"))
+    them to four lines after. every: every endpoint of a line, not the first of each pattern."""
+    marks = (every_pattern_entity if every else pattern_entities)(files).where("type = 'endpoint'").select("repo_id", "file_path", "line", F.coalesce("metadata", "name").alias("endpoint"))
     heads = _python(files).where(F.col("text").rlike(r"^\s*(?:async\s+)?def\s+\w+")).select("repo_id", "file_path", (F.col("n") + 1).alias("at"), F.regexp_extract("text", r"def\s+(\w+)", 1).alias("function"))
     near = marks.withColumn("at", F.explode(F.sequence(F.greatest(F.col("line") - 2, F.lit(1)), F.col("line") + 4))).join(heads, ["repo_id", "file_path", "at"])
     known = nodes.where("type in ('function', 'method')").groupBy("repo_id", "file_path", F.col("name").alias("function")).agg(F.min("uuid").alias("uuid"))
@@ -169,7 +210,7 @@ def relations(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     named = nodes.groupBy("repo_id", "file_path", "name").agg(F.max_by("uuid", "start_line").alias("uuid"))
     ids = lambda side: named.select("repo_id", "file_path", F.col("name").alias(side), F.col("uuid").alias(f"{side}_id"))
-    found = text_relations(files).select("repo_id", "file_path", "relation", "source", "target", "confidence").distinct()
+    found = every_text_relation(files).select("repo_id", "file_path", "relation", "source", "target", "confidence").distinct()
     met = found.join(ids("source"), ["repo_id", "file_path", "source"], "left").join(ids("target"), ["repo_id", "file_path", "target"], "left")
     place = lambda side: F.coalesce(F.col(f"{side}_id"), F.concat(F.lit("external:"), F.col(side)))
     formed = met.where("source_id is not null or target_id is not null").select("relation", place("source").alias("source"), place("target").alias("target"), "confidence", (F.col("source_id").isNull() | F.col("target_id").isNull()).alias("external"))
@@ -179,7 +220,7 @@ def relations(files: DataFrame, nodes: DataFrame) -> DataFrame:
     return (
         formed.unionByName(row(marks, "decorates", F.concat(F.lit("external:"), F.col("decorator")), F.col("uuid"), F.lit(0.9), F.col("external")))
         .unionByName(row(handled(files, nodes), "handles", F.col("key"), F.col("uuid"), F.col("confidence"), no))
-        .unionByName(row(served(files, nodes), "handles", F.col("endpoint"), F.col("uuid"), F.col("confidence"), no))
+        .unionByName(row(served(files, nodes, every=True), "handles", F.col("endpoint"), F.col("uuid"), F.col("confidence"), no))
         .unionByName(row(tested(nodes), "tests", F.col("test"), F.col("subject"), F.col("confidence"), no))
         .unionByName(row(tested_by_calls(nodes, files), "tests", F.col("test"), F.col("subject"), F.col("confidence"), no))
         .unionByName(row(configured(nodes, files), "configures", F.col("config"), F.col("uuid"), F.lit(0.6), no))

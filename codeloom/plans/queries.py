@@ -420,6 +420,18 @@ named("rule_todo", _rule("todo_comments"))
 named("rule_secrets", _rule("hardcoded_secret"))
 
 
+def _every(*ids: str) -> Query:
+    """Every match over whole texts; the queries above give each line's first, as their SQL does."""
+    return lambda s, d: rules.matches(table(s, d, "source_files"), [r for r in rules.RULES if r.id in ids]).select("rule_id", "severity", "repo_id", "file_path", "line", "column", "matched")
+
+
+named("rule_long_lines_all", _every("long_lines"))
+named("rule_bare_except_all", _every("python_bare_except"))
+named("rule_var_all", _every("js_var_usage"))
+named("rule_todo_all", _every("todo_comments"))
+named("rule_secrets_all", _every("hardcoded_secret"))
+
+
 @query
 def rule_matches(spark: SparkSession, folder: str) -> DataFrame:
     """All rules, those over several lines and the callables too: matches per rule and repository."""
@@ -452,13 +464,16 @@ named("idioms", lambda s, d: patterns.idioms(table(s, d, "source_files")))
 named("magic_numbers", lambda s, d: patterns.magic_numbers(table(s, d, "source_files")))
 named("duplicate_blocks", lambda s, d: patterns.duplicate_blocks(table(s, d, "source_files")))
 named("pattern_entities", lambda s, d: semantic.pattern_entities(table(s, d, "source_files")))
+named("pattern_entities_all", lambda s, d: semantic.every_pattern_entity(table(s, d, "source_files")))
 named("variables_constants", lambda s, d: semantic.variables(table(s, d, "source_files")))
 named("handlers", lambda s, d: semantic.handlers(table(s, d, "source_files")))
 named("text_relations", lambda s, d: semantic.text_relations(table(s, d, "source_files")))
+named("text_relations_all", lambda s, d: semantic.every_text_relation(table(s, d, "source_files")))
 named("decorated_functions", lambda s, d: semantic.decorated(table(s, d, "source_files"), _nodes(s, d)))
 named("test_subjects", lambda s, d: semantic.tested(_nodes(s, d)))
 named("contextual_entities", lambda s, d: semantic.contextual(_nodes(s, d), table(s, d, "source_files")))
 named("endpoint_handlers", lambda s, d: semantic.served(table(s, d, "source_files"), _nodes(s, d)))
+named("endpoint_handlers_all", lambda s, d: semantic.served(table(s, d, "source_files"), _nodes(s, d), every=True))
 named("dictionary_handlers", lambda s, d: semantic.handled(table(s, d, "source_files"), _nodes(s, d)))
 named("tests_by_calls", lambda s, d: semantic.tested_by_calls(_nodes(s, d), table(s, d, "source_files")))
 named("relations_of_text", lambda s, d: semantic.relations(table(s, d, "source_files"), _nodes(s, d)))

@@ -259,3 +259,16 @@ def test_entity_at_every_line_finds_short_entities(spark, tmp_path):
     spark.createDataFrame([("r", "f.py", "x\n" * 20)], "repo_id string, file_path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
     rows = QUERIES["entity_at_every_line"](spark, str(tmp_path)).collect()
     assert sorted((r.line, r.uuid) for r in rows) == [(3, "u"), (4, "u"), (5, "u")]
+
+
+def test_every_match_of_a_line_has_its_row(spark, tmp_path):
+    files_of(spark, ("a.js", "var a; var b\nvar c"), ("b.py", "token = 'abcdefgh1'; secret = 'abcdefgh2'\n"), ("c.py", "class A(B): pass; self.x = Y(); self.z = W()\nclass C(\n    D): pass\n")).write.parquet(f"{tmp_path}/source_files.parquet")
+    got = lambda name: [(r.line, r["column"]) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got("rule_var_all")) == [(1, 1), (1, 8), (2, 1)]
+    assert len(got("rule_secrets_all")) == 2
+    rows = QUERIES["text_relations_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.line, r.source, r.target) for r in rows) == [(1, "A", "B"), (1, "x", "Y"), (1, "z", "W"), (2, "C", "D")]
+    f = files_of(spark, ("d.py", "@app.get('/a') @app.get('/b')\ndef f(): pass\n"))
+    assert sorted((r.pattern, r.metadata) for r in semantic.every_pattern_entity(f).where("type = 'endpoint'").collect()) == [("fastapi_endpoint", "/a"), ("fastapi_endpoint", "/b")]
+    n = nodes_of(spark, node("u", name="f", path="d.py"))
+    assert {r.endpoint for r in semantic.served(f, n, every=True).collect()} == {"/a", "/b"}
