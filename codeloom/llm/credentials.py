@@ -62,12 +62,14 @@ LEX = re.compile(rf"(?P<s>(?:[rRbBuUfF]{{1,2}}(?=[\"']))?(?:{_STRING}))|(?P<c>/\
 CONFIG = re.compile(r"^\s*(?:export\s+|set\s+|-\s+)?[\"']?([A-Za-z_][\w.\-]*)[\"']?\s*[=:]\s*(.*?)\s*,?\s*$")
 # What a line with a credential holds at least one of, in lower case.
 HINTS = (
-    "pass pwd pw= pw: pw_ _pw pw\" pw' kennwort contrase motdepasse mdp senha secret token credential creds bearer basic login "
+    "pass pwd pw kennwort contrase motdepasse mdp senha secret token credential creds bearer basic login "
     "apikey api_key api-key api.key api\u00a0key access_key accesskey access.key access-key signing encryption_key encryptionkey encryption.key private "
     "master_key masterkey auth_key license_key account_key storage_key shared_key ghp_ gho_ ghs_ ghu_ ghr_ github_pat_ glpat- xox sk_live_ sk_prod_ rk_live_ "
     "akia asia eyj aiza npm_ :// -u ywnjzx yxbp cgfzc3 dg9rzw c2vjcm"
 ).replace("\u00a0", " ").split(" ") + ["api key", "access key", "-u "]
 HINTS = tuple(dict.fromkeys(h for h in HINTS if h and h not in ("key", "api", "-u"))) + ("-u ",)
+#: The pairs of NAME that end in key, however they are written; the other pairs hold a hint in their second word.
+_KEY_HINT = re.compile(r"(?:api|access|secret|private|signing|encryption|master|auth|client|account|service|shared|session|license|storage)[^a-zà-ÿ\n]*key")
 _THREE_PARTS = re.compile(r"\.[\w\-]{20,24}\.[\w\-]{38}")
 
 
@@ -88,6 +90,8 @@ def candidate_lines(text: str) -> list[tuple[int, int]]:
         i = low.find(hint)
         while i >= 0:
             i = low.find(hint, add(i))
+    for m in _KEY_HINT.finditer(low):
+        add(m.start())
     for m in _THREE_PARTS.finditer(text):
         add(m.start())
     return sorted(lines.items())
@@ -103,7 +107,7 @@ def names_credential(name: str) -> bool:
 
 def looks_secret(value: str) -> bool:
     """Whether the value of a credential-named name is one: not a placeholder, a reference, words or an id."""
-    if len(value) < 6 or len(value) > 4000 or any(c.isspace() for c in value):
+    if len(value) < 6 or any(c.isspace() for c in value):
         return False
     if PLACEHOLDER.search(value) or UUID.match(value) or _WORDS.match(value) and not _mixed(value):
         return False
@@ -129,7 +133,7 @@ def decoded(value: str) -> str | None:
         text = raw.decode("utf-8")
     except (binascii.Error, ValueError):
         return None
-    return text if text.isprintable() else None
+    return text if all(c.isprintable() or c in "\r\n\t" for c in text) else None
 
 
 def _by_format(line: str) -> Iterator[tuple[int, int]]:
@@ -149,12 +153,25 @@ def _by_format(line: str) -> Iterator[tuple[int, int]]:
             i = 1 if m[1] else 2
             if looks_secret(m[i]):
                 yield m.span(i)
-    for m in ENCODED.finditer(line):
-        inner = decoded(m[1]) if len(m[1]) < 2000 else None
+
+
+def _encoded(text: str) -> Iterator[tuple[int, int]]:
+    """Base64 of any length, under any name, that stands for a credential."""
+    for m in ENCODED.finditer(text):
+        inner = decoded(m[1])
         if inner and ((found := INSIDE.search(inner)) and not PLACEHOLDER.search(found[1]) or FORMATS.search(inner)):
             yield m.span(1)
 
 
+def _statement_end(text: str, start: int, end: int) -> int:
+    """Where the last line ends that a line goes on in: after an operator that leaves its right side open."""
+    while end < len(text) and _OPEN.search(text[start:end]):
+        start = end + 1
+        end = text.find("\n", start)
+        end = len(text) if end < 0 else end
+    return end
+
+
 def _content(token: str) -> tuple[int, int]:
     """Where the content of a literal begins and ends within its token."""
     start = next(i for i, c in enumerate(token) if c in "\"'`") + 1
@@ -202,8 +219,8 @@ def _by_name(line: str) -> Iterator[tuple[int, int]]:
         i += 1
 
 
+_OPEN = re.compile(r"(?:[=(+:\\]|=>)\s*$")
 _COMMENT = ("#", "//", "*", "/*", "--", ";")
-_LITERAL = re.compile(r"[\"'`]|://|#|/[/*]|^\s*(?:\*|;|--)|-----")
 
 
 def find(text: str | None, configuration: bool = False) -> list[tuple[int, int]]:
@@ -215,14 +232,14 @@ def find(text: str | None, configuration: bool = False) -> list[tuple[int, int]]
     if "PRIVATE KEY-----" in text:
         keys = [m.span() for m in PRIVATE_KEY.finditer(text) if "**" not in m[0]]
         spans += keys
-    one_line = "\n" not in text
+    spans += _encoded(text)
     for start, end in candidate_lines(text):
         line = text[start:end]
-        if not (configuration or one_line) and not _LITERAL.search(line) or any(a < start < b for a, b in keys):
+        if any(a < start < b for a, b in keys):
             continue
         spans += [(start + a, start + b) for a, b in _by_format(line)]
-        found = list(_by_name(line))
         comment = line.lstrip().startswith(_COMMENT)
+        found = list(_by_name(line if comment or configuration else text[start : _statement_end(text, start, end)]))
         if configuration and not comment and (m := CONFIG.match(line)):
             value, at = m[2], m.start(2)
             if value[:1] in "\"'" and value[-1:] == value[:1] and len(value) > 1:

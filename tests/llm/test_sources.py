@@ -178,3 +178,16 @@ def test_classified_table(spark):
     assert all(got[f"h{i}.py"] is None for i in range(40)) and all(got[f"m{i}.js"] == "minified" and got[f"d{i}.py"] == "data" for i in range(10))
     assert got["copy.py"] == "copy" and got["v/third_party/x.py"] == "others" and got["e.py"] is None and "t.json" not in got
     assert provenance.classify(files.limit(0), reference.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ('sessionKey = "9f8a7b6c5d"', "9f8a7b6c5d"), ('"AccountKey": "9f8a7b6c5d4e"', "9f8a7b6c5d4e"), ('pw = "S3cr3tW0rd!"', "S3cr3tW0rd!"), ('MASTER-KEY: "9f8a7b6c5d"', "9f8a7b6c5d"),
+        ('blob = "REJfUEFTU1dPUkQ9aHVudGVyMjIzMzQ0"', "REJfUEFTU1dPUkQ9aHVudGVyMjIzMzQ0"), ('s = """\nghp_abcdefghij0123456789abcd\n"""', "ghp_abcdefghij0123456789abcd"),
+        ('password = (\n    "S3cr3tW0rd!9"\n)', "S3cr3tW0rd!9"), ('token = "' + "a1B2" * 1100 + '"', "a1B2" * 1100),
+    ],
+)
+def test_credentials_without_the_old_hints(text, secret):
+    whole = f"a = 1\n{text}\nb = 2\n"
+    assert [whole[a:b] for a, b in credentials.find(whole)] == [secret]
