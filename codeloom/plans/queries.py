@@ -296,9 +296,9 @@ def signatures(spark: SparkSession, folder: str) -> DataFrame:
 
 def _places(spark: SparkSession, folder: str, step: int) -> DataFrame:
     """(repo_id, file_path, line) of each file's lines 1, 1 + step and so on."""
-    n = F.size(traverse.lines("content"))
-    asked = F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(step))).alias("line")
-    return _files(spark, folder).where("content is not null").select("repo_id", plain_path("file_path").alias("file_path"), asked).distinct()
+    sizes = _files(spark, folder).where("content is not null").select("repo_id", plain_path("file_path").alias("file_path"), F.size(traverse.lines("content")).alias("n"))
+    sizes = sizes.groupBy("repo_id", "file_path").agg(F.max("n").alias("n"))
+    return sizes.select("repo_id", "file_path", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)), F.lit(step))).alias("line"))
 
 
 @query
