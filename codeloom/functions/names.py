@@ -30,6 +30,16 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def can_be_similar(a: Column, b: Column) -> Column:
+    """Whether two names could be SIMILAR: twice the letters they share, each as often as in both, are no less than that
+    part of all. A bound for the JVM, so that few pairs need the sequences compared; null for null names."""
+    a, b = F.lower(a), F.lower(b)
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(b, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    whole = F.length(a) + F.length(b)
+    return (2 * F.least(F.length(a), F.length(b)) >= SIMILAR * whole) & (2 * shared >= SIMILAR * whole)
+
+
 def exact_score(name: Column, wanted: str) -> Column:
     """1 for the name itself, .9 for a prefix, .7 for a part, null beyond that; regardless of case."""
     n, w = F.lower(name), wanted.lower()

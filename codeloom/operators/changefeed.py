@@ -4,7 +4,8 @@ The feed is ordered by a sequence column, not by arrival. Changes are deduplicat
 key's last delete are dropped, and the last value given for each field is found with a window ranking, of which
 Spark evaluates the limit before the shuffle, so a key with a third of all rows sends one row per task.
 
-Rules: an *insert* creates, or overwrites the given fields of what exists; an *update* overwrites the given fields of
+Rules: of changes with one identifier the one with the largest sequence counts, of those the largest in its other
+columns; changes without identifier are each their own, equal ones count once. An *insert* creates, or overwrites the given fields of what exists; an *update* overwrites the given fields of
 what exists and otherwise changes nothing; a *delete* removes, and a later insert starts afresh. Changes without key
 or sequence don't count. Of changes with the same key and sequence, deletes apply first, then the one with the larger
 identifier wins. An empty feed leaves the base as it is.
@@ -25,14 +26,24 @@ INSERT, UPDATE, DELETE = "insert", "update", "delete"
 MADE = "\0made"
 
 
-def apply_changes(changes: DataFrame, fields: Sequence[str], base: DataFrame | None = None) -> DataFrame:
+def deduplicated(changes: DataFrame) -> DataFrame:
+    """Each change once, by its identifier; changes without key or sequence are left out. Combined where the rows are."""
+    rows = changes.where(F.col("key").isNotNull() & F.col("seq").isNotNull())
+    others = [c for c in changes.columns if c != "seq"]
+    # A change without identifier is told by what it says.
+    ident = F.coalesce(F.col("change_id").cast("string"), F.concat(F.lit("\0"), F.xxhash64(*rows.columns).cast("string")))
+    return rows.groupBy(ident.alias("i_")).agg(F.max(F.struct("seq", *others)).alias("c_")).select(*[F.col(f"c_.{c}").alias(c) for c in changes.columns])
+
+
+def apply_changes(changes: DataFrame, fields: Sequence[str], base: DataFrame | None = None, distinct: bool = False) -> DataFrame:
     """The table (key and fields) after the last change.
 
     changes: change_id, key, seq, op and, per field f, `f` (new value) and `has_f` (whether the change gives it; a
-    given null overwrites). base: key and fields as they were before the first change.
+    given null overwrites). base: key and fields as they were before the first change. distinct: the changes are
+    deduplicated and written already.
     """
-    changes = changes.where(F.col("key").isNotNull() & F.col("seq").isNotNull()).dropDuplicates(["change_id"])
-    changes = cut(changes)
+    if not distinct:
+        changes = cut(deduplicated(changes))
     deletes = changes.where(F.col("op") == DELETE).groupBy("key").agg(F.max("seq").alias("deleted_at_"))
     writes = lookup(changes.where(F.col("op").isin(INSERT, UPDATE)), deletes, "key", ["deleted_at_"])
     # At equal sequence the delete applies first, so a write at the same time stands.
@@ -45,7 +56,7 @@ def apply_changes(changes: DataFrame, fields: Sequence[str], base: DataFrame | N
         _cell(MADE, F.col("op") == INSERT, F.lit(None), F.col("seq"), F.lit(None)),
     )
     cells = writes.select("key", F.explode(F.filter(cells, lambda x: x["given"])).alias("cell")).select("key", "cell.*")
-    rank = F.row_number().over(W.partitionBy("key", "field").orderBy(F.desc("at"), F.desc("id")))
+    rank = F.row_number().over(W.partitionBy("key", "field").orderBy(F.desc("at"), F.desc("id"), F.desc("value")))
     latest = cells.where(F.col("field") != MADE).withColumn("rank_", rank).where("rank_ = 1")
     first = cells.where(F.col("field") == MADE).groupBy("key").agg(F.min("at").alias("made_at_"))
     last = latest.groupBy("key").agg(

@@ -44,6 +44,14 @@ def relations(edges: DataFrame) -> DataFrame:
     return last_wins(rows, ["src", "dst"], [F.desc("created_at"), F.desc("uuid")])
 
 
+def relations_at(edges: DataFrame, ids: DataFrame, end: str) -> DataFrame:
+    """relations(edges) with the end "src" or "dst" among ids (uuid), which are sought before pairs are compared: all rows of
+    a pair have that end."""
+    column = {"src": "from_uuid", "dst": "to_uuid"}[end]
+    near = edges.withColumn("k_", canonical_id(column)).join(ids.select(F.col("uuid").alias("k_")), "k_", "left_semi")
+    return relations(near.drop("k_"))
+
+
 def ends(links: DataFrame) -> DataFrame:
     """(uuid, n_out, n_in) of everything that is an end of a link; a self-loop counts in both."""
     both = F.explode(F.array(F.struct(F.col("src").alias("uuid"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("uuid"), F.lit(0).alias("o"), F.lit(1).alias("i"))))

@@ -2,6 +2,10 @@
 
 Links are (src, dst), repeated ones count once. Nothing is broadcast and no list of ids, labels or components comes to
 the driver, only counts. Empty graphs give empty results.
+
+Path measures from every source hold sources x reachable rows: exact, and bounded by `most_rows` where given, beyond which
+they stop with an error. `betweenness` and `closeness` from a sample of pivots estimate the same figures from as many
+sources as asked for, whatever the size of the graph.
 """
 
 from __future__ import annotations
@@ -12,9 +16,12 @@ from pyspark.sql import functions as F
 from codeloom.session import cut
 
 
-def pagerank(links: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 0.0, every: int = 4) -> DataFrame:
-    """(uuid, rank) over nodes (uuid): dangling mass is spread evenly; ends at `rounds` or when the ranks move less than
-    tolerance per node. Links to unknown entities are left out."""
+def pagerank(links: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(uuid, rank) over nodes (uuid): dangling mass is spread evenly; ends when the ranks move less than tolerance per node
+    in all, or at `rounds`. Links to unknown entities are left out.
+
+    A round is one join, one aggregation and one write; the dangling mass and the movement come from what was written.
+    """
     ids = cut(nodes.select("uuid").distinct())
     n = ids.count()
     if not n:
@@ -23,33 +30,43 @@ def pagerank(links: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     pairs = pairs.join(ids.withColumnRenamed("uuid", "src"), "src", "left_semi").join(ids.withColumnRenamed("uuid", "dst"), "dst", "left_semi")
     out = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
     pairs = cut(pairs.join(out, "src"))
-    linked = cut(ids.join(out.withColumnRenamed("src", "uuid"), "uuid", "left"))
-    ranks = linked.withColumn("rank", F.lit(1.0 / n))
-    for k in range(1, rounds + 1):
-        dangling = ranks.agg(F.coalesce(F.sum(F.when(F.col("n_out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
+    ranks = cut(ids.join(pairs.select(F.col("src").alias("uuid"), "n_out").distinct(), "uuid", "left").withColumn("rank", F.lit(1.0 / n)))
+    linked = ranks.drop("rank")
+    lost = ranks.where("n_out is null").count() / n
+    for _ in range(rounds):
         given = pairs.join(ranks.select(F.col("uuid").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("uuid")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
-        new = linked.join(given, "uuid", "left").join(F.broadcast(dangling))
-        new = new.select("uuid", "n_out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % every == 0 or k == rounds or tolerance:
-            new = cut(new)
-        if tolerance:
-            moved = new.join(ranks.select("uuid", F.col("rank").alias("old")), "uuid").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if moved < tolerance * n:
-                return new.select("uuid", "rank")
-        ranks = new
+        old = ranks.select("uuid", F.col("rank").alias("old"))
+        new = linked.join(given, "uuid", "left").join(old, "uuid")
+        new = cut(new.select("uuid", "n_out", "old", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) / n)).alias("rank")))
+        row = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"), F.sum(F.when(F.col("n_out").isNull(), F.col("rank"))).alias("lost")).first()
+        ranks, lost = new.drop("old"), row.lost or 0.0
+        if row.moved < tolerance * n:
+            break
     return ranks.select("uuid", "rank")
 
 
-def shortest_paths(links: DataFrame, sources: DataFrame, most: int | None = None, every: int = 8) -> DataFrame:
+class TooManyPaths(RuntimeError):
+    """More (source, reached) rows than allowed."""
+
+
+def shortest_paths(links: DataFrame, sources: DataFrame, most: int | None = None, every: int = 8, most_rows: int | None = None) -> DataFrame:
     """(source, uuid, depth, paths): distance and number of shortest paths from each source (uuid), level by level until
-    no level has a new entity, or to depth `most`. Levels are written once and merged with what is seen every few."""
+    no level has a new entity, or to depth `most`. Levels are written once and merged with what is seen every few.
+
+    most_rows: raise TooManyPaths when more rows than that are reached, rather than filling the cluster.
+    """
     pairs = cut(links.select("src", "dst").distinct())
     seen = cut(sources.select(F.col("uuid").alias("source"), "uuid", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")).distinct())
     frontier, d = seen, 0
+    reached = seen.count() if most_rows is not None else 0
     while most is None or d < most:
         d += 1
         step = frontier.join(pairs, F.col("uuid") == F.col("src")).groupBy("source", F.col("dst").alias("uuid")).agg(F.sum("paths").alias("paths"))
         frontier = cut(step.join(seen, ["source", "uuid"], "left_anti").select("source", "uuid", F.lit(d).alias("depth"), "paths"))
+        if most_rows is not None:
+            reached += frontier.count()
+            if reached > most_rows:
+                raise TooManyPaths(f"more than {most_rows} rows at depth {d}; estimate from pivots instead")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -58,24 +75,37 @@ def shortest_paths(links: DataFrame, sources: DataFrame, most: int | None = None
     return seen
 
 
-def closeness(links: DataFrame, nodes: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """(uuid, closeness): incoming distances, scaled by the share of entities that reach it; 0 if none does."""
-    paths = shortest_paths(links, nodes) if paths is None else paths
-    n = nodes.select("uuid").distinct().count()
-    near = paths.where("depth > 0").groupBy("uuid").agg(F.count(F.lit(1)).alias("r"), F.sum("depth").alias("far"))
-    rows = nodes.select("uuid").distinct().join(near, "uuid", "left")
+def pivots(nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(uuid) of n of the nodes, those with the smallest hash: a sample without regard to order, the same every time."""
+    return nodes.select("uuid").distinct().orderBy(F.xxhash64(F.lit(seed), F.col("uuid")), "uuid").limit(n)
+
+
+def closeness(links: DataFrame, nodes: DataFrame, paths: DataFrame | None = None, sources: int | None = None) -> DataFrame:
+    """(uuid, closeness): incoming distances, scaled by the share of entities that reach it; 0 if none does.
+
+    sources: paths are those from as many pivots; what reaches an entity is counted among them and scaled up.
+    """
+    ids = nodes.select("uuid").distinct()
+    n = ids.count()
+    if paths is None:
+        paths = shortest_paths(links, ids if sources is None else pivots(nodes, sources))
+    scale = n / sources if sources is not None and sources < n else 1.0
+    near = paths.where("depth > 0").groupBy("uuid").agg((F.count(F.lit(1)) * scale).alias("r"), (F.sum("depth") * scale).alias("far"))
     score = (F.col("r") / F.col("far")) * (F.col("r") / F.lit(max(n - 1, 1)))
-    return rows.select("uuid", F.coalesce(score, F.lit(0.0)).alias("closeness"))
+    return ids.join(near, "uuid", "left").select("uuid", F.coalesce(score, F.lit(0.0)).alias("closeness"))
 
 
-def betweenness(links: DataFrame, nodes: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def betweenness(links: DataFrame, nodes: DataFrame, paths: DataFrame | None = None, sources: int | None = None) -> DataFrame:
     """(uuid, betweenness): share of shortest paths through each entity, directed, normalised, ends excluded.
 
-    The dependencies are accumulated from the farthest level back, one join and aggregation per level.
+    The dependencies are accumulated from the farthest level back, one join and aggregation per level. sources: paths are
+    those from as many pivots, and the sums are scaled up.
     """
-    paths = shortest_paths(links, nodes) if paths is None else paths
-    pairs = links.select("src", "dst").distinct()
-    n = nodes.select("uuid").distinct().count()
+    base = nodes.select("uuid").distinct()
+    n = base.count()
+    if paths is None:
+        paths = cut(shortest_paths(links, base if sources is None else pivots(nodes, sources)))
+    pairs = cut(links.select("src", "dst").distinct())
     deepest = paths.agg(F.max("depth")).first()[0] or 0
     acc = None
     last = paths.where(F.col("depth") == deepest).withColumn("owed", F.lit(0.0))
@@ -84,23 +114,30 @@ def betweenness(links: DataFrame, nodes: DataFrame, paths: DataFrame | None = No
         share = last.withColumnRenamed("uuid", "dst").join(pairs, "dst").join(above, ["source", "src"])
         owed = share.groupBy("source", F.col("src").alias("uuid")).agg(F.sum(F.col("above") / F.col("paths") * (1 + F.col("owed"))).alias("owed"))
         level = cut(paths.where(F.col("depth") == d - 1).join(owed, ["source", "uuid"], "left").withColumn("owed", F.coalesce("owed", F.lit(0.0))))
-        inner = level.where("source <> uuid").select("uuid", "owed")
+        inner = level.where("source <> uuid").groupBy("uuid").agg(F.sum("owed").alias("owed"))
         acc = inner if acc is None else acc.unionByName(inner)
         last = level
-    base = nodes.select("uuid").distinct()
     if acc is None:
         return base.withColumn("betweenness", F.lit(0.0))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    if sources is not None and sources < n:
+        scale *= n / sources
     summed = acc.groupBy("uuid").agg((F.sum("owed") * scale).alias("betweenness"))
     return base.join(summed, "uuid", "left").select("uuid", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def hotspots(links: DataFrame, nodes: DataFrame, limit: int = 10, rounds: int = 20) -> DataFrame:
-    """(uuid, score, betweenness, closeness, rank): the entities of the largest combined score."""
-    paths = shortest_paths(links, nodes)
-    rows = betweenness(links, nodes, paths).join(closeness(links, nodes, paths), "uuid").join(pagerank(links, nodes, rounds=rounds), "uuid")
+def hotspots(links: DataFrame, nodes: DataFrame, limit: int | None = 10, sources: int | None = None) -> DataFrame:
+    """(uuid, score, betweenness, closeness, rank, connections, average): the entities of the largest combined score, how
+    many link ends each has, and the average score of all. sources: estimate the path measures from as many pivots."""
+    ids = nodes.select("uuid").distinct()
+    paths = cut(shortest_paths(links, ids if sources is None else pivots(nodes, sources)))
+    rows = betweenness(links, ids, paths, sources).join(closeness(links, ids, paths, sources), "uuid").join(pagerank(links, ids), "uuid")
     score = 0.4 * F.col("betweenness") + 0.3 * F.col("closeness") + 0.3 * F.col("rank")
-    return rows.withColumn("score", score).orderBy(F.desc("score"), "uuid").limit(limit)
+    ends = links.select("src", "dst").distinct().select(F.explode(F.array("src", "dst")).alias("uuid")).groupBy("uuid").agg(F.count(F.lit(1)).alias("connections"))
+    scored = cut(rows.withColumn("score", score))
+    average = scored.agg(F.avg("score").alias("average"))
+    top = scored if limit is None else scored.orderBy(F.desc("score"), "uuid").limit(limit)
+    return top.join(ends, "uuid", "left").join(F.broadcast(average)).withColumn("connections", F.coalesce("connections", F.lit(0)))
 
 
 def _spread_min(pairs: DataFrame, labels: DataFrame) -> DataFrame:

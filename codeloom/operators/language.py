@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import DETECTED_ENDINGS, ending, lookup
@@ -80,14 +83,16 @@ def detect(files: DataFrame) -> DataFrame:
 PYTHON_FIGURES = {
     "imports": r"import\s+(\w+(?:\.\w+)*)",
     "from_imports": r"from\s+(\w+(?:\.\w+)*)\s+import\s+(.+)",
+    "aliased_imports": r"import\s+(\w+(?:\.\w+)*)\s+as\s+(\w+)",
     "decorators": r"@(\w+(?:\.\w+)*)",
     "async_functions": r"async\s+def\s+(\w+)",
     "awaits": r"await\s+(\w+)",
     "list_comprehensions": r"\[.+\s+for\s+.+\s+in\s+.+\]",
     "dict_comprehensions": r"\{.+:\s*.+\s+for\s+.+\s+in\s+.+\}",
+    "set_comprehensions": r"\{.+\s+for\s+.+\s+in\s+.+\}",
     "context_managers": r"with\s+(\w+(?:\.\w+)*)",
-    "return_annotations": r"->\s*\w+",
-    "docstrings": r"(?s)\"\"\".*?\"\"\"",
+    "double_quoted_docs": r"(?s)\"\"\".*?\"\"\"",
+    "single_quoted_docs": r"(?s)'''.*?'''",
 }
 JAVASCRIPT_FIGURES = {
     "es6_imports": r"import\s+.+\s+from\s+['\"](.+)['\"]",
@@ -99,17 +104,79 @@ JAVASCRIPT_FIGURES = {
     "object_destructuring": r"\{\s*\w+",
     "template_literals": r"`[^`]*\$\{[^}]*\}[^`]*`",
 }
-# What a framework's name or calls look like.
+# What a text uses if it has a match of every pattern.
+PYTHON_FLAGS = {"uses_asyncio": (r"asyncio\.",), "has_type_hints": (r":\s*\w+",), "has_return_annotations": (r"->\s*\w+",), "uses_typing": (r"from\s+typing\s+import",)}
+JAVASCRIPT_FLAGS = {"uses_promises": ("Promise",), "uses_async_await": ("async", "await"), "uses_then_catch": (r"\.then\(|\.catch\(",)}
+# Names that are listed: pattern and group.
+PYTHON_NAMES = {"decorator_names": (r"@(\w+(?:\.\w+)*)", 1), "async_names": (r"async\s+def\s+(\w+)", 1), "await_names": (r"await\s+(\w+)", 1), "context_names": (r"with\s+(\w+(?:\.\w+)*)", 1)}
+JAVASCRIPT_NAMES = {"import_names": (r"import\s+.+\s+from\s+['\"](.+)['\"]", 1), "require_names": (r"require\s*\(\s*['\"](.+)['\"]\s*\)", 1), "export_names": (r"export\s+(?:default\s+)?(.+)", 1)}
+# What a framework's name or calls look like; each is looked for as it is.
 FRAMEWORKS = {
-    "python": {"Django": "django|models\\.Model|HttpResponse", "Flask": "flask|@app\\.route|request|Response", "FastAPI": "fastapi|@app\\.get|@app\\.post|Depends", "NumPy": "numpy|np\\.array|np\\.", "Pandas": "pandas|pd\\.DataFrame|pd\\."},
-    "javascript": {"React": "React|useState|useEffect|jsx", "Vue": "Vue|v-if|v-for|@click", "Angular": "@Component|@Injectable|ngOnInit", "Express": "Express|app\\.get|app\\.post", "Node.js": "require|module\\.exports|process\\."},
+    "python": {"Django": ("django", "models.Model", "HttpResponse"), "Flask": ("flask", "@app.route", "request", "Response"), "FastAPI": ("fastapi", "@app.get", "@app.post", "Depends"), "NumPy": ("numpy", "np.array", "np."), "Pandas": ("pandas", "pd.DataFrame", "pd.")},
+    "javascript": {"React": ("React", "useState", "useEffect", "jsx"), "Vue": ("Vue", "v-if", "v-for", "@click"), "Angular": ("@Component", "@Injectable", "ngOnInit"), "Express": ("express", "app.get", "app.post"), "Node.js": ("require", "module.exports", "process.")},
+}
+# What is known of a language.
+FEATURES = {
+    "python": ("object-oriented, functional, procedural", "dynamic", True, "Django, Flask, FastAPI, NumPy", "pip, conda, poetry", ".py, .pyw, .pyx", "pytest, unittest, nose"),
+    "javascript": ("functional, object-oriented, event-driven", "dynamic", False, "React, Vue, Angular, Express, Node.js", "npm, yarn, pnpm", ".js, .jsx, .mjs", "Jest, Mocha, Jasmine"),
+    "typescript": ("object-oriented, functional", "static", False, "Angular, React, Vue, NestJS", "npm, yarn, pnpm", ".ts, .tsx, .d.ts", "Jest, Mocha, Vitest"),
+    "java": ("object-oriented", "static", False, "Spring, Hibernate, Struts", "Maven, Gradle", ".java", "JUnit, TestNG"),
+    "go": ("procedural, concurrent", "static", False, "Gin, Echo, Fiber", "go mod", ".go", "testing"),
 }
 
 
-def figures(files: DataFrame, language: str) -> DataFrame:
-    """(repo_id, file_path, the figures, frameworks) of the files of the language (python or javascript)."""
+@dataclass(frozen=True)
+class Analyzer:
+    """What is measured in a language's texts: counts, flags and names of patterns, frameworks by their words."""
+
+    counts: Mapping[str, str]
+    flags: Mapping[str, Sequence[str]]
+    names: Mapping[str, tuple[str, int]]
+    frameworks: Mapping[str, Sequence[str]]
+
+
+#: By language; figures() and capabilities() take others, too.
+ANALYZERS: Mapping[str, Analyzer] = {
+    "python": Analyzer(PYTHON_FIGURES, PYTHON_FLAGS, PYTHON_NAMES, FRAMEWORKS["python"]),
+    "javascript": Analyzer(JAVASCRIPT_FIGURES, JAVASCRIPT_FLAGS, JAVASCRIPT_NAMES, FRAMEWORKS["javascript"]),
+}
+
+
+def figures(files: DataFrame, language: str, analyzers: Mapping[str, Analyzer] = ANALYZERS) -> DataFrame:
+    """(repo_id, file_path, counts, flags, names, frameworks) of the files of the language; names in the order they come,
+    joined, and repeated as often as they come."""
     endings = [e for e, k in DETECTED_ENDINGS.items() if k == language]
-    patterns = PYTHON_FIGURES if language == "python" else JAVASCRIPT_FIGURES
+    own = analyzers[language]
     rows = files.where(ending("file_path").isin(*endings) & F.col("content").isNotNull())
-    known = F.array_compact(F.array(*[F.when(F.col("content").rlike(p), F.lit(n)) for n, p in FRAMEWORKS[language].items()]))
-    return rows.select("repo_id", "file_path", *[F.regexp_count("content", F.lit(f"(?d){p}")).alias(n) for n, p in patterns.items()], F.array_join(known, ",").alias("frameworks"))
+    text = F.col("content")
+
+    def mentions(words: Sequence[str]) -> Column:
+        out = text.contains(words[0])
+        for w in words[1:]:
+            out = out | text.contains(w)
+        return out
+
+    def uses(patterns: Sequence[str]) -> Column:
+        out = text.rlike(f"(?d){patterns[0]}")
+        for p in patterns[1:]:
+            out = out & text.rlike(f"(?d){p}")
+        return out
+
+    known = F.array_compact(F.array(*[F.when(mentions(w), F.lit(n)) for n, w in own.frameworks.items()]))
+    return rows.select(
+        "repo_id",
+        "file_path",
+        *[F.regexp_count("content", F.lit(f"(?d){p}")).alias(n) for n, p in own.counts.items()],
+        *[uses(p).alias(n) for n, p in own.flags.items()],
+        *[F.array_join(F.regexp_extract_all("content", F.lit(f"(?d){p}"), F.lit(g)), ",").alias(n) for n, (p, g) in own.names.items()],
+        F.array_join(known, ",").alias("frameworks"),
+    )
+
+
+def capabilities(spark: SparkSession, parsed: Sequence[str] = ("python", "javascript"), analyzers: Mapping[str, Analyzer] = ANALYZERS) -> DataFrame:
+    """(language, paradigms, typing, indentation_matters, frameworks, package_managers, endings, test_frameworks,
+    has_analyzer, has_parser, depth): what is known and can be done of each language that is detected."""
+    names = "language string, paradigms string, typing string, indentation_matters boolean, frameworks string, package_managers string, endings string, test_frameworks string, has_analyzer boolean, has_parser boolean, depth string"
+    languages = sorted(set(DETECTED_ENDINGS.values()))
+    rows = [(k, *FEATURES.get(k, (None,) * 7), k in analyzers, k in parsed, "full" if k in analyzers else "basic") for k in languages]
+    return spark.createDataFrame(rows, names)

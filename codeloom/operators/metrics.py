@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.paths import ending, language
 from codeloom.operators.graph import by_repo, degrees, ends
+from codeloom.operators.graphalg import cycles, strong_components
 
 FUNCTIONS = ("function",)
 DEPENDENCY_TYPES = ("imports", "calls", "uses")
@@ -40,6 +41,14 @@ def sizes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return rows.select("repo_id", "n_nodes", "n_edges", density.alias("density"), (F.col("s_") / n).alias("average_degree"), "max_degree")
 
 
+def repository_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(repo_id, components): strong components of each repository, over the links within it; an isolated entity is one."""
+    home = nodes.select("uuid", "repo_id")
+    ends_ = links.select("src", "dst").join(home.toDF("src", "a"), "src").join(home.toDF("dst", "b"), "dst").where("a = b")
+    found = strong_components(ends_.select("src", "dst"), home.select("uuid"))
+    return found.join(home, "uuid").groupBy("repo_id").agg(F.countDistinct("component").alias("components"))
+
+
 def most_connected(nodes: DataFrame, links: DataFrame, limit: int = 10) -> DataFrame:
     """The entities of the largest degree; ties by uuid."""
     rows = degrees(nodes, links).select("uuid", "name", "type", "degree", "n_in", "n_out")
@@ -116,11 +125,12 @@ def most_depended(nodes: DataFrame, links: DataFrame, column: str = "n_in", limi
 
 
 def dependency_summary(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """One row: nodes and edges of the import graph and how many entities have a fan issue."""
+    """One row: nodes and edges of the import graph, how many entities have a fan issue and how many circuits there are."""
     e = imports(links).agg(F.count(F.lit(1)).alias("edges"))
     n = ends(imports(links)).agg(F.count(F.lit(1)).alias("nodes"))
     issues = fan_issues(nodes, links).agg(F.count(F.lit(1)).alias("issues"))
-    return n.join(F.broadcast(e)).join(F.broadcast(issues))
+    circuits = cycles(imports(links), None).agg(F.count(F.lit(1)).alias("cycles"))
+    return n.join(F.broadcast(e)).join(F.broadcast(issues)).join(F.broadcast(circuits))
 
 
 def dependents(links: DataFrame, targets: DataFrame) -> DataFrame:
@@ -150,6 +160,13 @@ def impact(links: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return all_.withColumn("score", score).withColumn("risk", risk)
 
 
+def affected_entities(links: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, file_path, uuid, name, type): every entity that depends on a target, with its file."""
+    reached = dependents(links, targets).select("target", "uuid").distinct()
+    rows = reached.join(nodes.select("uuid", "file_path", "name", "type"), "uuid", "left")
+    return rows.select("target", F.coalesce("file_path", F.lit("unknown")).alias("file_path"), "uuid", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("type", F.lit("")).alias("type"))
+
+
 def affected_files(links: DataFrame, nodes: DataFrame, targets: DataFrame, limit: int = 20) -> DataFrame:
     """(target, file_path, entities): the first `limit` files, by path, with entities that depend on a target."""
     reached = dependents(links, targets).select("target", "uuid").distinct()
@@ -168,12 +185,16 @@ def language_counts(nodes: DataFrame) -> DataFrame:
 
 
 def language_summary(nodes: DataFrame) -> DataFrame:
-    """(repo_id, primary_language, dominance, diversity, multilingual, files)."""
+    """(repo_id, primary_language, dominance, diversity, multilingual, files, main_languages): the last are the five most
+    frequent with their counts, "python:12,go:3"; ties by name, downwards."""
     files = nodes.where("file_path <> ''").groupBy("repo_id").agg(F.countDistinct("file_path").alias("files"))
     first = F.max(F.struct("n", "percentage", F.col("language"))).alias("top")
-    rows = language_counts(nodes).groupBy("repo_id").agg(first, F.count(F.lit(1)).alias("diversity"), F.count_if(F.col("percentage") > 10).alias("major"))
+    # A repository has at most as many languages as there are known ones.
+    ordered = F.slice(F.sort_array(F.collect_list(F.struct("n", "language")), asc=False), 1, 5)
+    main = F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["language"], x["n"].cast("string"))), ",")
+    rows = language_counts(nodes).groupBy("repo_id").agg(first, F.count(F.lit(1)).alias("diversity"), F.count_if(F.col("percentage") > 10).alias("major"), main.alias("main_languages"))
     return rows.join(files, "repo_id").select(
-        "repo_id", F.col("top.language").alias("primary_language"), F.col("top.percentage").alias("dominance"), "diversity", (F.col("major") > 1).alias("multilingual"), "files"
+        "repo_id", F.col("top.language").alias("primary_language"), F.col("top.percentage").alias("dominance"), "diversity", (F.col("major") > 1).alias("multilingual"), "files", "main_languages"
     )
 
 
@@ -219,6 +240,12 @@ def quality_scores(nodes: DataFrame, links: DataFrame, compact: bool = False) ->
     return rows.withColumn("overall", overall).withColumn("grade", grade)
 
 
+def rounded(scores: DataFrame, places: int = 2) -> DataFrame:
+    """scores with its fractional columns rounded half to even, as they are shown."""
+    fractional = [f.name for f in scores.schema.fields if f.dataType.typeName() == "double"]
+    return scores.withColumns({c: F.bround(c, places) for c in fractional})
+
+
 def recommendations(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(repo_id, recommendation) for every score that is below its bar."""
     s = quality_scores(nodes, links)

@@ -1,19 +1,24 @@
 """References to records that do not exist: pending-orphan state kept by increments.
 
-State is two keyed tables. The *parent index* has one row per parent key: the time it first existed and, if it was
-deleted since, the time of that. *Pending* has one row per reference that found no parent at its own time, with the
-time at which an arriving parent resolved it (null while it waits). An increment brings new references, new parents
-and deletions:
+State is two keyed tables. The *parent index* has one row per parent key: the time from which it exists (null while it
+doesn't) and the time of its last deletion, if any. *Pending* has one row per reference that found no parent at its own
+time, with the time at which an arriving parent resolved it (null while it waits). An increment brings new references,
+new parents and deletions:
 
-1. parents merge into the index (earliest time wins, so late rows count from their own time, not their arrival);
+1. parents merge into the index: the earliest time after the key's last deletion wins, so late rows count from their own
+   time, not their arrival, and rows from before a deletion don't count;
 2. new references probe the index;
 3. arriving parents meet the pending references only: one that turns out to have existed in time withdraws the orphan,
    a later one resolves it;
-4. deletions after a reference's time reopen it as an orphan that was resolved and lost again.
+4. a deletion reopens the references that relied on its key, as if the parent had begun to exist with its first row
+   after the deletion; they are looked up among the references so far, the only time these are read again.
 
 A reference is a row (ref_id, endpoint, key, at). Null keys are no references. A reference without a time can't be
-shown to be in time, so it is an orphan; a parent without a time never existed at any time. Repeated references count
-once. Empty tables give empty state.
+shown to be in time, so it is an orphan; a parent without a time never existed at any time, a deletion without a time
+never happened. Repeated references count once. Empty tables give empty state.
+
+Increments are bounded by time. A deletion that is delivered after later rows of its key were merged finds their first
+only, so such rows are lost to it.
 """
 
 from __future__ import annotations
@@ -26,14 +31,23 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.skew import canonical_id, hot_keys, lookup
 from codeloom.session import cut
+from codeloom.sources.versions import Versions
+
+PARENTS = "key string, first_at timestamp_ntz, deleted_at timestamp_ntz"
+PENDING = "ref_id string, endpoint string, key string, at timestamp_ntz, resolved_at timestamp_ntz"
+SNAPSHOTS = "endpoint string, month string, orphans bigint, waiting bigint, resolved bigint, as_of timestamp_ntz"
 
 
 @dataclass(frozen=True)
 class OrphanState:
-    """parents: key, first_at. pending: ref_id, endpoint, key, at, resolved_at. None stands for no rows."""
+    """parents: key, first_at, deleted_at. pending: ref_id, endpoint, key, at, resolved_at. None stands for no rows.
+
+    deletes: whether the index may hold deleted keys.
+    """
 
     parents: DataFrame | None = None
     pending: DataFrame | None = None
+    deletes: bool = False
 
 
 def references(edges: DataFrame) -> DataFrame:
@@ -45,71 +59,64 @@ def references(edges: DataFrame) -> DataFrame:
         )
     ).alias("end")
     return (
-        edges.select(F.col("uuid").alias("ref_id"), F.col("created_at").alias("at"), ends)
+        edges.select(F.col("uuid").alias("ref_id"), F.col("created_at").cast("timestamp_ntz").alias("at"), ends)
         .where(F.col("end.raw").isNotNull())
         .select("ref_id", "end.endpoint", canonical_id("end.raw").alias("key"), "at")
     )
 
 
 def parents(nodes: DataFrame) -> DataFrame:
-    """The time at which every entity first existed; repeated and re-ingested rows merge, map-side first."""
-    rows = nodes.select(canonical_id("uuid").alias("key"), F.col("created_at").alias("first_at"))
-    return rows.where("key is not null and first_at is not null").groupBy("key").agg(F.min("first_at").alias("first_at"))
-
-
-def step(state: OrphanState, new_references: DataFrame, new_parents: DataFrame, hot: Sequence | None = None) -> OrphanState:
-    """The state after one increment. hot: the hot keys of the references, by default found here."""
+    """(key, first_at) of every row of an entity that has a time."""
+    rows = nodes.select(canonical_id("uuid").alias("key"), F.col("created_at").cast("timestamp_ntz").alias("first_at"))
+    return rows.where("key is not null and first_at is not null")
+
+
+def deletions(audit: DataFrame) -> DataFrame:
+    """(key, deleted_at) of the rows of an audit log that delete an entity."""
+    plain = F.regexp_replace(F.lower("action"), r"^\s+|\s+$", "")
+    rows = audit.where((F.col("entity_type") == "node") & F.col("timestamp").isNotNull() & (plain == "delete_entity"))
+    return rows.select(canonical_id("entity_uuid").alias("key"), F.col("timestamp").cast("timestamp_ntz").alias("deleted_at")).where("key is not null")
+
+
+def merge_parents(state: OrphanState, new: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """The index after rows (key, first_at) and deletions (key, deleted_at); combined where the rows are."""
+    known, never = state.parents, F.lit(None).cast("timestamp_ntz").alias("deleted_at")
+    if gone is None and not state.deletes:
+        rows = new if known is None else new.unionByName(known.select("key", "first_at"))
+        return rows.groupBy("key").agg(F.min("first_at").alias("first_at")).select("key", "first_at", never)
+    dead = known.where("deleted_at is not null").select("key", "deleted_at") if state.deletes else None
+    if gone is not None:
+        dead = (gone if dead is None else gone.unionByName(dead)).groupBy("key").agg(F.max("deleted_at").alias("deleted_at"))
+    rows = new if known is None else new.unionByName(known.where("first_at is not null").select("key", "first_at"))
+    # Of a key that was deleted, only rows from after its deletion count.
+    alive = lookup(rows, dead, "key", ["deleted_at"]).where("deleted_at is null or first_at > deleted_at")
+    return alive.groupBy("key").agg(F.min("first_at").alias("first_at")).join(dead, "key", "full").select("key", "first_at", "deleted_at")
+
+
+def step(state: OrphanState, new_references: DataFrame, new_parents: DataFrame, hot: Sequence | None = None, gone: DataFrame | None = None, so_far: DataFrame | None = None) -> OrphanState:
+    """The state after one increment.
+
+    hot: the hot keys of the references, by default found here. gone: deletions (key, deleted_at); so_far, needed with
+    them: all references up to now, the new ones included.
+    """
     hot = hot_keys(new_references, "key") if hot is None else hot
-    index = new_parents
-    if state.parents is not None:
-        index = state.parents.unionByName(new_parents).groupBy("key").agg(F.min("first_at").alias("first_at"))
+    index = merge_parents(state, new_parents, gone)
     too_late = ~F.coalesce(F.col("first_at") <= F.col("at"), F.lit(False))
+    keys = ["ref_id", "endpoint", "key", "at"]
+    if gone is not None:
+        # What relied on a deleted key is judged anew, with everything else of that key.
+        dead = cut(gone.select("key").distinct())
+        again = so_far.join(dead, "key", "left_semi")
+        new_references = new_references.join(dead, "key", "left_anti").select(*keys).unionByName(again.select(*keys))
     probed = lookup(new_references, index, "key", ["first_at"], hot).where(too_late)
-    pending = probed.withColumnRenamed("first_at", "resolved_at")
+    pending = probed.select(*keys, F.col("first_at").alias("resolved_at"))
     if state.pending is not None:
         # A parent that arrives now resolves what waits; one that dates from before withdraws the orphan.
-        met = lookup(state.pending, new_parents, "key", ["first_at"], hot).where(too_late)
-        pending = pending.unionByName(met.withColumn("resolved_at", F.least("resolved_at", "first_at")).drop("first_at"))
-    pending = pending.groupBy("ref_id", "endpoint", "key", "at")
-    return OrphanState(index, pending.agg(F.min("resolved_at").alias("resolved_at")))
-
-
-def delete_parents(state: OrphanState, deletions: DataFrame, live_references: DataFrame) -> OrphanState:
-    """Deletions (key, deleted_at) drop their parents from the index and reopen the references that relied on them."""
-    last = deletions.groupBy("key").agg(F.max("deleted_at").alias("deleted_at"))
-    gone = state.parents.join(last, "key").where("deleted_at >= first_at").select("key", "deleted_at")
-    index = state.parents.join(gone, "key", "left_anti")
-    reopened = lookup(live_references, gone, "key", ["deleted_at"]).where("deleted_at is not null")
-    reopened = reopened.select("ref_id", "endpoint", "key", "at").withColumn("resolved_at", F.lit(None).cast("timestamp_ntz"))
-    reset = lookup(state.pending, gone, "key", ["deleted_at"]).withColumn(
-        "resolved_at", F.when(F.col("deleted_at").isNull(), F.col("resolved_at"))
-    )
-    pending = reset.drop("deleted_at").unionByName(reopened).groupBy("ref_id", "endpoint", "key", "at")
-    # One waiting row makes the reference wait, whatever its other rows say.
-    waits = F.max(F.col("resolved_at").isNull())
-    return OrphanState(index, pending.agg(F.when(~waits, F.min("resolved_at")).alias("resolved_at")))
-
-
-def run_increments(edges: DataFrame, nodes: DataFrame, cuts: tuple[str, ...] = ()) -> OrphanState:
-    """Apply the rows in increments bounded by the given times; state is cut into the shared folder in between."""
-    state = OrphanState()
-    hot = hot_keys(references(edges), "key")
-    bounds = [None, *cuts, None]
-    for low, high in zip(bounds, bounds[1:]):
-
-        def part(df: DataFrame) -> DataFrame:
-            within = F.lit(True)
-            if low:
-                within &= F.col("created_at") >= F.lit(low).cast("timestamp_ntz")
-            if high:
-                within &= F.col("created_at") < F.lit(high).cast("timestamp_ntz")
-            # A row without a time belongs to the last increment.
-            return df.where(F.coalesce(within, F.lit(high is None)))
-
-        state = step(state, references(part(edges)), parents(part(nodes)), hot)
-        if high:
-            state = OrphanState(cut(state.parents), cut(state.pending))
-    return state
+        waiting = state.pending if gone is None else state.pending.join(dead, "key", "left_anti").select(*state.pending.columns)
+        arrived = new_parents.groupBy("key").agg(F.min("first_at").alias("first_at"))
+        met = lookup(waiting, arrived, "key", ["first_at"], hot).where(too_late)
+        pending = pending.unionByName(met.select(*keys, F.least("resolved_at", "first_at").alias("resolved_at")))
+    return OrphanState(index, pending.groupBy(*keys).agg(F.min("resolved_at").alias("resolved_at")), state.deletes or gone is not None)
 
 
 def counts(state: OrphanState) -> DataFrame:
@@ -119,3 +126,55 @@ def counts(state: OrphanState) -> DataFrame:
         F.count_if(F.col("resolved_at").isNull()).alias("waiting"),
         F.count_if(F.col("resolved_at").isNotNull()).alias("resolved"),
     )
+
+
+def _part(column: str, low: str | None, high: str | None):
+    """The rows from low on and before high, as plain comparisons that reach the Parquet reader. A row without a time
+    belongs to the last increment."""
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    inside = None if low is None else F.col(column) >= at(low)
+    if high is not None:
+        inside = F.col(column) < at(high) if inside is None else inside & (F.col(column) < at(high))
+    elif inside is not None:
+        inside = inside | F.col(column).isNull()
+    return F.lit(True) if inside is None else inside
+
+
+def run_increments(
+    edges: DataFrame, nodes: DataFrame, cuts: Sequence[str] = (), audit: DataFrame | None = None, kept: Versions | None = None, snapshots: bool = False, until: str | None = None
+) -> OrphanState:
+    """Apply the rows in increments bounded by the given times; each reads its own rows only.
+
+    kept: where the state is kept. A version is written after each increment, and the state of the current version, if
+    there is one, is what the first increment starts from; the first of the cuts is then where that state ended. Without
+    it the state is cut into the shared folder. audit: a log whose deletions count. snapshots: write the counts after
+    each increment beside the kept state, for history(). until: leave out rows from then on.
+    """
+    state, bounds = OrphanState(), [None, *cuts, until]
+
+    def again(deletes: bool) -> OrphanState:
+        return OrphanState(kept.read("parents", PARENTS), kept.read("pending", PENDING), deletes)
+
+    if kept is not None and kept.current():
+        state, bounds = again(True), [*cuts, until]
+    for low, high in zip(bounds, bounds[1:]):
+        new = references(edges.where(_part("created_at", low, high)))
+        gone = so_far = None
+        if audit is not None:
+            gone = deletions(audit.where(_part("timestamp", low, high)))
+            so_far = references(edges.where(_part("created_at", None, high)))
+        state = step(state, new, parents(nodes.where(_part("created_at", low, high))), None, gone, so_far)
+        if kept is not None:
+            kept.write({"parents": state.parents, "pending": state.pending})
+            state = again(state.deletes)
+            if snapshots:
+                counts(state).write.mode("overwrite").parquet(f"{kept.folder}/snapshots/as_of={high or 'end'}")
+        elif high is not None:
+            state = OrphanState(cut(state.parents), cut(state.pending), state.deletes)
+    return state
+
+
+def history(kept: Versions) -> DataFrame:
+    """(as_of, endpoint, month, orphans, waiting, resolved): the snapshots taken so far; as_of is null for one without end."""
+    rows = kept.spark.read.schema(SNAPSHOTS.replace("as_of timestamp_ntz", "as_of string")).parquet(f"{kept.folder}/snapshots")
+    return rows.select(F.expr("try_cast(as_of as timestamp_ntz)").alias("as_of"), "endpoint", "month", "orphans", "waiting", "resolved")

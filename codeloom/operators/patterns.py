@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.paths import ending, plain_path
+from codeloom.functions.paths import ending
 from codeloom.operators.search import first_per_group
-from codeloom.operators.traverse import between, lines
+from codeloom.operators.traverse import between, texts
 
 # Limits of the smells.
 LONG_CLASS, MANY_METHODS, MANY_PARAMETERS, LONG_FUNCTION, MANY_FUNCTIONS, BLOCK = 200, 20, 5, 30, 10, 5
@@ -19,10 +19,9 @@ LONG_CLASS, MANY_METHODS, MANY_PARAMETERS, LONG_FUNCTION, MANY_FUNCTIONS, BLOCK
 
 def with_code(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """Entities with lines, and `code`, their lines of the file."""
-    texts = files.groupBy("repo_id", plain_path("file_path").alias("file_path")).agg(F.first("content", ignorenulls=True).alias("content"))
     wanted = nodes.where("type in ('class', 'function', 'method') and start_line is not null and end_line is not null")
-    met = wanted.select("repo_id", "file_path", "uuid", "name", "type", "start_line", "end_line").join(texts, ["repo_id", "file_path"])
-    return met.withColumn("code", between(lines("content"), F.col("start_line"), F.col("end_line"))).drop("content")
+    met = wanted.select("repo_id", "file_path", "uuid", "name", "type", "start_line", "end_line").join(texts(files), ["repo_id", "file_path"])
+    return met.withColumn("code", between(F.col("l_"), F.col("start_line"), F.col("end_line"))).drop("l_")
 
 
 def _any(text: Column, *words: str) -> Column:
@@ -48,11 +47,6 @@ def entity_patterns(code: DataFrame) -> DataFrame:
     every = {
         "long_parameter_list": (is_function & (n_params > MANY_PARAMETERS), 0.7),
         "extract_method": (is_function & (span > LONG_FUNCTION), 0.7),
-        "decorator_pattern": (is_class & text.contains("component") & _any(text, "delegate", "forward", "proxy"), 0.7),
-        "repository": (is_class & low.contains("repository") & _any(F.lower("code"), "create", "read", "update", "delete", "find", "save"), 0.8),
-        "service_layer": (is_class & low.contains("service") & _any(F.lower("code"), "process", "handle", "execute", "perform"), 0.7),
-        "strategy": (is_class & _any(low, "strategy", "algorithm", "policy") & _any(F.lower("code"), "execute", "apply", "perform"), 0.8),
-        "observer_subject": (is_class & _any(text, "observers", "listeners") & _any(text, "notify", "update"), 0.8),
     }
     hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("pattern"), F.lit(w).alias("confidence"))) for k, (c, w) in {**first, **every}.items()]))
     rows = code.withColumn("hit", F.explode(hits)).select("hit.pattern", "hit.confidence", "repo_id", "file_path", "uuid", "start_line")
@@ -61,23 +55,65 @@ def entity_patterns(code: DataFrame) -> DataFrame:
     return kept.unionByName(rows.where(~F.col("pattern").isin(*first))).drop("start_line")
 
 
-def file_patterns(nodes: DataFrame, code: DataFrame) -> DataFrame:
-    """(pattern, confidence, repo_id, file_path, entities) of the detectors that look at the entities of a file together."""
-    low = F.lower("name")
+#: Patterns of which a file's entities play one role or several: confidence and roles.
+# Confidences, and the words below.
+ROLES = {
+    "mvc": (0.7, ("model", "view", "controller")),
+    "observer": (0.8, ("subject", "observer")),
+    "strategy": (0.8, ("strategy", "context")),
+    "decorator_pattern": (0.7, ("decorator",)),
+    "repository": (0.8, ("repository",)),
+    "service_layer": (0.7, ("service",)),
+    "extract_class": (0.6, ("function",)),
+}
+
+
+def _played(nodes: DataFrame, code: DataFrame) -> DataFrame:
+    """(repo_id, file_path, uuid, start_line, end_line, pattern, role) of the roles that entities could play."""
+    low, text = F.lower("name"), F.col("code")
     is_class = F.col("type") == "class"
-    role = F.when(low.contains("model"), "model").when(low.contains("view"), "view").when(low.contains("controller"), "controller")
-    mvc = nodes.where(is_class).withColumn("role", role).where("role is not null").groupBy("repo_id", "file_path").agg(F.countDistinct("role").alias("roles"), F.count(F.lit(1)).alias("entities")).where("roles = 3")
-    many = nodes.where("type = 'function'").groupBy("repo_id", "file_path").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") > MANY_FUNCTIONS)
-    text = F.col("code")
-    subject = is_class & _any(text, "observers", "listeners") & _any(text, "notify", "update")
-    watcher = is_class & _any(text, "update", "on_notify")
-    pair = code.groupBy("repo_id", "file_path").agg(F.count_if(subject).alias("s"), F.count_if(watcher).alias("o")).where("s > 0 and o > 0")
-    out = lambda df, name, w, n: df.select(F.lit(name).alias("pattern"), F.lit(w).alias("confidence"), "repo_id", "file_path", n.alias("entities"))
-    return (
-        out(mvc, "mvc", 0.7, F.col("entities"))
-        .unionByName(out(many, "extract_class", 0.6, F.col("entities")))
-        .unionByName(out(pair, "observer", 0.8, F.col("s") + F.col("o")))
-    )
+    role = lambda pattern, name, fits: F.when(fits, F.struct(F.lit(pattern).alias("pattern"), F.lit(name).alias("role")))
+    model, view = _any(low, "model", "entity", "data"), _any(low, "view", "template", "ui")
+    by_name = [
+        role("mvc", "model", is_class & model),
+        role("mvc", "view", is_class & ~model & view),
+        role("mvc", "controller", is_class & ~model & ~view & _any(low, "controller", "handler", "action")),
+        role("extract_class", "function", F.col("type") == "function"),
+    ]
+    by_code = [
+        role("observer", "subject", is_class & _any(text, "observers", "listeners") & _any(text, "notify", "update")),
+        role("observer", "observer", is_class & _any(text, "update", "on_notify")),
+        role("strategy", "strategy", is_class & _any(low, "strategy", "algorithm", "policy") & _any(text, "execute", "apply", "perform")),
+        role("strategy", "context", is_class & F.lower("code").contains("strategy") & _any(text, "set_strategy", "setStrategy")),
+        role("decorator_pattern", "decorator", is_class & F.lower("code").contains("component") & _any(text, "delegate", "forward", "proxy")),
+        role("repository", "repository", is_class & low.contains("repository") & _any(F.lower("code"), "find", "save", "delete", "create", "update")),
+        role("service_layer", "service", is_class & low.contains("service") & _any(F.lower("code"), "process", "handle", "execute", "perform")),
+    ]
+    columns = ["repo_id", "file_path", "uuid", "start_line", "end_line"]
+    rows = nodes.select(*columns, F.explode(F.array_compact(F.array(*by_name))).alias("r")).unionByName(code.select(*columns, F.explode(F.array_compact(F.array(*by_code))).alias("r")))
+    return rows.select(*columns, "r.*")
+
+
+def file_patterns(nodes: DataFrame, code: DataFrame) -> DataFrame:
+    """(pattern, confidence, repo_id, file_path, start_line, end_line, entities, evidence) of the detectors that look at the
+    entities of a file together: one row for a pattern whose every role is played. entities: how many roles are played in
+    all; evidence: how many entities play each role."""
+    roles = _played(nodes, code).groupBy("repo_id", "file_path", "pattern", "role").agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("a"), F.max("end_line").alias("b"))
+    said = F.concat_ws(":", "role", F.col("n").cast("string"))
+    files = roles.groupBy("repo_id", "file_path", "pattern").agg(
+        F.count(F.lit(1)).alias("roles"), F.max("n").alias("n"), F.min("a").alias("start_line"), F.max("b").alias("end_line"),
+        F.sum("n").alias("entities"), F.array_join(F.array_sort(F.collect_list(said)), ",").alias("evidence"),
+    )
+    wanted = F.coalesce(*[F.when(F.col("pattern") == p, F.struct(F.lit(w).alias("confidence"), F.lit(len(r)).alias("needed"))) for p, (w, r) in ROLES.items()])
+    kept = files.withColumn("w", wanted).where((F.col("roles") == F.col("w.needed")) & ((F.col("pattern") != "extract_class") | (F.col("n") > MANY_FUNCTIONS)))
+    return kept.select("pattern", "w.confidence", "repo_id", "file_path", "start_line", "end_line", "entities", "evidence")
+
+
+def pattern_members(nodes: DataFrame, code: DataFrame) -> DataFrame:
+    """(pattern, role, repo_id, file_path, uuid): who plays a role in the patterns of file_patterns, one row each."""
+    found = file_patterns(nodes, code).select("pattern", "repo_id", "file_path")
+    key = ["pattern", "repo_id", "file_path"]
+    return _played(nodes, code).join(found, key, "left_semi").select("pattern", "role", "repo_id", "file_path", "uuid")
 
 
 def idioms(files: DataFrame) -> DataFrame:
@@ -105,11 +141,21 @@ def magic_numbers(files: DataFrame) -> DataFrame:
 
 def duplicate_blocks(files: DataFrame, size: int = BLOCK) -> DataFrame:
     """(repo_id, file_path, line): the first block of `size` lines of each file that comes again, that many lines or more
-    later. Blocks of blank lines only don't count. Blocks are compared by hash within their file, each file by itself."""
+    later. Blocks of blank lines only don't count. Files are told by hashes of their blocks, sorted within the row: no
+    text and no block is shuffled for it. Null contents have none."""
     once = files.dropDuplicates(["repo_id", "file_path"])
-    rows = F.split("content", "\n")
-    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(rows) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(rows, i, size), "\n"))
-    exploded = once.where(F.size(rows) >= 2 * size).select("repo_id", "file_path", F.posexplode(blocks).alias("n", "block")).where(F.trim(F.regexp_replace("block", r"\s+", "")) != "")
-    hashed = exploded.select("repo_id", "file_path", F.xxhash64("block").alias("h"), "n")
-    again = hashed.groupBy("repo_id", "file_path", "h").agg(F.min("n").alias("a"), F.max("n").alias("b")).where(F.col("b") - F.col("a") >= size)
-    return again.groupBy("repo_id", "file_path").agg((F.min("a") + 1).cast("int").alias("line"))
+    rows = once.select("repo_id", "file_path", F.split("content", "\n").alias("l_")).where(F.size("l_") >= 2 * size)
+    rows = rows.select("repo_id", "file_path", F.transform("l_", lambda x: F.xxhash64(x)).alias("h_"), F.transform("l_", lambda x: x.rlike(r"\S")).alias("full_"))
+    at = F.sequence(F.lit(1), F.size("h_") - size + 1)
+    blocks = F.transform(at, lambda i: F.when(F.exists(F.slice("full_", i, size), lambda x: x), F.struct(F.xxhash64(F.slice("h_", i, size)).alias("h"), i.alias("n"))))
+    rows = rows.select("repo_id", "file_path", F.array_sort(F.array_compact(blocks)).alias("b_"))
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(None).cast("bigint").alias("h"), none.alias("first"), none.alias("best"))
+
+    def met(state: Column, block: Column) -> Column:
+        same = block["h"].eqNullSafe(state["h"])
+        again = same & (block["n"] - state["first"] >= size)
+        return F.struct(block["h"].alias("h"), F.when(same, state["first"]).otherwise(block["n"]).alias("first"), F.when(again, F.least(state["first"], state["best"])).otherwise(state["best"]).alias("best"))
+
+    found = rows.select("repo_id", "file_path", F.aggregate("b_", start, met)["best"].alias("line"))
+    return found.where("line is not null")

@@ -1,7 +1,7 @@
 """Rules over source text: a dimension of patterns, plus callables for what a pattern can't say.
 
-Rules whose matches stay within a line run in the JVM, line by line; the others run in Arrow batches. A rule applies to
-its languages ("*": all), unless rules are named explicitly.
+The JVM finds which patterns occur in which files; Arrow batches then locate every match of those, and run the callables.
+A rule applies to its languages ("*": all), unless rules are named explicitly.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import DETECTED_ENDINGS, ending, lookup
@@ -22,7 +22,10 @@ Matcher = Callable[[str], list[tuple[int, str, str, str | None]]]
 
 @dataclass(frozen=True)
 class Rule:
-    """matcher: content -> (offset, matched text, message, suggestion) of each match."""
+    """matcher: content -> (offset, matched text, message, suggestion) of each match.
+
+    jvm: a pattern for the JVM that occurs in every text in which the rule matches; by default the pattern itself.
+    """
 
     id: str
     kind: str
@@ -30,14 +33,15 @@ class Rule:
     languages: tuple[str, ...]
     message: str
     pattern: str | None = None
-    one_line: bool = False
     matcher: Matcher | None = None
+    jvm: str | None = None
     enabled: bool = True
 
 
 def missing_docstrings(content: str) -> list[tuple[int, str, str, str | None]]:
     """Functions without a string among the next five lines; names that begin with _ are left alone."""
     lines, out = content.split("\n"), []
+    # Fixed values, as in the two matchers below: the forms looked for.
     for m in re.finditer(r"^\s*def\s+(\w+)\s*\(", content, re.M):
         n = content.count("\n", 0, m.start()) + 1
         for line in map(str.strip, lines[n : n + 5]):
@@ -74,18 +78,18 @@ def complex_functions(content: str) -> list[tuple[int, str, str, str | None]]:
 
 # The rules.
 RULES = (
-    Rule("python_bare_except", "anti_pattern", "warning", ("python",), "bare except", r"except\s*:", True),
+    Rule("python_bare_except", "anti_pattern", "warning", ("python",), "bare except", r"except\s*:"),
     Rule("python_missing_docstring", "code_quality", "info", ("python",), "function without docstring", r"def\s+[a-zA-Z_]\w*\s*\([^)]*\):\s*\n(?!\s*\"\"\"|\s*''')"),
     Rule("python_list_comprehension", "code_quality", "info", ("python",), "loop that builds a list", r"\w+\s*=\s*\[\]\s*\n\s*for\s+\w+\s+in\s+.+:\s*\n\s*\w+\.append\("),
-    Rule("js_var_usage", "anti_pattern", "warning", ("javascript", "typescript"), "var declaration", r"\bvar\s+\w+", True),
+    Rule("js_var_usage", "anti_pattern", "warning", ("javascript", "typescript"), "var declaration", r"\bvar\s+\w+"),
     Rule("js_missing_semicolon", "code_quality", "info", ("javascript", "typescript"), "line without semicolon", r"[^;\s]\s*\n\s*[^\/\*\s]"),
-    Rule("long_lines", "code_quality", "info", ("*",), "line of more than 120 characters", r".{121,}", True),
-    Rule("todo_comments", "code_quality", "info", ("*",), "open task", r"(?:#|//|/\*)\s*TODO\s*:?\s*(.+)", True),
+    Rule("long_lines", "code_quality", "info", ("*",), "line of more than 120 characters", r".{121,}"),
+    Rule("todo_comments", "code_quality", "info", ("*",), "open task", r"(?:#|//|/\*)\s*TODO\s*:?\s*(.+)"),
     Rule("complex_function", "code_quality", "warning", ("*",), "long function", r"def\s+\w+\([^)]*\):[^}]{200,}"),
-    Rule("hardcoded_secret", "security", "error", ("*",), "secret in the source", r"(?:password|secret|key|token)\s*[=:]\s*['\"][^'\"]{8,}['\"]", True),
-    Rule("semantic_missing_docstring", "semantic", "info", ("python",), "", matcher=missing_docstrings),
-    Rule("semantic_list_comprehension", "semantic", "info", ("python",), "", matcher=list_comprehensions),
-    Rule("semantic_complexity", "semantic", "warning", ("python",), "", matcher=complex_functions),
+    Rule("hardcoded_secret", "security", "error", ("*",), "secret in the source", r"(?:password|secret|key|token)\s*[=:]\s*['\"][^'\"]{8,}['\"]"),
+    Rule("semantic_missing_docstring", "semantic", "info", ("python",), "", matcher=missing_docstrings, jvm=r"\bdef\s"),
+    Rule("semantic_list_comprehension", "semantic", "info", ("python",), "", matcher=list_comprehensions, jvm=r"\.append\("),
+    Rule("semantic_complexity", "semantic", "warning", ("python",), "", matcher=complex_functions, jvm=r"def\s+\w+"),
 )
 
 
@@ -100,47 +104,42 @@ def chosen(rules: Sequence[Rule], ids: Sequence[str] | None = None, kind: str |
     return tuple(r for r in rules if r.enabled and kind in (None, r.kind) and severity in (None, r.severity))
 
 
-def line_matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """(rule_id, severity, repo_id, file_path, line, column, matched, context): first match per line of one-line rules."""
-    language = lookup(DETECTED_ENDINGS, ending("file_path"), F.lit("unknown"))
-    rows = files.where("content is not null").select("repo_id", "file_path", language.alias("language"), F.posexplode(F.split("content", "\n")).alias("n", "text"))
-    hits = []
-    for r in rules:
-        if not r.one_line or not r.pattern:
-            continue
-        fits = F.lit(True) if "*" in r.languages else F.col("language").isin(*r.languages)
-        pattern = f"(?d){r.pattern}"
-        hits.append(F.when(fits & F.col("text").rlike(pattern), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.regexp_instr("text", F.lit(pattern)).alias("column"), F.regexp_extract("text", pattern, 0).alias("matched"))))
-    found = rows.withColumn("hit", F.explode(F.array_compact(F.array(*hits))))
-    return found.select("hit.rule_id", "hit.severity", "repo_id", "file_path", (F.col("n") + 1).alias("line"), "hit.column", "hit.matched", F.trim("text").alias("context"))
+def _occurs(rule: Rule) -> Column:
+    """Whether the rule can match in content at all."""
+    fits = F.lit(True) if "*" in rule.languages else F.col("language").isin(*rule.languages)
+    pattern = rule.jvm or rule.pattern
+    # (?U): letters and digits of all scripts, as Arrow's side has them; (?d): only \n ends a line.
+    return fits & F.col("content").rlike(f"(?mUd){pattern}") if pattern else fits
 
 
 def matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """(rule_id, severity, repo_id, file_path, line, column, matched, context, message, suggestion): every match of every
-    rule over whole texts, each file once. A matcher that fails has no matches."""
+    rule over whole texts, each file once. A matcher that fails has no matches; null contents have none."""
     rules = tuple(r for r in rules if r.enabled)
     language = lookup(DETECTED_ENDINGS, ending("file_path"), F.lit("unknown"))
     rows = files.where("content is not null").select("repo_id", "file_path", language.alias("language"), "content")
+    # The numbers of the rules to run on a file; files without any go no further.
+    due = F.array_compact(F.array(*[F.when(_occurs(r), F.lit(i)) for i, r in enumerate(rules)]))
+    rows = rows.withColumn("due", due).where(F.size("due") > 0).select("repo_id", "file_path", "due", "content")
     names = ["rule_id", "severity", "repo_id", "file_path", "line", "column", "matched", "context", "message", "suggestion"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(r, re.compile(r.pattern) if r.pattern else None) for r in rules]
+        compiled = [(r, re.compile(r.pattern, re.M) if r.pattern else None) for r in rules]
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
-                text = row["content"]
-                for r, pattern in compiled:
-                    if "*" not in r.languages and row["language"] not in r.languages:
-                        continue
+            for repo, path, due, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for r, pattern in (compiled[i] for i in due):
                     try:
                         found = [(m.start(), m[0], r.message, None) for m in pattern.finditer(text)] if pattern else r.matcher(text)
                     except Exception:  # noqa: BLE001
                         found = []
-                    for at, matched, message, suggestion in found:
+                    line, seen = 1, 0
+                    for at, matched, message, suggestion in sorted(found, key=lambda f: f[0]):
+                        line, seen = line + text.count("\n", seen, at), at
                         start = text.rfind("\n", 0, at) + 1
                         end = text.find("\n", at)
                         context = text[start : end if end >= 0 else len(text)].strip()
-                        out.append((r.id, r.severity, row["repo_id"], row["file_path"], text.count("\n", 0, at) + 1, at - start + 1, matched, context, message, suggestion))
+                        out.append((r.id, r.severity, repo, path, line, at - start + 1, matched, context, message, suggestion))
             kinds = [pa.int32() if n in ("line", "column") else pa.string() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeloom.functions.names import SIMILAR, exact_score, relevance, similarity
+from codeloom.functions.names import SIMILAR, can_be_similar, exact_score, relevance, similarity
 
 
 def index(nodes: DataFrame, whole_doc: bool = True) -> DataFrame:
@@ -31,11 +31,12 @@ def filtered(rows: DataFrame, type: str | None = None, path: str | None = None,
 def fuzzy(rows: DataFrame, name: str) -> DataFrame:
     """rows with score: exact, prefix, part, or half the similarity where that is large enough; others are dropped.
 
-    Only distinct names that none of the first three fits are compared, in Arrow batches.
+    Only distinct names that none of the first three fits, and whose length and letters allow it, are compared, in Arrow
+    batches.
     """
     scored = rows.withColumn("score", exact_score(F.col("name"), name))
     near = scored.where("score is not null")
-    rest = scored.where("score is null and name is not null").drop("score")
+    rest = scored.where(F.col("score").isNull() & can_be_similar(F.col("name"), F.lit(name))).drop("score")
     ratios = rest.select("name").distinct().withColumn("ratio", similarity("name", F.lit(name))).where(F.col("ratio") >= SIMILAR)
     matched = rest.join(ratios, "name").withColumn("score", F.col("ratio") * 0.5).select(*rows.columns, "score")
     return near.unionByName(matched)
@@ -55,6 +56,14 @@ def autocomplete(rows: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     return found.orderBy("uuid").limit(limit).orderBy("name", "uuid")
 
 
+def _similar(pairs: DataFrame, a: str, b: str, sure: Column) -> DataFrame:
+    """The rows of pairs, whose columns a and b are distinct together, that are sure or similar; only those that could be
+    and aren't sure are compared."""
+    rows = pairs.withColumn("sure_", F.coalesce(sure, F.lit(False))).where(F.col("sure_") | can_be_similar(F.col(a), F.col(b)))
+    ratio = similarity(F.when(~F.col("sure_"), F.col(a)), F.col(b))
+    return rows.withColumn("ratio_", ratio).where("sure_ or ratio_ >= %s" % SIMILAR).drop("sure_", "ratio_")
+
+
 def probable(rows: DataFrame, requests: DataFrame) -> DataFrame:
     """(request, uuid) for requests "file:name" or "name": names equal, containing or similar, in files likewise.
 
@@ -65,12 +74,14 @@ def probable(rows: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(F.col("request").contains(":"), F.regexp_extract("request", "^([^:]*):", 1)).otherwise("").alias("in_file"),
         F.when(F.col("request").contains(":"), F.regexp_extract("request", "^[^:]*:(.*)$", 1)).otherwise(F.col("request")).alias("wanted"),
     )
-    names = rows.select("name").where("name is not null").distinct().join(F.broadcast(asked))
-    close = lambda a, b: similarity(a, b) >= SIMILAR
-    named = names.where((F.col("name") == F.col("wanted")) | F.lower("name").contains(F.lower("wanted")) | close("name", "wanted"))
-    met = rows.join(named, "name")
-    inside = F.col("file_path").contains(F.col("in_file")) | close("file_path", "in_file")
-    return met.where((F.col("in_file") == "") | inside).select("request", "uuid")
+    names = rows.select("name").where("name is not null").distinct().join(F.broadcast(asked.select("wanted").distinct()))
+    named = _similar(names, "name", "wanted", (F.col("name") == F.col("wanted")) | F.lower("name").contains(F.lower("wanted")))
+    met = rows.select("uuid", "name", "file_path").join(named, "name").join(F.broadcast(asked), "wanted")
+    anywhere = met.where("in_file = ''").select("request", "uuid")
+    there = met.where("in_file <> ''")
+    paths = there.select("file_path", "in_file").distinct()
+    near = _similar(paths, "file_path", "in_file", F.col("file_path").contains(F.col("in_file")))
+    return anywhere.unionByName(there.join(near, ["file_path", "in_file"], "left_semi").select("request", "uuid"))
 
 
 def page(rows: DataFrame, order: Sequence, limit: int, offset: int = 0) -> DataFrame:

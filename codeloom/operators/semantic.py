@@ -1,4 +1,4 @@
-"""Entities and relations recognised by patterns in Python text, line by line in the JVM."""
+"""Entities and relations recognised by patterns in Python text: every match, over whole texts."""
 
 from __future__ import annotations
 
@@ -6,34 +6,38 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import ending
 from codeloom.operators.traverse import lines
-from codeloom.session import spread
+from codeloom.session import cut, spread
 
-# Name, type, pattern, group of the name, confidence.
+# Name, type, pattern, group of the name, confidence, tags.
 ENTITY_PATTERNS = (
-    ("flask_route", "endpoint", r"@app\.route\([\"']([^\"']+)[\"']", 1, 0.9),
-    ("fastapi_endpoint", "endpoint", r"@app\.(get|post|put|delete|patch)\([\"']([^\"']+)[\"']", 1, 0.9),
-    ("decorator", "decorator", r"@(\w+)", 1, 0.8),
-    ("constants", "constant", r"^([A-Z][A-Z0-9_]*)\s*=", 1, 0.7),
-    ("exception_class", "exception", r"class\s+(\w*(?:Error|Exception))\s*\(", 1, 0.9),
-    ("test_function", "test", r"def\s+(test_\w+)\s*\(", 1, 0.9),
-    ("model_class", "model", r"class\s+(\w+)(?:Model|Schema|Entity)\s*\(", 1, 0.8),
-    ("utility_function", "utility", r"def\s+(_?\w*(?:util|helper|tool)\w*)\s*\(", 1, 0.7),
+    ("flask_route", "endpoint", r"@app\.route\([\"']([^\"']+)[\"']", 1, 0.9, ("API", "FLASK", "ENDPOINT")),
+    ("fastapi_endpoint", "endpoint", r"@app\.(get|post|put|delete|patch)\([\"']([^\"']+)[\"']", 1, 0.9, ("API", "FASTAPI", "ENDPOINT")),
+    ("decorator", "decorator", r"@(\w+)", 1, 0.8, ("DECORATOR",)),
+    ("constants", "constant", r"^([A-Z][A-Z0-9_]*)\s*=", 1, 0.7, ("CONSTANT",)),
+    ("exception_class", "exception", r"class\s+(\w*(?:Error|Exception))\s*\(", 1, 0.9, ("EXCEPTION", "CLASS")),
+    ("test_function", "test", r"def\s+(test_\w+)\s*\(", 1, 0.9, ("TEST", "FUNCTION")),
+    ("model_class", "model", r"class\s+(\w+)(?:Model|Schema|Entity)\s*\(", 1, 0.8, ("MODEL", "CLASS")),
+    ("utility_function", "utility", r"def\s+(_?\w*(?:util|helper|tool)\w*)\s*\(", 1, 0.7, ("UTILITY", "FUNCTION")),
 )
 #: Of the value of a variable so many characters are kept.
 PREVIEW = 50
 # Relation, pattern, groups of source and target, confidence.
 RELATION_FORMS = (("inherits", r"class\s+(\w+)\s*\(\s*(\w+)", 1, 2, 0.9), ("imports", r"from\s+(\w+)\s+import\s+(\w+)", 2, 1, 0.9), ("composes", r"self\.(\w+)\s*=\s*(\w+)\(", 1, 2, 0.7))
-# What the surroundings of an entity mention, by kind: type it applies to, confidence.
+# What the surroundings of an entity mention, by prefix: words, type it applies to, type and tags of what it
+# suggests, confidence.
 MENTIONS = {
-    "api": (("@app.route", "@app.get", "@app.post", "request", "response", "HTTP", "API"), "function", 0.8),
-    "test_util": (("assert", "pytest", "unittest", "mock", "test_", "@pytest"), "function", 0.7),
-    "model": (("pydantic", "BaseModel", "dataclass", "SQLAlchemy", "Table", "Column", "relationship"), "class", 0.8),
+    "api": (("@app.route", "@app.get", "@app.post", "request", "response", "HTTP", "API"), "function", "endpoint", 0.8, ("API", "ENDPOINT", "ENHANCED")),
+    "test_util": (("assert", "pytest", "unittest", "mock", "test_", "@pytest"), "function", "test", 0.7, ("TEST", "UTILITY", "ENHANCED")),
+    "model": (("pydantic", "BaseModel", "dataclass", "SQLAlchemy", "Table", "Column", "relationship"), "class", "model", 0.8, ("MODEL", "DATA", "ENHANCED")),
 }
+UTILITY_TAGS = ("UTILITY", "HELPER", "ENHANCED")
+# Fixed value: a dictionary's name, its last string key with a word for its value, and that.
+HANDLER = r"(\w+)\s*=\s*\{[^}]*[\"'](\w+)[\"']\s*:\s*(\w+)"
 UTILITY_WORDS = ("helper", "util", "tool", "common", "shared")
 NO_SUBJECTS = ("assert", "assertEqual", "assertTrue", "mock", "patch")
 
@@ -43,15 +47,6 @@ def _python(files: DataFrame) -> DataFrame:
     return rows.select("repo_id", "file_path", F.posexplode(lines("content")).alias("n", "text"))
 
 
-def pattern_entities(files: DataFrame) -> DataFrame:
-    """(repo_id, file_path, line, pattern, type, name, confidence, metadata) of each pattern's first match in each line."""
-    hits = []
-    for name, kind, pattern, group, confidence in ENTITY_PATTERNS:
-        path = F.regexp_extract("text", pattern, 2) if name == "fastapi_endpoint" else F.lit(None).cast("string")
-        hits.append(F.when(F.col("text").rlike(pattern), F.struct(F.lit(name).alias("pattern"), F.lit(kind).alias("type"), F.regexp_extract("text", pattern, group).alias("name"), F.lit(confidence).alias("confidence"), path.alias("metadata"))))
-    return _python(files).withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select("repo_id", "file_path", (F.col("n") + 1).alias("line"), "hit.*")
-
-
 def _matched(files: DataFrame, patterns: tuple[tuple[str, str], ...]) -> DataFrame:
     """(repo_id, file_path, line, form, groups) of every match of each pattern (form, pattern) over whole Python texts."""
     rows = spread(files.where(ending("file_path") == ".py").where("content is not null").dropDuplicates(["repo_id", "file_path"]).select("repo_id", "file_path", "content"))
@@ -60,29 +55,30 @@ def _matched(files: DataFrame, patterns: tuple[tuple[str, str], ...]) -> DataFra
         compiled = [(form, re.compile(p, re.M)) for form, p in patterns]
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                text = row["content"].replace("\r\n", "\n")
+            for repo, path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                text = text.replace("\r\n", "\n")
                 for form, pattern in compiled:
                     line, at = 1, 0
                     for m in pattern.finditer(text):
                         line, at = line + text.count("\n", at, m.start()), m.start()
-                        out.append((row["repo_id"], row["file_path"], line, form, list(m.groups())))
+                        out.append((repo, path, line, form, list(m.groups())))
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["repo_id", "file_path", "line", "form", "groups"])
 
     return rows.mapInArrow(run, "repo_id string, file_path string, line int, form string, groups array<string>")
 
 
-def every_pattern_entity(files: DataFrame) -> DataFrame:
-    """As pattern_entities, but every match of each pattern, also over several lines."""
-    forms = files.sparkSession.createDataFrame([(n, k, g, c) for n, k, _, g, c in ENTITY_PATTERNS], "pattern string, type string, g int, confidence double")
-    rows = _matched(files, tuple((n, p) for n, _, p, _, _ in ENTITY_PATTERNS)).withColumnRenamed("form", "pattern").join(F.broadcast(forms), "pattern")
+def pattern_entities(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, line, pattern, type, name, confidence, metadata) of every match of each pattern."""
+    forms = files.sparkSession.createDataFrame([(n, k, g, c) for n, k, _, g, c, _ in ENTITY_PATTERNS], "pattern string, type string, g int, confidence double")
+    rows = _matched(files, tuple((n, p) for n, _, p, *_ in ENTITY_PATTERNS)).withColumnRenamed("form", "pattern").join(F.broadcast(forms), "pattern")
     path = F.when(F.col("pattern") == "fastapi_endpoint", F.get("groups", F.lit(1)))
     return rows.select("repo_id", "file_path", "line", "pattern", "type", F.get("groups", F.col("g") - 1).alias("name"), "confidence", path.alias("metadata"))
 
 
-def every_text_relation(files: DataFrame) -> DataFrame:
-    """As text_relations, but every match of each form, also over several lines."""
+def text_relations(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, line, relation, source, target, confidence): inheritance, imports and composition by form, every
+    match of each, also over several lines."""
     forms = files.sparkSession.createDataFrame([(k, a, b, c) for k, _, a, b, c in RELATION_FORMS], "relation string, a int, b int, confidence double")
     rows = _matched(files, tuple((k, p) for k, p, *_ in RELATION_FORMS)).withColumnRenamed("form", "relation").join(F.broadcast(forms), "relation")
     return rows.select("repo_id", "file_path", "line", "relation", F.get("groups", F.col("a") - 1).alias("source"), F.get("groups", F.col("b") - 1).alias("target"), "confidence")
@@ -100,39 +96,62 @@ def variables(files: DataFrame) -> DataFrame:
 
 
 def handlers(files: DataFrame) -> DataFrame:
-    """(repo_id, file_path, holder, key, function): names under string keys of dictionaries bound at line starts."""
-    rows = files.where(ending("file_path") == ".py").where("content is not null").dropDuplicates(["repo_id", "file_path"])
-    block = F.explode(F.regexp_extract_all("content", F.lit(r"(?ms)^(\w+\s*=\s*\{[^{}]*\})"), F.lit(1))).alias("block")
-    found = rows.select("repo_id", "file_path", block).withColumn("holder", F.regexp_extract("block", r"^(\w+)", 1))
-    pair = F.explode(F.regexp_extract_all("block", F.lit(r"[\"']\w+[\"']\s*:\s*[A-Za-z_]\w*(?=\s*[,}])"), F.lit(0))).alias("pair")
-    rows = found.select("repo_id", "file_path", "holder", pair)
-    return rows.select("repo_id", "file_path", "holder", F.regexp_extract("pair", r"[\"'](\w+)[\"']", 1).alias("key"), F.regexp_extract("pair", r"(\w+)$", 1).alias("function")).where(~F.col("function").isin("True", "False", "None"))
+    """(repo_id, file_path, line, holder, key, function): of each dictionary bound to a name the last string key with a word
+    for its value, one row."""
+    rows = _matched(files, (("handler", HANDLER),))
+    return rows.select("repo_id", "file_path", "line", F.get("groups", F.lit(0)).alias("holder"), F.get("groups", F.lit(1)).alias("key"), F.get("groups", F.lit(2)).alias("function"))
 
 
-def contextual(nodes: DataFrame, files: DataFrame, around: int = 3) -> DataFrame:
-    """(base, name, type, confidence): entities suggested by what the lines around an entity mention, or by its name."""
-    from codeloom.operators.traverse import snippets
+def contextual(nodes: DataFrame, files: DataFrame, before: int = 2, after: int = 3) -> DataFrame:
+    """(base, name, type, confidence, tags): entities suggested by what the lines around an entity mention, or by its name."""
+    from codeloom.operators.traverse import between, texts
 
-    text = snippets(nodes, files, around).select("uuid", F.concat_ws("\n", "before", "code", "after").alias("text"))
-    rows = nodes.select("uuid", "name", "type", "file_path").join(text, "uuid")
+    wanted = nodes.where("start_line is not null and end_line is not null").select("uuid", "name", "type", "repo_id", "file_path", "start_line", "end_line")
+    rows = wanted.join(texts(files), ["repo_id", "file_path"]).where(F.col("start_line") <= F.size("l_"))
+    rows = rows.select("uuid", "name", "type", "file_path", between(F.col("l_"), F.col("start_line") - before, F.col("end_line") + after).alias("text"))
     hits = []
-    for kind, (words, wanted, confidence) in MENTIONS.items():
+    for prefix, (words, wanted_type, kind, confidence, tags) in MENTIONS.items():
         mentions = F.lit(False)
         for w in words:
             mentions = mentions | F.col("text").contains(w)
-        fits = (F.col("type") == wanted) & mentions
-        if kind == "test_util":
+        fits = (F.col("type") == wanted_type) & mentions
+        if prefix == "test_util":
             fits = fits & ~F.col("name").startswith("test_")
-        hits.append(F.when(fits, F.struct(F.concat(F.lit(f"{kind}_"), F.col("name")).alias("name"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"))))
+        hits.append(F.when(fits, _suggested(prefix, kind, confidence, tags)))
     useful = (F.col("type") == "function") & (F.lower("name").rlike("|".join(UTILITY_WORDS)) | F.lower("file_path").rlike("|".join(UTILITY_WORDS)))
-    hits.append(F.when(useful, F.struct(F.concat(F.lit("util_"), F.col("name")).alias("name"), F.lit("util").alias("type"), F.lit(0.7).alias("confidence"))))
+    hits.append(F.when(useful, _suggested("util", "utility", 0.7, UTILITY_TAGS)))
     return rows.withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select(F.col("uuid").alias("base"), "hit.*")
 
 
-def text_relations(files: DataFrame) -> DataFrame:
-    """(repo_id, file_path, line, relation, source, target, confidence): inheritance, imports and composition by form."""
-    hits = [F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("relation"), F.regexp_extract("text", p, a).alias("source"), F.regexp_extract("text", p, b).alias("target"), F.lit(c).alias("confidence"))) for k, p, a, b, c in RELATION_FORMS]
-    return _python(files).withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select("repo_id", "file_path", (F.col("n") + 1).alias("line"), "hit.*")
+def _suggested(prefix: str, kind: str, confidence: float, tags: tuple[str, ...]) -> Column:
+    name = F.concat(F.lit(f"{prefix}_"), F.col("name"))
+    return F.struct(name.alias("name"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.array(*[F.lit(t) for t in tags]).alias("tags"))
+
+
+def extracted(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Entities (uuid, repo_id, file_path, type, name, start_line, end_line, tags, metadata) of all ways together: by
+    pattern, suggested by context, variables and constants, handlers. The id follows from what the entity is; metadata is
+    JSON of how it was found. Repeated finds of one thing are one entity."""
+    spark = files.sparkSession
+    tags = spark.createDataFrame([(n, list(t)) for n, *_, t in ENTITY_PATTERNS], "pattern string, tags array<string>")
+    columns = ("repo_id", "file_path", "type", "name", "line", "confidence", "tags", "pattern", "value", "base", "holder", "key", "function")
+
+    def shaped(df: DataFrame) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return df.select(*[F.col(c) if c in df.columns else none.alias(c) for c in columns])
+
+    by_form = shaped(pattern_entities(files).drop("metadata").join(F.broadcast(tags), "pattern"))
+    kinds = F.when(F.col("type") == "constant", F.array(F.lit("CONSTANT"), F.lit("GLOBAL"))).otherwise(F.array(F.lit("VARIABLE"), F.lit("GLOBAL")))
+    bound = shaped(variables(files).withColumns({"confidence": F.lit(0.6), "tags": kinds}))
+    entry = F.concat("holder", F.lit("["), "key", F.lit("]"))
+    held = shaped(handlers(files).withColumns({"type": F.lit("handler"), "name": entry, "confidence": F.lit(0.8), "tags": F.array(F.lit("HANDLER"), F.lit("MAPPING"))}))
+    home = nodes.select(F.col("uuid").alias("base"), "repo_id", "file_path", F.col("start_line").alias("line"))
+    near = shaped(contextual(nodes, files).join(home, "base"))
+    rows = by_form.unionByName(bound).unionByName(held).unionByName(near)
+    uuid = F.sha2(F.concat_ws("|", "repo_id", "file_path", "type", "name", F.col("line").cast("string"), F.coalesce("pattern", "base", "holder", F.lit(""))), 256)
+    said = F.to_json(F.struct("confidence", F.lit("semantic_pattern").alias("extraction_method"), "pattern", "value", F.col("base").alias("base_entity"), F.col("holder").alias("handler_dict"), F.col("key").alias("handler_key"), F.col("function").alias("handler_function")))
+    rows = rows.select(uuid.alias("uuid"), "repo_id", "file_path", "type", "name", F.col("line").alias("start_line"), F.col("line").alias("end_line"), "tags", said.alias("metadata"))
+    return rows.dropDuplicates(["uuid"])
 
 
 def decorated(files: DataFrame, nodes: DataFrame, within: int = 4) -> DataFrame:
@@ -160,31 +179,40 @@ def tested(nodes: DataFrame) -> DataFrame:
 def configured(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """(config, uuid): entities whose lines use a configuration name (tag CONFIG or upper case) of their repository.
 
-    Lines are split into words once and joined with the names; then each place with the tightest entity around it.
+    Each file's distinct words meet the names; only the lines of what is met are looked at, then the tightest entity
+    around each.
     """
-    from codeloom.functions.paths import plain_path
-    from codeloom.operators.traverse import entity_at
+    from codeloom.operators.traverse import entity_at, texts
 
     upper = (F.upper("name") == F.col("name")) & F.col("name").rlike("[A-Z]")
     names = nodes.where(F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), "CONFIG") | upper).groupBy("repo_id", F.col("name").alias("word")).agg(F.min("uuid").alias("config"))
-    rows = files.where("content is not null").dropDuplicates(["repo_id", "file_path"]).select("repo_id", plain_path("file_path").alias("file_path"), F.posexplode(lines("content")).alias("n", "text"))
-    words = rows.select("repo_id", "file_path", (F.col("n") + 1).alias("line"), F.explode(F.array_distinct(F.split("text", r"\W+"))).alias("word")).where(F.length("word") > 1)
-    used = words.join(names, ["repo_id", "word"])
+    rows = texts(files)
+    words = rows.select("repo_id", "file_path", F.explode(F.array_distinct(F.split(F.array_join("l_", "\n"), r"\W+"))).alias("word")).where(F.length("word") > 1)
+    met = words.join(names, ["repo_id", "word"])
+    whole = F.concat(F.lit(r"(?<!\w)"), F.col("word"), F.lit(r"(?!\w)"))
+    used = F.filter(F.transform("l_", lambda x, i: F.when(x.contains(F.col("word")) & F.regexp_like(x, whole), i + 1)), lambda x: x.isNotNull())
+    used = cut(met.join(rows, ["repo_id", "file_path"]).select("repo_id", "file_path", "config", F.explode(used).alias("line")))
     places = used.select("repo_id", "file_path", "line").distinct()
-    met = used.join(entity_at(nodes, places), ["repo_id", "file_path", "line"])
-    return met.where("config <> uuid").select("config", "uuid").distinct()
+    found = used.join(entity_at(nodes, places), ["repo_id", "file_path", "line"])
+    return found.where("config <> uuid").select("config", "uuid").distinct()
+
+
+def _first_named(nodes: DataFrame, column: str) -> DataFrame:
+    """(repo_id, file_path, column, uuid): the first entity of each name in a file."""
+    return nodes.groupBy("repo_id", "file_path", F.col("name").alias(column)).agg(F.min_by("uuid", F.struct("start_line", "uuid")).alias(f"{column}_id"))
 
 
 def handled(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(repo_id, file_path, key, uuid, confidence): string keys of dictionaries with the function of their file they name."""
-    known = nodes.where("type in ('function', 'method')").groupBy("repo_id", "file_path", F.col("name").alias("function")).agg(F.min("uuid").alias("uuid"))
-    return handlers(files).join(known, ["repo_id", "file_path", "function"]).select("repo_id", "file_path", "key", "uuid", F.lit(0.8).alias("confidence"))
+    """(repo_id, file_path, key, source, target, confidence): dictionaries with the entity of their file that they hold
+    under a key, where both are known."""
+    met = handlers(files).join(_first_named(nodes, "holder"), ["repo_id", "file_path", "holder"]).join(_first_named(nodes, "function"), ["repo_id", "file_path", "function"])
+    return met.select("repo_id", "file_path", "key", F.col("holder_id").alias("source"), F.col("function_id").alias("target"), F.lit(0.8).alias("confidence")).distinct()
 
 
-def served(files: DataFrame, nodes: DataFrame, every: bool = False) -> DataFrame:
+def served(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """(repo_id, file_path, endpoint, uuid, confidence): endpoints with the first function defined from two lines before
-    them to four lines after. every: every endpoint of a line, not the first of each pattern."""
-    marks = (every_pattern_entity if every else pattern_entities)(files).where("type = 'endpoint'").select("repo_id", "file_path", "line", F.coalesce("metadata", "name").alias("endpoint"))
+    them to four lines after."""
+    marks = pattern_entities(files).where("type = 'endpoint'").select("repo_id", "file_path", "line", F.coalesce("metadata", "name").alias("endpoint"))
     heads = _python(files).where(F.col("text").rlike(r"^\s*(?:async\s+)?def\s+\w+")).select("repo_id", "file_path", (F.col("n") + 1).alias("at"), F.regexp_extract("text", r"def\s+(\w+)", 1).alias("function"))
     near = marks.withColumn("at", F.explode(F.sequence(F.greatest(F.col("line") - 2, F.lit(1)), F.col("line") + 4))).join(heads, ["repo_id", "file_path", "at"])
     known = nodes.where("type in ('function', 'method')").groupBy("repo_id", "file_path", F.col("name").alias("function")).agg(F.min("uuid").alias("uuid"))
@@ -210,7 +238,7 @@ def relations(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     named = nodes.groupBy("repo_id", "file_path", "name").agg(F.max_by("uuid", "start_line").alias("uuid"))
     ids = lambda side: named.select("repo_id", "file_path", F.col("name").alias(side), F.col("uuid").alias(f"{side}_id"))
-    found = every_text_relation(files).select("repo_id", "file_path", "relation", "source", "target", "confidence").distinct()
+    found = text_relations(files).select("repo_id", "file_path", "relation", "source", "target", "confidence").distinct()
     met = found.join(ids("source"), ["repo_id", "file_path", "source"], "left").join(ids("target"), ["repo_id", "file_path", "target"], "left")
     place = lambda side: F.coalesce(F.col(f"{side}_id"), F.concat(F.lit("external:"), F.col(side)))
     formed = met.where("source_id is not null or target_id is not null").select("relation", place("source").alias("source"), place("target").alias("target"), "confidence", (F.col("source_id").isNull() | F.col("target_id").isNull()).alias("external"))
@@ -219,8 +247,8 @@ def relations(files: DataFrame, nodes: DataFrame) -> DataFrame:
     marks = decorated(files, nodes)
     return (
         formed.unionByName(row(marks, "decorates", F.concat(F.lit("external:"), F.col("decorator")), F.col("uuid"), F.lit(0.9), F.col("external")))
-        .unionByName(row(handled(files, nodes), "handles", F.col("key"), F.col("uuid"), F.col("confidence"), no))
-        .unionByName(row(served(files, nodes, every=True), "handles", F.col("endpoint"), F.col("uuid"), F.col("confidence"), no))
+        .unionByName(row(handled(files, nodes), "handles", F.col("source"), F.col("target"), F.col("confidence"), no))
+        .unionByName(row(served(files, nodes), "handles", F.col("endpoint"), F.col("uuid"), F.col("confidence"), no))
         .unionByName(row(tested(nodes), "tests", F.col("test"), F.col("subject"), F.col("confidence"), no))
         .unionByName(row(tested_by_calls(nodes, files), "tests", F.col("test"), F.col("subject"), F.col("confidence"), no))
         .unionByName(row(configured(nodes, files), "configures", F.col("config"), F.col("uuid"), F.lit(0.6), no))

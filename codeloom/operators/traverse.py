@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,31 +35,37 @@ def links_of(links: DataFrame, uuid: str, direction: str = "both") -> DataFrame:
     return out if direction == "out" else into if direction == "in" else out.unionByName(into)
 
 
-def reach(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+#: Links, or what gives those with one end ("src" or "dst") among ids (uuid) without reading more than that takes.
+Links = DataFrame | Callable[[DataFrame, str], DataFrame]
+
+
+def links_at(links: Links, ids: DataFrame, end: str) -> DataFrame:
+    if callable(links):
+        return links(ids, end)
+    return links.join(ids.select(F.col("uuid").alias(end)), end, "left_semi")
+
+
+def reach(links: Links, roots: DataFrame, depth: int) -> DataFrame:
     """(uuid, depth): what the roots (uuid) reach over outgoing links in at most `depth` steps.
 
-    The frontier is deduplicated and known entities are dropped at each step, so a step shuffles frontier rows only.
+    A step reads the links of the frontier; the frontier, not the links, is written, and known entities are dropped.
     """
-    seen = roots.select("uuid", F.lit(0).alias("depth")).distinct()
-    frontier = seen
-    pairs = cut(links.select("src", "dst").distinct())
+    frontier = seen = cut(roots.select("uuid", F.lit(0).alias("depth")).distinct())
     for step in range(1, depth + 1):
-        found = pairs.join(frontier.select(F.col("uuid").alias("src")), "src", "left_semi").select(F.col("dst").alias("uuid")).distinct()
-        frontier = found.join(seen, "uuid", "left_anti").withColumn("depth", F.lit(step))
+        found = links_at(links, frontier, "src").select(F.col("dst").alias("uuid")).distinct()
+        frontier = cut(found.join(seen, "uuid", "left_anti").withColumn("depth", F.lit(step)))
         seen = seen.unionByName(frontier)
     return seen
 
 
-def induced(links: DataFrame, ids: DataFrame) -> DataFrame:
+def induced(links: Links, ids: DataFrame) -> DataFrame:
     """The links with both ends among ids (uuid)."""
-    inside = links.join(ids.select(F.col("uuid").alias("src")), "src", "left_semi")
-    return inside.join(ids.select(F.col("uuid").alias("dst")), "dst", "left_semi")
+    return links_at(links, ids, "src").join(ids.select(F.col("uuid").alias("dst")), "dst", "left_semi")
 
 
-def subgraph(links: DataFrame, uuid: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(entities with depth, links among them) around one entity."""
-    root = links.sparkSession.createDataFrame([(uuid,)], "uuid string")
-    ids = cut(reach(links, root, depth))
+def subgraph(links: Links, root: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(entities with depth, links among them) around the entities of root (uuid)."""
+    ids = reach(links, root, depth)
     return ids, induced(links, ids)
 
 
@@ -102,15 +108,21 @@ def between(rows: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(rows, low, F.greatest(n, F.lit(0))), "\n")
 
 
+def texts(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, l_): each file once, with its lines. Split before any join, so once per file and not for
+    each of its entities."""
+    whole = files.groupBy("repo_id", plain_path("file_path").alias("file_path")).agg(F.first("content", ignorenulls=True).alias("content"))
+    return whole.where("content is not null").select("repo_id", "file_path", lines("content").alias("l_"))
+
+
 def snippets(nodes: DataFrame, files: DataFrame, around: int = 3) -> DataFrame:
     """(uuid, before, code, after, signature, imports): the code of entities with the lines around it.
 
     Only entities with lines whose file is in the table; the signature is the first line and up to five more until one
     has a colon; imports are the trimmed lines of the code that begin with import or from.
     """
-    texts = files.groupBy("repo_id", plain_path("file_path").alias("file_path")).agg(F.first("content", ignorenulls=True).alias("content"))
     wanted = nodes.where("start_line is not null and end_line is not null").select("uuid", "repo_id", "file_path", "start_line", "end_line")
-    rows = wanted.join(texts, ["repo_id", "file_path"]).withColumn("l_", lines("content")).where(F.col("start_line") <= F.size("l_"))
+    rows = wanted.join(texts(files), ["repo_id", "file_path"]).where(F.col("start_line") <= F.size("l_"))
     s, e = F.col("start_line"), F.col("end_line")
     head = F.slice("l_", F.greatest(s, F.lit(1)), F.lit(6))
     grown = F.aggregate(
@@ -131,19 +143,22 @@ def snippets(nodes: DataFrame, files: DataFrame, around: int = 3) -> DataFrame:
 
 
 def context(nodes: DataFrame, links: DataFrame, files: DataFrame, ids: DataFrame, most: int = 10) -> DataFrame:
-    """(uuid, name, code, neighbours, n_links) of the entities among ids (uuid): up to `most` neighbours by uuid.
+    """(uuid, name, code, neighbours, n_links, links) of the entities among ids (uuid): up to `most` neighbours by uuid.
 
-    Ids that are no entities are dropped.
+    links: how many links of each kind lead out or in ("calls>", "<uses"), by kind. Ids that are no entities are dropped.
     """
     own = nodes.join(ids, "uuid", "left_semi")
-    touching = F.explode(F.array(F.struct(F.col("src").alias("uuid"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("uuid"), F.col("src").alias("other")))).alias("t")
-    pairs = links.select(touching).select("t.*").join(ids, "uuid", "left_semi")
-    known = pairs.distinct().join(nodes.select(F.col("uuid").alias("other")), "other", "left_semi")
+    touching = F.explode(F.array(F.struct(F.col("src").alias("uuid"), F.col("dst").alias("other"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("uuid"), F.col("src").alias("other"), F.lit(False).alias("out")))).alias("t")
+    pairs = links.select("type", touching).select("type", "t.*").join(ids, "uuid", "left_semi")
+    known = pairs.select("uuid", "other").distinct().join(nodes.select(F.col("uuid").alias("other")), "other", "left_semi")
     near = first_per_group(known, ["uuid"], ["other"], most).groupBy("uuid").agg(F.array_sort(F.collect_list("other")).alias("neighbours"))
-    count = pairs.groupBy("uuid").agg(F.count(F.lit(1)).alias("n_links"))
+    kind = F.when(F.col("out"), F.concat(F.coalesce("type", F.lit("unknown")), F.lit(">"))).otherwise(F.concat(F.lit("<"), F.coalesce("type", F.lit("unknown"))))
+    kinds = pairs.groupBy("uuid", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    said = F.array_sort(F.collect_list(F.concat_ws(":", "kind", F.col("n").cast("string"))))
+    count = kinds.groupBy("uuid").agg(F.sum("n").alias("n_links"), said.alias("links"))
     code = snippets(own, files, 0).select("uuid", "code")
     rows = own.select("uuid", "name").join(code, "uuid", "left").join(near, "uuid", "left").join(count, "uuid", "left")
-    return rows.select("uuid", "name", "code", F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.select("uuid", "name", "code", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("neighbours", "links")], F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def entity_at(nodes: DataFrame, places: DataFrame) -> DataFrame:

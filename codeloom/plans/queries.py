@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import schema
 from codeloom.functions import names
-from codeloom.functions.paths import plain_path
+from codeloom.functions.paths import module_name, plain_path, relative_path
 from codeloom.operators import changefeed, graph, graphalg, ingest, language, metrics, mutate, orphans, patterns, rules, search, semantic, traverse
-from codeloom.session import cut
+from codeloom.operators.skew import canonical_id
+from codeloom.session import cut, ensure_checkpoint_dir
 from codeloom.sources import files as source_files
 from codeloom.sources import store
+from codeloom.sources.versions import Versions
 from codeloom.streaming import audit as audit_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,12 +34,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 #: Where p5 divides the rows into increments.
-INCREMENTS = ("2026-01-01",)
+INCREMENTS = ("2025-09-01", "2026-01-01")
+#: When p5_snapshots counts.
+SNAPSHOTS = ("2025-07-01", "2025-10-01", "2026-01-01", "2026-04-01")
+#: Up to when p6 takes the feed for its base.
+BASE_UNTIL = "2026-04-01"
 ENTITY_FIELDS = ("name", "file_path")
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this run in the shared one."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _orphans(spark: SparkSession, folder: str) -> orphans.OrphanState:
-    return orphans.run_increments(table(spark, folder, "edges"), table(spark, folder, "nodes"), INCREMENTS)
+    kept = Versions(spark, own_folder(spark, "orphans"))
+    return orphans.run_increments(table(spark, folder, "edges"), table(spark, folder, "nodes"), INCREMENTS, kept=kept)
 
 
 @query
@@ -49,10 +63,22 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.counts(_orphans(spark, folder))
 
 
+@query
+def p5_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """What p5_counts gives, as of several times, with the deletions of the audit log reopening references."""
+    kept = Versions(spark, own_folder(spark, "orphans"))
+    edges, nodes, audit = (table(spark, folder, t) for t in ("edges", "nodes", "audit"))
+    orphans.run_increments(edges, nodes, SNAPSHOTS[:-1], audit, kept, snapshots=True, until=SNAPSHOTS[-1])
+    return orphans.history(kept)
+
+
 @query
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    changes = changefeed.audit_changes(table(spark, folder, "audit"), ENTITY_FIELDS)
-    return changefeed.apply_changes(changes, ENTITY_FIELDS).withColumnRenamed("key", "entity_uuid")
+    """The feed up to the snapshot gives the base, into which the changes since then are merged."""
+    changes = cut(changefeed.deduplicated(changefeed.audit_changes(table(spark, folder, "audit"), ENTITY_FIELDS)))
+    since = F.col("seq") >= F.lit(BASE_UNTIL).cast("timestamp_ntz")
+    base = changefeed.apply_changes(changes.where(~since), ENTITY_FIELDS, distinct=True)
+    return changefeed.apply_changes(changes.where(since), ENTITY_FIELDS, base, distinct=True).withColumnRenamed("key", "entity_uuid")
 
 
 # ------------------------------------------------------------------------------------------------ the graph's tables
@@ -72,15 +98,27 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hub(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(uuid) of the known entity with the most incoming links: where traversals start."""
-    return graph.degrees(nodes, links).orderBy(F.desc("n_in"), "uuid").limit(1).select("uuid")
+    """(uuid) of the known entity with the most incoming links: where traversals start. A top one of aggregated counts."""
+    ids = nodes.select("uuid").distinct()
+    into = links.groupBy(F.col("dst").alias("uuid")).agg(F.count(F.lit(1)).alias("n_in"))
+    return ids.join(into, "uuid", "left").orderBy(F.desc_nulls_last("n_in"), "uuid").limit(1).select("uuid")
+
+
+def _hub_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The hub, written, so that what starts from it doesn't search it again."""
+    ids = table(spark, folder, "nodes").where("uuid is not null").select(canonical_id("uuid").alias("uuid"))
+    return cut(_hub(ids, _links(spark, folder)))
 
 
 def _hub_id(spark: SparkSession, folder: str) -> str:
-    row = _hub(_nodes(spark, folder), _links(spark, folder)).first()
+    row = _hub_of(spark, folder).first()
     return row[0] if row else ""
 
 
+def _links_at(spark: SparkSession, folder: str) -> Callable[[DataFrame, str], DataFrame]:
+    return lambda ids, end: graph.relations_at(table(spark, folder, "edges"), ids, end)
+
+
 def both(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: f(_nodes(spark, folder), _links(spark, folder))
 
@@ -110,7 +148,9 @@ named("language_summary", lambda s, d: metrics.language_summary(_nodes(s, d)))
 named("quality_metrics", both(metrics.quality))
 named("quality_scores", both(metrics.quality_scores))
 named("quality_scores_compact", both(lambda n, e: metrics.quality_scores(n, e, compact=True)))
+named("quality_rounded", both(lambda n, e: metrics.rounded(metrics.quality_scores(n, e))))
 named("quality_recommendations", both(metrics.recommendations))
+named("repository_components", both(metrics.repository_components))
 
 
 @query
@@ -125,6 +165,12 @@ def affected_files(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.affected_files(links, nodes, _hub(nodes, links).withColumnRenamed("uuid", "target"))
 
 
+@query
+def affected_entities(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, links = _nodes(spark, folder), _links(spark, folder)
+    return metrics.affected_entities(links, nodes, _hub(nodes, links).withColumnRenamed("uuid", "target"))
+
+
 # ------------------------------------------------------------------------------------------------ search and pages
 
 _PAGE = ("uuid", "name", "type", "file_path")
@@ -203,6 +249,21 @@ def file_priority(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("repo_id", "file_path", names.priority(F.col("file_path"), F.col("n_bytes")).alias("priority"))
 
 
+@query
+def file_priority_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """The first four fifths, by priority, of the files of every repository of more than five."""
+    return source_files.prioritised(_files(spark, folder), large=5, least=3).select("repo_id", "file_path", "priority")
+
+
+@query
+def relative_paths(spark: SparkSession, folder: str) -> DataFrame:
+    whole = F.concat(F.lit("file:///data/trees/"), F.col("file_path"))
+    return _files(spark, folder).select("repo_id", "file_path", relative_path(whole, "/data/trees/").alias("relative"))
+
+
+named("module_names", lambda s, d: _files(s, d).select("repo_id", "file_path", module_name("file_path").alias("module")))
+
+
 @query
 def analysed_files(spark: SparkSession, folder: str) -> DataFrame:
     return _files(spark, folder).where(source_files.wanted(F.col("file_path"))).select("repo_id", "file_path")
@@ -242,13 +303,13 @@ def edges_for_node(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def subgraph_bfs(spark: SparkSession, folder: str) -> DataFrame:
-    ids, _ = traverse.subgraph(_links(spark, folder), _hub_id(spark, folder), 3)
+    ids, _ = traverse.subgraph(_links_at(spark, folder), _hub_of(spark, folder), 3)
     return ids
 
 
 @query
 def subgraph_links(spark: SparkSession, folder: str) -> DataFrame:
-    _, links = traverse.subgraph(_links(spark, folder), _hub_id(spark, folder), 3)
+    _, links = traverse.subgraph(_links_at(spark, folder), _hub_of(spark, folder), 3)
     return links.select("src", "dst", "type")
 
 
@@ -279,7 +340,7 @@ def entity_context(spark: SparkSession, folder: str) -> DataFrame:
     nodes, links = _nodes(spark, folder), _links(spark, folder)
     ids = nodes.where("type = 'endpoint'").select("uuid")
     rows = traverse.context(nodes, links, table(spark, folder, "source_files"), ids)
-    return rows.select("uuid", "name", "code", F.array_join("neighbours", ",").alias("neighbours"), "n_links")
+    return rows.select("uuid", "name", "code", *[F.array_join(c, ",").alias(c) for c in ("neighbours", "links")], "n_links")
 
 
 @query
@@ -294,142 +355,122 @@ def signatures(spark: SparkSession, folder: str) -> DataFrame:
     return traverse.snippets(nodes, table(spark, folder, "source_files"), 0).select("uuid", "signature")
 
 
-def _places(spark: SparkSession, folder: str, step: int) -> DataFrame:
-    """(repo_id, file_path, line) of each file's lines 1, 1 + step and so on."""
-    sizes = _files(spark, folder).where("content is not null").select("repo_id", plain_path("file_path").alias("file_path"), F.size(traverse.lines("content")).alias("n"))
-    sizes = sizes.groupBy("repo_id", "file_path").agg(F.max("n").alias("n"))
-    return sizes.select("repo_id", "file_path", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)), F.lit(step))).alias("line"))
-
-
 @query
 def entity_at_line(spark: SparkSession, folder: str) -> DataFrame:
-    """The tightest entity around every tenth line of every file, as its SQL asks."""
-    return traverse.entity_at(_nodes(spark, folder), _places(spark, folder, 10))
-
-
-@query
-def entity_at_every_line(spark: SparkSession, folder: str) -> DataFrame:
-    return traverse.entity_at(_nodes(spark, folder), _places(spark, folder, 1))
+    """The tightest entity around every line of every file."""
+    sizes = _files(spark, folder).where("content is not null").select("repo_id", plain_path("file_path").alias("file_path"), F.size(traverse.lines("content")).alias("n"))
+    sizes = sizes.groupBy("repo_id", "file_path").agg(F.max("n").alias("n"))
+    places = sizes.select("repo_id", "file_path", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)))).alias("line"))
+    return traverse.entity_at(_nodes(spark, folder), places)
 
 
 # ------------------------------------------------------------------------------------------------ graph algorithms
 
-RANK_ROUNDS = 10
+#: From how many pivots the estimates of path measures start.
+PIVOTS = 256
 
 
 @query
 def pagerank(spark: SparkSession, folder: str) -> DataFrame:
-    ranks = graphalg.pagerank(_links(spark, folder), _nodes(spark, folder), rounds=RANK_ROUNDS)
+    ranks = graphalg.pagerank(_links(spark, folder), _nodes(spark, folder))
     return ranks.select("uuid", F.round(F.col("rank") * 1e6, 3).alias("rank_per_million"))
 
 
-def _inheritance(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The links of type inherits and the entities at their ends: the graph of the path queries that have SQL."""
-    links = _links(spark, folder).where("type = 'inherits'").select("src", "dst")
-    ids = links.select(F.explode(F.array("src", "dst")).alias("uuid")).distinct()
-    return links, ids
-
-
 def _whole(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """All links, and all entities with the unknown ends of links, as the reference's graph has them."""
-    links = _links(spark, folder).select("src", "dst")
-    ids = _nodes(spark, folder).select("uuid").unionByName(links.select(F.explode(F.array("src", "dst")).alias("uuid"))).distinct()
-    return cut(links), cut(ids)
+    links = cut(_links(spark, folder).select("src", "dst"))
+    known = table(spark, folder, "nodes").where("uuid is not null").select(canonical_id("uuid").alias("uuid"))
+    ids = known.unionByName(links.select(F.explode(F.array("src", "dst")).alias("uuid"))).distinct()
+    return links, cut(ids)
 
 
 @query
 def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
-    links, ids = _inheritance(spark, folder)
-    return graphalg.shortest_paths(links, ids).where("depth > 0").select("source", "uuid", "depth")
-
-
-@query
-def shortest_paths_all(spark: SparkSession, folder: str) -> DataFrame:
     links, ids = _whole(spark, folder)
-    return graphalg.shortest_paths(links, ids).where("depth > 0").select("source", "uuid", "depth")
+    return graphalg.shortest_paths(links, ids).where("depth > 0").select("source", "uuid", "depth", "paths")
 
 
-@query
-def closeness(spark: SparkSession, folder: str) -> DataFrame:
-    links, ids = _inheritance(spark, folder)
-    return graphalg.closeness(links, ids).select("uuid", F.round(F.col("closeness") * 1e6, 3).alias("closeness_millionths"))
+def _millionths(column: str) -> Column:
+    return F.round(F.col(column) * 1e6, 3).alias(f"{column}_millionths")
 
 
 @query
-def closeness_all(spark: SparkSession, folder: str) -> DataFrame:
+def closeness(spark: SparkSession, folder: str) -> DataFrame:
     links, ids = _whole(spark, folder)
-    return graphalg.closeness(links, ids).select("uuid", F.round(F.col("closeness") * 1e6, 3).alias("closeness_millionths"))
+    return graphalg.closeness(links, ids).select("uuid", _millionths("closeness"))
 
 
 @query
 def betweenness(spark: SparkSession, folder: str) -> DataFrame:
     links, ids = _whole(spark, folder)
-    return graphalg.betweenness(links, ids)
+    return graphalg.betweenness(links, ids).select("uuid", _millionths("betweenness"))
 
 
 @query
 def hotspots(spark: SparkSession, folder: str) -> DataFrame:
     links, ids = _whole(spark, folder)
-    return graphalg.hotspots(links, ids)
+    top = graphalg.hotspots(links, ids)
+    about = _nodes(spark, folder).select("uuid", "name", "type", "file_path")
+    figures = [_millionths(c) for c in ("score", "betweenness", "closeness", "rank", "average")]
+    return top.join(about, "uuid", "left").select("uuid", "name", "type", "file_path", "connections", *figures)
 
 
-def _component_sizes(links: DataFrame, ids: DataFrame) -> DataFrame:
-    sizes = graphalg.strong_components(links, ids).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+@query
+def betweenness_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    """From a sample of pivots: the way for graphs of any size."""
+    links, ids = _whole(spark, folder)
+    return graphalg.betweenness(links, ids, sources=PIVOTS).select("uuid", _millionths("betweenness"))
 
 
 @query
-def strong_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Of the import graph: how many components there are of each size."""
-    links = _links(spark, folder).where("type = 'imports'").select("src", "dst")
-    return _component_sizes(links, links.select(F.explode(F.array("src", "dst")).alias("uuid")).distinct())
+def hotspots_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    links, ids = _whole(spark, folder)
+    return graphalg.hotspots(links, ids, sources=PIVOTS).select("uuid", "connections", *[_millionths(c) for c in ("score", "betweenness", "closeness", "rank")])
 
 
 @query
-def strong_components_all(spark: SparkSession, folder: str) -> DataFrame:
+def strong_components(spark: SparkSession, folder: str) -> DataFrame:
     """Of all links and entities: how many components there are of each size."""
-    return _component_sizes(*_whole(spark, folder))
-
-
-def _import_links(spark: SparkSession, folder: str) -> DataFrame:
-    return _links(spark, folder).where("type in ('imports', 'depends_on')")
+    sizes = graphalg.strong_components(*_whole(spark, folder)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("components"))
 
 
 @query
 def import_cycles(spark: SparkSession, folder: str) -> DataFrame:
-    return graphalg.cycles(_import_links(spark, folder), 4).select(F.array_join("path", ">").alias("path"), "length", "severity")
+    """Circuits of any length over imports and dependencies."""
+    links = _links(spark, folder).where("type in ('imports', 'depends_on')")
+    return graphalg.cycles(links, None).select(F.array_join("path", ">").alias("path"), "length", "severity")
 
 
 @query
-def import_cycles_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Circuits of any length."""
-    return graphalg.cycles(_import_links(spark, folder), None).select(F.array_join("path", ">").alias("path"), "length", "severity")
+def link_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """Circuits of at most four links over links of all types."""
+    return graphalg.cycles(_links(spark, folder), 4).select(F.array_join("path", ">").alias("path"), "length", "severity")
 
 
 # ------------------------------------------------------------------------------------------------ text
 
+_MATCH = ("rule_id", "severity", "repo_id", "file_path", "line", "column", "matched")
+
 
 def _rule(*ids: str) -> Query:
-    return lambda s, d: rules.line_matches(_files(s, d), [r for r in rules.RULES if r.id in ids]).select("rule_id", "severity", "repo_id", "file_path", "line", "column", "matched")
+    """Every match over whole texts."""
+    return lambda s, d: rules.matches(table(s, d, "source_files"), [r for r in rules.RULES if r.id in ids]).select(*_MATCH)
 
 
 named("rule_long_lines", _rule("long_lines"))
-named("rule_bare_except", _rule("python_bare_except"))
 named("rule_var", _rule("js_var_usage"))
 named("rule_todo", _rule("todo_comments"))
 named("rule_secrets", _rule("hardcoded_secret"))
+named("rule_semicolons", _rule("js_missing_semicolon"))
+named("rule_complex", _rule("complex_function"))
 
 
-def _every(*ids: str) -> Query:
-    """Every match over whole texts; the queries above give each line's first, as their SQL does."""
-    return lambda s, d: rules.matches(table(s, d, "source_files"), [r for r in rules.RULES if r.id in ids]).select("rule_id", "severity", "repo_id", "file_path", "line", "column", "matched")
-
-
-named("rule_long_lines_all", _every("long_lines"))
-named("rule_bare_except_all", _every("python_bare_except"))
-named("rule_var_all", _every("js_var_usage"))
-named("rule_todo_all", _every("todo_comments"))
-named("rule_secrets_all", _every("hardcoded_secret"))
+@query
+def rule_bare_except(spark: SparkSession, folder: str) -> DataFrame:
+    """Over files in which every "else:" is written "except:", as the tables have no bare except."""
+    files = table(spark, folder, "source_files").withColumn("content", F.replace("content", F.lit("else:"), F.lit("except:")))
+    return rules.matches(files, [r for r in rules.RULES if r.id == "python_bare_except"]).select(*_MATCH)
 
 
 @query
@@ -446,40 +487,66 @@ def language_detection(spark: SparkSession, folder: str) -> DataFrame:
 
 named("python_figures", lambda s, d: language.figures(_files(s, d), "python"))
 named("javascript_figures", lambda s, d: language.figures(_files(s, d), "javascript"))
+named("language_capabilities", lambda s, d: language.capabilities(s))
 
 
-@query
-def entity_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    code = patterns.with_code(_nodes(spark, folder), table(spark, folder, "source_files"))
-    return patterns.entity_patterns(code)
+def _code(spark: SparkSession, folder: str) -> DataFrame:
+    return patterns.with_code(_nodes(spark, folder), table(spark, folder, "source_files"))
+
+
+named("entity_patterns", lambda s, d: patterns.entity_patterns(_code(s, d)))
+named("file_patterns", lambda s, d: patterns.file_patterns(_nodes(s, d), _code(s, d)))
+named("pattern_members", lambda s, d: patterns.pattern_members(_nodes(s, d), _code(s, d)))
+named("idioms", lambda s, d: patterns.idioms(table(s, d, "source_files")))
+named("magic_numbers", lambda s, d: patterns.magic_numbers(table(s, d, "source_files")))
 
 
 @query
-def file_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = _nodes(spark, folder)
-    return patterns.file_patterns(nodes, patterns.with_code(nodes, table(spark, folder, "source_files")))
+def duplicate_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Over source files and documents, the texts of which repeat lines more often."""
+    files = table(spark, folder, "source_files").select("repo_id", "file_path", "content")
+    docs = table(spark, folder, "documents").select(F.lit("documents").alias("repo_id"), F.col("doc_id").cast("string").alias("file_path"), F.col("text").alias("content"))
+    return patterns.duplicate_blocks(files.unionByName(docs))
 
 
-named("idioms", lambda s, d: patterns.idioms(table(s, d, "source_files")))
-named("magic_numbers", lambda s, d: patterns.magic_numbers(table(s, d, "source_files")))
-named("duplicate_blocks", lambda s, d: patterns.duplicate_blocks(table(s, d, "source_files")))
 named("pattern_entities", lambda s, d: semantic.pattern_entities(table(s, d, "source_files")))
-named("pattern_entities_all", lambda s, d: semantic.every_pattern_entity(table(s, d, "source_files")))
 named("variables_constants", lambda s, d: semantic.variables(table(s, d, "source_files")))
 named("handlers", lambda s, d: semantic.handlers(table(s, d, "source_files")))
 named("text_relations", lambda s, d: semantic.text_relations(table(s, d, "source_files")))
-named("text_relations_all", lambda s, d: semantic.every_text_relation(table(s, d, "source_files")))
 named("decorated_functions", lambda s, d: semantic.decorated(table(s, d, "source_files"), _nodes(s, d)))
-named("test_subjects", lambda s, d: semantic.tested(_nodes(s, d)))
-named("contextual_entities", lambda s, d: semantic.contextual(_nodes(s, d), table(s, d, "source_files")))
+named("contextual_entities", lambda s, d: semantic.contextual(_nodes(s, d), table(s, d, "source_files")).withColumn("tags", F.array_join("tags", ",")))
 named("endpoint_handlers", lambda s, d: semantic.served(table(s, d, "source_files"), _nodes(s, d)))
-named("endpoint_handlers_all", lambda s, d: semantic.served(table(s, d, "source_files"), _nodes(s, d), every=True))
-named("dictionary_handlers", lambda s, d: semantic.handled(table(s, d, "source_files"), _nodes(s, d)))
-named("tests_by_calls", lambda s, d: semantic.tested_by_calls(_nodes(s, d), table(s, d, "source_files")))
 named("relations_of_text", lambda s, d: semantic.relations(table(s, d, "source_files"), _nodes(s, d)))
 named("config_usage", lambda s, d: semantic.configured(_nodes(s, d), table(s, d, "source_files")))
 
 
+@query
+def extracted_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """All ways of finding entities in text together: how many of each kind in each file."""
+    rows = semantic.extracted(_nodes(spark, folder), table(spark, folder, "source_files"))
+    return rows.groupBy("repo_id", "file_path", "type", F.array_join("tags", ",").alias("tags")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def dictionary_handlers(spark: SparkSession, folder: str) -> DataFrame:
+    """Over files made of the first and the last name of each file's entities, one a dictionary that holds the other."""
+    nodes = _nodes(spark, folder).where(F.col("name").rlike("^[A-Za-z0-9_]+$"))
+    ends_ = nodes.groupBy("repo_id", "file_path").agg(F.min("name").alias("a"), F.max("name").alias("b"))
+    files = ends_.where(F.col("file_path").endswith(".py")).select("repo_id", "file_path", F.format_string('%s = {"key": %s}\n', "a", "b").alias("content"))
+    return semantic.handled(files, nodes)
+
+
+def _with_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """The entities, and of each function a test named after it, as the tables have no tests."""
+    nodes = _nodes(spark, folder)
+    tests = nodes.where("type = 'function'").withColumns({"uuid": F.concat("uuid", F.lit("-test")), "name": F.concat(F.lit("test_"), "name")})
+    return nodes.unionByName(tests)
+
+
+named("test_subjects", lambda s, d: semantic.tested(_with_tests(s, d)))
+named("tests_by_calls", lambda s, d: semantic.tested_by_calls(_with_tests(s, d), table(s, d, "source_files")))
+
+
 # ------------------------------------------------------------------------------------------------ ingest
 
 
@@ -488,10 +555,18 @@ def parsed_entities(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.parsed_entities(ingest.parse(table(spark, folder, "source_files"))).drop("tags", "context", "ordinal")
 
 
+@query
+def parsed_javascript(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes and functions of JavaScript and TypeScript files by their form."""
+    rows = ingest.parse(table(spark, folder, "source_files").where(F.lower("file_path").rlike(r"\.(js|jsx|ts|tsx)$")))
+    return rows.select("repo_id", "file_path", "name", "type", F.col("extra").alias("form"), "line")
+
+
 @query
 def ingest_counters(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "source_files")
-    return ingest.counters(ingest.parse(files), files)
+    parsed = cut(ingest.parse(files))
+    return ingest.counters(parsed, files, ingest.resolve_calls(parsed, cut(ingest.parsed_entities(parsed))))
 
 
 @query
@@ -511,6 +586,15 @@ def resolved_calls(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.resolve_calls(parsed, cut(ingest.parsed_entities(parsed)))
 
 
+@query
+def ranked_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Resolved calls as links with the ranks of their ends."""
+    parsed = cut(ingest.parse(table(spark, folder, "source_files")))
+    entities = cut(ingest.parsed_entities(parsed))
+    resolved = cut(ingest.resolve_calls(parsed, entities))
+    return ingest.ranked_links(resolved, ingest.ranked(entities, resolved, ingest.call_counts(parsed)))
+
+
 @query
 def parsed_inheritance(spark: SparkSession, folder: str) -> DataFrame:
     parsed = cut(ingest.parse(table(spark, folder, "source_files")))
@@ -553,6 +637,79 @@ def rejected_relations(spark: SparkSession, folder: str) -> DataFrame:
     return rejected.select("from_uuid", "to_uuid", "type")
 
 
+@query
+def created_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The entities after every repository got one more, and after the first of each was written again."""
+    nodes = table(spark, folder, "nodes").where("uuid is not null")
+    made = table(spark, folder, "repos").select(F.concat(F.lit("made-"), "repo_id").alias("uuid"), "repo_id", F.lit("readme").alias("name"), F.lit("module").alias("type"))
+    again = nodes.groupBy("repo_id").agg(F.min("uuid").alias("uuid")).select("uuid", "repo_id", F.lit("again").alias("name"), F.lit("class").alias("type"))
+    new, _ = mutate.create(nodes, made.unionByName(again), "user", "2026-04-01")
+    return new.select("uuid", "repo_id", "name", "type", "manual").distinct()
+
+
+@query
+def accepted_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """The links of which both ends exist, as they would be created over those of type imports."""
+    nodes = _nodes(spark, folder).select("uuid")
+    new = _links(spark, folder).select(F.col("src").alias("from_uuid"), F.col("dst").alias("to_uuid"), "type", "uuid", "created_at")
+    old = new.where("type = 'imports'").select(*[F.col(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.EDGES])
+    links, _, _ = mutate.relate(nodes, old, new.withColumn("type", F.concat("type", F.lit("!"))), "user", "2026-04-01")
+    return links.select("from_uuid", "to_uuid", "type", "manual")
+
+
+# ------------------------------------------------------------------------------------------------ stored tables
+
+
+def _stored(spark: SparkSession, folder: str) -> store.Store:
+    kept = store.Store(spark, own_folder(spark, "store"))
+    for name in ("nodes", "edges", "audit"):
+        rows = table(spark, folder, name)
+        kept.write(name, rows.distinct() if name == "audit" else rows)
+    return kept
+
+
+@query
+def stored_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Written by repository and read back, without the rows that lack what they need."""
+    return _stored(spark, folder).read("nodes").select("uuid", "repo_id", "name", "type", "created_at")
+
+
+@query
+def stored_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return _stored(spark, folder).read("edges").select("uuid", "from_uuid", "to_uuid", "type")
+
+
+@query
+def stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index as JSON, with a second writing of the classes over the first."""
+    path = own_folder(spark, "index")
+    nodes = _nodes(spark, folder)
+    new = nodes.where("type = 'class'").withColumn("name", F.concat(F.lit("new "), "name"))
+    both = store.upserted(nodes, new, ["uuid"])
+    store.write_index(search.index(both), path)
+    return store.read_index(spark, path).select("uuid", "name", "type", "start_line", "short_doc")
+
+
+@query
+def stored_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit log appended in two parts, then all rows of it."""
+    path = own_folder(spark, "log")
+    rows = table(spark, folder, "audit").distinct()
+    for part in (F.col("timestamp") < F.lit("2026-01-01").cast("timestamp_ntz"), F.col("timestamp") >= F.lit("2026-01-01").cast("timestamp_ntz")):
+        store.append_log(rows.where(part), path)
+    return store.read_log(spark, path, limit=2**31 - 1).select("uuid", "timestamp", "action", "entity_uuid")
+
+
+@query
+def deleted_repository(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows each stored table still has when the first repository is deleted."""
+    kept = _stored(spark, folder)
+    first = table(spark, folder, "nodes").agg(F.min("repo_id")).first()[0]
+    kept.delete_repo(first)
+    parts = [kept.read(t, valid=False).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in ("nodes", "edges", "audit")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def file_analysis(spark: SparkSession, folder: str) -> DataFrame:
     """One row per file: its language, how many entities of each kind it yields, and whether it could be read."""
@@ -580,11 +737,31 @@ def audit_page(spark: SparkSession, folder: str) -> DataFrame:
 def audit_by_entity(spark: SparkSession, folder: str) -> DataFrame:
     """The audit rows of the entity that has most, whole log."""
     rows = table(spark, folder, "audit").distinct()
-    per = rows.where("entity_type = 'node'").groupBy(F.lower(F.trim("entity_uuid")).alias("e")).agg(F.count(F.lit(1)).alias("n"))
-    top = per.orderBy(F.desc("n"), "e").limit(1).select("e")
-    return rows.join(F.broadcast(top), F.lower(F.trim("entity_uuid")) == F.col("e"), "left_semi")
+    per = rows.where("entity_type = 'node'").groupBy(F.lower(F.trim("entity_uuid")).alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+    return store.audit_of(rows, per.orderBy(F.desc("n"), "entity").limit(1))
 
 
 @query
 def audit_windowed_counts(spark: SparkSession, folder: str) -> DataFrame:
     return audit_stream.windowed_counts(table(spark, folder, "audit"))
+
+
+named("audit_deduplicated", lambda s, d: audit_stream.deduplicated(table(s, d, "audit")).select("uuid"))
+
+
+def _audit_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit table as a stream: of its folder, or of the one file it is."""
+    path = f"{folder}/audit.parquet"
+    if os.path.isfile(path):
+        return spark.readStream.schema(schema.AUDIT).option("pathGlobFilter", "audit.parquet").parquet(folder)
+    return audit_stream.read(spark, path)
+
+
+@query
+def audit_stream_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest row of each entity, kept by a stream that is read to its end."""
+    place = own_folder(spark, "stream")
+    rows = _audit_stream(spark, folder).where("timestamp is not null")
+    sink = audit_stream.upsert_into(f"{place}/latest", ["entity_uuid"])
+    rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{place}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return audit_stream.latest(spark, f"{place}/latest").select("entity_uuid", "timestamp", "uuid")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,18 +30,48 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only a session without one (a test) gets a folder of its own."""
+    """The shared folder that spark.checkpoint.dir names.
+
+    A session in one process (a test, the bench) without one gets a folder of its own, removed at the end; anywhere
+    else a missing folder is an error, as one on a single machine is lost with it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
+        if not named:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(named or own)
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from the files: survives lost executors, ends the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _forgetful(df.checkpoint(eager=True))
+
+
+def _forgetful(df: DataFrame) -> DataFrame:
+    """A checkpoint without what the optimizer remembers of the plan it came from.
+
+    In a loop that joins a state with itself, the constraints and the estimated sizes (products of those of the round
+    before) double in length each round, until planning takes longer than the work. Partitioning, order and a size of
+    ordinary length are kept.
+    """
+    spark = df.sparkSession
+    jvm, session = spark._jvm, spark._jsparkSession
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return df
+    none = jvm.scala.Option.apply(None)
+    stats = plan.computeStats()
+    known = jvm.scala.Option.apply(stats) if int(stats.sizeInBytes()).bit_length() < 63 else none
+    scan = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session, known, none
+    )
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, scan), spark)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import priority
@@ -16,7 +18,7 @@ from codeloom.functions.paths import base_name, relative_path
 ENDINGS = ("py", "js", "jsx", "ts", "tsx")
 SKIPPED_FOLDERS = ("__pycache__", "venv", "env", "node_modules", "dist", "build", "htmlcov", "docs", "documentation", "examples")
 SKIPPED_NAMES = ("test_", "tests_", "_test.py", "_tests.py", "conftest.py", "setup.py", "__init__.py")
-#: Trees of more files are cut to the first four fifths by priority, but not below LEAST_KEPT.
+#: What a cut to the first by priority takes, if one is asked for: trees of more files, share kept, least number kept.
 LARGE_TREE, KEPT_SHARE, LEAST_KEPT = 1000, 0.8, 100
 
 
@@ -44,13 +46,35 @@ def scan(spark: SparkSession, root: str, repo_id: str, everything: bool = False)
     return rows if everything else rows.where(wanted(F.col("file_path")))
 
 
-def prioritised(files: DataFrame) -> DataFrame:
-    """All files of a small tree; of a large one the first four fifths by priority, ties by path."""
-    n = files.count()
+def prioritised(files: DataFrame, large: int | None = None, share: float = KEPT_SHARE, least: int = LEAST_KEPT) -> DataFrame:
+    """files with their priority; with large, of each repository of more files than that only the first `share` by
+    priority, ties by path, but not fewer than `least`.
+
+    Where the cut falls follows from counts per repository and priority, which are few; only the files of that priority
+    are ranked. Extra columns stay.
+    """
     rows = files.withColumn("priority", priority(F.col("file_path"), F.col("n_bytes")))
-    if n <= LARGE_TREE:
+    if large is None:
         return rows
-    return rows.orderBy(F.desc("priority"), "file_path").limit(max(LEAST_KEPT, int(n * KEPT_SHARE)))
+    counts = rows.groupBy("repo_id", "priority").agg(F.count(F.lit(1)).alias("n_"))
+    per = W.partitionBy("repo_id")
+    above = F.coalesce(F.sum("n_").over(per.orderBy(F.desc("priority")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("all_", F.sum("n_").over(per)).withColumn("above_", above)
+    keep = F.when(F.col("all_") <= large, F.col("all_")).otherwise(F.greatest(F.lit(least), F.floor(F.col("all_") * share)))
+    counts = counts.select("repo_id", "priority", F.least("n_", keep - F.col("above_")).alias("left_"), "n_").where("left_ > 0")
+    met = rows.join(counts, ["repo_id", "priority"]).select(*rows.columns, "left_", "n_")
+    rank = F.row_number().over(W.partitionBy("repo_id", "priority").orderBy("file_path"))
+    partly = met.where("left_ < n_").withColumn("r_", rank).where("r_ <= left_").drop("r_")
+    return met.where("left_ = n_").unionByName(partly).drop("left_", "n_")
+
+
+def clone(address: str, folder: str, depth: int | None = 1, timeout: int = 300) -> str:
+    """Clone a repository into folder and give the folder, for scan(); depth None: with its whole history."""
+    command = ["git", "clone", "--quiet", *(["--depth", str(depth)] if depth else []), "--", address, folder]
+    done = subprocess.run(command, capture_output=True, text=True, timeout=timeout, env=os.environ | {"GIT_TERMINAL_PROMPT": "0"})
+    if done.returncode:
+        raise RuntimeError(f"git clone failed: {done.stderr.strip()}")
+    return folder
 
 
 def is_remote(address: str) -> bool:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +9,7 @@ from pyspark.sql import Window as W
 
 from codeloom import schema
 from codeloom.operators.graph import last_wins
+from codeloom.session import cut
 
 REQUIRED = {"nodes": ("uuid", "repo_id", "file_path", "type", "name", "created_by"), "edges": ("uuid", "from_uuid", "to_uuid", "type", "created_by")}
 SCHEMAS = {"nodes": schema.NODES, "edges": schema.EDGES, "audit": schema.AUDIT, "files": schema.FILES}
@@ -61,11 +60,32 @@ class Store:
         return not self.read("nodes").where(F.col("repo_id") == repo_id).isEmpty()
 
     def delete_repo(self, repo_id: str) -> None:
-        """Drop the partitions of the repository from all tables that are partitioned by it."""
-        jvm = self.spark._jvm
+        """Drop a repository: its partitions, the links at either end of its entities, and the audit rows of both."""
+        nodes = self.read("nodes", valid=False).where(F.col("repo_id") == repo_id).select("uuid").distinct()
+        edges, audit = self.read("edges", valid=False), self.read("audit")
+        near = lambda df, c: df.join(nodes.withColumnRenamed("uuid", c), c, "left_semi")
+        gone = cut(near(edges, "from_uuid").select("uuid").unionByName(near(edges, "to_uuid").select("uuid")).distinct())
+        things = cut(nodes.unionByName(gone).withColumnRenamed("uuid", "entity_uuid"))
+        if self.exists("edges"):
+            self._replace("edges", edges.join(gone, "uuid", "left_anti").select(*edges.columns))
+        if self.exists("audit"):
+            kept = audit.join(things, "entity_uuid", "left_anti").where(F.coalesce((F.col("entity_type") != "repo") | (F.col("entity_uuid") != repo_id), F.lit(True)))
+            self._replace("audit", kept.select(*audit.columns))
         for table in ("nodes", "files"):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/repo_id={repo_id}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._file(f"{self.path(table)}/repo_id={repo_id}")
+            files.delete(path, True)
+
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _replace(self, table: str, df: DataFrame) -> None:
+        """Write df, which may read the table, beside it and put it in its place."""
+        new, files = self._file(f"{self.path(table)}.new")
+        df.write.mode("overwrite").parquet(str(new))
+        old, _ = self._file(self.path(table))
+        files.delete(old, True)
+        files.rename(new, old)
 
 
 def ingest_audit(rows: DataFrame, action: str, entity_type: str) -> DataFrame:
@@ -98,11 +118,20 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A slice of a log file: offset counts lines, also malformed ones, limit counts parsed rows."""
-    if not os.path.exists(path):
+    """A slice of a log: offset counts lines, also malformed ones, limit counts parsed rows.
+
+    Lines are numbered by file and split: only the number of lines of each split is brought together, and no task sees
+    more than its own lines. A log that was never written is empty.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], T.StructType([T.StructField("n", T.LongType()), *schema.AUDIT.fields]))
-    lines = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("at"))
-    numbered = lines.withColumn("n", F.row_number().over(W.orderBy("at")) - 1).where(F.col("n") >= offset)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size"))
+    # One row per split of the log's files.
+    before = F.coalesce(F.sum("size").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.withColumn("before", before).select("file", "block", "first", "before")
+    numbered = lines.join(F.broadcast(starts), ["file", "block"]).withColumn("n", F.col("before") + F.col("at") - F.col("first")).where(F.col("n") >= offset)
     parsed = numbered.withColumn("v", F.try_parse_json("value")).where("v is not null").orderBy("n").limit(limit)
     get = lambda f: F.try_variant_get("v", f"$.{f.name}", "string").cast(f.dataType).alias(f.name)
     return parsed.select("n", *[get(f) for f in schema.AUDIT.fields])
@@ -113,7 +142,7 @@ def audit_page(audit: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame
     return audit.orderBy("timestamp", "uuid").offset(offset).limit(limit)
 
 
-def audit_of(audit: DataFrame, entity: str, most: int | None = 10_000) -> DataFrame:
-    """The audit rows of an entity, among the first `most` rows by time, or among all."""
+def audit_of(audit: DataFrame, entities: DataFrame, most: int | None = None) -> DataFrame:
+    """The audit rows of entities (entity, as plain ids; a bounded list), among all rows or the first `most` by time."""
     rows = audit if most is None else audit_page(audit, most)
-    return rows.where(F.lower(F.trim("entity_uuid")) == entity)
+    return rows.join(F.broadcast(entities.select("entity")), F.lower(F.trim("entity_uuid")) == F.col("entity"), "left_semi")

@@ -33,6 +33,15 @@ def deduplicated(rows: DataFrame, late: str = "7 days") -> DataFrame:
     return timed.withWatermark("at", late).dropDuplicatesWithinWatermark(["uuid"])
 
 
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last version that upsert_into wrote whole; no rows if there is none."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(jvm_path(path))] if fs.exists(jvm_path(path)) else []
+    whole = [int(n[1:]) for n in names if n[1:].isdigit() and fs.exists(jvm_path(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{path}/v{max(whole)}") if whole else spark.createDataFrame([], schema.AUDIT)
+
+
 def upsert_into(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that keeps the last row per key in versions under path; a batch that is run again gives the
     same version."""

@@ -85,3 +85,27 @@ def test_extra_columns_with_clashing_names_are_ignored(spark):
     audit = spark.createDataFrame(rows, schema.AUDIT).withColumn("key", F.lit("clash")).withColumn("op", F.lit(1)).withColumn("name", F.lit("x"))
     out = changefeed.apply_changes(changefeed.audit_changes(audit, FIELDS), FIELDS)
     assert [tuple(r) for r in out.collect()] == [("a", "n", None)]
+
+
+def test_changes_without_identifier_and_one_identifier_twice(spark):
+    at = lambda n: START + timedelta(n)
+    rows = [(None, at(1), "u", "create_entity", "node", "k1", '{"name": "a"}'), (None, at(2), "u", "update_entity", "node", "k1", '{"name": "b"}'), (None, at(2), "u", "update_entity", "node", "k1", '{"name": "b"}')]
+    rows += [("x", at(1), "u", "create_entity", "node", "k2", '{"name": "old"}'), ("x", at(3), "u", "create_entity", "node", "k2", '{"name": "new"}')]
+    assert rebuilt(spark, rows) == {("k1", "b", None), ("k2", "new", None)}
+
+
+def test_merging_into_a_base_equals_one_replay(spark):
+    """Any division of the feed by time."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        action = rng.choice(["create_entity", "update_entity", "update_entity", "delete_entity"])
+        details = rng.choice([None, '{"name": "n%d"}' % i, '{"file_path": "p%d"}' % i, '{"name": null}'])
+        rows.append(audit_row(i, START + timedelta(seconds=i), action, f"e{rng.randrange(40)}", details))
+    audit = spark.createDataFrame(rows, schema.AUDIT)
+    changes = changefeed.deduplicated(changefeed.audit_changes(audit, FIELDS))
+    for second in (0, 200, 450, 600):
+        late = F.col("seq") >= F.lit(START + timedelta(seconds=second))
+        base = changefeed.apply_changes(changes.where(~late), FIELDS, distinct=True)
+        out = changefeed.apply_changes(changes.where(late), FIELDS, base, distinct=True)
+        assert {tuple(r) for r in out.select("key", *FIELDS).collect()} == replay(rows)

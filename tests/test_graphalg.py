@@ -80,19 +80,19 @@ def test_path_queries_cover_the_whole_graph(spark, tmp_path):
     ids = ["a", "b", "c", "d", "e"]
     spark.createDataFrame([(u, "r", "f.py", "function", u, 1, 2, None, None, None, None, None, False) for u in ids], "uuid string, repo_id string, file_path string, type string, name string, start_line int, end_line int, docstring string, tags array<string>, metadata string, created_by string, created_at timestamp, manual boolean").write.parquet(f"{tmp_path}/nodes.parquet")
     spark.createDataFrame([(f"l{i}", *p, None, None) for i, p in enumerate(pairs)], "uuid string, from_uuid string, to_uuid string, type string, created_at timestamp, properties string").write.parquet(f"{tmp_path}/edges.parquet")
-    got = {r.uuid: r.betweenness for r in QUERIES["betweenness"](spark, str(tmp_path)).collect()}
+    got = {r.uuid: r.betweenness_millionths / 1e6 for r in QUERIES["betweenness"](spark, str(tmp_path)).collect()}
     want = brute_betweenness([p[:2] for p in pairs], [*ids, "x"])
-    assert set(got) == set(want) and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    assert set(got) == set(want) and all(abs(got[v] - want[v]) < 1e-8 for v in want)
     reach = {v: bfs([p[:2] for p in pairs], v)[0] for v in want}
-    assert {(r.source, r.uuid): r.depth for r in QUERIES["shortest_paths_all"](spark, str(tmp_path)).collect()} == {(s, t): d for s in reach for t, d in reach[s].items() if d}
-    assert {r.uuid for r in QUERIES["closeness_all"](spark, str(tmp_path)).collect()} == set(want)
+    assert {(r.source, r.uuid): r.depth for r in QUERIES["shortest_paths"](spark, str(tmp_path)).collect()} == {(s, t): d for s in reach for t, d in reach[s].items() if d}
+    assert {r.uuid for r in QUERIES["closeness"](spark, str(tmp_path)).collect()} == set(want)
     assert {r.uuid for r in QUERIES["hotspots"](spark, str(tmp_path)).collect()} == set(want)
 
 
 def test_pagerank_sums_to_one_and_matches(spark):
     pairs, ids = random_graph(4)
     links, nodes = graph(spark, pairs, ids)
-    got = {r.uuid: r["rank"] for r in graphalg.pagerank(links, nodes, rounds=30).collect()}
+    got = {r.uuid: r["rank"] for r in graphalg.pagerank(links, nodes, rounds=30, tolerance=0.0).collect()}
     out = {}
     for a, b in pairs:
         out.setdefault(a, []).append(b)
@@ -137,7 +137,7 @@ def test_component_query_covers_the_whole_graph(spark, tmp_path):
     spark.createDataFrame([(u, "r", "f.py", "function", u, 1, 2, None, None, None, None, None, False) for u in ids], "uuid string, repo_id string, file_path string, type string, name string, start_line int, end_line int, docstring string, tags array<string>, metadata string, created_by string, created_at timestamp, manual boolean").write.parquet(f"{tmp_path}/nodes.parquet")
     pairs = [("a", "b", "calls"), ("b", "c", "inherits"), ("c", "a", "imports"), ("c", "d", "uses"), ("d", "x", "imports")]
     spark.createDataFrame([(f"l{i}", *p, None, None) for i, p in enumerate(pairs)], "uuid string, from_uuid string, to_uuid string, type string, created_at timestamp, properties string").write.parquet(f"{tmp_path}/edges.parquet")
-    assert {(r["size"], r.components) for r in QUERIES["strong_components_all"](spark, str(tmp_path)).collect()} == {(3, 1), (1, 3)}
+    assert {(r["size"], r.components) for r in QUERIES["strong_components"](spark, str(tmp_path)).collect()} == {(3, 1), (1, 3)}
 
 
 def test_empty_graph(spark):
@@ -146,3 +146,39 @@ def test_empty_graph(spark):
     assert graphalg.strong_components(links, nodes).count() == 0
     assert graphalg.cycles(links).count() == 0
     assert graphalg.betweenness(links, nodes).count() == 0
+
+
+def test_pagerank_stops_at_its_tolerance(spark):
+    """A chain of states joined with themselves: planning must not grow with the rounds."""
+    import time
+
+    pairs, ids = random_graph(9, 40, 90)
+    links, nodes = graph(spark, pairs, ids)
+    began = time.time()
+    far = {r.uuid: r["rank"] for r in graphalg.pagerank(links, nodes, tolerance=0.0, rounds=40).collect()}
+    assert time.time() - began < 60
+    near = {r.uuid: r["rank"] for r in graphalg.pagerank(links, nodes, tolerance=1e-7).collect()}
+    assert all(abs(near[v] - far[v]) < 1e-4 for v in ids)
+
+
+def test_estimates_and_their_error(spark):
+    pairs, ids = random_graph(5, 60, 150)
+    links, nodes = graph(spark, pairs, ids)
+    exact = brute_betweenness(pairs, ids)
+    whole = {r.uuid: r.betweenness for r in graphalg.betweenness(links, nodes, sources=60).collect()}
+    assert all(abs(whole[v] - exact[v]) < 1e-9 for v in ids)
+    part = {r.uuid: r.betweenness for r in graphalg.betweenness(links, nodes, sources=30).collect()}
+    assert sum(abs(part[v] - exact[v]) for v in ids) / sum(exact.values()) < 0.5
+    top = sorted(ids, key=exact.get)[-5:]
+    assert len(set(top) & set(sorted(ids, key=part.get)[-10:])) >= 4
+    spots = graphalg.hotspots(links, nodes, limit=None).collect()
+    assert len(spots) == 60 and abs(spots[0].average - sum(r.score for r in spots) / 60) < 1e-12
+    assert {r.uuid: r.connections for r in spots} == {v: sum((a == v) + (b == v) for a, b in pairs) for v in ids}
+
+
+def test_a_bound_on_paths_is_an_error(spark):
+    pairs, ids = random_graph(1)
+    links, nodes = graph(spark, pairs, ids)
+    with pytest.raises(graphalg.TooManyPaths):
+        graphalg.shortest_paths(links, nodes, most_rows=20)
+    assert graphalg.shortest_paths(links, nodes, most_rows=14 * 14).count() > 20

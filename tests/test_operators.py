@@ -7,6 +7,7 @@ from codeloom import schema
 from codeloom.functions import names, paths
 from codeloom.operators import graph, ingest, language, metrics, mutate, patterns, rules, search, semantic, traverse
 from codeloom.plans.queries import QUERIES
+from codeloom.sources import files as source_files
 
 AT = datetime(2025, 1, 1)
 
@@ -102,9 +103,13 @@ def test_call_tree_caps_children_and_avoids_cycles(spark):
 
 def test_reach_and_induced(spark):
     e = links_of(spark, edge("1", "a", "b"), edge("2", "b", "c"), edge("3", "c", "a"), edge("4", "c", "d"))
-    ids, links = traverse.subgraph(e, "a", 2)
+    root = spark.createDataFrame([("a",)], "uuid string")
+    ids, links = traverse.subgraph(e, root, 2)
     assert {tuple(r) for r in ids.collect()} == {("a", 0), ("b", 1), ("c", 2)}
     assert {(r.src, r.dst) for r in links.collect()} == {("a", "b"), ("b", "c"), ("c", "a")}
+    raw = spark.createDataFrame([edge("1", "A", "b"), edge("2", "b", "{c}"), edge("3", "c", "a"), edge("4", "c", "d")], schema.EDGES)
+    ids, links = traverse.subgraph(lambda near, end: graph.relations_at(raw, near, end), root, 2)
+    assert {tuple(r) for r in ids.collect()} == {("a", 0), ("b", 1), ("c", 2)} and links.count() == 3
 
 
 def test_snippets_with_crlf_and_out_of_range(spark):
@@ -125,8 +130,8 @@ def test_detection(spark):
 def test_rules(spark):
     text = "def f(a):\n    try:\n        x = []\n        for y in a:\n            x.append(y)\n    except:\n        pass  # TODO: later\n" + "z = '" + "q" * 130 + "'\npassword = 'abcdefgh1'\n"
     f = files_of(spark, ("a.py", text), ("b.js", "var a = 1\n"), ("c.py", None))
-    got = {(r.rule_id, r.file_path, r.line) for r in rules.line_matches(f).collect()}
-    assert {("python_bare_except", "a.py", 6), ("todo_comments", "a.py", 7), ("long_lines", "a.py", 8), ("hardcoded_secret", "a.py", 9), ("js_var_usage", "b.js", 1)} == got
+    got = {(r.rule_id, r.file_path, r.line) for r in rules.matches(f).collect()}
+    assert {("python_bare_except", "a.py", 6), ("todo_comments", "a.py", 7), ("long_lines", "a.py", 8), ("hardcoded_secret", "a.py", 9), ("js_var_usage", "b.js", 1)} <= got
     whole = {(r.rule_id, r.line) for r in rules.matches(f).collect()}
     assert {("semantic_missing_docstring", 1), ("semantic_list_comprehension", 3), ("python_missing_docstring", 1)} <= whole
     own = rules.Rule("own", "semantic", "info", ("*",), "", matcher=lambda t: 1 / 0)
@@ -147,6 +152,17 @@ def test_patterns(spark):
     block = "\n".join(f"line {i}" for i in range(5))
     again = files_of(spark, ("a.py", f"{block}\nother\n{block}\nend"), ("b.py", block))
     assert [(r.file_path, r.line) for r in patterns.duplicate_blocks(again).collect()] == [("a.py", 1)]
+    near = files_of(spark, ("c.py", "\n".join("xy"[i % 2] for i in range(12))), ("d.py", "\n" * 30), ("e.py", None))
+    assert [(r.file_path, r.line) for r in patterns.duplicate_blocks(near).collect()] == [("c.py", 1)]
+
+
+def test_roles_of_a_file(spark):
+    text = "class Shape:\n    def set_strategy(self, s): self.strategy = s\nclass AreaPolicy:\n    def apply(self): pass\nclass UserData:\n    pass\nclass UserTemplate:\n    pass\nclass UserAction:\n    pass\n"
+    f = files_of(spark, ("src/a.py", text))
+    n = nodes_of(spark, node("s", "Shape", "class", start=1, end=2), node("p", "AreaPolicy", "class", start=3, end=4), *[node(x, c, "class", start=k, end=k + 1) for x, c, k in (("d", "UserData", 5), ("t", "UserTemplate", 7), ("c", "UserAction", 9))])
+    rows = {r.pattern: (r.start_line, r.end_line, r.entities, r.evidence) for r in patterns.file_patterns(n, patterns.with_code(n, f)).collect()}
+    assert rows == {"strategy": (1, 4, 2, "context:1,strategy:1"), "mvc": (5, 10, 3, "controller:1,model:1,view:1")}
+    assert {(r.pattern, r.role, r.uuid) for r in patterns.pattern_members(n, patterns.with_code(n, f)).collect()} == {("strategy", "context", "s"), ("strategy", "strategy", "p"), ("mvc", "model", "d"), ("mvc", "view", "t"), ("mvc", "controller", "c")}
 
 
 PY = '''"""Tools."""
@@ -187,7 +203,14 @@ def test_parsing_and_resolution(spark):
     assert abs(ranked.agg(F.max("importance")).first()[0] - 1.0) < 1e-9
     tags = {r.name: r.tags for r in e.collect()}
     assert "ASYNC" in tags["helper"] and "UTILITY" in tags["helper"]
-    assert ingest.counters(parsed, f).first().files == 4
+    made = ingest.counters(parsed, f, ingest.resolve_calls(parsed, e)).first()
+    assert made.files == 4 and made.errors == 1 and made.edges == len(links)
+    rows = {(r.name, r.context) for r in parsed.where("kind = 'contains'").collect()}
+    assert rows == {("run", "class"), ("helper", "module"), ("thing", "module")}
+    details = {r.name: json.loads(r.metadata) for r in e.where("metadata is not null").collect()}
+    assert details["helper"] == {"is_async": True, "parameters": ["x"]} and details["Job"] == {"base_classes": ["Base"]}
+    out = ingest.ranked_links(ingest.resolve_calls(parsed, e), ranked).collect()
+    assert out and all(json.loads(r.properties)["callee_rank"] > 0 and json.loads(r.properties)["cross_file"] for r in out)
 
 
 def test_semantic_entities(spark):
@@ -196,12 +219,17 @@ def test_semantic_entities(spark):
     got = {(r.pattern, r.name, r.line) for r in semantic.pattern_entities(f).collect()}
     assert {("fastapi_endpoint", "get", 1), ("decorator", "app", 1), ("constants", "LIMIT", 5), ("model_class", "User", 8), ("utility_function", "view_helper", 2)} <= got
     assert {(r.name, r.type) for r in semantic.variables(f).collect()} == {("LIMIT", "constant"), ("name", "variable"), ("ROUTES", "constant")}
-    assert [(r.holder, r.key, r.function) for r in semantic.handlers(f).collect()] == [("ROUTES", "go", "view_helper")]
+    assert [(r.holder, r.key, r.function) for r in semantic.handlers(f).collect()] == [("ROUTES", "n", "1")]
     assert {(r.relation, r.source, r.target) for r in semantic.text_relations(f).collect()} == {("inherits", "UserModel", "Base"), ("composes", "db", "Store")}
     n = nodes_of(spark, node("v", "view_helper", start=2, end=3), node("t", "test_view_helper", start=20, end=21), node("l", "LIMIT", "variable", start=5, end=5), node("w", "view", start=40, end=41))
     assert [(r.decorator, r.uuid, r.external) for r in semantic.decorated(f, n).collect()] == [("app", "v", True)]
     assert {(r.test, r.subject) for r in semantic.tested(n).collect()} == {("t", "w")}
-    assert {(r.base, r.name) for r in semantic.contextual(n, f).collect()} >= {("v", "util_view_helper"), ("v", "api_view_helper")}
+    assert {(r.base, r.name, r.type) for r in semantic.contextual(n, f).collect()} >= {("v", "util_view_helper", "utility"), ("v", "api_view_helper", "endpoint")}
+    every = semantic.extracted(n, f).collect()
+    assert len({r.uuid for r in every}) == len(every)
+    found = {(r.type, r.name): r for r in every}
+    assert {("endpoint", "get"), ("constant", "LIMIT"), ("variable", "name"), ("handler", "ROUTES[n]"), ("endpoint", "api_view_helper"), ("model", "User")} <= set(found)
+    assert found["handler", "ROUTES[n]"].tags == ["HANDLER", "MAPPING"] and json.loads(found["variable", "name"].metadata)["value"] == "open('x')"
 
 
 def test_mutations(spark):
@@ -231,11 +259,11 @@ def test_relations_of_text(spark):
     f = files_of(spark, ("src/a.py", text), ("src/b.py", None), ("src/c.py", ""))
     n = nodes_of(spark, node("g", "go", start=2, end=3), node("j", "Job", "class", start=5, end=7), node("t", "test_go", start=13, end=14), node("c", "TABLE", "variable", start=9, end=11))
     assert [(r.endpoint, r.uuid) for r in semantic.served(f, n).collect()] == [("/go", "g")]
-    assert [(r.key, r.uuid) for r in semantic.handled(f, n).collect()] == [("go", "g")]
+    assert [(r.key, r.source, r.target) for r in semantic.handled(f, n).collect()] == [("go", "c", "g")]
     assert [(r.test, r.subject) for r in semantic.tested_by_calls(n, f).collect()] == [("t", "g")]
     got = {(r.relation, r.source, r.target, r.external) for r in semantic.relations(f, n).collect()}
     assert got == {
-        ("inherits", "j", "external:Base", True), ("decorates", "external:app", "g", True), ("handles", "go", "g", False), ("handles", "/go", "g", False), ("tests", "t", "g", False),
+        ("inherits", "j", "external:Base", True), ("decorates", "external:app", "g", True), ("handles", "c", "g", False), ("handles", "/go", "g", False), ("tests", "t", "g", False),
     }
     assert semantic.relations(f.limit(0), n).where("relation <> 'tests'").count() == 0
 
@@ -253,22 +281,113 @@ def test_context_of_unknown_and_isolated_entities(spark):
     assert rows == {"a": (None, ["a"], 2), "b": (None, [], 0)}
 
 
-def test_entity_at_every_line_finds_short_entities(spark, tmp_path):
+def test_entity_at_line_finds_short_entities(spark, tmp_path):
     """An entity between two of the lines 1, 11, 21."""
     spark.createDataFrame([("u", "r", "f.py", "function", "g", 3, 5, None, None, None, None, None, False)], "uuid string, repo_id string, file_path string, type string, name string, start_line int, end_line int, docstring string, tags array<string>, metadata string, created_by string, created_at timestamp, manual boolean").write.parquet(f"{tmp_path}/nodes.parquet")
     spark.createDataFrame([("r", "f.py", "x\n" * 20)], "repo_id string, file_path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
-    rows = QUERIES["entity_at_every_line"](spark, str(tmp_path)).collect()
+    rows = QUERIES["entity_at_line"](spark, str(tmp_path)).collect()
     assert sorted((r.line, r.uuid) for r in rows) == [(3, "u"), (4, "u"), (5, "u")]
 
 
 def test_every_match_of_a_line_has_its_row(spark, tmp_path):
     files_of(spark, ("a.js", "var a; var b\nvar c"), ("b.py", "token = 'abcdefgh1'; secret = 'abcdefgh2'\n"), ("c.py", "class A(B): pass; self.x = Y(); self.z = W()\nclass C(\n    D): pass\n")).write.parquet(f"{tmp_path}/source_files.parquet")
     got = lambda name: [(r.line, r["column"]) for r in QUERIES[name](spark, str(tmp_path)).collect()]
-    assert sorted(got("rule_var_all")) == [(1, 1), (1, 8), (2, 1)]
-    assert len(got("rule_secrets_all")) == 2
-    rows = QUERIES["text_relations_all"](spark, str(tmp_path)).collect()
+    assert sorted(got("rule_var")) == [(1, 1), (1, 8), (2, 1)]
+    assert len(got("rule_secrets")) == 2
+    rows = QUERIES["text_relations"](spark, str(tmp_path)).collect()
     assert sorted((r.line, r.source, r.target) for r in rows) == [(1, "A", "B"), (1, "x", "Y"), (1, "z", "W"), (2, "C", "D")]
     f = files_of(spark, ("d.py", "@app.get('/a') @app.get('/b')\ndef f(): pass\n"))
-    assert sorted((r.pattern, r.metadata) for r in semantic.every_pattern_entity(f).where("type = 'endpoint'").collect()) == [("fastapi_endpoint", "/a"), ("fastapi_endpoint", "/b")]
+    assert sorted((r.pattern, r.metadata) for r in semantic.pattern_entities(f).where("type = 'endpoint'").collect()) == [("fastapi_endpoint", "/a"), ("fastapi_endpoint", "/b")]
     n = nodes_of(spark, node("u", name="f", path="d.py"))
-    assert {r.endpoint for r in semantic.served(f, n, every=True).collect()} == {"/a", "/b"}
+    assert {r.endpoint for r in semantic.served(f, n).collect()} == {"/a", "/b"}
+
+
+def key_table(entities):
+    """The keys of entities and their order, registered one by one."""
+    keys = {}
+    for e in sorted(entities, key=lambda r: (r.file_path, r.ordinal)):
+        module = e.file_path.replace(".py", "").replace("/", ".")
+        own = [f"{e.file_path}:{e.name}", e.name]
+        if e.type in ("class", "function"):
+            own.append(f"{module}.{e.name}")
+        if e.type == "function" and e.context != "module":
+            own += [f"{e.context}.{e.name}", f"{module}.{e.context}.{e.name}"]
+        for k in dict.fromkeys(own):
+            keys[k] = e
+    return keys
+
+
+def brute_resolve(parsed, entities):
+    """Every call against every key, tier after tier."""
+    keys, out = key_table(entities), set()
+    brought = {(r.file_path, r.name): r.extra for r in sorted((r for r in parsed if r.kind == "import"), key=lambda r: r.ordinal)}
+    for c in (r for r in parsed if r.kind == "call"):
+        module = c.file_path.replace(".py", "").replace("/", ".")
+        near = [e for e in sorted(entities, key=lambda r: r.ordinal) if e.file_path == c.file_path and e.name == c.context]
+        inside = keys.get(c.context)
+        tried = [keys.get(f"{c.file_path}:{c.context}"), inside if inside and inside.file_path == c.file_path else None, keys.get(f"{module}.{c.context}"), *near[:1], keys.get(f"{c.file_path}:{module}"), keys.get(module)]
+        src = next((e for e in tried if e), None)
+        dst = keys.get(c.name) or (keys.get(c.name.split(".")[-1]) if "." in c.name else None)
+        if dst is None:
+            scored = [(100 if "." in c.name and k.endswith(c.name) else 80 if k.endswith("." + c.name) else 60 if c.name in e.name else 40, e) for k, e in keys.items() if c.name in k]
+            dst = max(scored, key=lambda x: x[0])[1] if scored else None
+        if dst is None:
+            first, _, rest = c.name.partition(".")
+            full = brought.get((c.file_path, first))
+            dst = keys.get(full + ("." + rest if rest else "")) if full else None
+        if src and dst and src.uuid != dst.uuid:
+            out.add((src.uuid, dst.uuid))
+    return out
+
+
+def test_calls_resolve_as_by_brute_force(spark):
+    """All tiers: exact, last segment, ending, contained, through imports; callers within classes and modules."""
+    f = files_of(
+        spark,
+        ("pkg/a.py", "import pkg.tools as tk\nfrom lib.deep import load_rows as lr\n\nclass Box:\n    size = compute(1)\n    def open(self):\n        self.shut()\n        rows(1)\n        tk.pack(self)\n        lr(2)\n\nBox()\nz = ab.cd(1)\n"),
+        ("pkg/tools.py", "def pack(x):\n    return unpack_all(x)\n\ndef unpack_all(x):\n    def inner(y):\n        return pack(y)\n    return all_un(x)\n"),
+        ("lib/deep.py", "class Store:\n    def shut(self):\n        return load_rows()\n\ndef load_rows():\n    return [xab.cdx(), ows(), q()]\n"),
+        ("xab.cd/e.py", "def lonely():\n    return Store.shut(1)\n"),
+    )
+    parsed = ingest.parse(f)
+    entities = ingest.parsed_entities(parsed)
+    got = {(r.src, r.dst) for r in ingest.resolve_calls(parsed, entities).collect()}
+    assert got == brute_resolve(parsed.collect(), entities.collect()) and len(got) > 8
+
+
+def test_bases_come_from_the_file_first(spark):
+    f = files_of(spark, ("a.py", "class Base: pass\nclass A(Base): pass\nclass Self(Self): pass\n"), ("b.py", "class Base: pass\nclass B(Base): pass\n"), ("c.py", "class C(Base): pass\nclass Self(Self): pass\nclass D(Nowhere): pass\n"))
+    e = ingest.parsed_entities(ingest.parse(f))
+    by = {r.uuid: (r.file_path, r.name) for r in e.collect()}
+    got = {(by[r.src], by[r.dst]) for r in ingest.inheritance_links(ingest.parse(f), e).collect()}
+    assert got == {(("a.py", "A"), ("a.py", "Base")), (("b.py", "B"), ("b.py", "Base")), (("c.py", "C"), ("a.py", "Base")), (("a.py", "Self"), ("c.py", "Self")), (("c.py", "Self"), ("a.py", "Self"))}
+
+
+def test_deep_files_and_other_readers(spark):
+    f = files_of(spark, ("deep.py", "x = " + "(" * 90 + "1" + ")" * 90 + "\ny = " + "-" * 5000 + "1\n"), ("ok.py", "def f(): pass\n"), ("t.txt", "one two"))
+    parsed = ingest.parse(f)
+    assert {r.file_path for r in parsed.collect()} <= {"ok.py", "deep.py"} and parsed.where("file_path = 'ok.py'").count() == 3
+    words = {".txt": lambda text: [("entity", w, "word", 1, 1, None, "module", None, None) for w in text.split()]}
+    assert sorted(r.name for r in ingest.parse(f, words).collect()) == ["one", "two"]
+
+
+def test_similar_names_pass_the_bound(spark):
+    """No pair that the sequences would match is lost by the bound of letters."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeÄ_") for _ in range(rng.randrange(0, 9))) for _ in range(120)]
+    rows = spark.createDataFrame([(a, b) for a in words for b in words[:30]], "a string, b string")
+    for r in rows.select("a", "b", names.can_be_similar(F.col("a"), F.col("b")).alias("may")).collect():
+        if SequenceMatcher(None, r.a.lower(), r.b.lower()).ratio() >= names.SIMILAR:
+            assert r.may, (r.a, r.b)
+
+
+def test_priority_cut(spark):
+    rows = [("r", f"src/f{i:02d}.py", "x", 1000 * (i % 7), None) for i in range(20)] + [("s", f"g{i}.py", "x", 10, None) for i in range(3)] + [("t", "main.py", "x", None, None)]
+    f = spark.createDataFrame(rows, schema.FILES)
+    kept = source_files.prioritised(f, large=10, least=4).collect()
+    want = sorted((-(30 + min(20, n // 1000)), p) for r, p, _, n, _ in rows if r == "r")[:16]
+    assert sorted(r.file_path for r in kept if r.repo_id == "r") == sorted(p for _, p in want)
+    assert sum(r.repo_id == "s" for r in kept) == 3 and source_files.prioritised(f).count() == 24

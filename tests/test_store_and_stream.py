@@ -34,8 +34,13 @@ def test_store(spark, tmp_path):
     s.write("nodes", spark.createDataFrame([node("1", "a"), node("2", "b"), node(None, "b")], schema.NODES))
     s.write("nodes", spark.createDataFrame([node("3", "b")], schema.NODES))
     assert {(r.uuid, r.repo_id) for r in s.read("nodes").collect()} == {("1", "a"), ("3", "b")}
+    link = lambda i, a, b: (i, a, b, "calls", None, "system", AT, False, [])
+    s.write("edges", spark.createDataFrame([link("x", "1", "3"), link("y", "1", "1"), link("z", "3", "9")], schema.EDGES))
+    said = lambda i, kind, e: (i, AT, "u", "add_node", kind, e, None)
+    s.append("audit", spark.createDataFrame([said("p", "node", "1"), said("q", "node", "3"), said("r", "edge", "x"), said("s", "repo", "b"), said("t", None, None)], schema.AUDIT))
     s.delete_repo("b")
-    assert {r.repo_id for r in s.repos().collect()} == {"a"}
+    assert {r.repo_id for r in s.repos().collect()} == {"a"} and s.has_repo("a") and not s.has_repo("b")
+    assert [r.uuid for r in s.read("edges").collect()] == ["y"] and sorted(r.uuid for r in s.read("audit").collect()) == ["p", "t"]
     both = store.upserted(s.read("nodes"), spark.createDataFrame([node("1", "c")], schema.NODES), ["uuid"])
     assert [r.repo_id for r in both.collect()] == ["c"]
     index = search.index(s.read("nodes"))
@@ -53,6 +58,38 @@ def test_log_skips_malformed_lines_but_counts_them(spark, tmp_path):
     assert {r.uuid for r in everything} == {"i0", "x1", "x2"}
     assert len(store.read_log(spark, path, limit=1).collect()) == 1 and store.read_log(spark, path, offset=99).count() == 0
     assert store.read_log(spark, str(tmp_path / "none")).count() == 0
+    assert [r.n for r in everything] == [0, 1, 3] and [r.n for r in store.read_log(spark, path, offset=1).collect()] == [1, 3]
+
+
+def test_log_in_many_splits(spark, tmp_path):
+    path = tmp_path / "big"
+    path.mkdir()
+    for k in range(3):
+        (path / f"p{k}.json").write_text("".join('{"uuid": "u%d"}\n' % (k * 1000 + i) for i in range(1000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = store.read_log(spark, str(path), limit=5000).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.n, r.uuid) for r in rows] == [(i, f"u{i}") for i in range(3000)]
+
+
+def test_clone(spark, tmp_path):
+    import subprocess
+
+    import pytest
+
+    origin = tmp_path / "origin"
+    origin.mkdir()
+    (origin / "main.py").write_text("x = 1\n")
+    run = lambda *a: subprocess.run(["git", "-C", str(origin), *a], check=True, capture_output=True)
+    run("init", "-q")
+    run("add", ".")
+    run("-c", "user.email=a@b.c", "-c", "user.name=n", "commit", "-qm", "m")
+    place = files.clone(f"file://{origin}", str(tmp_path / "copy"))
+    assert [r.file_path for r in files.scan(spark, place, "r").collect()] == ["main.py"]
+    with pytest.raises(RuntimeError):
+        files.clone(f"file://{tmp_path}/nowhere", str(tmp_path / "no"))
 
 
 def test_streamed_counts_equal_batch(spark, tmp_path):
