@@ -3,7 +3,9 @@
 Plan: the JVM cuts every text into words with the vocabulary's own pattern (whole-stage code, no Python), Arrow hands
 the words over, and each Python worker looks at distinct words only. Words it has not met yet are encoded all at once
 by a recursive DuckDB query: token-position rows join the merge table, every word contracts the occurrences of its
-minimum-rank pair from left to right, until no word has a pair left; an ordered aggregation gives the ids.
+minimum-rank pair from left to right, until no word has a pair left; an ordered aggregation gives the ids. The recursion
+keeps one row per position, its last: a word's rows of its last round are its tokens. A word takes as many rounds as it
+has distinct merges, so the time for one unbroken word of n letters grows with n times those, and is one task's.
 Ids are assembled per text with Arrow's take, without a Python loop over tokens.
 
 Null and empty texts get an empty list. Texts with characters the JVM's Unicode tables don't know are cut in the
@@ -28,6 +30,8 @@ JVM_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
+#: Characters the JVM's Unicode tables don't know.
+UNKNOWN = r"\p{Cn}"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: A worker forgets its words when it has met so many distinct ones.
@@ -67,10 +71,10 @@ def load(path: str) -> tuple[dict[bytes, int], list[tuple[int, int, int, int]]]:
 
 
 ENCODE = """
-with recursive state(round, w, pos, tok) as (
-    select 0, w, pos, tok from pieces
+with recursive state(w, pos, round, tok) using key (w, pos) as (
+    select w, pos, 0, tok from pieces
     union all
-    select round + 1, w, pos, tok from (
+    select w, pos, round + 1, tok from (
         select round, w, pos, case when take then new else tok end as tok,
                coalesce(lag(take) over (partition by w order by pos), false) as swallowed
         from (
@@ -152,13 +156,13 @@ def gather(lists: pa.Array, chosen: np.ndarray, bounds: np.ndarray) -> pa.Array:
 def words_of(text: Column | str) -> Column:
     """The words of a text; null for null texts and for those whose characters the JVM doesn't know."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.when(~text.rlike(r"\p{Cn}"), F.regexp_extract_all(text, F.lit(JVM_PATTERN), F.lit(0)))
+    return F.when(~text.rlike(UNKNOWN), F.regexp_extract_all(text, F.lit(JVM_PATTERN), F.lit(0)))
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) of every row; other columns are ignored, repeated rows stay."""
     vocab = path or vocabulary_path()
-    rows = docs.select(F.col(key).alias("key"), words_of(text).alias("words"), F.when(words_of(text).isNull(), F.col(text)).alias("odd"))
+    rows = docs.select(F.col(key).alias("key"), words_of(text).alias("words"), F.when(F.col(text).rlike(UNKNOWN), F.col(text)).alias("odd"))
     key_type = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

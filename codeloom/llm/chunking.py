@@ -6,8 +6,9 @@ programming over the candidates minimises the sum of cut penalties and squared d
 to the maximum length. Each piece after the first starts `overlap` tokens before the cut (at the character start at
 or before that token, where a token holds part of a character only).
 
-Every piece is at most `limit` tokens, counted over its own text. Texts within the limit, empty and null ones have no
-rows. Repeated documents are cut each. Whole texts are used, however long; one text is the unit of work.
+Every piece is at most `limit` tokens, counted over its own text; only a single character that has more by itself is a
+longer piece. Where the limit is so near the overlap that no division gives whole overlaps, pieces repeat less. Texts
+within the limit, empty and null ones have no rows. Repeated documents are cut each. Whole texts are used, however long; one text is the unit of work.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ def pieces(text: str, encoder, lengths: np.ndarray, limit: int, overlap: int) ->
     floor = np.maximum.accumulate(np.where(whole, np.arange(len(whole)), 0))
     index, kinds = candidates(raw, ends, max(1, (limit - overlap) // 3))
     cap = limit
-    while True:
+    while cap - overlap >= 1:
         starts = floor[np.maximum(index - overlap, 0)]
         parts = max(2, -(-(len(ids) - overlap) // (cap - overlap)))
         cuts = best_cuts(index, kinds, starts, cap, (len(ids) - overlap) / parts + overlap)
@@ -141,7 +142,7 @@ def pieces(text: str, encoder, lengths: np.ndarray, limit: int, overlap: int) ->
             known = np.full(len(whole), TOKEN, dtype=np.int8)
             known[index] = kinds
             if len(every) == len(index):
-                raise ValueError("limit too small for a single character with its overlap")
+                break
             index, kinds = every, known[every]
             continue
         out, over = [], 0
@@ -156,6 +157,31 @@ def pieces(text: str, encoder, lengths: np.ndarray, limit: int, overlap: int) ->
             return out
         # A piece's own text took more tokens than its part of the whole: leave that much room.
         cap -= over
+    return _one_by_one(raw, bytes_at, whole, floor, _counter_of(raw, data, bytes_at, encoder), limit, overlap)
+
+
+def _one_by_one(raw: bytes, bytes_at: np.ndarray, whole: np.ndarray, floor: np.ndarray, count, limit: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
+    """Where the limit leaves hardly any room beside the overlap: each piece as long as its own tokens allow, at least one
+    character beyond what it repeats, of which it repeats less if that is the only way."""
+    ends = np.flatnonzero(whole)[1:]
+    out, cut = [], 0
+    while cut < len(whole) - 1:
+        low = int(bytes_at[floor[max(cut - overlap, 0)]]) if cut else 0
+        later = ends[ends > cut]
+        fits = 0
+        while fits < len(later) and count(low, int(bytes_at[later[fits]])) <= limit:
+            fits += 1
+        if not fits:
+            while low < int(bytes_at[cut]) and count(low, int(bytes_at[later[0]])) > limit:
+                low += 1
+                while (raw[low] & 0xC0) == 0x80:
+                    low += 1
+            fits = 1
+        end = int(later[fits - 1])
+        first = int(np.searchsorted(bytes_at, low))
+        out.append((low, int(bytes_at[end]), count(low, int(bytes_at[end])), max(cut - first, 0), KINDS[TOKEN] if end < len(whole) - 1 else "end"))
+        cut = end
+    return out
 
 
 def _counter_of(raw: bytes, data: np.ndarray, bytes_at: np.ndarray, encoder):

@@ -1,10 +1,10 @@
 """Credentials embedded in source code, configuration and JSON metadata, and their redaction.
 
-Lines that hold a hint are tokenized into names, operators and literals; a literal counts when it isn't a placeholder
-and
+The whole text is tokenized into comments, names, operators and literals, over line ends; a literal counts when it isn't a
+placeholder and
 
 * is assigned or passed to a name that stands for a credential (in code, in a comment, as a configuration value), also
-  put together from pieces, or
+  put together from pieces or on a later line than its name, or
 * is itself of a format that only credentials have: provider tokens, signed web tokens, private keys, a login within
   a URL, an authorization header, a command-line option, or an encoding of one of these.
 
@@ -19,6 +19,7 @@ import binascii
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +33,8 @@ _PAIRS = r"(?:api|access|secret|private|signing|encryption|master|auth|client|ac
 NAME = re.compile(rf"(?:^| )(?:{_ALONE}|{_PAIRS})(?: |$)")
 #: Names that look like credentials and hold something else.
 OTHER_NAME = re.compile(r"^(?:label|primary key|pub(?:lic)?|sha ?\d*|md5|checksum|pinned|request id|foreign key|sort key|partition key|cache key|etag|csrf header|docs)(?: |$)| (?:hash|checksum|sha256|fingerprint|public)$")
+#: Calls whose argument "key" is a credential.
+SIGNING = re.compile(r"(?:^| )(?:sign|signs|signed|signing|signer|encrypt|encrypts|encrypted|encryption|decrypt|decrypts|decrypted|hmac|jwt|cipher)$")
 _CAMEL = re.compile(r"(?<=[a-z\d])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[^A-Za-zÀ-ÿ]+")
 
 PLACEHOLDER = re.compile(
@@ -50,61 +53,46 @@ FORMATS = re.compile(
 )
 PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----END)[^\"'`])*(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?")
 LOGIN_URL = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s:/@\"'`?#<>]*:([^\s/\"'`<>]+)@[\w\[]", re.I)
-HEADER = re.compile(r"\b(?:Bearer|Token)\s+([\w\-.~+/]{8,}=*)|\bBasic\s+([A-Za-z0-9+/]{8,}={0,2})(?![\w])")
-OPTION = re.compile(r"--?(?:password|passwd|pwd|pass|token|secret|api-?key|access-?key|auth-?token)(?:=|\s+)[\"']?([^\s\"'`]+)|(?<![\w-])(?:-u|--user)[ =]?[\"']?[\w.@\-]+:([^\s\"'`]+)", re.I)
+HEADER = re.compile(r"\b(?:Bearer|Token)[^\S\n]+([\w\-.~+/]{8,}=*)|\bBasic[^\S\n]+([A-Za-z0-9+/]{8,}={0,2})(?![\w])")
+OPTION = re.compile(r"--?(?:password|passwd|pwd|pass|token|secret|api-?key|access-?key|auth-?token)(?:=|[^\S\n]+)[\"']?([^\s\"'`]+)|(?<![\w-])(?:-u|--user)[ =]?[\"']?[\w.@\-]+:([^\s\"'`]+)", re.I)
 PROSE = re.compile(rf"\b(?:{_ALONE}|api[ _-]?key|access[ _-]?key|signing[ _-]?key)\b[\"'*/]*[\s,;:=/]*(?:(?:is|was|now|to|of|for)\b[\s,:]*)?(?:(?:is|now|still)\b\s*)?[\"'`]?([^\s\"'`,;<>()]{{8,}})", re.I)
 ENCODED = re.compile(r"(?<![\w+/])((?:[A-Za-z0-9+/]{4}){4,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?)(?![\w+/=])")
 INSIDE = re.compile(r"(?:^|[^a-z])(?:password|passwd|pwd|pass|secret|token|api_?(?:key|token)|access_?key|credential)s?\w*[\"']?\s*[=:]\s*[\"']?([^\s\"']{6,})", re.I)
 
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`"
+_LONG = r"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|`(?:[^`\\]|\\.)*`|"
+_TAIL = r"(?P<n>[^\W\d][\w$\-.]*(?:(?<=[\w$])))|(?P<o>:=|==|!=|=>|[=:(,+|?\[{)}\]])|(?P<x>[^\s])"
+_PREFIX = r"(?:[rRbBuUfF]{1,2}(?=[\"']))?"
+# The forms of comments by family of languages.
+_COMMENTS = {"hash": r"#[^\n]*", "slash": r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/", "none": r"/\*(?:[^*\n]|\*(?!/))*\*/"}
 #: Names, literals and the operators between them; a comment in the middle of a call may name the argument.
-LEX = re.compile(rf"(?P<s>(?:[rRbBuUfF]{{1,2}}(?=[\"']))?(?:{_STRING}))|(?P<c>/\*.*?\*/)|(?P<n>[^\W\d][\w$\-.]*(?:(?<=[\w$])))|(?P<o>:=|==|!=|=>|[=:(,+|?\[{{)}}\]])|(?P<x>[^\s])")
+LEX = {k: re.compile(rf"(?P<c>{c})|(?P<s>{_PREFIX}(?:{_LONG}{_STRING}))|{_TAIL}", re.S) for k, c in _COMMENTS.items()}
+#: Of a single line, in which comments are marked by how it begins.
+LINE = re.compile(rf"(?P<s>{_PREFIX}(?:{_STRING}))|(?P<c>/\*.*?\*/)|{_TAIL}")
+# The family of each ending; others have no comments but short ones within a line.
+FAMILY = dict.fromkeys(("py", "pyw", "rb", "sh", "yaml", "yml", "toml", "env", "properties", "ini", "cfg", "conf"), "hash") | dict.fromkeys(
+    ("js", "jsx", "mjs", "ts", "tsx", "java", "go", "c", "h", "cpp", "cc", "hpp", "cs", "rs", "php", "swift", "kt", "kts", "scala"), "slash"
+)
 CONFIG = re.compile(r"^\s*(?:export\s+|set\s+|-\s+)?[\"']?([A-Za-z_][\w.\-]*)[\"']?\s*[=:]\s*(.*?)\s*,?\s*$")
-# What a line with a credential holds at least one of, in lower case.
-HINTS = (
-    "pass pwd pw kennwort contrase motdepasse mdp senha secret token credential creds bearer basic login "
-    "apikey api_key api-key api.key api\u00a0key access_key accesskey access.key access-key signing encryption_key encryptionkey encryption.key private "
-    "master_key masterkey auth_key license_key account_key storage_key shared_key ghp_ gho_ ghs_ ghu_ ghr_ github_pat_ glpat- xox sk_live_ sk_prod_ rk_live_ "
-    "akia asia eyj aiza npm_ :// -u ywnjzx yxbp cgfzc3 dg9rzw c2vjcm"
-).replace("\u00a0", " ").split(" ") + ["api key", "access key", "-u "]
-HINTS = tuple(dict.fromkeys(h for h in HINTS if h and h not in ("key", "api", "-u"))) + ("-u ",)
-#: The pairs of NAME that end in key, however they are written; the other pairs hold a hint in their second word.
-_KEY_HINT = re.compile(r"(?:api|access|secret|private|signing|encryption|master|auth|client|account|service|shared|session|license|storage)[^a-zà-ÿ\n]*key")
-_THREE_PARTS = re.compile(r"\.[\w\-]{20,24}\.[\w\-]{38}")
-
-
-def candidate_lines(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines that hold a hint, in order."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    lines: dict[int, int] = {}
-
-    def add(i: int) -> int:
-        start = text.rfind("\n", 0, i) + 1
-        end = text.find("\n", i)
-        lines[start] = end = len(text) if end < 0 else end
-        return end
-
-    for hint in HINTS:
-        i = low.find(hint)
-        while i >= 0:
-            i = low.find(hint, add(i))
-    for m in _KEY_HINT.finditer(low):
-        add(m.start())
-    for m in _THREE_PARTS.finditer(text):
-        add(m.start())
-    return sorted(lines.items())
+CONFIGURATION = (".env", ".properties", ".toml", ".yaml", ".yml", ".ini", ".cfg", ".conf")
 
 
-CONFIGURATION = (".env", ".properties", ".toml", ".yaml", ".yml", ".ini", ".cfg", ".conf")
+def _words(name: str) -> str:
+    return " ".join(w for w in _CAMEL.split(name) if w).lower()
 
 
+@lru_cache(maxsize=1 << 16)
 def names_credential(name: str) -> bool:
-    words = " ".join(w for w in _CAMEL.split(name) if w).lower()
+    words = _words(name)
     return bool(NAME.search(words)) and not OTHER_NAME.search(words)
 
 
+@lru_cache(maxsize=1 << 16)
+def signs(callee: str, argument: str) -> bool:
+    """Whether the argument of the call is the key of something signed or encrypted."""
+    return argument.lower() == "key" and bool(SIGNING.search(_words(callee)))
+
+
 def looks_secret(value: str) -> bool:
     """Whether the value of a credential-named name is one: not a placeholder, a reference, words or an id."""
     if len(value) < 6 or any(c.isspace() for c in value):
@@ -136,20 +124,20 @@ def decoded(value: str) -> str | None:
     return text if all(c.isprintable() or c in "\r\n\t" for c in text) else None
 
 
-def _by_format(line: str) -> Iterator[tuple[int, int]]:
-    for m in FORMATS.finditer(line):
+def _by_format(text: str) -> Iterator[tuple[int, int]]:
+    for m in FORMATS.finditer(text):
         yield m.span()
-    if "://" in line:
-        for m in LOGIN_URL.finditer(line):
+    if "://" in text:
+        for m in LOGIN_URL.finditer(text):
             if not PLACEHOLDER.search(m[1]) and m[1].lower() not in ("password", "pass", "pwd", "secret"):
                 yield m.span(1)
-    for m in HEADER.finditer(line):
+    for m in HEADER.finditer(text):
         if m[1] and looks_secret(m[1]) and len(m[1]) >= 12:
             yield m.span(1)
         elif m[2] and (inner := decoded(m[2])) and ":" in inner and not PLACEHOLDER.search(inner.partition(":")[2]):
             yield m.span(2)
-    if "-" in line:
-        for m in OPTION.finditer(line):
+    if "-" in text:
+        for m in OPTION.finditer(text):
             i = 1 if m[1] else 2
             if looks_secret(m[i]):
                 yield m.span(i)
@@ -163,92 +151,136 @@ def _encoded(text: str) -> Iterator[tuple[int, int]]:
             yield m.span(1)
 
 
-def _statement_end(text: str, start: int, end: int) -> int:
-    """Where the last line ends that a line goes on in: after an operator that leaves its right side open."""
-    while end < len(text) and _OPEN.search(text[start:end]):
-        start = end + 1
-        end = text.find("\n", start)
-        end = len(text) if end < 0 else end
-    return end
-
-
 def _content(token: str) -> tuple[int, int]:
     """Where the content of a literal begins and ends within its token."""
     start = next(i for i, c in enumerate(token) if c in "\"'`") + 1
     return start, len(token) - 1
 
 
-def _by_name(line: str) -> Iterator[tuple[int, int]]:
-    """Literals assigned or passed to a credential-named name; pieces joined by + count as one literal."""
-    tokens = [(m.lastgroup, m[0], m.start()) for m in LEX.finditer(line)]
+#: After these a statement goes on in the next line.
+_GOES_ON = ("=", "(", "+", ":", ":=", "=>")
+_COMMENT = ("#", "//", "*", "/*", "--", ";")
+
+
+def _by_name(text: str, lex: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Literals assigned or passed to a credential-named name; pieces joined by + or side by side count as one literal.
+
+    What comments and literals over several lines hold is searched line by line.
+    """
+    tokens = [(m.lastgroup, m[0], m.start()) for m in lex.finditer(text)]
     name, bound = "", False  # the last name, and whether an operator binds what follows to it
+    calls: list[str] = []  # what each open parenthesis calls
+    last, end = "", 0
     i = 0
     while i < len(tokens):
-        kind, text, at = tokens[i]
+        kind, token, at = tokens[i]
+        if bound and last not in _GOES_ON and text.find("\n", end, at) >= 0:
+            bound = False
         if kind == "n":
             # "token: string = ..." keeps the variable's name over its type.
-            if not (bound and tokens[i - 1][1] == ":" and i + 1 < len(tokens) and tokens[i + 1][1] == "="):
-                name, bound = text, False
+            if not (bound and last == ":" and i + 1 < len(tokens) and tokens[i + 1][1] == "="):
+                name, bound = token, False
         elif kind == "c":
-            name, bound = text.strip("/* ").split("=")[0], True
+            if lex is not LINE:
+                for low, line in _lines(token):
+                    yield from ((at + low + a, at + low + b) for a, b in _in_comment(line))
+            if token.startswith("/*") and "\n" not in token:
+                name, bound = token.strip("/* ").split("=")[0], True
+            elif bound:
+                # A comment between a name and its literal changes nothing.
+                i, end = i + 1, at + len(token)
+                continue
         elif kind == "o":
-            if text in ("=", ":", ":=", "=>", "("):
+            if token == "(":
+                calls.append(name if last == name else "")
                 bound = True
-            elif text not in ("+", "[", "]", "|", "?"):
-                bound = bound and text == "{"
-                if text in (",", ")", "}"):
-                    bound = False
+            elif token in ("=", ":", ":=", "=>"):
+                bound = True
+            elif token not in ("+", "[", "]", "|", "?"):
+                if token == ")" and calls:
+                    calls.pop()
+                bound = bound and token == "{"
         elif kind == "s":
-            pieces = [(text, at)]
+            pieces = [(token, at)]
             j = i
-            while j + 2 < len(tokens) and tokens[j + 1][1] in ("+", ".") and tokens[j + 2][0] == "s":
-                j += 2
+            while j + 1 < len(tokens):
+                step = 2 if tokens[j + 1][1] in ("+", ".") and j + 2 < len(tokens) and tokens[j + 2][0] == "s" else 1
+                if tokens[j + step][0] != "s":
+                    break
+                j += step
                 pieces.append(tokens[j][1:])
             value = "".join(p[slice(*_content(p))] for p, _ in pieces)
-            key = j + 1 < len(tokens) and tokens[j + 1][1] in (":", "=>", "=") and j == i
-            called = bound or len(pieces) > 1
-            if key:
-                name, bound = value, True
+            token, at = pieces[-1]
+            if j + 1 < len(tokens) and tokens[j + 1][1] in (":", "=>", "=") and j == i:
+                name, bound, last = value, True, ":"
+                end = tokens[j + 1][2] + len(tokens[j + 1][1])
                 i = j + 2
                 continue
-            if called and names_credential(name) and looks_secret(value) or len(pieces) > 1 and FORMATS.search(value):
+            called = bound or len(pieces) > 1
+            named = called and (names_credential(name) or bool(calls) and signs(calls[-1], name))
+            if named and looks_secret(value) or len(pieces) > 1 and FORMATS.search(value):
                 for p, start in pieces:
                     low, high = _content(p)
                     yield start + low, start + high
+            else:
+                for p, start in pieces:
+                    if "\n" in p:
+                        for low, line in _lines(p):
+                            yield from ((start + low + a, start + low + b) for a, b in _in_line(line))
             i = j
+        last, end = token, at + len(token)
         i += 1
 
 
-_OPEN = re.compile(r"(?:[=(+:\\]|=>)\s*$")
-_COMMENT = ("#", "//", "*", "/*", "--", ";")
+def _lines(text: str) -> Iterator[tuple[int, str]]:
+    at = 0
+    for line in text.split("\n"):
+        yield at, line
+        at += len(line) + 1
+
 
+def _in_comment(line: str) -> list[tuple[int, int]]:
+    """Credentials that a line of a comment assigns or tells."""
+    found = list(_by_name(line, LINE))
+    return found or [m.span(1) for m in PROSE.finditer(line) if looks_secret(m[1]) and not m[1].startswith("--")]
 
-def find(text: str | None, configuration: bool = False) -> list[tuple[int, int]]:
-    """Spans (start, end) of credentials in the text, in order, without overlaps."""
+
+def _in_line(line: str, configuration: bool = False) -> list[tuple[int, int]]:
+    """Credentials of a line by itself, of a configuration file or within a literal."""
+    if line.lstrip().startswith(_COMMENT):
+        return _in_comment(line)
+    found = list(_by_name(line, LINE))
+    if configuration and (m := CONFIG.match(line)):
+        value, at = m[2], m.start(2)
+        if value[:1] in "\"'" and value[-1:] == value[:1] and len(value) > 1:
+            value, at = value[1:-1], at + 1
+        if names_credential(m[1]) and looks_secret(value):
+            found.append((at, at + len(value)))
+    return found
+
+
+def find(text: str | None, configuration: bool = False, family: str | None = None) -> list[tuple[int, int]]:
+    """Spans (start, end) of credentials in the text, in order, without overlaps.
+
+    configuration: a text of names and values line by line. family: the form of its comments, one of those of FAMILY;
+    where it isn't known, lines that begin like a comment of any language are one.
+    """
     if not text:
         return []
     spans: list[tuple[int, int]] = []
-    keys = []
     if "PRIVATE KEY-----" in text:
-        keys = [m.span() for m in PRIVATE_KEY.finditer(text) if "**" not in m[0]]
-        spans += keys
+        spans += [m.span() for m in PRIVATE_KEY.finditer(text) if "**" not in m[0]]
     spans += _encoded(text)
-    for start, end in candidate_lines(text):
-        line = text[start:end]
-        if any(a < start < b for a, b in keys):
-            continue
-        spans += [(start + a, start + b) for a, b in _by_format(line)]
-        comment = line.lstrip().startswith(_COMMENT)
-        found = list(_by_name(line if comment or configuration else text[start : _statement_end(text, start, end)]))
-        if configuration and not comment and (m := CONFIG.match(line)):
-            value, at = m[2], m.start(2)
-            if value[:1] in "\"'" and value[-1:] == value[:1] and len(value) > 1:
-                value, at = value[1:-1], at + 1
-            if names_credential(m[1]) and looks_secret(value):
-                found.append((at, at + len(value)))
-        if comment and not found:
-            found = [m.span(1) for m in PROSE.finditer(line) if looks_secret(m[1]) and not m[1].startswith("--")]
-        spans += [(start + a, start + b) for a, b in found]
+    spans += _by_format(text)
+    if configuration:
+        for start, line in _lines(text):
+            spans += [(start + a, start + b) for a, b in _in_line(line, True)]
+        return merge(spans)
+    spans += _by_name(text, LEX[family or "none"])
+    if family is None:
+        for start, line in _lines(text):
+            if line.lstrip().startswith(_COMMENT):
+                spans += [(start + a, start + b) for a, b in _in_comment(line)]
     return merge(spans)
 
 
@@ -281,6 +313,7 @@ def redact(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 _JSON_STRING = re.compile(r"\"(?:[^\"\\]|\\.)*\"")
+_COLON = re.compile(r"\s*:")
 
 
 def find_in_json(raw: str | None, name: str | None = None) -> list[tuple[int, int]]:
@@ -293,8 +326,7 @@ def find_in_json(raw: str | None, name: str | None = None) -> list[tuple[int, in
     spans: list[tuple[int, int]] = []
     key = ""
     for m in _JSON_STRING.finditer(raw):
-        rest = raw[m.end() : m.end() + 8].lstrip()
-        if rest.startswith(":"):
+        if _COLON.match(raw, m.end()):
             key = m[0][1:-1]
             continue
         token = m[0][1:-1]
@@ -336,7 +368,8 @@ def scan_files(files: DataFrame, redacted: bool = False) -> DataFrame:
         for batch in batches:
             took, lines, texts = [], [], []
             for i, (path, text) in enumerate(zip(batch.column("file_path").to_pylist(), batch.column("content").to_pylist())):
-                spans = find(text, (path or "").lower().endswith(CONFIGURATION))
+                low = (path or "").lower()
+                spans = find(text, low.endswith(CONFIGURATION), FAMILY.get(low.rpartition(".")[2], "none"))
                 numbers = sorted({text.count("\n", 0, a) + 1 for a, _ in spans})
                 if redacted and numbers:
                     took.append(i)
@@ -357,7 +390,7 @@ def scan_files(files: DataFrame, redacted: bool = False) -> DataFrame:
 
 def scan_metadata(nodes: DataFrame, redacted: bool = False) -> DataFrame:
     """(uuid) of nodes whose metadata hold a credential; with redacted also the masked metadata."""
-    rows = nodes.select("uuid", "name", "metadata").where(F.col("metadata").rlike(r'"(?:[^"\\]|\\.){6,}"\s*[,}\]]'))
+    rows = nodes.select("uuid", "name", "metadata").where(F.col("metadata").rlike(r'"\s*[,}\]]'))
     rows = spread(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.llm import lexing
-from codeloom.operators.skew import hot_keys, lookup
+from codeloom.operators.skew import lookup
 from codeloom.session import spread
 
 LANGUAGES = lexing.ENDINGS | {".jsx": "javascript", ".tsx": "typescript", ".mjs": "javascript"}
@@ -84,11 +84,8 @@ def blank(text: str, language: str) -> tuple[str, list[tuple[int, int]]]:
     return "".join(out), spans
 
 
-def definitions(text: str | None, language: str, extent: bool = True) -> list[Definition]:
-    """The definitions of a file; also, without name, the code lines a documentation comment is attached to.
-
-    extent: whether to find where each ends; else its last line is that of its name.
-    """
+def definitions(text: str | None, language: str) -> list[Definition]:
+    """The definitions of a file; also, without name, the code lines a documentation comment is attached to."""
     if not text:
         return []
     text = text.replace("\r\n", "\n")
@@ -101,7 +98,7 @@ def definitions(text: str | None, language: str, extent: bool = True) -> list[De
         return bisect_right(starts, i)
 
     docs = {} if language == "python" else _docs_above(text, code, spans, lines, line_of, language)
-    closers = _closers(code) if extent and language != "python" else {}
+    closers = _closers(code) if language != "python" else {}
     out, seen = [], set()
     for m in _DEFINITIONS[language].finditer(code):
         group = m.lastindex
@@ -111,13 +108,13 @@ def definitions(text: str | None, language: str, extent: bool = True) -> list[De
             continue
         seen.add(line)
         if language == "python":
-            doc, last = _python_body(text, code, m.end(), lines, line, line_of, extent)
+            doc, last = _python_body(text, code, m.end(), lines, line, line_of)
             out.append(Definition(line, m[group], doc, first, last))
         else:
             if language == "java" and m[0][-1] == ";" and not re.match(r"\s*(?:public|private|protected|static|abstract|@|<|[\w$.<>\[\]]+\s+[\w$]+\s*\()", m[0]):
                 continue
             last = line
-            brace = code.find("{", m.end() - 1) if extent else -1
+            brace = code.find("{", m.end() - 1)
             if brace >= 0 and not (language == "java" and m[0][-1] == ";"):
                 last = line_of(closers.get(brace, brace))
             out.append(Definition(line, m[group], docs.get(first) or docs.get(line), first, max(last, line)))
@@ -172,10 +169,12 @@ def _docs_above(text: str, code: str, spans, lines, line_of, language: str) -> d
 
 _HEADER = re.compile(r"[()\[\]{}:]")
 _REMARK = re.compile(r"\s*#[^\n]*")
+#: After a string that is only the beginning of an expression.
+_GOES_ON = re.compile(r"[ \t]*(?:[.%+\[*,]|if |in )")
 _OPENING = re.compile(r"\s*(?:[rRuU]?)(\"\"\"(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\.|'(?!''))*'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')", re.S)
 
 
-def _python_body(text: str, code: str, at: int, lines: list[str], line: int, line_of, extent: bool) -> tuple[str | None, int]:
+def _python_body(text: str, code: str, at: int, lines: list[str], line: int, line_of) -> tuple[str | None, int]:
     depth = 0
     colon = -1
     for m in _HEADER.finditer(code, at):
@@ -195,10 +194,8 @@ def _python_body(text: str, code: str, at: int, lines: list[str], line: int, lin
         body = m.end()
     opening = _OPENING.match(text, body)
     doc = None
-    if opening and not text[opening.end() : opening.end() + 40].lstrip(" \t").startswith((".", "%", "+", "[", "*", ",", "if ", "in ")):
+    if opening and not _GOES_ON.match(text, opening.end()):
         doc = opening[1]
-    if not extent:
-        return doc, line
     head = line_of(colon)
     indent = len(lines[line - 1]) - len(lines[line - 1].lstrip())
     last = head
@@ -324,7 +321,8 @@ def _name_words(name: Column) -> Column:
 
 
 def definition_table(files: DataFrame, code: bool = False) -> DataFrame:
-    """(repo_id, path, line, name, doc, n, words[, code]): a row for each definition, and one with line 0 per file."""
+    """(repo_id, path, line, name, doc, n, words[, code]): a row for each definition, delimited in any case; code: with its
+    lines and its documentation as it stands."""
     rows = spread(files.select("repo_id", plain_path("file_path").alias("path"), "content"))
     names = ["repo_id", "path", "line", "name", "doc", "n", "words", "code"][: 8 if code else 7]
 
@@ -333,13 +331,11 @@ def definition_table(files: DataFrame, code: bool = False) -> DataFrame:
             took: list[int] = []
             out: list[tuple] = []
             for i, (path, text) in enumerate(zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())):
-                took.append(i)
-                out.append((0, None, None, 0, [], None))
                 language = LANGUAGES.get("." + (path or "").rpartition(".")[2].lower())
                 if language in (None, "json"):
                     continue
                 lines = text.replace("\r\n", "\n").split("\n") if code and text else []
-                for d in definitions(text, language, code):
+                for d in definitions(text, language):
                     n, rest = words(d.doc)
                     took.append(i)
                     out.append((d.line, d.name, d.doc if code else None, n, rest, "\n".join(lines[d.first - 1 : d.last]) if code else None))
@@ -353,12 +349,12 @@ def definition_table(files: DataFrame, code: bool = False) -> DataFrame:
 
 
 def docstring_words(nodes: DataFrame) -> DataFrame:
-    """nodes with n_ and words_ of their docstring; blank docstrings get 0 and none."""
+    """nodes with n_ and words_ of their docstring; null ones stay null."""
     schema = T.StructType([*nodes.schema.fields, T.StructField("n_", T.IntegerType()), T.StructField("words_", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [words(d) for d in batch.column("docstring").to_pylist()]
+            got = [words(d) if d is not None else (None, None) for d in batch.column("docstring").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([n for n, _ in got], pa.int32()), pa.array([w for _, w in got], pa.list_(pa.string()))],
                 names=[*batch.schema.names, "n_", "words_"],
@@ -373,12 +369,13 @@ def paired(nodes: DataFrame, files: DataFrame, code: bool = False) -> DataFrame:
         "uuid", "repo_id", plain_path("file_path").alias("path"), "name", F.lower(F.trim("type")).alias("type"), F.col("start_line").alias("line"), "docstring"
     )
     wanted = wanted.dropDuplicates(["uuid"])
-    blank_doc = F.coalesce(F.col("docstring").rlike(r"^[\s\x{A0}]*$"), F.lit(True))
     key = lambda *parts: F.concat_ws("\x00", *parts)
+    # Without its file in the table an entity has no pair; the names of the files alone are read for that.
+    present = files.select(key("repo_id", plain_path("file_path")).alias("file"), F.lit(True).alias("present")).distinct()
+    wanted = lookup(wanted.withColumn("file", key("repo_id", "path")), present, "file", ["present"]).where("present").drop("file", "present")
+    blank_doc = F.coalesce(F.col("docstring").rlike(r"^[\s\x{A0}]*$"), F.lit(True))
     place = key("repo_id", "path", F.coalesce(F.col("line").cast("string"), key(F.lit("name"), "name")))
-    # With a docstring of its own an entity needs its file only (or, for the code, its line).
-    wanted = wanted.withColumn("key", place if code else F.when(blank_doc, place).otherwise(key("repo_id", "path", F.lit("0"))))
-    hot = hot_keys(wanted, "key")
+    wanted = docstring_words(wanted.withColumn("key", place).withColumn("docstring", F.when(~blank_doc, F.col("docstring"))))
 
     # One reading of the files serves both ways of looking up: the best documentation of a line, the first of a name.
     extra = ["doc", "code"] if code else []
@@ -388,9 +385,8 @@ def paired(nodes: DataFrame, files: DataFrame, code: bool = False) -> DataFrame:
     keyed = table.select("n", "words", *extra, F.explode(F.array_compact(F.array(by_line, by_name))).alias("k"))
     index = keyed.groupBy(F.col("k.key").alias("key")).agg(F.min_by(F.struct("n", "words", *extra), F.col("k.order")).alias("found"))
 
-    own = docstring_words(wanted.where(~blank_doc))
-    rest = wanted.where(blank_doc).withColumns({"n_": F.lit(None).cast("int"), "words_": F.lit(None).cast("array<string>")})
-    met = lookup(own.unionByName(rest), index, "key", ["found"], hot).where("found is not null")
+    # Every entity meets its function; one with a docstring of its own stands even where the function is damaged.
+    met = lookup(wanted, index, "key", ["found"]).where("found is not null or n_ is not null")
     n = F.coalesce(F.col("n_"), F.col("found.n"))
     said = F.array_except(F.coalesce(F.col("words_"), F.col("found.words")), _name_words(F.coalesce(F.col("name"), F.lit(""))))
     met = met.where((n >= 3) & (F.size(said) > 0))

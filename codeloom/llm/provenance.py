@@ -1,16 +1,20 @@
 """Generated, minified, vendored and data-only source files.
 
-One pass over the contents gives each file its features, the marks that say where it comes from, its shape and a
-fingerprint. A random forest is fitted on a bounded hash sample, labelled by head notices, banners, file names and shape;
-its features (compression ratio, token entropy, identifier lengths, comment density and line shape) are taken with head
-comments and notices hidden. A file is not hand-written if
+One pass over the contents gives each file its features, the notices and paths that say where it comes from and a
+fingerprint. A random forest learns from head notices what files look like: a licence or copyright notice of the file's
+own people stands for hand-written code, a notice of a tool for its output, the one-line banner that minifiers keep
+(`/*! name version | licence */`) for minified code. Its features are taken with comments hidden: compression ratio, token
+entropy, identifier lengths, comment density and the shape of lines. Files without a notice, which most minified files
+are, get the forest's votes. A file is not hand-written if
 
 * a notice in a comment, or its path or name, says a tool made it,
-* it lies in a directory kept for other people's packages, or its fingerprint is that of a reference file, or
-* the forest takes it for minified or data and its shape confirms that.
+* it lies in a directory kept for other people's packages, or its fingerprint is that of a reference file,
+* the forest's votes say it is minified, or
+* it is nothing but one large data literal: data has no notices to learn from, so its code is parsed for that.
 
 The fingerprint leaves out head comments, line ends and blanks at line ends. Null and empty contents have only their
-path; empty reference files match nothing. Repeated rows count once.
+path; empty reference files match nothing. Repeated rows count once. Where no head has a banner there is nothing to learn
+from and only names like x.min.js tell minified files.
 """
 
 from __future__ import annotations
@@ -29,11 +33,13 @@ from pyspark.sql import functions as F
 from codeloom.llm.pairs import _LITERALS, LANGUAGES
 from codeloom.session import cut, spread
 
-#: Rows the forest is fitted on, at most about so many.
-SAMPLE = 4000
+#: Rows of each label the forest is fitted on, at most about so many.
+SAMPLE = 2000
 TREES, DEPTH = 20, 6
-#: Share of the forest's votes from which a file is a candidate; low, as its shape is checked.
-VOTES = 0.05
+#: Share of the forest's votes from which a file is minified.
+VOTES = 0.5
+#: One in so many labelled rows is held out by accuracy().
+HELD_OUT = 4
 
 # Endings in question; directories, names and notices of tools; directories of other people's packages.
 ENDINGS = (".py", ".js", ".ts", ".java", ".go")
@@ -42,20 +48,22 @@ TOOL_PATH = re.compile(
     r"|(?:_pb2(?:_grpc)?\.pyi?|\.pb(?:\.gw)?\.go|_grpc\.pb\.go|\.(?:generated|gen|g|autogen)\.\w+|[_-](?:generated|autogen)\.\w+|\.designer\.\w+)$|(?:^|/)zz_generated",
     re.I,
 )
-OTHERS_PATH = re.compile(r"(?:^|/)(?:node_modules|_?vendors?|vendored|third[-_]?party|3rd[-_]?party|bower_components|jspm_packages|site-packages|dist-packages|\.?v?env|\.venv|virtualenv|external[-_]libs?|godeps|carthage|pods)/", re.I)
-MINIFIED_NAME = re.compile(r"[.\-_]min\.\w+$|\.bundle\.\w+$|\.[0-9a-f]{5,}(?:_\w+)?(?:\.min)?\.\w+$", re.I)
+OTHERS_PATH = re.compile(r"(?:^|/)(?:node_modules|_?vendor|vendored|third[-_]?party|3rd[-_]?party|bower_components|jspm_packages|site-packages|dist-packages|\.?v?env|\.venv|virtualenv|external[-_]libs?|godeps|carthage|pods)/", re.I)
+MINIFIED_NAME = re.compile(r"\.min\.\w+$", re.I)
 NOTICE = re.compile(
     r"@generated\b|<auto-?generated|\bauto-?generated(?: file| code| by| from|;|,|\.| -)|\bauto(?:matically)?[- ]generated\b(?! (?:files|code) (?:is|are))"
-    r"|\bcode generated by\b|\bgenerated by\b.{0,80}(?:do not|don'?t|not be) (?:modify|edit|change)|\b(?:this|the) (?:file|code|module|class) (?:was|is|has been) (?:auto\w*[- ])?(?:generated|produced|created|emitted|built|written) (?:by|from|with|using)\b"
-    r"|\bgenerated (?:by|with|from|using)\b.{0,60}\b(?:v?\d+\.\d|compiler|codegen|protoc|generator|swagger|openapi|thrift|antlr|yacc|bison|flex)|\bchanges (?:made here )?will be (?:lost|overwritten)\b|\bedits? (?:are|will be) (?:lost|overwritten)\b"
-    r"|\bregenerate instead of editing\b|\bwritten by .{1,60}\bregenerate\b|\bautomatisch (?:erzeugt|generiert|erstellt)\b|\bg[ée]n[ée]r[ée]e? automatiquement\b|\bfichier g[ée]n[ée]r[ée]\b|\bgenerado autom[áa]ticamente\b|\bc[óo]digo generado\b"
+    r"|\bcode generated by\b|\bgenerated by\b.*(?:do not|don'?t|not be) (?:modify|edit|change)|\b(?:this|the) (?:file|code|module|class) (?:was|is|has been) (?:auto\w*[- ])?(?:generated|produced|created|emitted|built|written) (?:by|from|with|using)\b"
+    r"|\bgenerated (?:by|with|from|using)\b.*\b(?:v?\d+\.\d|compiler|codegen|protoc|generator|swagger|openapi|thrift|antlr|yacc|bison|flex)|\bchanges (?:made here )?will be (?:lost|overwritten)\b|\bedits? (?:are|will be) (?:lost|overwritten)\b"
+    r"|\bregenerate instead of editing\b|\bwritten by .+\bregenerate\b|\bautomatisch (?:erzeugt|generiert|erstellt)\b|\bg[ée]n[ée]r[ée]e? automatiquement\b|\bfichier g[ée]n[ée]r[ée]\b|\bgenerado autom[áa]ticamente\b|\bc[óo]digo generado\b"
     r"|\bgerado automaticamente\b|自动生成|自動生成|автоматически сгенерирован|generato automaticamente|#\s*sourceMappingURL=",
     re.I,
 )
 #: Comments that only deal with such things.
 NO_NOTICE = re.compile(r"once generated|kept by hand|template for|%s|\bgenerates\b|hand[- ]?(?:written|edited|maintained)|no longer generated|not (?:auto)?generated|\{\w*\}", re.I)
 ANNOTATION = re.compile(r"^\s*@(?:[\w.]+\.)?(?:Generated|GeneratedValue|AutoGenerated|CompilerGenerated)\b\s*\(\s*[\"\w{]", re.M)
-BANNER = re.compile(r"^\s*/\*!.{1,120}\*/")
+#: The line that minifiers keep, and the notice of people on their own file.
+BANNER = re.compile(r"\s*/\*![^\n]*\*/")
+OWN_NOTICE = re.compile(r"\bcopyright\b|\(c\)|©|\blicen[cs]ed?\b|\ball rights reserved\b|\bspdx-", re.I)
 
 _TOKEN = re.compile(r"[^\W\d]\w*|\d+|[^\w\s]")
 FEATURES = ("compression", "entropy", "identifier", "short", "comments", "mean_line", "max_line", "blank", "digits", "marks")
@@ -108,9 +116,12 @@ _DATA_BODY = re.compile(r"(?:[\s\d.,:;\[\]{}()+\-\"]++|0x[\da-fA-F]++|(?:true|fa
 MANY_LITERALS = 40
 
 
+_OPENING = re.compile(r"=(?![=>])|\b(?:export\s+default)\b|^(?=\s*[\[{])")
+
+
 def one_literal(code: str) -> bool:
     """code: comments removed, strings emptied. Whether it's nothing but one large data literal."""
-    opening = re.compile(r"=(?![=>])|\b(?:export\s+default)\b|^(?=\s*[\[{])").search(code, 0, 400)
+    opening = _OPENING.search(code)
     if not opening or not _DATA_NAME.fullmatch(code, 0, opening.start()):
         return False
     kind = _DATA_TYPE.match(code, opening.end())
@@ -119,38 +130,33 @@ def one_literal(code: str) -> bool:
     return literals >= MANY_LITERALS and bool(_DATA_BODY.fullmatch(code, at))
 
 
-def look(path: str, text: str | None, language: str) -> tuple[str | None, str | None, list[float], str | None]:
-    """(mark, shape, features, fingerprint) of a file. mark: tool, others, name; shape: minified, data."""
-    mark = "others" if OTHERS_PATH.search(path) else "tool" if TOOL_PATH.search(path) else None
+#: What the forest learns: hand-written, made by a tool, minified.
+HAND, TOOL, MINIFIED = 0, 1, 2
+
+
+def label_of(head: str, text: str) -> int | None:
+    """What a notice at the head says; None without one."""
+    if BANNER.match(text):
+        return MINIFIED
+    if noticed([head], ""):
+        return TOOL
+    return HAND if OWN_NOTICE.search(head) else None
+
+
+def look(path: str, text: str | None, language: str) -> tuple[str | None, int | None, bool, list[float], str | None]:
+    """(mark, label, data, features, fingerprint) of a file. mark: tool, others or minified (by its name); data: whether it
+    is nothing but one large literal."""
+    mark = "others" if OTHERS_PATH.search(path) else "tool" if TOOL_PATH.search(path) else "minified" if MINIFIED_NAME.search(path) else None
     if not text or not text.strip():
-        return mark, None, [0.0] * len(FEATURES), None
+        return mark, None, False, [0.0] * len(FEATURES), None
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    notes = comments(text, language)
-    if mark is None and noticed(notes, text):
+    if mark in (None, "minified") and noticed(comments(text, language), text):
         mark = "tool"
-    body = text[head_end(text, language) :]
+    end = head_end(text, language)
+    body = text[end:]
     hidden = _LITERALS[language].sub(lambda m: "" if m[0][0] in "#/" and (m[0][0] == "#" or m[0][1:2] in ("/", "*")) else m[0], body)
-    features = measure(body, hidden, language)
-    shape = None
     code = _LITERALS[language].sub(lambda m: '""' if m[0][-1:] in "\"'`" else "" if m[0][0] in "#/" else m[0], body)
-    if one_literal(code.strip() + "\n"):
-        shape = "data"
-    elif is_minified(hidden, code):
-        shape = "minified"
-    if mark is None and (MINIFIED_NAME.search(path) or BANNER.match(text)) and shape == "minified":
-        mark = "name"
-    return mark, shape, features, fingerprint(text, language)
-
-
-def is_minified(code: str, bare: str) -> bool:
-    """Whether code (without comments) is written without the blanks and line ends a person would use."""
-    lines = [x for x in code.split("\n") if x.strip()]
-    size = sum(map(len, lines))
-    if size < 200 or max(map(len, lines)) < 120:
-        return False
-    blanks = sum(c.isspace() for c in bare) / max(1, len(bare))
-    statements = bare.count(";") + bare.count("}") + bare.count(",")
-    return blanks < 0.16 and size / len(lines) > 80 and statements / size > 0.02
+    return mark, label_of(text[:end], text), one_literal(code.strip() + "\n"), measure(body, hidden, language), fingerprint(text, language)
 
 
 def measure(body: str, code: str, language: str) -> list[float]:
@@ -178,8 +184,9 @@ def measure(body: str, code: str, language: str) -> list[float]:
 
 
 def examine(files: DataFrame) -> DataFrame:
-    """(repo_id, file_path, mark, shape, features, print) of every file with an ending in question."""
+    """(repo_id, file_path, mark, label, data, features, print) of every file with an ending in question."""
     rows = files.select("repo_id", "file_path", "content").where(F.lower("file_path").rlike(r"\.(?:py|js|ts|java|go)$"))
+    kinds = {"mark": pa.string(), "label": pa.int32(), "data": pa.bool_(), "features": pa.list_(pa.float64()), "print": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,13 +194,10 @@ def examine(files: DataFrame) -> DataFrame:
                 look(p.replace("\\", "/"), t, LANGUAGES["." + p.rpartition(".")[2].lower()])
                 for p, t in zip(batch.column("file_path").to_pylist(), batch.column("content").to_pylist())
             ]
-            kinds = [pa.string(), pa.string(), pa.list_(pa.float64()), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("repo_id"), batch.column("file_path"), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))],
-                names=["repo_id", "file_path", "mark", "shape", "features", "print"],
-            )
+            new = [pa.array([g[i] for g in got], k) for i, k in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("repo_id"), batch.column("file_path"), *new], names=["repo_id", "file_path", *kinds])
 
-    return spread(rows).mapInArrow(run, "repo_id string, file_path string, mark string, shape string, features array<double>, print string")
+    return spread(rows).mapInArrow(run, "repo_id string, file_path string, mark string, label int, data boolean, features array<double>, print string")
 
 
 def reference_prints(reference: DataFrame) -> DataFrame:
@@ -211,37 +215,57 @@ def reference_prints(reference: DataFrame) -> DataFrame:
     return reference.select("file_name", "content").mapInArrow(run, "print string").where("print is not null").distinct()
 
 
-def forest(examined: DataFrame, sample: int = SAMPLE):
-    """The fitted random forest, or None where the labels have one class only. Labels: 0 none, 1 notice, 2 minified, 3 data."""
+def _sampled(examined: DataFrame, sample: int) -> DataFrame:
+    """About `sample` rows of each label at most, chosen by hash; in one partition and order, so that the forest is the same
+    however the rows were divided."""
+    counts = {r.label: r.n for r in examined.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, sample / n))) for k, n in counts.items()], F.lit(0.0))
+    chosen = F.pmod(F.xxhash64("repo_id", "file_path"), F.lit(1 << 30)) < share * (1 << 30)
+    return examined.where(chosen).select("repo_id", "file_path", "features", F.col("label").cast("double").alias("label")).coalesce(1).sortWithinPartitions("repo_id", "file_path", "label")
+
+
+def forest(sampled: DataFrame):
+    """The fitted random forest over rows (features, label), or None where no row is labelled minified or none is not."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    n = examined.count()
-    chosen = F.pmod(F.xxhash64("repo_id", "file_path"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1)))
-    label = F.when(F.col("shape") == "minified", 2.0).when(F.col("shape") == "data", 3.0).when(F.col("mark") == "tool", 1.0).otherwise(0.0)
-    rows = examined.where(chosen).select(array_to_vector("features").alias("x"), label.alias("label"))
-    if rows.select("label").distinct().count() < 2:
+    rows = cut(sampled.select(array_to_vector("features").alias("x"), "label"))
+    seen = {r.label for r in rows.select("label").distinct().collect()}
+    if MINIFIED not in seen or len(seen) < 2:
         return None
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7, maxBins=32).fit(rows)
 
 
-def classify(files: DataFrame, reference: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(repo_id, file_path, kind, votes): kind is tool, others, copy, minified, data or, hand-written, null."""
+def votes(model, examined: DataFrame) -> DataFrame:
+    """examined with votes: the share of the forest's votes for minified; null without a model."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    examined = cut(examine(files))
-    model = forest(examined, sample)
     if model is None:
-        scored = examined.withColumn("votes", F.when(F.col("shape").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
-    else:
-        p = model.transform(examined.withColumn("x", array_to_vector("features")))
-        classes = vector_to_array("probability")
-        scored = p.withColumn("votes", F.aggregate(F.slice(classes, 3, 2), F.lit(0.0), lambda a, b: a + b)).drop("x", "rawPrediction", "probability", "prediction")
+        return examined.withColumn("votes", F.lit(None).cast("double"))
+    scored = model.transform(examined.withColumn("x", array_to_vector("features")))
+    return scored.withColumn("votes", vector_to_array("probability")[MINIFIED]).drop("x", "rawPrediction", "probability", "prediction")
+
+
+def classify(files: DataFrame, reference: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(repo_id, file_path, kind, votes): kind is tool, others, copy, data, minified or, hand-written, null."""
+    examined = cut(examine(files))
+    scored = votes(forest(_sampled(examined, sample)), examined)
     copies = reference_prints(reference).withColumn("copy", F.lit(True))
     met = scored.join(copies, "print", "left")
     kind = (
         F.when(F.col("mark").isin("tool", "others"), F.col("mark"))
         .when(F.col("copy"), F.lit("copy"))
-        .when((F.col("votes") >= VOTES) & F.col("shape").isNotNull(), F.col("shape"))
+        .when(F.col("data"), F.lit("data"))
+        .when((F.col("mark") == "minified") | (F.col("votes") >= VOTES), F.lit("minified"))
     )
     return met.select("repo_id", "file_path", kind.alias("kind"), "votes")
+
+
+def accuracy(files: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
+    """Precision and recall of the votes on labelled rows that were kept out of the fit."""
+    examined = cut(examine(files))
+    out = F.pmod(F.xxhash64(F.lit("held out"), "repo_id", "file_path"), F.lit(HELD_OUT)) == 0
+    scored = votes(forest(_sampled(examined.where(~out), sample)), examined.where(out & F.col("label").isNotNull()))
+    hit, true = F.col("votes") >= VOTES, F.col("label") == MINIFIED
+    row = scored.agg(F.count_if(hit & true).alias("both"), F.count_if(hit).alias("found"), F.count_if(true).alias("true")).first()
+    return {"rows": row.true, "precision": row.both / max(row.found, 1), "recall": row.both / max(row.true, 1)}

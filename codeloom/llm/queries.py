@@ -12,8 +12,8 @@ from codeloom.llm import bpe, chunking, credentials, lexing, mixing, pairs, prov
 from codeloom.llm.syntax import syntax_rates, unparsable
 from codeloom.session import ensure_checkpoint_dir, spread
 
-#: Where p1 divides the snapshot into a first load and an increment.
-SPLIT = "2026-02-01"
+#: Where p1 divides the snapshot into a first load and increments.
+INCREMENTS = ("2026-01-01", "2026-03-01")
 PIECE_LIMIT, PIECE_OVERLAP = 512, 64
 
 
@@ -24,8 +24,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Every name and tag with its occurrences, its records and, if it's of no use, why."""
     place = f"{ensure_checkpoint_dir(spark)}/term-counts-{uuid.uuid4().hex}"
-    counts, total = terms.node_terms(_table(spark, folder, "nodes"), SPLIT, place)
-    return terms.marked(counts, total)
+    return terms.marked(terms.node_terms(_table(spark, folder, "nodes"), INCREMENTS, place))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +83,7 @@ def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     drawn, _ = mixing.mixture(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))
-    return drawn
+    return drawn.drop("q")
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,15 +1,11 @@
 """Source files that don't parse, per file and as rates per repository and language.
 
-The lexers with a pushdown stack (codeloom.llm.lexing) flag a file; for Python and JSON an exact parse of the flagged
-files confirms it. Null contents count as empty files; files of other languages are never flagged; a file that came
-twice counts once.
+The lexers with a pushdown stack (codeloom.llm.lexing) judge a file by the language its ending, in any case, promises.
+Null contents count as empty files; files with other endings are never flagged; a file that came twice counts once.
 """
 
 from __future__ import annotations
 
-import ast
-import json
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,36 +15,13 @@ from pyspark.sql import functions as F
 from codeloom.llm import lexing
 from codeloom.session import spread
 
-_ENDING = r"(\.(?:py|js|ts|java|go|json))$"
-
-
-def _refuse(name: str) -> None:
-    raise ValueError(name)
-
-
-def confirmed(language: str, text: str | None) -> bool:
-    """Whether an exact parser, where there is one, also refuses the text."""
-    try:
-        if language == "python":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                compile((text or "").encode("utf-8"), "file", "exec", ast.PyCF_ONLY_AST | 0x4000, True)
-            return False
-        if language == "json":
-            json.loads(text or "", parse_constant=_refuse)
-            return False
-    except (SyntaxError, ValueError, UnicodeEncodeError, RecursionError, MemoryError):
-        return True
-    return True
+_ENDING = r"(?i)\.(?:" + "|".join(e[1:] for e in lexing.ENDINGS) + ")$"
 
 
 def verdict(path: str | None, text: str | None) -> str | None:
     """What is wrong with the file at path, or None."""
-    language = lexing.ENDINGS.get("." + (path or "").rpartition(".")[2])
-    if language is None:
-        return None
-    found = lexing.problem(language, text)
-    return found if found and confirmed(language, text) else None
+    language = lexing.ENDINGS.get("." + (path or "").rpartition(".")[2].lower())
+    return lexing.problem(language, text) if language else None
 
 
 def checked(files: DataFrame) -> DataFrame:
@@ -59,7 +32,7 @@ def checked(files: DataFrame) -> DataFrame:
         for batch in batches:
             paths = batch.column("file_path").to_pylist()
             found = [verdict(p, t) for p, t in zip(paths, batch.column("content").to_pylist())]
-            languages = [lexing.ENDINGS["." + p.rpartition(".")[2]] for p in paths]
+            languages = [lexing.ENDINGS["." + p.rpartition(".")[2].lower()] for p in paths]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("repo_id"), batch.column("file_path"), pa.array(languages, pa.string()), pa.array(found, pa.string())],
                 names=["repo_id", "file_path", "language", "problem"],

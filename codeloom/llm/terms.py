@@ -3,23 +3,32 @@
 A batch of changes is a table of record images: what a record was before (absent for an added record) and what it is
 after (absent for a deleted one). Only changed records contribute: their terms' occurrences and record counts are
 subtracted for the old image and added for the new one, pre-aggregated where the rows are, and merged into the counts.
-The counts are one row per field and term, stored in versions partitioned by field and a hash of the term, so a merge is
-one shuffle of the deltas and the counts on the same key and a reader never sees a half-written version.
+The number of records is one of the counts, kept by the same deltas. Counts are one row per field and term, stored in
+versions partitioned by field and a hash of the term, so a merge is one shuffle of the deltas and the counts on the same
+key, a reader never sees a half-written version, and a later run goes on from the version it finds.
 
 Terms are lower-cased, trimmed and NFC-composed; null and empty terms don't count. A record's term counts as one record
-however often it occurs in it. Hot terms don't matter: both counts are sums.
+however often it occurs in it. Rows without key are no records; of the rows of a record the last one counts, one without
+a sequence is older than any other, and of rows with the same sequence the largest content counts. Hot terms don't
+matter: both counts are sums.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 16
+from codeloom.sources.versions import Versions
+
+#: The field under which the number of records is counted.
+RECORDS = "#records"
+COUNTS = "term string, occurrences bigint, records bigint, field string, bucket int"
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 def normal(term: str | None) -> str | None:
@@ -29,48 +38,66 @@ def normal(term: str | None) -> str | None:
     return term or None
 
 
-def _ascii(terms: Column) -> Column:
-    return F.transform(terms, lambda x: F.regexp_replace(F.lower(x), r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+def normals(terms: pa.Array) -> pa.Array:
+    """The normal forms of an array of strings, null for what doesn't count: plain ASCII in one go, the rest one by one."""
+    plain = pc.if_else(pc.equal(trimmed := pc.utf8_trim(pc.ascii_lower(terms), _BLANKS), ""), None, trimmed)
+    odd = pc.fill_null(pc.invert(pc.string_is_ascii(terms)), False)
+    if not pc.any(odd).as_py():
+        return plain
+    return pc.replace_with_mask(plain, odd, pa.array([normal(t) for t in pc.filter(terms, odd).to_pylist()], pa.string()))
 
 
 def _compose(rows: DataFrame, column: str) -> DataFrame:
-    """Normal forms of array<string>; only rows with a character beyond ASCII go through Python."""
-
+    """Normal forms of array<string>, in Arrow batches."""
     i = rows.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [[normal(t) for t in ts] if ts is not None else None for ts in batch.column(i).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.string())) if k == i else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+            lists = batch.column(i)
+            offsets = pc.subtract(lists.offsets, lists.offsets[0])
+            new = pa.ListArray.from_arrays(offsets, normals(lists.flatten()), mask=lists.is_null() if lists.null_count else None)
+            yield pa.RecordBatch.from_arrays([new if k == i else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
 
-    plain = F.coalesce(~F.array_join(column, " ").rlike(r"[^\x00-\x7F]"), F.lit(True))
-    simple = rows.where(plain).withColumn(column, _ascii(F.col(column)))
-    return simple.unionByName(rows.where(~plain).mapInArrow(run, rows.schema))
+def _image(fields: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(f) for f, c in fields.items()])
 
 
 def records(rows: DataFrame, key: str, seq: str, fields: dict[str, Column]) -> DataFrame:
-    """(record, fields as arrays of terms): the last row of each record; rows without key are no records."""
-    image = F.struct(*[c.alias(f) for f, c in fields.items()])
-    last = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("record")).agg(F.max_by(image, F.col(seq)).alias("i"))
-    # A record whose rows have no sequence at all still is one.
-    return last.select("record", "i.*")
-
-
-def deltas(before: DataFrame | None, after: DataFrame | None, fields: list[str]) -> DataFrame:
-    """(field, term, occurrences, records): the signed changes of a batch of record images (record, one array per field)."""
-    parts = []
-    for image, sign in ((before, -1), (after, 1)):
-        if image is None:
-            continue
-        pairs = image.select("record", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in fields])).alias("p"))
-        terms = _compose(pairs.select("p.field", "p.terms").where(F.size("terms") > 0), "terms")
-        placed = terms.select("field", "terms", F.posexplode("terms").alias("pos", "term")).where("term is not null and term <> ''")
-        first = F.array_position("terms", F.col("term")) == F.col("pos") + 1
-        parts.append(placed.select("field", "term", F.lit(sign).cast("bigint").alias("o"), F.when(first, F.lit(sign)).otherwise(F.lit(0)).cast("bigint").alias("r")))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    """(record, fields as arrays of terms): the last row of each record."""
+    last = F.max(F.struct(F.col(seq).alias("s"), _image(fields).alias("i")))
+    return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("record")).agg(last.alias("l")).select("record", "l.i.*")
+
+
+def images(rows: DataFrame, key: str, seq: str, fields: dict[str, Column], late: Column) -> DataFrame:
+    """(sign, record, fields): for an increment, whose rows are those for which `late` holds, the old image (sign -1) of
+    each record that had one and the new image (sign 1) of each record. One reading of the rows of the increment's records
+    gives both."""
+    row = F.struct(F.col(seq).alias("s"), _image(fields).alias("i"))
+    pair = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("record")).agg(F.max(F.when(~late, row)).alias("old"), F.max(row).alias("new"))
+    both = F.array_compact(F.array(F.when(F.col("old").isNotNull(), F.struct(F.lit(-1).alias("sign"), F.col("old.i").alias("i"))), F.struct(F.lit(1).alias("sign"), F.col("new.i").alias("i"))))
+    return pair.where("old is null or old.i <> new.i").select("record", F.explode(both).alias("x")).select("x.sign", "record", "x.i.*")
+
+
+def deltas(changes: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(field, term, occurrences, records): what images (sign, record, one array per field) change, with the number of
+    records under the field RECORDS."""
+    own = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in fields], F.struct(F.lit(RECORDS).alias("field"), F.array(F.lit(".")).alias("terms")))
+    pairs = changes.select("sign", F.explode(own).alias("p")).select("sign", "p.field", "p.terms").where(F.size("terms") > 0)
+    placed = _compose(pairs, "terms").select("field", "sign", "terms", F.posexplode("terms").alias("pos", "term")).where("term is not null")
+    first = F.array_position("terms", F.col("term")) == F.col("pos") + 1
+    rows = placed.select("field", "term", F.col("sign").cast("bigint").alias("o"), F.when(first, F.col("sign")).otherwise(F.lit(0)).cast("bigint").alias("r"))
     return rows.groupBy("field", "term").agg(F.sum("o").alias("occurrences"), F.sum("r").alias("records"))
 
 
+def signed(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
+    """Images (sign, record, fields) of a batch given as old and new images (record, fields)."""
+    parts = [df.withColumn("sign", F.lit(s)) for df, s in ((before, -1), (after, 1)) if df is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def merge(counts: DataFrame | None, changes: DataFrame) -> DataFrame:
     """The counts after the changes; terms that no record has any more are dropped."""
     if counts is None:
@@ -80,54 +107,55 @@ def merge(counts: DataFrame | None, changes: DataFrame) -> DataFrame:
 
 
 class Counts:
-    """Versions of the counts in a folder that all executors share."""
+    """The counts kept in a folder that all executors share; a new one goes on from what is there.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.version = 0
+    buckets: into how many parts each field's terms are divided, by default as many as a shuffle has.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.kept = Versions(spark, folder)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @property
+    def version(self) -> int:
+        return self.kept.current()
 
     def read(self) -> DataFrame | None:
-        if not self.version:
-            return None
-        kind = "term string, occurrences bigint, records bigint, field string, bucket int"
-        return self.spark.read.schema(kind).parquet(f"{self.folder}/v{self.version}")
+        return self.kept.read("counts", COUNTS)
 
     def apply(self, changes: DataFrame) -> DataFrame:
         """Merge the changes into the next version, written whole before it becomes current."""
-        merged = merge(self.read(), changes).withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS)))
-        merged.repartition("field", "bucket").write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{self.folder}/v{self.version + 1}")
-        self.version += 1
+        merged = merge(self.read(), changes).withColumn("bucket", F.pmod(F.hash("term"), F.lit(self.buckets)))
+        self.kept.write({"counts": merged.repartition(self.buckets, "field", "bucket")}, {"counts": ["field", "bucket"]})
         return self.read()
 
 
-def marked(counts: DataFrame, total: DataFrame, fewest: int = 3, largest_share: float = 0.01) -> DataFrame:
-    """counts with mark: rare (in fewer than `fewest` records), common (in more than `largest_share` of all), else null.
-
-    total: one row with n, the number of records.
-    """
-    joined = counts.crossJoin(F.broadcast(total.select("n")))
+def marked(counts: DataFrame, fewest: int = 3, largest_share: float = 0.01) -> DataFrame:
+    """The counts of terms with mark: rare (in fewer than `fewest` records), common (in more than `largest_share` of all),
+    else null."""
+    records = F.col("field") == RECORDS
+    total = counts.where(records).agg(F.max("records").alias("n"))
+    joined = counts.where(~records).join(F.broadcast(total))
     mark = F.when(F.col("records") < fewest, F.lit("rare")).when(F.col("records") > F.col("n") * largest_share, F.lit("common"))
     return joined.select("field", "term", "occurrences", "records", mark.alias("mark"))
 
 
-
-
-def node_terms(nodes: DataFrame, split: str | None, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(counts, total) over entity names and tags, built in two increments: the rows created before `split`, then the
-    added and changed entities of the rest, whose old images are the only ones looked up again."""
+def node_terms(nodes: DataFrame, cuts: Sequence[str], folder: str) -> DataFrame:
+    """Counts of entity names and tags, built in increments bounded by the times of `cuts`: the rows created before the
+    first, then, for each that follows, the entities that have rows in it, whose other rows alone are read again."""
     fields = {"name": F.array(F.col("name")), "tags": F.col("tags")}
     names = list(fields)
     store = Counts(nodes.sparkSession, folder)
     rows = nodes.select("uuid", "created_at", "name", "tags")
-    early = F.coalesce(F.col("created_at") < F.lit(split).cast("timestamp_ntz"), F.lit(False)) if split else F.lit(False)
-    base = records(rows.where(early), "uuid", "created_at", fields)
-    if split:
-        store.apply(deltas(None, base, names))
-    late = records(rows.where(~early), "uuid", "created_at", fields)
-    if split:
-        before = base.join(late.select("record"), "record", "left_semi")
-        store.apply(deltas(before, late, names))
-    else:
-        store.apply(deltas(None, late, names))
-    total = rows.where("uuid is not null").agg(F.countDistinct("uuid").alias("n"))
-    return store.read(), total
+    at = F.col("created_at")
+    times = [F.lit(c).cast("timestamp_ntz") for c in cuts]
+    # A row without a time is older than any other. Plain comparisons, so they reach the Parquet reader.
+    base = rows.where((at < times[0]) | at.isNull()) if times else rows
+    store.apply(deltas(signed(None, records(base, "uuid", "created_at", fields)), names))
+    for low, high in zip(times, [*times[1:], None]):
+        late = at >= low
+        new = rows.where(late if high is None else late & (at < high)).select("uuid").distinct()
+        up_to = rows if high is None else rows.where((at < high) | at.isNull())
+        both = images(up_to.join(new, "uuid", "left_semi"), "uuid", "created_at", fields, F.coalesce(late, F.lit(False)))
+        store.apply(deltas(both, names))
+    return store.read()

@@ -195,7 +195,7 @@ def test_long_and_deep_texts_end():
 def test_table(spark):
     rows = [("r", "a.py", "x = 1"), ("r", "b.py", "x = ("), ("r", "b.py", "x = ("), ("r", "c.md", "("), ("r", "d.json", None), ("q", "e.py", None), ("q", "f.PY", "(")]
     df = spark.createDataFrame(rows, "repo_id string, file_path string, content string")
-    assert {(r.repo_id, r.file_path) for r in syntax.unparsable(df).collect()} == {("r", "b.py"), ("r", "d.json")}
+    assert {(r.repo_id, r.file_path) for r in syntax.unparsable(df).collect()} == {("r", "b.py"), ("r", "d.json"), ("q", "f.PY")}
     rates = {(r.repo_id, r.language): (r.files, r.unparsable, r.rate) for r in syntax.syntax_rates(df).collect()}
-    assert rates == {("r", "python"): (2, 1, 0.5), ("r", "json"): (1, 1, 1.0), ("q", "python"): (1, 0, 0.0)}
+    assert rates == {("r", "python"): (2, 1, 0.5), ("r", "json"): (1, 1, 1.0), ("q", "python"): (2, 1, 0.5)}
     assert syntax.syntax_rates(df.limit(0)).count() == 0
