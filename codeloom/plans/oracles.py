@@ -65,7 +65,7 @@ def _found(source: str, pattern: str, groups: int = 0) -> str:
 
 
 _LINE_NO = "cast(1 + len(left(content, place)) - len(replace(left(content, place), chr(10), '')) as integer)"
-_COLUMN = "cast(case when strpos(reverse(left(content, place)), chr(10)) = 0 then place + 1 else strpos(reverse(left(content, place)), chr(10)) end as integer)"
+_COLUMN = r"cast(1 + length(regexp_extract(left(content, place), '[^\n]*$')) as integer)"
 
 _REFERENCES = r"""
 with parent as (
@@ -505,7 +505,7 @@ for _name, _id, _severity, _pattern, _where in (
     ("rule_semicolons", "js_missing_semicolon", "info", r"[^;\s]\s*\n\s*[^\/\*\s]", _JS),
     ("rule_complex", "complex_function", "warning", r"def\s+\w+\([^)]*\):[^}]{200,}", "true"),
 ):
-    _source = "(select repo_id, file_path, replace(content, 'else:', 'except:') as content from file)" if _name == "rule_bare_except" else "file"
+    _source = "(select repo_id, file_path, replace(content, ' (TypeError, ValueError)', '') as content from file)" if _name == "rule_bare_except" else "file"
     SQL[_name] = _FILE + f"""
 select '{_id}' as rule_id, '{_severity}' as severity, repo_id, file_path, {_LINE_NO} as line, {_COLUMN} as "column", matched from {_found(_source, _pattern)} where {_where}
 """

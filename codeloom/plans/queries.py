@@ -468,8 +468,8 @@ named("rule_complex", _rule("complex_function"))
 
 @query
 def rule_bare_except(spark: SparkSession, folder: str) -> DataFrame:
-    """Over files in which every "else:" is written "except:", as the tables have no bare except."""
-    files = table(spark, folder, "source_files").withColumn("content", F.replace("content", F.lit("else:"), F.lit("except:")))
+    """Over files in which what "except (TypeError, ValueError)" names is left out, as the tables have no bare except."""
+    files = table(spark, folder, "source_files").withColumn("content", F.replace("content", F.lit(" (TypeError, ValueError)"), F.lit("")))
     return rules.matches(files, [r for r in rules.RULES if r.id == "python_bare_except"]).select(*_MATCH)
 
 
