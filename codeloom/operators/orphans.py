@@ -143,7 +143,7 @@ def _part(column: str, low: str | None, high: str | None):
 def run_increments(
     edges: DataFrame, nodes: DataFrame, cuts: Sequence[str] = (), audit: DataFrame | None = None, kept: Versions | None = None, snapshots: bool = False, until: str | None = None
 ) -> OrphanState:
-    """Apply the rows in increments bounded by the given times; each reads its own rows only.
+    """Apply the rows in increments bounded by the given times; each reads both tables once, for its own rows only.
 
     kept: where the state is kept. A version is written after each increment, and the state of the current version, if
     there is one, is what the first increment starts from; the first of the cuts is then where that state ended. Without
@@ -158,12 +158,16 @@ def run_increments(
     if kept is not None and kept.current():
         state, bounds = again(True), [*cuts, until]
     for low, high in zip(bounds, bounds[1:]):
-        new = references(edges.where(_part("created_at", low, high)))
+        new = cut(references(edges.where(_part("created_at", low, high))))
+        came = parents(nodes.where(_part("created_at", low, high)))
         gone = so_far = None
         if audit is not None:
             gone = deletions(audit.where(_part("timestamp", low, high)))
             so_far = references(edges.where(_part("created_at", None, high)))
-        state = step(state, new, parents(nodes.where(_part("created_at", low, high))), None, gone, so_far)
+        if gone is None and not state.deletes:
+            # The first row of a key is all that counts, unless deletions come between its rows.
+            came = came.groupBy("key").agg(F.min("first_at").alias("first_at"))
+        state = step(state, new, cut(came), None, gone, so_far)
         if kept is not None:
             kept.write({"parents": state.parents, "pending": state.pending})
             state = again(state.deletes)
