@@ -73,12 +73,12 @@ def records(rows: DataFrame, key: str, seq: str, fields: dict[str, Column]) -> D
 
 def images(rows: DataFrame, key: str, seq: str, fields: dict[str, Column], late: Column) -> DataFrame:
     """(sign, record, fields): for an increment, whose rows are those for which `late` holds, the old image (sign -1) of
-    each record that had one and the new image (sign 1) of each record. One reading of the rows of the increment's records
+    each record that had one and the new image (sign 1) of each record, unless they are alike. One reading of the rows
     gives both."""
     row = F.struct(F.col(seq).alias("s"), _image(fields).alias("i"))
-    pair = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("record")).agg(F.max(F.when(~late, row)).alias("old"), F.max(row).alias("new"))
+    pair = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("record")).agg(F.max(F.when(~late, row)).alias("old"), F.max(row).alias("new"), F.max(late).alias("late"))
     both = F.array_compact(F.array(F.when(F.col("old").isNotNull(), F.struct(F.lit(-1).alias("sign"), F.col("old.i").alias("i"))), F.struct(F.lit(1).alias("sign"), F.col("new.i").alias("i"))))
-    return pair.where("old is null or old.i <> new.i").select("record", F.explode(both).alias("x")).select("x.sign", "record", "x.i.*")
+    return pair.where("late and (old is null or old.i <> new.i)").select("record", F.explode(both).alias("x")).select("x.sign", "record", "x.i.*")
 
 
 def deltas(changes: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -142,7 +142,7 @@ def marked(counts: DataFrame, fewest: int = 3, largest_share: float = 0.01) -> D
 
 def node_terms(nodes: DataFrame, cuts: Sequence[str], folder: str) -> DataFrame:
     """Counts of entity names and tags, built in increments bounded by the times of `cuts`: the rows created before the
-    first, then, for each that follows, the entities that have rows in it, whose other rows alone are read again."""
+    first, then, for each that follows, the entities that have rows in it. An increment reads the rows up to its end once."""
     fields = {"name": F.array(F.col("name")), "tags": F.col("tags")}
     names = list(fields)
     store = Counts(nodes.sparkSession, folder)
@@ -153,9 +153,6 @@ def node_terms(nodes: DataFrame, cuts: Sequence[str], folder: str) -> DataFrame:
     base = rows.where((at < times[0]) | at.isNull()) if times else rows
     store.apply(deltas(signed(None, records(base, "uuid", "created_at", fields)), names))
     for low, high in zip(times, [*times[1:], None]):
-        late = at >= low
-        new = rows.where(late if high is None else late & (at < high)).select("uuid").distinct()
         up_to = rows if high is None else rows.where((at < high) | at.isNull())
-        both = images(up_to.join(new, "uuid", "left_semi"), "uuid", "created_at", fields, F.coalesce(late, F.lit(False)))
-        store.apply(deltas(both, names))
+        store.apply(deltas(images(up_to, "uuid", "created_at", fields, F.coalesce(at >= low, F.lit(False))), names))
     return store.read()
