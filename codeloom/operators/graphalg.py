@@ -161,18 +161,19 @@ def strong_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         nonlocal done
         done = rows if done is None else done.unionByName(rows)
 
-    while not left.isEmpty():
-        # Trimming: an entity without incoming or without outgoing links is a component of its own.
+    n = pairs.count()
+    while True:
+        # Trimming: what has no way in or no way out is a component of its own. Only the links that are left are written.
         while True:
-            live = pairs.select(F.col("src").alias("uuid")).distinct().join(pairs.select(F.col("dst").alias("uuid")).distinct(), "uuid", "left_semi")
-            alone = cut(left.join(live, "uuid", "left_anti"))
-            if alone.isEmpty():
+            live = pairs.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(pairs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            pairs = cut(live.select("src", "dst"))
+            before, n = n, pairs.count()
+            if n == before:
                 break
-            settle(alone.select("uuid", F.col("uuid").alias("component")))
-            left = cut(left.join(alone, "uuid", "left_anti"))
-            gone = alone.select("uuid")
-            pairs = cut(pairs.join(gone.withColumnRenamed("uuid", "src"), "src", "left_anti").join(gone.withColumnRenamed("uuid", "dst"), "dst", "left_anti"))
-        if left.isEmpty():
+        linked = cut(left.join(pairs.select(F.col("src").alias("uuid")).distinct(), "uuid", "left_semi"))
+        settle(cut(left.join(linked, "uuid", "left_anti").select("uuid", F.col("uuid").alias("component"))))
+        left = linked
+        if not n:
             break
         colours = _spread_min(pairs, left.select("uuid", F.col("uuid").alias("label")))
         # Back from each root along links within its colour.
@@ -190,7 +191,8 @@ def strong_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         left = cut(left.join(found, "uuid", "left_anti"))
         gone = found.select("uuid")
         pairs = cut(pairs.join(gone.withColumnRenamed("uuid", "src"), "src", "left_anti").join(gone.withColumnRenamed("uuid", "dst"), "dst", "left_anti"))
-    return done if done is not None else ids.select("uuid", F.col("uuid").alias("component"))
+        n = pairs.count()
+    return done
 
 
 def cycles(links: DataFrame, most: int | None = 4) -> DataFrame:

@@ -14,6 +14,7 @@ from codeloom.operators.search import first_per_group
 from codeloom.operators.traverse import between, texts
 
 # Limits of the smells.
+BLANKS = " \t\r\x0b\x0c"
 LONG_CLASS, MANY_METHODS, MANY_PARAMETERS, LONG_FUNCTION, MANY_FUNCTIONS, BLOCK = 200, 20, 5, 30, 10, 5
 
 
@@ -145,9 +146,11 @@ def duplicate_blocks(files: DataFrame, size: int = BLOCK) -> DataFrame:
     text and no block is shuffled for it. Null contents have none."""
     once = files.dropDuplicates(["repo_id", "file_path"])
     rows = once.select("repo_id", "file_path", F.split("content", "\n").alias("l_")).where(F.size("l_") >= 2 * size)
-    rows = rows.select("repo_id", "file_path", F.transform("l_", lambda x: F.xxhash64(x)).alias("h_"), F.transform("l_", lambda x: x.rlike(r"\S")).alias("full_"))
+    # One array with all that is known of a line, used twice below: what is used once would be put in its place there, and
+    # be computed anew for each block.
+    rows = rows.select("repo_id", "file_path", F.transform("l_", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.btrim(x, F.lit(BLANKS)) != "").alias("full"))).alias("h_"))
     at = F.sequence(F.lit(1), F.size("h_") - size + 1)
-    blocks = F.transform(at, lambda i: F.when(F.exists(F.slice("full_", i, size), lambda x: x), F.struct(F.xxhash64(F.slice("h_", i, size)).alias("h"), i.alias("n"))))
+    blocks = F.transform(at, lambda i: F.when(F.exists(F.slice("h_", i, size), lambda x: x["full"]), F.struct(F.xxhash64(F.slice("h_", i, size)).alias("h"), i.alias("n"))))
     rows = rows.select("repo_id", "file_path", F.array_sort(F.array_compact(blocks)).alias("b_"))
     none = F.lit(None).cast("int")
     start = F.struct(F.lit(None).cast("bigint").alias("h"), none.alias("first"), none.alias("best"))
@@ -157,5 +160,7 @@ def duplicate_blocks(files: DataFrame, size: int = BLOCK) -> DataFrame:
         again = same & (block["n"] - state["first"] >= size)
         return F.struct(block["h"].alias("h"), F.when(same, state["first"]).otherwise(block["n"]).alias("first"), F.when(again, F.least(state["first"], state["best"])).otherwise(state["best"]).alias("best"))
 
-    found = rows.select("repo_id", "file_path", F.aggregate("b_", start, met)["best"].alias("line"))
+    # Files are divided by these keys already. A filter isn't pushed below an aggregation, where it would compute all of
+    # the above once more.
+    found = rows.groupBy("repo_id", "file_path").agg(F.max(F.aggregate("b_", start, met)["best"]).alias("line"))
     return found.where("line is not null")
