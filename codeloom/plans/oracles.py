@@ -473,6 +473,28 @@ _BETWEEN = """
 between_ as (select m.uuid, coalesce(s, 0) * (1.0::double / ((n - 1) * (n - 2))) as betweenness from member m left join through using (uuid), size_)
 """
 graph("betweenness", _FAR + _BETWEEN + "select uuid, round(betweenness * 1e6, 3) as betweenness_millionths from between_")
+
+
+def _hotspots(rounds: int) -> str:
+    """Ranks over all members, as they stand in the first round that moves them less than a millionth each."""
+    parts = [", outs as (select src, count(*) as n_out from line_ group by src), r0 as (select uuid, n_out, 1.0::double / n as rank, 1e9::double as old from member left join outs on src = uuid, size_)"]
+    for k in range(1, rounds + 1):
+        parts.append(f""", r{k} as materialized (
+    select r.uuid, r.n_out, 0.15::double / n + 0.85::double * (coalesce(g.got, 0) + (select coalesce(sum(rank), 0) from r{k - 1} where n_out is null) / n) as rank, r.rank as old
+    from r{k - 1} r left join (select dst, sum(rank / n_out) as got from line_ join r{k - 1} on uuid = src group by dst) g on g.dst = r.uuid, size_)""")
+    moved = " union all ".join(f"select {k} as k, sum(abs(rank - old)) as moved from r{k}" for k in range(1, rounds + 1))
+    ranks = " union all ".join(f"select {k} as k, uuid, rank from r{k}" for k in range(1, rounds + 1))
+    return GRAPH + _FAR + _CLOSE + _BETWEEN + "".join(parts) + f"""
+, last_ as (select min(k) as k from ({moved}), size_ where moved < 1e-6::double * n), ranked as (select uuid, rank from ({ranks}) join last_ using (k)),
+scored as (select uuid, betweenness, closeness, rank, 0.4::double * betweenness + 0.3::double * closeness + 0.3::double * rank as score from between_ join close using (uuid) join ranked using (uuid)),
+ends_ as (select uuid, count(*) as connections from (select src as uuid from line_ union all select dst from line_) group by uuid)
+select s.uuid, name, type, file_path, coalesce(connections, 0) as connections, round(score * 1e6, 3) as score_millionths, round(betweenness * 1e6, 3) as betweenness_millionths,
+       round(closeness * 1e6, 3) as closeness_millionths, round(rank * 1e6, 3) as rank_millionths, round((select avg(score) from scored) * 1e6, 3) as average_millionths
+from (select * from scored order by score desc, uuid limit 10) s left join entity using (uuid) left join ends_ using (uuid)
+"""
+
+
+SQL["hotspots"] = _hotspots(30)
 graph("strong_components", _FAR + """
 , component as (select a.source as uuid, min(a.uuid) as c from far a join far b on b.source = a.uuid and b.uuid = a.source group by 1)
 select size, count(*) as components from (select c, count(*) as size from component group by c) group by size
@@ -486,7 +508,7 @@ far(source, uuid) using key (source, uuid) as (
 ), component as (select a.source as uuid, min(a.uuid) as c from far a join far b on b.source = a.uuid and b.uuid = a.source group by 1)
 select repo_id, count(distinct c) as components from component join entity using (uuid) group by repo_id
 """)
-for _name, _where, _most in (("import_cycles", "type in ('imports', 'depends_on')", 1000), ("link_cycles", "true", 4)):
+for _name, _where, _most in (("import_cycles", "type in ('imports', 'depends_on')", 1000), ("dependency_cycles", "type in ('imports', 'depends_on', 'uses')", 1000), ("link_cycles", "true", 4)):
     graph(_name, _CIRCUIT.format(_where, _most) + "select path, cast(length as integer) as length, case when length <= 3 then 'high' else 'medium' end as severity from circuit")
 
 # ------------------------------------------------------------------------------------------------ text

@@ -442,6 +442,13 @@ def import_cycles(spark: SparkSession, folder: str) -> DataFrame:
     return graphalg.cycles(links, None).select(F.array_join("path", ">").alias("path"), "length", "severity")
 
 
+@query
+def dependency_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """Circuits of any length over imports, dependencies and uses."""
+    links = _links(spark, folder).where("type in ('imports', 'depends_on', 'uses')")
+    return graphalg.cycles(links, None).select(F.array_join("path", ">").alias("path"), "length", "severity")
+
+
 @query
 def link_cycles(spark: SparkSession, folder: str) -> DataFrame:
     """Circuits of at most four links over links of all types."""

@@ -391,3 +391,42 @@ def test_priority_cut(spark):
     want = sorted((-(30 + min(20, n // 1000)), p) for r, p, _, n, _ in rows if r == "r")[:16]
     assert sorted(r.file_path for r in kept if r.repo_id == "r") == sorted(p for _, p in want)
     assert sum(r.repo_id == "s" for r in kept) == 3 and source_files.prioritised(f).count() == 24
+
+
+def brute_fuzzy(name, wanted):
+    from difflib import SequenceMatcher
+
+    a, b = name.lower(), wanted.lower()
+    if a == b:
+        return 1.0
+    if a.startswith(b):
+        return 0.9
+    if b in a:
+        return 0.7
+    ratio = SequenceMatcher(None, a, b).ratio()
+    return ratio * 0.5 if ratio >= names.SIMILAR else None
+
+
+def test_fuzzy_and_probable_equal_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(11)
+    words = ["load", "config", "render", "theme", "lode", "conf", "Rendr", "thema"]
+    called = ["".join(rng.choice(words) + rng.choice(["", "_"]) for _ in range(rng.randrange(1, 4))) for _ in range(150)]
+    n = nodes_of(spark, *[node(f"u{i:03d}", x, path=f"src/{rng.choice(words)}.py") for i, x in enumerate(called)], node("none", None))
+    rows = n.collect()
+    for wanted in ("load_config", "THEME", "rendr"):
+        want = {r.uuid: brute_fuzzy(r.name, wanted) for r in rows if r.name is not None}
+        got = {r.uuid: r.score for r in search.fuzzy(n, wanted).collect()}
+        assert got.keys() == {u for u, s in want.items() if s is not None} and all(abs(got[u] - want[u]) < 1e-9 for u in got)
+    asked = ["load_config", "theme.py:render", "src/lod.py:conf", ":thema", "nothing_like_it_at_all"]
+    alike = lambda a, b: SequenceMatcher(None, a.lower(), b.lower()).ratio() >= names.SIMILAR
+    want = set()
+    for q in asked:
+        place, name = q.split(":", 1) if ":" in q else ("", q)
+        for r in rows:
+            if r.name is not None and (name.lower() in r.name.lower() or alike(r.name, name)) and (not place or place in r.file_path or alike(r.file_path, place)):
+                want.add((q, r.uuid))
+    got = [tuple(r) for r in search.probable(n, spark.createDataFrame([(q,) for q in asked], "request string")).collect()]
+    assert set(got) == want and len(got) == len(want)
