@@ -350,6 +350,11 @@ select repo_id, count(*) as files, case when count(*) <= 20 then 'small' when co
 graph("link_weights", """
 select dst, round(sum(case type when 'calls' then 1.0 when 'imports' then 0.8 when 'inherits' then 1.2 when 'defines' then 0.6 when 'uses' then 0.4 else 1.0 end::double), 6) as weight from link group by dst
 """)
+SQL["ranking_edges"] = f"""
+select {_ID.format('from_uuid')} as src, {_ID.format('to_uuid')} as dst,
+       case lower(trim(type)) when 'calls' then 1.0 when 'imports' then 0.8 when 'inherits' then 1.2 when 'defines' then 0.6 when 'uses' then 0.4 else 1.0 end::double as weight
+from edges where from_uuid is not null and to_uuid is not null
+"""
 graph("importance_rank", f"""
 , called as (select repo_id, name, count(*) as calls from link join entity e on e.uuid = link.dst where link.type = 'calls' group by 1, 2),
 raw as (

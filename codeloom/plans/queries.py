@@ -280,6 +280,13 @@ def link_weights(spark: SparkSession, folder: str) -> DataFrame:
     return _links(spark, folder).groupBy("dst").agg(F.round(F.sum(names.link_weight(F.col("type"))), 6).alias("weight"))
 
 
+@query
+def ranking_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stored link with its weight, repeated ones too, as a ranking takes them."""
+    rows = table(spark, folder, "edges").where("from_uuid is not null and to_uuid is not null")
+    return rows.select(canonical_id("from_uuid").alias("src"), canonical_id("to_uuid").alias("dst"), names.link_weight(F.lower(F.trim("type"))).alias("weight"))
+
+
 @query
 def importance_rank(spark: SparkSession, folder: str) -> DataFrame:
     """The heuristic rank of the stored entities, from stored links."""
@@ -725,7 +732,9 @@ def file_analysis(spark: SparkSession, folder: str) -> DataFrame:
         F.count_if(F.col("kind") == "entity").alias("entities"), F.count_if(F.col("kind") == "import").alias("imports"), F.count_if(F.col("kind") == "call").alias("calls")
     )
     known = language.detect(_files(spark, folder)).select("repo_id", plain_path("file_path").alias("file_path"), "language", F.round("confidence", 6).alias("confidence"))
-    return known.join(found, ["repo_id", "file_path"], "left").withColumn("parsed", F.col("entities").isNotNull()).na.fill(0)
+    able = language.capabilities(spark).select("language", "typing", "test_frameworks", "has_analyzer", "has_parser", "depth")
+    rows = known.join(found, ["repo_id", "file_path"], "left").withColumn("parsed", F.col("entities").isNotNull()).na.fill(0)
+    return rows.join(F.broadcast(able), "language", "left")
 
 
 @query

@@ -32,14 +32,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names.
 
-    A session in one process (a test, the bench) without one gets a folder of its own, removed at the end; anywhere
-    else a missing folder is an error, as one on a single machine is lost with it.
+    A session on one machine (a test, the bench) without one gets a folder of its own, removed at the end; on a cluster a
+    missing folder is an error, as one on a single machine is lost with it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         if not named:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            if not context.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             own = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
