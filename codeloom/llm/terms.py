@@ -27,6 +27,8 @@ from codeloom.sources.versions import Versions
 
 #: The field under which the number of records is counted.
 RECORDS = "#records"
+#: Into how many folders each field's counts are divided.
+BUCKETS = 16
 COUNTS = "term string, occurrences bigint, records bigint, field string, bucket int"
 _BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
@@ -109,12 +111,13 @@ def merge(counts: DataFrame | None, changes: DataFrame) -> DataFrame:
 class Counts:
     """The counts kept in a folder that all executors share; a new one goes on from what is there.
 
-    buckets: into how many parts each field's terms are divided, by default as many as a shuffle has.
+    As many tasks write them as a shuffle has, whatever the number of buckets; where there is little, fewer.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.kept = Versions(spark, folder)
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets
+        self.parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
 
     @property
     def version(self) -> int:
@@ -126,7 +129,8 @@ class Counts:
     def apply(self, changes: DataFrame) -> DataFrame:
         """Merge the changes into the next version, written whole before it becomes current."""
         merged = merge(self.read(), changes).withColumn("bucket", F.pmod(F.hash("term"), F.lit(self.buckets)))
-        self.kept.write({"counts": merged.repartition(self.buckets, "field", "bucket")}, {"counts": ["field", "bucket"]})
+        part = F.pmod(F.xxhash64("term"), F.lit(self.parts))
+        self.kept.write({"counts": merged.repartition("field", "bucket", part)}, {"counts": ["field", "bucket"]})
         return self.read()
 
 
