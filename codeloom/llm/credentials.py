@@ -20,6 +20,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -157,6 +158,8 @@ def _content(token: str) -> tuple[int, int]:
     return start, len(token) - 1
 
 
+#: Tokens taken at a time.
+STRETCH = 50_000
 #: After these a statement goes on in the next line.
 _GOES_ON = ("=", "(", "+", ":", ":=", "=>")
 _COMMENT = ("#", "//", "*", "/*", "--", ";")
@@ -165,20 +168,35 @@ _COMMENT = ("#", "//", "*", "/*", "--", ";")
 def _by_name(text: str, lex: re.Pattern) -> Iterator[tuple[int, int]]:
     """Literals assigned or passed to a credential-named name; pieces joined by + or side by side count as one literal.
 
-    What comments and literals over several lines hold is searched line by line.
+    What comments and literals over several lines hold is searched line by line. Tokens are taken in stretches, so a long
+    text isn't held as tokens as a whole.
     """
-    tokens = [(m.lastgroup, m[0], m.start()) for m in lex.finditer(text)]
+    found = lex.finditer(text)
+    tokens: list[tuple[str, str, int]] = []
+
+    def has(k: int) -> bool:
+        """Whether there is a token k, taken if need be."""
+        while k >= len(tokens):
+            more = [(m.lastgroup, m[0], m.start()) for m in islice(found, STRETCH)]
+            if not more:
+                return False
+            tokens.extend(more)
+        return True
+
     name, bound = "", False  # the last name, and whether an operator binds what follows to it
     calls: list[str] = []  # what each open parenthesis calls
     last, end = "", 0
     i = 0
-    while i < len(tokens):
+    while i < len(tokens) or has(i):
+        if i > STRETCH:
+            del tokens[:i]
+            i = 0
         kind, token, at = tokens[i]
         if bound and last not in _GOES_ON and text.find("\n", end, at) >= 0:
             bound = False
         if kind == "n":
             # "token: string = ..." keeps the variable's name over its type.
-            if not (bound and last == ":" and i + 1 < len(tokens) and tokens[i + 1][1] == "="):
+            if not (bound and last == ":" and has(i + 1) and tokens[i + 1][1] == "="):
                 name, bound = token, False
         elif kind == "c":
             if lex is not LINE:
@@ -203,15 +221,15 @@ def _by_name(text: str, lex: re.Pattern) -> Iterator[tuple[int, int]]:
         elif kind == "s":
             pieces = [(token, at)]
             j = i
-            while j + 1 < len(tokens):
-                step = 2 if tokens[j + 1][1] in ("+", ".") and j + 2 < len(tokens) and tokens[j + 2][0] == "s" else 1
+            while has(j + 1):
+                step = 2 if tokens[j + 1][1] in ("+", ".") and has(j + 2) and tokens[j + 2][0] == "s" else 1
                 if tokens[j + step][0] != "s":
                     break
                 j += step
                 pieces.append(tokens[j][1:])
             value = "".join(p[slice(*_content(p))] for p, _ in pieces)
             token, at = pieces[-1]
-            if j + 1 < len(tokens) and tokens[j + 1][1] in (":", "=>", "=") and j == i:
+            if j == i and has(j + 1) and tokens[j + 1][1] in (":", "=>", "="):
                 name, bound, last = value, True, ":"
                 end = tokens[j + 1][2] + len(tokens[j + 1][1])
                 i = j + 2

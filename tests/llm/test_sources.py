@@ -245,3 +245,13 @@ def test_json_keys_far_from_their_colon():
     raw = '{"password"                 :\n "6xrrcA+0mvnFg8L", "token": ["a", "' + "a1B2" * 2000 + '"]}'
     assert [raw[a:b] for a, b in credentials.find_in_json(raw)] == ["6xrrcA+0mvnFg8L", "a1B2" * 2000]
     assert credentials.find_in_json('{"decorators": ["@signed(key=\'e075ade89f131c648760\')"]}')
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    """The same spans whatever the length of a stretch, also within a chain of pieces."""
+    text = "\n".join(f"a{i} = f(b, 'c')  # d" for i in range(40)) + "\nkey_token = " + " + ".join(f"'a8F{i}'" for i in range(30)) + "\npassword: str = 'S3cr3tW0rd!9'\n{'password': 'S3cr3tW0rd!8'}\n"
+    want = credentials.find(text, family="hash")
+    assert len(want) == 32
+    for n in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(credentials, "STRETCH", n)
+        assert credentials.find(text, family="hash") == want
