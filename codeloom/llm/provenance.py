@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -161,9 +162,8 @@ def look(path: str, text: str | None, language: str) -> tuple[str | None, int |
 
 def measure(body: str, code: str, language: str) -> list[float]:
     raw = body.encode("utf-8", "surrogatepass")
-    tokens = _TOKEN.findall(code)
-    counts = Counter(tokens)
-    n = len(tokens) or 1
+    counts = Counter(map(itemgetter(0), _TOKEN.finditer(code)))
+    n = counts.total() or 1
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     names = [(t, c) for t, c in counts.items() if t[0].isalpha() or t[0] == "_"]
     m = sum(c for _, c in names) or 1
@@ -216,12 +216,12 @@ def reference_prints(reference: DataFrame) -> DataFrame:
 
 
 def _sampled(examined: DataFrame, sample: int) -> DataFrame:
-    """About `sample` rows of each label at most, chosen by hash; in one partition and order, so that the forest is the same
-    however the rows were divided."""
+    """About `sample` rows of each label at most, chosen by hash where they are; these few brought into one partition and
+    order, so that the forest is the same however the rows were divided."""
     counts = {r.label: r.n for r in examined.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, sample / n))) for k, n in counts.items()], F.lit(0.0))
     chosen = F.pmod(F.xxhash64("repo_id", "file_path"), F.lit(1 << 30)) < share * (1 << 30)
-    return examined.where(chosen).select("repo_id", "file_path", "features", F.col("label").cast("double").alias("label")).coalesce(1).sortWithinPartitions("repo_id", "file_path", "label")
+    return examined.where(chosen).select("repo_id", "file_path", "features", F.col("label").cast("double").alias("label")).repartition(1).sortWithinPartitions("repo_id", "file_path", "label")
 
 
 def forest(sampled: DataFrame):
