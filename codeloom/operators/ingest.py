@@ -185,6 +185,21 @@ def parsed_entities(parsed: DataFrame) -> DataFrame:
     return rows.select(uuid.alias("uuid"), "repo_id", "file_path", "type", "name", F.col("line").alias("start_line"), "end_line", "docstring", tags.alias("tags"), "context", "ordinal", F.col("details").alias("metadata"))
 
 
+# The tag of each kind of definition.
+TAGS = {"class": "definition.class", "function": "definition.function", "method": "definition.method", "arrow_function": "definition.function"}
+
+
+def tags(parsed: DataFrame) -> DataFrame:
+    """(repo_id, file_path, tag, name, line): definitions of classes, functions and methods, and, in Python, the names that
+    are called, each place once. A JavaScript form is told by `extra`; its constructors are no methods of their own."""
+    form = F.when(F.col("extra").isin(*TAGS), F.col("extra")).otherwise(F.col("type"))
+    tag = F.coalesce(*[F.when(form == k, F.lit(v)) for k, v in TAGS.items()])
+    found = parsed.where("kind = 'entity'").select("repo_id", "file_path", tag.alias("tag"), "name", "line")
+    found = found.where(F.col("tag").isNotNull() & ~((F.col("tag") == "definition.method") & (F.col("name") == "constructor")))
+    called = parsed.where("kind = 'call'").select("repo_id", "file_path", F.lit("reference.call").alias("tag"), F.element_at(F.split("name", r"\."), -1).alias("name"), "line")
+    return found.unionByName(called).distinct()
+
+
 def entity_keys(entities: DataFrame) -> DataFrame:
     """(repo_id, key, uuid, file_path, ordinal, name, place): the keys each entity answers to; the last one registered holds
     a key, whose place among the keys is where the first one was registered."""

@@ -843,6 +843,10 @@ SQL["parsed_javascript"] = _FILE + ", js as (select repo_id, file_path, replace(
         ("function", "arrow_function", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>", "g1 not in ('if', 'for', 'while', 'switch', 'catch')"),
     )
 )
+SQL["javascript_tags"] = f"""
+select distinct repo_id, file_path, case form when 'class' then 'definition.class' when 'method' then 'definition.method' else 'definition.function' end as tag, name, line
+from ({SQL['parsed_javascript']}) where form <> 'method' or name <> 'constructor'
+"""
 SQL["audit_deduplicated"] = 'select distinct uuid from audit where "timestamp" is not null'
 SQL["audit_stream_latest"] = """
 select entity_uuid, "timestamp", uuid from audit where "timestamp" is not null qualify row_number() over (partition by entity_uuid order by "timestamp" desc, uuid desc) = 1

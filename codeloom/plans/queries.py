@@ -576,6 +576,15 @@ def parsed_javascript(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("repo_id", "file_path", "name", "type", F.col("extra").alias("form"), "line")
 
 
+named("definition_tags", lambda s, d: ingest.tags(ingest.parse(table(s, d, "source_files"))))
+
+
+@query
+def javascript_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """The tags of JavaScript and TypeScript files."""
+    return ingest.tags(ingest.parse(table(spark, folder, "source_files").where(F.lower("file_path").rlike(r"\.(js|jsx|ts|tsx)$"))))
+
+
 @query
 def ingest_counters(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "source_files")

@@ -197,6 +197,8 @@ def test_parsing_and_resolution(spark):
     links = {(r.src, r.dst) for r in ingest.resolve_calls(parsed, e).collect()}
     assert (ids["run"], ids["helper"]) in links
     assert {(r.src, r.dst) for r in ingest.inheritance_links(parsed, e).collect()} == {(ids["Job"], ids["Base"])}
+    tagged = {(r.file_path, r.tag, r.name) for r in ingest.tags(parsed).collect()}
+    assert {("pkg/main.py", "definition.class", "Job"), ("pkg/main.py", "definition.function", "run"), ("pkg/main.py", "reference.call", "check"), ("web.js", "definition.method", "go"), ("web.js", "definition.function", "f")} <= tagged
     calls = {r.name: r.calls for r in ingest.call_counts(parsed).collect()}
     assert calls["helper"] == 1 and "print" not in calls
     ranked = ingest.ranked(e, ingest.local_links(parsed, e), ingest.call_counts(parsed))
