@@ -19,24 +19,24 @@ UNTERMINATED, UNKNOWN = "\x01", "\x02"
 
 
 class Classes(dict):
-    """Class of each token text, found once for short texts."""
+    """Class of each token text, found once for short texts; at most MOST are kept."""
+
+    MOST = 200_000
 
     def __init__(self, words: dict[str, str], kind):
         super().__init__(words)
-        self.kind = kind
+        self.words, self.kind = dict(words), kind
 
     def __missing__(self, token: str) -> str:
         c = self.kind(token)
         if len(token) < 24:
-            if len(self) > 200_000:
-                self.clear_learned()
+            # All that was learned goes at once, so that a full table costs nothing per token.
+            if len(self) >= self.MOST:
+                self.clear()
+                self.update(self.words)
             self[token] = c
         return c
 
-    def clear_learned(self) -> None:
-        for k in [k for k in self if len(k) > 12]:
-            del self[k]
-
 
 def _words(**classes: str) -> dict[str, str]:
     return {w: c for c, words in classes.items() for w in words.split()}

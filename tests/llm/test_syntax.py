@@ -192,6 +192,16 @@ def test_long_and_deep_texts_end():
     assert lexing.problem("go", "package a\n" + "var x = 1\n" * 20_000) is None
 
 
+def test_many_distinct_names_stay_bounded():
+    # More short names than the table of token classes holds, as a worker meets in a large input.
+    names = [f"v{i}" for i in range(200_300)]
+    assert lexing.problem("python", f"a = [{', '.join(names)}]\n") is None
+    assert len(lexing._PY_CLASS) <= 200_000
+    assert lexing._PY_WORDS.items() <= lexing._PY_CLASS.items()
+    assert lexing.problem("python", PYTHON) is None
+    assert lexing.problem("python", "def f(:\n    pass\n")
+
+
 def test_table(spark):
     rows = [("r", "a.py", "x = 1"), ("r", "b.py", "x = ("), ("r", "b.py", "x = ("), ("r", "c.md", "("), ("r", "d.json", None), ("q", "e.py", None), ("q", "f.PY", "(")]
     df = spark.createDataFrame(rows, "repo_id string, file_path string, content string")
