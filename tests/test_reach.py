@@ -69,3 +69,24 @@ def test_graphs_too_large_for_a_worker(spark, monkeypatch, sources):
     monkeypatch.setattr(reach, "MOST", 5)
     large = all_measures()
     assert all(small[0][v] == pytest.approx(large[0][v]) and small[1][v] == pytest.approx(large[1][v]) for v in ids)
+
+
+def test_hotspots_cost_no_job_per_round(spark):
+    """PageRank wrote its state each round; loops, an unknown end and an entity without links are in the graph."""
+    pairs, ids = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("d", "d"), ("d", "b")], ["a", "b", "c", "d", "e"]
+    links, nodes = graph(spark, pairs, ids)
+    spark.sparkContext.setJobGroup("spots", "")
+    got = {r.uuid: r for r in graphalg.hotspots(links, nodes, None, sources=3).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("spots"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rank = dict.fromkeys(ids, 0.2)
+    for _ in range(100):
+        out = {v: [b for a, b in pairs if a == v and b in ids] for v in ids}
+        lost = sum(rank[v] for v in ids if not out[v])
+        new = {v: 0.15 / 5 + 0.85 * (sum(rank[a] / len(out[a]) for a in ids if v in out[a]) + lost / 5) for v in ids}
+        rank, moved = new, sum(abs(new[v] - rank[v]) for v in ids)
+        if moved < 5e-6:
+            break
+    assert all(abs(got[v]["rank"] - rank[v]) < 1e-12 for v in ids)
+    assert {v: got[v].connections for v in ids} == {"a": 2, "b": 3, "c": 3, "d": 3, "e": 0}
+    assert jobs < 60
