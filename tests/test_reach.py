@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from codeloom.operators import graphalg, reach
+from codeloom.plans.queries import QUERIES
 from tests.test_graphalg import bfs, brute_betweenness, graph, random_graph
 
 
@@ -90,3 +91,18 @@ def test_hotspots_cost_no_job_per_round(spark):
     assert all(abs(got[v]["rank"] - rank[v]) < 1e-12 for v in ids)
     assert {v: got[v].connections for v in ids} == {"a": 2, "b": 3, "c": 3, "d": 3, "e": 0}
     assert jobs < 60
+
+
+def test_paths_are_not_kept(spark, tmp_path):
+    """The rows of (source, reached) were written and joined level by level."""
+    ids = [f"n{i:02d}" for i in range(40)]
+    pairs = [*zip(ids, ids[1:]), ("n03", "n03"), ("n00", "n02"), ("n01", "n03"), ("n39", "n20")]
+    spark.createDataFrame([(u,) for u in [*ids, "alone"]], "uuid string").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([(f"l{i}", *p, "calls", None, None) for i, p in enumerate(pairs)], "uuid string, from_uuid string, to_uuid string, type string, created_at timestamp, properties string").write.parquet(f"{tmp_path}/edges.parquet")
+    spark.sparkContext.setJobGroup("paths", "")
+    got = {(r.source, r.uuid): (r.depth, r.paths) for r in QUERIES["shortest_paths"](spark, str(tmp_path)).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("paths"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {s: bfs(pairs, s) for s in ids}
+    assert got == {(s, t): (d, want[s][1][t]) for s in ids for t, d in want[s][0].items() if t != s}
+    assert jobs < 50
