@@ -106,3 +106,16 @@ def test_paths_are_not_kept(spark, tmp_path):
     want = {s: bfs(pairs, s) for s in ids}
     assert got == {(s, t): (d, want[s][1][t]) for s in ids for t, d in want[s][0].items() if t != s}
     assert jobs < 50
+
+
+@pytest.mark.parametrize("measure", ["closeness", "betweenness"])
+def test_exact_measures_cost_no_job_per_level(spark, measure):
+    ids = [f"n{i:02d}" for i in range(41)]
+    links, nodes = graph(spark, list(zip(ids, ids[1:])), ids)
+    spark.sparkContext.setJobGroup(measure, "")
+    got = {r.uuid: r[measure] for r in getattr(graphalg, measure)(links, nodes).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(measure))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {"closeness": lambda i: i / sum(range(i + 1)) * i / 40 if i else 0.0, "betweenness": lambda i: i * (40 - i) / (40 * 39)}[measure]
+    assert all(abs(got[v] - want(i)) < 1e-12 for i, v in enumerate(ids))
+    assert jobs < 50
